@@ -5,21 +5,41 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
+from pyspark.sql import functions as F
 
-from apotheca.llm import quality_rules
+from apotheca.llm import line_crf, minhash, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id"):
+    """Rows that nothing is learned from: crc32 of the id as text leaves 2 modulo 4."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> line_crf.Model:
+    return line_crf.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=~held_out())
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = line_crf.score_documents(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_stats(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicate_groups(table(spark, sf_dir, "documents"), options=minhash.Options(words=4))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op7_minhash": op7_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
