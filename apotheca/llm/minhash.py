@@ -64,7 +64,7 @@ def shingle_sets(texts: ta.Texts, words: int) -> tuple[np.ndarray, np.ndarray]:
     counts = texts.per_doc(doc)
     first = np.searchsorted(doc, np.arange(texts.n))
     short = np.flatnonzero((counts > 0) & (counts < words))
-    whole = [ta.mix(np.bitwise_xor.reduce([ta.mix(h + np.uint64(i)) for i, h in enumerate(hashes[first[k] : first[k] + counts[k]])]) + np.uint64(counts[k])) for k in short]
+    whole = [np.bitwise_xor.reduce(ta.mix(hashes[first[k] : first[k] + counts[k]] + np.arange(1, counts[k] + 1, dtype=np.uint64))) for k in short]
     begin = np.searchsorted(doc[at], np.arange(texts.n + 1)) if len(at) else np.zeros(texts.n + 1, dtype=np.int64)
     sets = [np.unique(found[begin[k] : begin[k + 1]]) for k in range(texts.n)]
     for k, h in zip(short, whole, strict=True):
@@ -101,7 +101,7 @@ def signatures(hashes: np.ndarray, sizes: np.ndarray, options: Options) -> np.nd
 def band_keys(signature: np.ndarray, options: Options) -> np.ndarray:
     keys = np.empty((len(signature), options.bands), dtype=np.int64)
     for band in range(options.bands):
-        key = np.full(len(signature), ta.mix(np.array([band + 1], dtype=np.uint64))[0])
+        key = np.full(len(signature), band + 1, dtype=np.uint64)
         for i in range(options.rows):
             key = ta.mix(key ^ signature[:, band * options.rows + i])
         keys[:, band] = key.view(np.int64)
@@ -122,7 +122,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, options: Options) ->
                 for salt in (1, 2):
                     total = np.zeros(texts.n, dtype=np.uint64)
                     if has.any():
-                        total[has] = np.add.reduceat(ta.mix(hashes ^ ta.mix(np.array([salt], dtype=np.uint64))), (np.cumsum(sizes) - sizes)[has])
+                        total[has] = np.add.reduceat(ta.mix(hashes ^ ta.mix(np.uint64(salt))), (np.cumsum(sizes) - sizes)[has])
                     digests.append(pa.array(total.view(np.int64)))
                 signature = signatures(hashes, sizes, options)
                 keys = band_keys(signature, options)

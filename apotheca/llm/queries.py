@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apotheca.llm import line_crf, minhash, quality_rules
+from apotheca.llm import bpe, line_crf, minhash, packing, quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,14 +33,34 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_stats(table(spark, sf_dir, "documents"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Pieces of the documents in sequences of 2048 tokens, with a checksum of each piece's ids."""
+    pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_groups(table(spark, sf_dir, "documents"), options=minhash.Options(words=4))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
+    decoded = bpe.decode_documents(encoded, ranks, pattern)
+    n_tokens = F.floor(F.octet_length("ids") / 4).cast("long")
+    return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}

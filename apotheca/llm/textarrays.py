@@ -49,6 +49,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers after which every input bit reaches every output bit."""
+    x = np.atleast_1d(x)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
@@ -175,3 +176,14 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield row, end, Texts(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         row = end
+
+
+def text_ranges(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, end row, texts as Python strings) in blocks of about ``limit`` bytes and whole texts."""
+    column = pc.fill_null(column, "")
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    row, before = 0, 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield row, end, column.slice(row, end - row).to_pylist()
+        row, before = end, int(ends[end - 1])
