@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apotheca.llm import bpe, line_crf, minhash, packing, quality_rules
+from apotheca.llm import bpe, embedding_dedup, line_crf, main_text, minhash, packing, quality_rules, sharding, url_filter
+from apotheca.llm.scratch import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,18 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_stats(table(spark, sf_dir, "documents"))
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """Pieces of the documents in sequences of 2048 tokens, with a checksum of each piece's ids."""
     pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -47,6 +57,16 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_groups(table(spark, sf_dir, "documents"), options=minhash.Options(words=4))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, appended in 16 arrivals by source, compacted, and read back through the last manifest."""
+    store = sharding.ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes=32 << 20)
+    store.append(table(spark, sf_dir, "documents"), arrival=F.pmod(F.xxhash64("source"), F.lit(16)))
+    version = store.compact().version
+    store.vacuum()
+    rows = store.read(version, shard_col="shard")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text_md5"), F.element_at(F.split("shard", "/"), -1).alias("shard"), F.lit(version).cast("long").alias("version"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, pattern)
@@ -55,12 +75,25 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", n_tokens.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    texts = main_text.extract_text(pages, main_text.fit(pages), keep=["url"])
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_url_filter": op3_url_filter,
     "op4_quality_rules": op4_quality_rules,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_packing": op6_packing,
     "op7_minhash": op7_minhash,
+    "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
+    "op10_main_text": op10_main_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Of the queries that SQL can express; tests/llm holds the others against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": url_filter.oracle_sql(),
+}
