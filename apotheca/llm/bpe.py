@@ -160,32 +160,44 @@ def _common(a: str, b: str) -> str:
 class UnitEncoder:
     """Ids of whole texts, as little-endian unsigned 32-bit integers, with a bounded memory of units.
 
-    encode_units: from a list of strings to the ids of each.
+    encode_units: from a list of strings, of which all but perhaps the first begin with a space, to the ids of
+    each. Two generations are kept: what is used moves to the young one, and when that is full it becomes the
+    old one, so frequent units stay. A word with a final comma or full stop is kept as the word and the mark.
     """
 
-    LONG, MOST = 64, 400_000
+    LONG, MOST, MARKS = 64, 500_000, ",."
 
-    def __init__(self, encode_units: Callable[[list[str]], list[list[int]]]):
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]]):
         self.encode_units = encode_units
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.marks = dict(zip(self.MARKS, (encode_units([m])[0] for m in self.MARKS), strict=True))
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _recall(self, units: set[str]) -> None:
+        """Bring the units into the young generation."""
+        young, old = self.young, self.old
+        units -= young.keys()
+        kept = units & old.keys()
+        young.update((u, old[u]) for u in kept)
+        units -= kept
+        marked = {u for u in units if u[-1:] in self.marks and u[:-1].isalpha()}
+        if marked:
+            self._recall({u[:-1] for u in marked})
+            young.update((u, young[u[:-1]] + self.marks[u[-1]]) for u in marked)
+            units -= marked
+        if units:
+            listed = list(units)
+            young.update(zip(listed, self.encode_units([" " + u for u in listed]), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [_UNIT_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
-        wanted_first = {u[0] for u in split} - self.first.keys()
-        wanted_later = set().union(*(u[1:] for u in split)) - self.later.keys()
-        if len(self.first) + len(self.later) > self.MOST:
-            self.first, self.later = {}, {}
-            wanted_first, wanted_later = {u[0] for u in split}, set().union(*(u[1:] for u in split))
-        first, later = list(wanted_first), list(wanted_later)
-        ids = [np.array(x, dtype="<u4").tobytes() for x in self.encode_units(first + [" " + u for u in later])]
-        self.first.update(zip(first, ids, strict=False))
-        self.later.update(zip(later, ids[len(first) :], strict=True))
-        get = self.later.__getitem__
-        out = [self.first[u[0]] + b"".join(map(get, u[1:])) for u in split]
-        for known in (self.first, self.later):
-            for unit in [u for u in (wanted_first if known is self.first else wanted_later) if len(u) > self.LONG]:
-                del known[unit]
+        first = list({u[0] for u in split})
+        begins = dict(zip(first, (self.encode_units([u])[0] for u in first), strict=True))
+        self._recall(set().union(*(u[1:] for u in split)))
+        get = self.young.__getitem__
+        out = [begins[u[0]] + b"".join(map(get, u[1:])) for u in split]
+        if len(self.young) > self.MOST:
+            self.young, self.old = {}, {u: ids for u, ids in self.young.items() if len(u) <= self.LONG}
         return out
 
 
@@ -198,7 +210,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> UnitEncoder:
     words = vocabulary(path, pattern)
-    return UnitEncoder(lambda units: [words.encode(u) for u in units])
+    return UnitEncoder(lambda units: [np.array(words.encode(u), dtype="<u4").tobytes() for u in units])
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
