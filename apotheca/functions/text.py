@@ -25,7 +25,7 @@ from apotheca.functions.words import (
 )
 
 ColumnOrName = Column | str
-WHITE = r"\s\u0085   -     　﻿"
+WHITE = r"\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
 
 
 def as_column(value: ColumnOrName) -> Column:
