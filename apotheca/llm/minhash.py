@@ -8,13 +8,14 @@ Jaccard similarity of their whole sets is at least ``percent`` / 100.
    ``bands * rows`` universal hash functions, and one key per band.
 2. Documents with equal digests form a class; only the class's smallest id goes on, so copies cost nothing
    further, however many there are.
-3. Candidates come from band buckets, in three rounds that never emit all pairs of a bucket:
-   ``centre`` pairs every member with the bucket's smallest id; ``best`` pairs every member with the member of
-   another component whose signature is most like its own; ``rest`` pairs what still lies in different components.
-   The last two only look at buckets that hold more than one component, compare signatures in blocks of
-   bounded size, and pass on only pairs whose estimated similarity comes within ``slack`` of the threshold.
-   Pairs inside a component need no test, for they can't change it. So no candidate is given up.
-4. Candidates are confirmed on the whole sets, and components come from alternating large-star and small-star.
+3. Every member of a band bucket is paired with the bucket's smallest id. These pairs are filtered by their
+   signatures and confirmed on the whole sets, and components are found. Pairs inside a component need no more tests.
+4. What is left are buckets that hold more than one component. Their members' signatures are compared in blocks of
+   bounded size, each pair in the first bucket that it shares; a member that comes within ``slack`` of the
+   threshold with one of another component is passed on with its whole set, and the pairs are confirmed where they
+   meet. A task returns a spanning forest of confirmed links, never the pairs. So no candidate is given up, and
+   no step makes more rows than there are members of buckets.
+5. Components come from alternating large-star and small-star.
 
 A pair at the threshold shares a band with probability 1 - (1 - s ** rows) ** bands: for the defaults at 0.8
 all but 1.4e-7, and more above it.
@@ -37,12 +38,14 @@ from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
 from apotheca.llm.components import components
-from apotheca.llm.scratch import Table
+from apotheca.llm.scratch import Table, small_batches
 
 
 @dataclass(frozen=True)
 class Options:
-    """block: most rows of a bucket that one task compares with as many others. slack: in shares of the signature."""
+    """slack: in shares of the signature. block, block_bytes: most rows, and bytes of whole sets, of a bucket that one
+    task compares with as many others. batch: rows with whole sets that go to Python at once.
+    """
 
     words: int = 5
     percent: int = 80
@@ -50,6 +53,8 @@ class Options:
     rows: int = 4
     slack: float = 0.17
     block: int = 1024
+    block_bytes: int = 4 << 20
+    batch: int = 500
     seed: int = 7
 
 
@@ -162,8 +167,16 @@ def _signature_matrix(column: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
     return np.frombuffer(data.tobytes(), dtype=np.uint32).reshape(-1, n)
 
 
-def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options: Options, seen: bool) -> DataFrame:
-    """The pairs (a, b) that pass the signatures (unless they were ``seen`` to) and then the whole sets."""
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have at least this Jaccard similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
+    """The pairs (a, b) that pass the signatures and then the whole sets."""
     n, least, percent = options.bands * options.rows, (options.percent / 100 - options.slack) * options.bands * options.rows, options.percent
     schema = T.StructType([pairs.schema["a"], pairs.schema["b"]])
 
@@ -175,11 +188,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options:
 
     def equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = zip(batch.column(2), batch.column(3), strict=True)
+            ok = [_similar(np.frombuffer(x.as_py(), dtype=np.uint64), np.frombuffer(y.as_py(), dtype=np.uint64), percent) for x, y in sets]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
     def with_both(pairs: DataFrame, side: DataFrame, what: str) -> DataFrame:
@@ -187,47 +197,83 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options:
         right = side.select(F.col("id").alias("b"), F.col(what).alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
 
-    if not seen:
-        pairs = with_both(pairs, sketches, "signature").mapInArrow(alike, schema)
-    return with_both(pairs, sets, "shingles").mapInArrow(equal, schema).distinct()
-
+    passed = with_both(pairs, sketches, "signature").mapInArrow(alike, schema)
+    return with_both(passed, sets, "shingles").mapInArrow(equal, schema).distinct()
 
-def _compared(members: DataFrame, options: Options, best: bool) -> DataFrame:
-    """Pairs of members of a bucket that lie in different components and have like signatures.
 
-    members: key, id, component, signature. Buckets of more than ``block`` members are cut into blocks by a
-    hash of the id, and every two blocks meet in a task of their own. best: for each member only the pair
-    with the most similar one that it meets.
-    """
-    n, least = options.bands * options.rows, (options.percent / 100 - options.slack) * options.bands * options.rows
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(options.block)).cast("int").alias("cuts"))
+def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets dealt to pairs of blocks i <= j; sizes: key and the number of blocks (cuts)."""
     part = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda other: F.struct(F.least(other, F.col("part")).alias("i"), F.greatest(other, F.col("part")).alias("j")))
-    dealt = members.join(sizes, "key").withColumn("part", part).withColumn("meet", F.explode(meets)).select("key", "meet.i", "meet.j", "id", "component", "signature")
-    id_type = members.schema["id"].dataType
-    schema = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])
-
-    def compare(group: pa.Table) -> pa.Table:
-        ids, components_ = group.column("id").to_numpy(), group.column("component").to_numpy()
-        matrix = _signature_matrix(group.column("signature"), n)
-        left, right = [], []
-        for row in range(0, len(ids), 32):
-            like = np.zeros((min(32, len(ids) - row), len(ids)), dtype=np.int16)
-            for i in range(n):
-                like += matrix[row : row + 32, i][:, None] == matrix[:, i][None, :]
-            like[components_[row : row + 32][:, None] == components_[None, :]] = -1
-            if best:
-                pick = like.argmax(1)
-                good = np.flatnonzero(like[np.arange(len(like)), pick] >= least)
-                x, y = good, pick[good]
-            else:
-                x, y = np.nonzero(like >= least)
-            left.append(np.minimum(ids[row + x], ids[y]))
-            right.append(np.maximum(ids[row + x], ids[y]))
-        pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], group.schema.field("id").type), "b": pa.array(pairs[:, 1], group.schema.field("id").type)})
-
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, schema).distinct()
+    dealt = members.join(sizes, "key").withColumn("part", part).withColumn("meet", F.explode(meets))
+    return dealt.select("key", "meet.i", "meet.j", "part", *[c for c in members.columns if c != "key"])
+
+
+def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[int, int, int]]:
+    """(x, y, equal minima) of members of different components and, in mixed tasks, blocks, that have like signatures
+    and no earlier bucket in common."""
+    n, rows = options.bands * options.rows, options.rows
+    least = (options.percent / 100 - options.slack) * n
+    matrix, component, part = _signature_matrix(group.column("signature"), n), group.column("component").to_numpy(), group.column("part").to_numpy()
+    band, mixed = group.column("band")[0].as_py(), group.column("i")[0].as_py() != group.column("j")[0].as_py()
+    for start in range(0, len(matrix), 32):
+        stop = min(start + 32, len(matrix))
+        like = np.zeros((stop - start, len(matrix)), dtype=np.int16)
+        for k in range(n):
+            like += matrix[start:stop, k][:, None] == matrix[:, k][None, :]
+        far = component[start:stop, None] == component[None, :]
+        far |= np.arange(start, stop)[:, None] >= np.arange(len(matrix))[None, :]
+        if mixed:
+            far |= part[start:stop, None] == part[None, :]
+        like[far] = -1
+        x, y = np.nonzero(like >= least)
+        if len(x):
+            earlier = (matrix[start + x, : band * rows] == matrix[y, : band * rows]).reshape(len(x), band, rows).all(2).any(1)
+            x, y = x[~earlier], y[~earlier]
+            yield from zip((start + x).tolist(), y.tolist(), like[x, y].tolist(), strict=True)
+
+
+def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Options) -> Table:
+    """A spanning forest (a, b) of the links between components that share a bucket. members: key, band, id, component."""
+    id_type = members.schema["id"]
+    flagged_schema = T.StructType([members.schema["key"], members.schema["band"], id_type, members.schema["component"]])
+    link_schema = T.StructType([T.StructField("a", id_type.dataType), T.StructField("b", id_type.dataType)])
+
+    def flag(group: pa.Table) -> pa.Table:
+        close = sorted({k for x, y, _ in _close_pairs(group, options) for k in (x, y)})
+        return group.select(["key", "band", "id", "component"]).take(pa.array(close, pa.int64()))
+
+    def link(group: pa.Table) -> pa.Table:
+        ids = group.column("id").to_numpy()
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("shingles")]
+        root, left, right = list(range(len(ids))), [], []
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        first: dict[int, int] = {}
+        for k, c in enumerate(group.column("component").to_pylist()):
+            root[k] = first.setdefault(c, k)
+        for x, y, _ in sorted(_close_pairs(group, options), key=lambda p: -p[2]):
+            a, b = top(x), top(y)
+            if a != b and _similar(sets[x], sets[y], options.percent):
+                root[max(a, b)] = min(a, b)
+                left.append(ids[x])
+                right.append(ids[y])
+        kind = group.schema.field("id").type
+        return pa.table({"a": pa.array(left, kind), "b": pa.array(right, kind)})
+
+    signed = members.join(sketches, "id").select("key", "band", "id", "component", "signature")
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(options.block)).cast("int").alias("cuts"))
+    flagged = Table(_blocked(signed, sizes).groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
+    whole = flagged.df.join(sketches, "id").join(sets, "id").select("key", "band", "id", "component", "signature", "shingles")
+    heavy = flagged.df.join(sets.select("id", F.octet_length("shingles").alias("size")), "id").groupBy("key").agg(F.ceil(F.sum("size") / F.lit(options.block_bytes)).cast("int").alias("cuts"))
+    links = Table(_blocked(whole, heavy).groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
+    flagged.drop()
+    return links
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
@@ -240,32 +286,27 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = all_rows.filter("id is not null and n_shingles > 0")
     classes = rows.groupBy("n_shingles", "high", "low").agg(F.min("id").alias("id"))
     firsts = rows.join(classes.select("id").distinct(), "id", "left_semi")
-    keyed = firsts.select("id", F.explode("keys").alias("key"))
+    keyed = firsts.select("id", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     buckets = Table(keyed.join(shared.select("key", "least"), "key").distinct(), "buckets")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sets = Table(_sets(texts.join(buckets.df.select("id").distinct(), "id", "left_semi"), options.words), "sets")
     sketches = rows.select("id", "signature")
-
-    centre = buckets.df.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    links = Table(_confirmed(centre, sketches, sets.df, options, seen=False), "links")
-    roots = components(links.df, "a", "b")
-    for best in (True, False):
-        component = buckets.df.select("key", "id").join(roots.df, buckets.df["id"] == roots.df["node"], "left").select("key", "id", F.coalesce("root", "id").alias("component"))
+    with small_batches(docs.sparkSession, options.batch):
+        sets = Table(_sets(texts.join(buckets.df.select("id").distinct(), "id", "left_semi"), options.words), "sets")
+        centre = buckets.df.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
+        links = Table(_confirmed(centre, sketches, sets.df, options), "links")
+        found = components(links.df, "a", "b")
+        component = buckets.df.select("key", "band", "id").join(found.df, buckets.df["id"] == found.df["node"], "left").select("key", "band", "id", F.coalesce("root", "id").alias("component"))
         mixed = component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        members = component.join(mixed, "key").join(sketches, "id").select("key", "id", "component", "signature")
-        more = Table(_confirmed(_compared(members, options, best), sketches, sets.df, options, seen=True), "links")
-        before = roots
-        roots = components(more.df.unionByName(before.df.select(F.col("root").alias("a"), F.col("node").alias("b"))), "a", "b")
-        before.drop()
-        more.drop()
-    for table in (links, sets, buckets):
+        more = _rest(component.join(mixed, "key"), sketches, sets.df, options)
+    roots = components(more.df.unionByName(found.df.select(F.col("root").alias("a"), F.col("node").alias("b"))), "a", "b")
+    for table in (found, more, links, sets, buckets):
         table.drop()
 
     named = classes.join(roots.df, classes["id"] == roots.df["node"], "left").select("n_shingles", "high", "low", F.coalesce("root", "id").alias("component"))
-    found = all_rows.select("id", "n_shingles", "high", "low").join(named, ["n_shingles", "high", "low"], "left")
+    placed = all_rows.select("id", "n_shingles", "high", "low").join(named, ["n_shingles", "high", "low"], "left")
     component_id = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("id")))
-    return found.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    return placed.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: Options | None = None) -> DataFrame:
