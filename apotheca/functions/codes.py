@@ -117,7 +117,8 @@ def text_list(x: ColumnOrName) -> Column:
 
 
 def is_json(x: ColumnOrName) -> Column:
-    return F.expr("true") & F.try_parse_json(as_column(x)).isNotNull()
+    """Whether a text is one JSON value and nothing else."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), as_column(x), F.lit("]"))) == 1, F.lit(False))
 
 
 def setting(value: ColumnOrName, kind: str) -> Column:

@@ -33,9 +33,9 @@ def homeopathy_reason(lab: ColumnOrName, name: ColumnOrName) -> Column:
     return F.when(by_lab, "LAB").when(by_name, "KEYWORD")
 
 
-def is_homeopathic(label: ColumnOrName, dosage: ColumnOrName = F.lit(""), maker: ColumnOrName = F.lit("")) -> Column:
-    """The wide detector: makers, terms, range codes and dilutions."""
-    x = F.upper(F.concat_ws(" ", *(F.coalesce(as_column(c), F.lit("")) for c in (label, dosage, maker))))
+def is_homeopathic(label: ColumnOrName, *more: ColumnOrName) -> Column:
+    """The wide detector over a label, and a dosage and maker if given: makers, terms, range codes, dilutions."""
+    x = F.upper(F.concat_ws(" ", *(F.coalesce(as_column(c), F.lit("")) for c in (label, *more))))
     code = F.regexp_like(x, F.lit(r"\bL\s?\d{2,3}\b")) & F.contains(x, F.lit("SOLUTION BUVABLE"))
     code = code | F.regexp_like(x, F.lit(r"COMPLEXE\s*N[°O]?\s*\d*"))
     return contains_any(x, words.HOMEO_MAKERS + words.HOMEO_TERMS) | code | F.regexp_like(x, F.lit("|".join(words.DILUTIONS)))

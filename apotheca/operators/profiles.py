@@ -43,7 +43,7 @@ def resolve_links(composition: DataFrame) -> DataFrame:
 
 def conflicts(composition: DataFrame) -> DataFrame:
     """One row: linked sets with more than one row."""
-    return composition.filter("link <> ''").groupBy("cis", "link").agg(F.count("*").alias("n")).agg(F.count_if("n > 1").alias("conflicts"))
+    return composition.filter("link <> ''").groupBy("cis", "link").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("conflicts"))
 
 
 def signatures(resolved: DataFrame) -> DataFrame:
