@@ -165,10 +165,10 @@ class UnitEncoder:
     old one, so frequent units stay. A word with a final comma or full stop is kept as the word and the mark.
     """
 
-    LONG, MOST, MARKS = 64, 500_000, ",."
+    LONG, MARKS = 64, ",."
 
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]]):
-        self.encode_units = encode_units
+    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], most: int = 400_000):
+        self.encode_units, self.most = encode_units, most
         self.marks = dict(zip(self.MARKS, (encode_units([m])[0] for m in self.MARKS), strict=True))
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -196,7 +196,7 @@ class UnitEncoder:
         self._recall(set().union(*(u[1:] for u in split)))
         get = self.young.__getitem__
         out = [begins[u[0]] + b"".join(map(get, u[1:])) for u in split]
-        if len(self.young) > self.MOST:
+        if len(self.young) > self.most:
             self.young, self.old = {}, {u: ids for u, ids in self.young.items() if len(u) <= self.LONG}
         return out
 

@@ -56,8 +56,8 @@ def word_rule(word: str) -> Rule:
 
 
 def path_rule(path: str) -> Rule:
-    """Blocks paths that have this run of segments."""
-    return Rule(path, rf"{re.escape(path)}(?![a-z0-9])", tuple(_TOKEN.findall(path)), "block")
+    """Blocks paths that have this run of segments; it begins with /."""
+    return Rule(path, rf"{re.escape(path)}(?![A-Za-z0-9])", tuple(_TOKEN.findall(path.translate(_LOWER))), "block")
 
 
 #: The listed rules.
@@ -95,7 +95,7 @@ class RuleIndex:
 
     def matches(self, host: str, path: str) -> list[Rule]:
         address = host + path
-        found = [(rule, regex) for token in set(_TOKEN.findall(address.lower())) for rule, regex in self.by_token.get(token, ())]
+        found = [(rule, regex) for token in set(_TOKEN.findall(address.translate(_LOWER))) for rule, regex in self.by_token.get(token, ())]
         return [rule for rule, regex in found + self.always if regex.search(address)]
 
     def judge(self, host: str, path: str) -> tuple[str | None, str | None, str]:
@@ -153,7 +153,7 @@ def oracle_sql() -> str:
     blocks = " ".join(f"WHEN rule = '{r.name}' THEN '{r.verdict}'" for r in LIST_RULES)
     first = lambda rules, what, pattern: ", ".join(f"CASE WHEN regexp_matches({what}, '{pattern(r)}') THEN '{r}' END" for r in rules)
     words = first(HOST_WORDS, "host", lambda w: rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)")
-    paths = first(PATHS, "path", lambda p: p.replace(".", r"\.") + "([^a-z0-9]|$)")
+    paths = first(PATHS, "path", lambda p: p.replace(".", r"\.") + "([^A-Za-z0-9]|$)")
     return rf"""
 WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path FROM rest),
