@@ -127,7 +127,7 @@ def test_base_spans(texts):
 
 def test_personal_data(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    model = personal_data.fit(docs)
+    model = personal_data.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
     extra = ["call (743) 555-3824 now", "ip 10[.]0[.]0[.]1 up", "card 4111.1111.1111.1111 ok", "on 2024-05-17 at 10", "a joe@x.com +1 234 567 8901 z", None, ""]
     df = spark.createDataFrame([(i, t, 7) for i, t in enumerate(extra)], "doc_id long, text string, spans int")
     spans = {r.doc_id: [(extra[r.doc_id][s.start : s.end], s.kind) for s in r.spans] for r in personal_data.find_personal_data(df, model).collect()}
