@@ -148,3 +148,20 @@ def letter_successor(index: DataFrame, letters: DataFrame) -> DataFrame:
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def contained_duplicates(scans: DataFrame, boxes: DataFrame, key: str, serial: str, label: str) -> DataFrame:
+    """Scans whose serial is part of a known label of the same key (J16): the looser of the two duplicate tests."""
+    return scans.join(boxes.select(F.col(key), F.col(label).alias("__label")), (scans[key] == boxes[key]) & F.contains(F.col("__label"), scans[serial]), "left_semi")
+
+
+def audit_view(clusters: DataFrame) -> DataFrame:
+    """Clusters under the names of the audit export."""
+    return clusters.select(F.col("cluster_id").alias("id"), F.col("title").alias("cluster_name"), F.col("subtitle").alias("cluster_princeps"), F.col("count_products").alias("products"))
+
+
+def extract_fixture(codes: DataFrame, packages: DataFrame, products: DataFrame, composition: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of three tables that belong to some package codes."""
+    chosen = packages.join(codes, "cip13", "left_semi")
+    ids = chosen.select("cis").distinct()
+    return chosen, products.join(ids, "cis", "left_semi"), composition.join(ids, "cis", "left_semi")

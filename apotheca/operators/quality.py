@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apotheca.functions import labels, text
+#: Short names that are right.
+SHORT_NAMES = ("ZINC", "FER", "EAU", "GEL", "AIR", "SEL")
 
 
 def distribution(rows: DataFrame, column: str, n: int = 20) -> DataFrame:
@@ -33,26 +34,6 @@ def top_missing(rows: DataFrame, signature: str, name: str, order: str, n: int =
     return rows.groupBy(signature).agg(F.count("*").alias("n"), F.min_by(name, order).alias("example")).orderBy(F.desc("n"), signature).limit(n)
 
 
-# Strategies: each gives brand, confidence and method of a product name
-
-
-def comma_split(name: str) -> Column:
-    parts = F.split(name, ",")
-    found = F.size(parts) > 1
-    return F.struct(text.trim(F.get(parts, F.lit(0))).alias("brand"), F.when(found, 0.8).otherwise(0.3).alias("confidence"), F.when(found, "comma_split").otherwise("no_comma").alias("method"))
-
-
-def form_subtraction(name: str, form: str) -> Column:
-    masked = labels.masked_label(name, form)
-    changed = masked != text.trim(name)
-    return F.struct(masked.alias("brand"), F.when(changed, 0.85).otherwise(0.4).alias("confidence"), F.when(changed, "form_subtraction").otherwise("unchanged").alias("method"))
-
-
-def brand_extraction(name: str) -> Column:
-    brand = text.brand_name(name)
-    return F.struct(brand.alias("brand"), F.when(brand == "UNKNOWN", 0.2).otherwise(0.8).alias("confidence"), F.lit("brand_extraction").alias("method"))
-
-
 def strategy_summary(scored: DataFrame, result: str) -> DataFrame:
     """Per method of a strategy's results: how many, and their mean confidence."""
     return scored.groupBy(F.col(f"{result}.method").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(f"{result}.confidence"), 4).alias("mean_confidence"))
@@ -61,3 +42,20 @@ def strategy_summary(scored: DataFrame, result: str) -> DataFrame:
 def reference_of_group(members: DataFrame, order: list[str]) -> DataFrame:
     """The last type-0 product of each group."""
     return members.filter("type = '0'").groupBy("group_id").agg(F.max_by("cis", F.struct(*order)).alias("reference_cis"))
+
+
+def cluster_metrics(clusters: DataFrame) -> DataFrame:
+    """One row: clusters, share of promoted ones, share with a reference brand, names too short to be right."""
+    name = F.coalesce(F.nullif("cluster_princeps", F.lit("")), F.col("cluster_name"))
+    short = (F.length(name) < 4) & ~F.upper(name).isin(*SHORT_NAMES)
+    return clusters.agg(
+        F.count("*").alias("total_clusters"),
+        F.round(rate(F.startswith("cluster_name", F.lit("ORPH_"))), 6).alias("orphan_rate"),
+        F.round(rate(F.coalesce("cluster_princeps", F.lit("")) != ""), 6).alias("princeps_coverage"),
+        F.count_if(short).alias("short_name_alerts"),
+    )
+
+
+def exists(rows: DataFrame, condition: Column) -> DataFrame:
+    """One row: whether any row meets a condition (A36); one row is enough for each task."""
+    return rows.filter(condition).limit(1).agg((F.count("*") > 0).alias("found"))

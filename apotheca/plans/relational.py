@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
-from apotheca.operators import catalogue, clusters, elections, groupview, integration, profiles, quality, stock
+from apotheca.operators import catalogue, clusters, elections, groupview, integration, profiles, quality, stock, strategies
 from apotheca.plans.registry import Tables, query
 from apotheca.sources import store
 
@@ -309,12 +309,29 @@ def distributions_topn(t: Tables) -> DataFrame:
     return catalogue.union_all(*(quality.distribution(df, c).select(F.lit(kind).alias("kind"), "value", "n") for kind, df, c in parts))
 
 
-@query("""SELECT 'comma_split' AS strategy, CASE WHEN p_size % 2 = 0 THEN 'comma_split' ELSE 'no_comma' END AS method, count(*) AS n, CAST(CASE WHEN min(p_size % 2) = 0 THEN 0.8 ELSE 0.3 END AS DOUBLE) AS mean_confidence FROM part GROUP BY 2
-UNION ALL SELECT 'form_subtraction', 'form_subtraction', count(*), 0.85 FROM part UNION ALL SELECT 'brand_extraction', 'brand_extraction', count(*), 0.8 FROM part""")
+@query("""WITH n AS (SELECT p_partkey, p_size % 2 = 0 AS comma, p_size % 3 <> 0 AS known, p_size > 25 AS grouped FROM part),
+m AS (SELECT unnest([{'s': 'comma_split', 'm': 'comma_split', 'c': CASE WHEN comma THEN 0.8 ELSE 0.5 END}, {'s': 'composition_based', 'm': CASE WHEN known THEN 'composition_full' ELSE 'composition_fallback' END, 'c': CASE WHEN known THEN 0.95 ELSE 0.6 END},
+{'s': 'hybrid', 'm': CASE WHEN known THEN 'hybrid_full' ELSE 'hybrid_comma_only' END, 'c': CASE WHEN known THEN 0.9 ELSE 0.8 END},
+{'s': 'princeps_based', 'm': CASE WHEN grouped THEN 'princeps_canonical' ELSE 'comma_split' END, 'c': CASE WHEN NOT grouped THEN CASE WHEN comma THEN 0.8 ELSE 0.5 END WHEN known THEN 0.98 ELSE 0.85 END},
+{'s': 'advanced_multiphase', 'm': CASE WHEN known THEN 'advanced_full' ELSE 'advanced_partial' END, 'c': CASE WHEN known AND grouped AND comma THEN 0.98 WHEN known AND comma THEN 0.95 WHEN known THEN 0.9 WHEN grouped THEN 0.85 WHEN comma THEN 0.8 ELSE 0.5 END}]) AS r FROM n)
+SELECT r.s AS strategy, r.m AS method, count(*) AS n, round(CAST(sum(CAST(r.c AS DECIMAL(9, 2))) AS DOUBLE) / count(*), 4) AS mean_confidence FROM m GROUP BY 1, 2""")
 def strategy_scores(t: Tables) -> DataFrame:
-    rows = t.part.select(F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ", ").otherwise(" "), F.lower("p_type")).alias("name"), F.lower("p_type").alias("form"))
-    scored = rows.select(quality.comma_split("name").alias("comma_split"), quality.form_subtraction("name", "form").alias("form_subtraction"), quality.brand_extraction("name").alias("brand_extraction"))
-    return catalogue.union_all(*(quality.strategy_summary(scored, s).select(F.lit(s).alias("strategy"), "method", "n", "mean_confidence") for s in scored.columns))
+    """Names with and without a comma, two thirds with a composition, half in a group of their own."""
+    name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ", ").otherwise(" "), F.lower("p_type"))
+    rows = t.part.select(F.col("p_partkey").alias("cis"), name.alias("name"), F.lower("p_type").alias("shape"), "p_size")
+    composition = rows.filter("p_size % 3 <> 0").select("cis", F.lit("SA").alias("nature"), F.col("name").alias("substance"), F.lit("un comprimé").alias("reference"), F.lit(0).alias("pos"))
+    own = rows.filter("p_size > 25")
+    scored = strategies.score(rows.drop("p_size"), composition, own.select("cis", F.col("cis").alias("group_id"), F.lit(0).alias("pos")), own.select(F.col("cis").alias("group_id"), F.col("cis").alias("reference_cis"), F.col("name").alias("reference_name")))
+    return catalogue.union_all(*(quality.strategy_summary(scored, s).select(F.lit(s).alias("strategy"), "method", "n", "mean_confidence") for s in scored.columns if s != "cis"))
+
+
+@query("""SELECT p_partkey AS cis, p_name AS brand, CASE WHEN p_size % 3 = 0 THEN p_name ELSE upper(p_name) END AS generic, CASE WHEN p_size % 3 = 0 THEN lower(p_type) ELSE 'comprimé' END AS form FROM part""")
+def strategy_multiphase(t: Tables) -> DataFrame:
+    rows = t.part.select(F.col("p_partkey").alias("cis"), F.concat("p_name", F.lit(" 500 mg, "), F.lower("p_type")).alias("name"), F.lower("p_type").alias("shape"), "p_name", "p_size")
+    composition = rows.filter("p_size % 3 <> 0").select("cis", F.lit("SA").alias("nature"), F.concat(F.lit("Chlorhydrate de "), "p_name").alias("substance"), F.lit("un comprimé").alias("reference"), F.lit(0).alias("pos"))
+    none = rows.limit(0)
+    scored = strategies.score(rows.select("cis", "name", "shape"), composition, none.select("cis", F.col("cis").alias("group_id"), F.lit(0).alias("pos")), none.select(F.col("cis").alias("group_id"), F.col("cis").alias("reference_cis"), F.col("name").alias("reference_name")))
+    return scored.select("cis", "advanced_multiphase.brand", "advanced_multiphase.generic", "advanced_multiphase.form")
 
 
 @query("""SELECT round(avg(CASE WHEN p_size > 48 THEN 1.0 ELSE 0 END), 6) AS homeopathic_rate, round(avg(CASE WHEN p_size <= 40 THEN 1.0 ELSE 0 END), 6) AS active_rate, count(DISTINCT p_name) AS names,
@@ -420,3 +437,45 @@ def json_group_array(t: Tables) -> DataFrame:
     packed = t.part.groupBy("p_brand").agg(F.to_json(F.sort_array(F.collect_set(F.trim("p_type")))).alias("json"))
     back = F.from_json("json", "array<string>")
     return packed.select("p_brand", F.array_join(back, ",").alias("parts_list"), F.json_array_length("json").alias("n"))
+
+
+@query("""SELECT count(*) AS total_clusters, round(avg(CASE WHEN starts_with(n, 'ORPH_') THEN 1.0 ELSE 0 END), 6) AS orphan_rate, round(avg(CASE WHEN p <> '' THEN 1.0 ELSE 0 END), 6) AS princeps_coverage,
+count(*) FILTER (length(coalesce(nullif(p, ''), n)) < 4 AND upper(coalesce(nullif(p, ''), n)) NOT IN ('ZINC', 'FER', 'EAU', 'GEL', 'AIR', 'SEL')) AS short_name_alerts
+FROM (SELECT CASE WHEN p_size > 40 THEN 'ORPH_' || p_partkey ELSE p_name END AS n, CASE p_size % 4 WHEN 0 THEN '' WHEN 1 THEN 'gel' WHEN 2 THEN 'abc' ELSE p_name END AS p FROM part)""")
+def cluster_metrics(t: Tables) -> DataFrame:
+    brand = F.when(F.col("p_size") % 4 == 0, "").when(F.col("p_size") % 4 == 1, "gel").when(F.col("p_size") % 4 == 2, "abc").otherwise(F.col("p_name"))
+    name = F.when(F.col("p_size") > 40, F.concat(F.lit("ORPH_"), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name"))
+    return quality.cluster_metrics(t.part.select(name.alias("cluster_name"), brand.alias("cluster_princeps")))
+
+
+@query("SELECT (SELECT count(*) > 0 FROM part WHERE p_size > 49) AS large, (SELECT count(*) > 0 FROM part WHERE p_size > 1000) AS huge")
+def existence(t: Tables) -> DataFrame:
+    large = quality.exists(t.part, F.col("p_size") > 49).withColumnRenamed("found", "large")
+    return large.crossJoin(quality.exists(t.part, F.col("p_size") > 1000).withColumnRenamed("found", "huge"))
+
+
+@query("""SELECT DISTINCT s.l_orderkey, s.l_linenumber, s.l_suppkey FROM lineitem s JOIN (SELECT DISTINCT l_partkey, l_partkey || '_' || l_orderkey AS label FROM lineitem WHERE l_returnflag = 'R') b ON s.l_partkey = b.l_partkey AND contains(b.label, '_' || s.l_suppkey)""")
+def containment_duplicates(t: Tables) -> DataFrame:
+    boxes = t.lineitem.filter("l_returnflag = 'R'").select("l_partkey", F.concat_ws("_", F.col("l_partkey").cast("string"), F.col("l_orderkey").cast("string")).alias("label")).distinct()
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.concat(F.lit("_"), F.col("l_suppkey").cast("string")).alias("serial"))
+    return catalogue.contained_duplicates(rows, boxes, "l_partkey", "serial", "label").select("l_orderkey", "l_linenumber", "l_suppkey").distinct()
+
+
+@query("SELECT p_brand AS id, min(p_name) AS cluster_name, max(p_type) AS cluster_princeps, count(*) AS products FROM part GROUP BY 1")
+def audit_view(t: Tables) -> DataFrame:
+    return catalogue.audit_view(t.part.groupBy(F.col("p_brand").alias("cluster_id")).agg(F.min("p_name").alias("title"), F.max("p_type").alias("subtitle"), F.count("*").alias("count_products")))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 480000))
+SELECT 'packages' AS kind, count(*) AS n FROM c UNION ALL SELECT 'products', count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM c) UNION ALL SELECT 'composition', 2 * count(*) FROM part WHERE p_partkey IN (SELECT l_partkey FROM c)""")
+def fixture_extraction(t: Tables) -> DataFrame:
+    packages = t.lineitem.select(F.col("l_orderkey").alias("cip13"), F.col("l_partkey").alias("cis"))
+    composition = t.part.select(F.col("p_partkey").alias("cis"), F.explode(F.split("p_name", " ")).alias("word"))
+    parts = catalogue.extract_fixture(t.orders.filter("o_totalprice > 480000").select(F.col("o_orderkey").alias("cip13")), packages, t.part.select(F.col("p_partkey").alias("cis")), composition)
+    return store.row_counts(dict(zip(("packages", "products", "composition"), parts, strict=True))).withColumnRenamed("table_name", "kind")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN true WHEN o_orderkey % 4 = 3 THEN true ELSE CAST(o_orderdate AS DATE) < DATE '1998-01-01' END AS available FROM orders""")
+def update_check(t: Tables) -> DataFrame:
+    local = F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).when(F.col("o_orderkey") % 4 == 3, "old").otherwise(F.concat(F.lit("db-"), F.date_format("o_orderdate", "yyyy-MM-dd")))
+    return store.update_available(t.orders.select("o_orderkey", local.alias("local"), F.lit("db-1998-01-01").alias("remote")), "local", "remote").select("o_orderkey", "available")

@@ -97,3 +97,10 @@ def broken_references(rows: DataFrame, column: str, parent: DataFrame, parent_co
 def assertion(name: str, broken: DataFrame) -> DataFrame:
     """check_name and the number of rows that break it."""
     return broken.agg(F.count("*").alias("broken")).select(F.lit(name).alias("check_name"), "broken")
+
+
+def update_available(versions: DataFrame, local: str, remote: str) -> DataFrame:
+    """Versions with available: whether the remote one is newer by date, or else only another text."""
+    date = lambda c: F.substring(F.replace(F.col(c), F.lit("db-"), F.lit("")), 1, 10).try_cast("date")
+    newer = F.coalesce(date(remote) > date(local), F.col(remote) != F.coalesce(local, F.lit("")))
+    return versions.withColumn("available", F.col(remote).isNotNull() & newer)
