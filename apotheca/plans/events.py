@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -241,7 +242,7 @@ def _scratch(spark) -> str:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/stream-{tempfile.mktemp(dir='', prefix='')}"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 @query(f"""WITH {COOLED}, s AS (SELECT f.event_id, f.user_id, f.accepted, e.event_type, e.value, row_number() OVER (PARTITION BY f.user_id, json_extract_string(e.props, '$.k') ORDER BY e.ts, f.event_id) > 1 AS dup FROM f JOIN events e USING (event_id))
