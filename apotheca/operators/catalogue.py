@@ -11,9 +11,12 @@ from apotheca.functions import text
 
 
 def explorer_list(clusters: DataFrame, products: DataFrame) -> DataFrame:
-    """Per cluster: flag of any member, number of members, smallest member."""
-    joined = clusters.join(products, "cluster_id")
-    return joined.groupBy("cluster_id", "title").agg(F.max("flag").alias("any_flag"), F.count("cis").alias("variant_count"), F.min("cis").alias("representative_cis"))
+    """Per cluster: flag of any member, number of members, smallest member.
+
+    Members are summed up, on the map side first, before the clusters are joined.
+    """
+    sums = products.groupBy("cluster_id").agg(F.max("flag").alias("any_flag"), F.count("cis").alias("variant_count"), F.min("cis").alias("representative_cis"))
+    return clusters.join(sums, "cluster_id").select("cluster_id", "title", "any_flag", "variant_count", "representative_cis")
 
 
 def scan_cache(packages: DataFrame, summaries: DataFrame, labs: DataFrame) -> DataFrame:

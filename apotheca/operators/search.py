@@ -52,15 +52,21 @@ def words(rows: DataFrame, key: str, column: str) -> DataFrame:
 def bm25(rows: DataFrame, key: str, column: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key and score of the rows that hold any query word; better matches have lower scores.
 
-    Lengths and averages cover all rows. Only the query's words are counted, and the corpus statistics are one row.
+    Lengths, averages and document frequencies cover all rows and are one broadcast row; a row is scored where it is
+    read, so nothing but partial sums is shuffled.
     """
+    wanted = sorted({w.lower() for w in query})
     split = F.filter(F.split(F.lower(column), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    wanted = F.array(*(F.lit(w.lower()) for w in query))
-    counted = rows.select(key, F.size(split).alias("length"), F.filter(split, lambda w: F.array_contains(wanted, w)).alias("hits"))
-    totals = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"))
-    hits = counted.filter("size(hits) > 0").select(key, "length", F.explode("hits").alias("word")).groupBy(key, "length", "word").agg(F.count("*").alias("tf"))
-    frequency = hits.groupBy("word").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(frequency), "word").crossJoin(F.broadcast(totals))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return scored.groupBy(key).agg((-F.sum(part)).alias("score"))
+    count = lambda word: F.size(F.filter(split, lambda w: w == word))
+    counted = rows.select(key, F.size(split).alias("length"), *(count(w).alias(f"tf{i}") for i, w in enumerate(wanted)))
+    frequencies = [F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
+    totals = counted.agg(F.count("*").alias("docs"), F.avg("length").alias("mean_length"), *frequencies)
+    hits = counted.filter(reduce(lambda x, y: x | y, (F.col(f"tf{i}") > 0 for i in range(len(wanted)))))
+    norm = k1 * (1 - b + b * F.col("length") / F.col("mean_length"))
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        return F.log(1 + (F.col("docs") - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + norm)
+
+    score = -reduce(lambda x, y: x + y, (part(i) for i in range(len(wanted))))
+    return hits.crossJoin(F.broadcast(totals)).select(key, score.alias("score"))
