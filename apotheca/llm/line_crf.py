@@ -147,13 +147,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
 
-def document_means(features: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int, model: Model) -> np.ndarray:
-    """Length-weighted mean of the lines' marginals of being good, for documents 0 ... n - 1."""
+def line_marginals(features: np.ndarray, doc: np.ndarray, n: int, model: Model) -> np.ndarray:
+    """Probability of being good of every line, given all lines of its document."""
     score = ((features - model.mean) / model.scale) @ model.weights
     ahead, back, _ = forward_backward(score, np.bincount(doc, minlength=n)[:n], model.moves)
     both = ahead + back
-    weight = np.maximum(size, 1)
-    return np.bincount(doc, weights=weight * _sigmoid(both[:, 1] - both[:, 0]), minlength=n) / np.bincount(doc, weights=weight, minlength=n)
+    return _sigmoid(both[:, 1] - both[:, 0])
+
+
+def document_means(features: np.ndarray, doc: np.ndarray, size: np.ndarray, n: int, model: Model) -> np.ndarray:
+    """Length-weighted mean of the lines' marginals of being good, for documents 0 ... n - 1."""
+    good, weight = line_marginals(features, doc, n, model), np.maximum(size, 1)
+    return np.bincount(doc, weights=weight * good, minlength=n) / np.bincount(doc, weights=weight, minlength=n)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:
@@ -261,6 +266,22 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per line with a word, or one for a text without: id, line (counted from 0 among these), good_probability, is_good."""
+    schema = T.StructType([docs.schema[id_col]]).add("line", T.LongType()).add("good_probability", T.DoubleType()).add("is_good", T.BooleanType())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, end, texts in ta.blocks(batch.column(1)):
+                features, doc, _ = line_features(texts)
+                good = line_marginals(features, doc, texts.n, model)
+                line = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                ids = batch.column(0).slice(row, end - row).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(line), pa.array(good), pa.array(good >= 0.5)], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def keep_documents(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, with all their columns."""
     at = docs.columns.index(text_col)

@@ -74,7 +74,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, appended in 16 arrivals by source, compacted, and read back through the last manifest."""
-    store = sharding.ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}", target_bytes=32 << 20)
+    store = sharding.ShardStore(spark, f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}")
     store.append(table(spark, sf_dir, "documents"), arrival=F.pmod(F.xxhash64("source"), F.lit(16)))
     version = store.compact().version
     store.vacuum()

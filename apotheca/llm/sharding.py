@@ -50,7 +50,7 @@ class Manifest:
 class ShardStore:
     """A table under ``root``, a folder that all executors share."""
 
-    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 256 << 20, fanout: int = 4):
+    def __init__(self, spark: SparkSession, root: str, target_bytes: int = 128 << 20, fanout: int = 4):
         self.spark, self.root, self.target_bytes, self.fanout = spark, root.rstrip("/"), target_bytes, fanout
 
     # Files

@@ -98,6 +98,16 @@ def test_classifier_edges(spark):
     assert line_crf.keep_documents(df, none).columns == df.columns
 
 
+def test_lines(spark):
+    folder = "/root/testdata/sf0.01"
+    model = queries.quality_model(spark, folder)
+    good, bad = "Ereand thble reingwh thorin as innd thre the erndou thes ater and more of it.", "BUY!! NOW!! BUY!! NOW!! BUY!! NOW!! BUY!! NOW!! BUY!! NOW!! BUY!!"
+    df = frame(spark, ["\n".join([good] * 3 + ["", " "] + [bad] * 6), None, ""])
+    rows = sorted((r.doc_id, r.line, r.is_good) for r in line_crf.label_lines(df, model).collect())
+    assert [x[:2] for x in rows] == [(0, i) for i in range(9)] + [(1, 0), (2, 0)]
+    assert not any(x[2] for x in rows[4:9])
+
+
 def test_classifier_does_not_learn_from_held_out(spark):
     docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.selectExpr("doc_id", "case when crc32(cast(cast(doc_id as string) as binary)) % 4 = 2 then 1 - quality else quality end as quality")
