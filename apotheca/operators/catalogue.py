@@ -168,3 +168,25 @@ def extract_fixture(codes: DataFrame, packages: DataFrame, products: DataFrame,
     chosen = packages.join(codes, "cip13", "left_semi")
     ids = chosen.select("cis").distinct()
     return chosen, products.join(ids, "cis", "left_semi"), composition.join(ids, "cis", "left_semi")
+
+
+def expand_packages(members: DataFrame, packages: DataFrame) -> DataFrame:
+    """A row per membership and package of its product, under the full code or else the short one."""
+    coded = packages.select("cis", F.coalesce(F.nullif("cip13", F.lit("")), F.col("cip7")).alias("cip_code")).distinct()
+    return members.join(coded, "cis")
+
+
+def head_per_group(rows: DataFrame, group: str, order: list[Column | str], n: int) -> DataFrame:
+    """The first n rows of each group (O12); the cut runs before the shuffle too."""
+    window = Window.partitionBy(group).orderBy(*order)
+    return rows.withColumn("place", F.row_number().over(window)).filter(F.col("place") <= n)
+
+
+def like_nocase(column: str, pattern: str) -> Column:
+    """LIKE without ASCII case."""
+    return nocase(column).like(pattern.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def hospital_only(agreement: Column, refund: Column, price: Column) -> Column:
+    """Agreed for hospitals, and neither refunded nor priced; null counts as unknown, and unknown as no."""
+    return F.coalesce((agreement == "oui") & (refund.isNull() | (refund == "")) & (price.isNull() | (price == 0)), F.lit(False))

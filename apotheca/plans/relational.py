@@ -479,3 +479,73 @@ def fixture_extraction(t: Tables) -> DataFrame:
 def update_check(t: Tables) -> DataFrame:
     local = F.when(F.col("o_orderkey") % 4 == 0, F.lit(None)).when(F.col("o_orderkey") % 4 == 3, "old").otherwise(F.concat(F.lit("db-"), F.date_format("o_orderdate", "yyyy-MM-dd")))
     return store.update_available(t.orders.select("o_orderkey", local.alias("local"), F.lit("db-1998-01-01").alias("remote")), "local", "remote").select("o_orderkey", "available")
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS group_id, o_orderkey % 100 AS cis FROM orders), p AS (SELECT DISTINCT s_suppkey AS cis, CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE 'S' || s_suppkey END AS cip_code FROM supplier)
+SELECT group_id, cis, cip_code FROM m JOIN p USING (cis)""")
+def package_expansion(t: Tables) -> DataFrame:
+    rows = t.orders.select(F.col("o_custkey").alias("group_id"), (F.col("o_orderkey") % 100).alias("cis")).distinct()
+    packs = t.supplier.select(F.col("s_suppkey").alias("cis"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise("").alias("cip13"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cip7"))
+    return catalogue.expand_packages(rows, packs).select("group_id", "cis", "cip_code")
+
+
+@query("SELECT p_brand, p_partkey, p_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_name, p_partkey) AS k FROM part) WHERE k = 1")
+def first_lookup(t: Tables) -> DataFrame:
+    return catalogue.first_of(t.part, "p_brand", ["p_name", "p_partkey"]).select("p_brand", "p_partkey", "p_name")
+
+
+@query("SELECT p_brand AS cluster_id, string_agg(p_name, '|' ORDER BY p_partkey) AS names FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS k FROM part) WHERE k <= 5 GROUP BY 1")
+def sample_names(t: Tables) -> DataFrame:
+    rows = t.part.select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    return clusters.first_names(rows).select("cluster_id", F.array_join("sample_names", "|").alias("names"))
+
+
+@query("SELECT p_type, p_partkey, CAST(k AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS k FROM part) WHERE k <= 100")
+def head_per_form(t: Tables) -> DataFrame:
+    return catalogue.head_per_group(t.part, "p_type", ["p_partkey"], 100).select("p_type", "p_partkey", "place")
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) LIKE '%house%'")
+def like_nocase(t: Tables) -> DataFrame:
+    return t.customer.filter(catalogue.like_nocase("c_mktsegment", "%House%")).select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, coalesce(CASE WHEN l_tax > 0.02 THEN l_returnflag = 'R' END AND nullif(l_discount, 0.05) = 0, false) AS hospital FROM lineitem""")
+def hospital_predicate(t: Tables) -> DataFrame:
+    agreement = F.when(F.col("l_tax") > 0.02, F.when(F.col("l_returnflag") == "R", "oui").otherwise("non"))
+    price = F.when(F.col("l_discount") == 0.05, 1.0).otherwise(F.col("l_discount"))
+    return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", catalogue.hospital_only(agreement, F.lit(None).cast("string"), price).alias("hospital"))
+
+
+@query("""SELECT p_partkey, p_size > 40 AS narcotic, p_type = 'PROMO' AS otc, false AS dental FROM part""")
+def regulatory_flags(t: Tables) -> DataFrame:
+    from apotheca.functions import labels
+
+    flags = labels.flag_map(narcotic=F.when(F.col("p_size") > 40, 1), otc=F.col("p_type") == "PROMO", dental=F.lit(None).cast("int"))
+    return t.part.select("p_partkey", flags.alias("f")).select("p_partkey", *(F.col("f")[k].alias(k) for k in ("narcotic", "otc", "dental")))
+
+
+@query("""SELECT o_custkey, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS o_orderstatus, min(o_orderkey) AS o_orderkey FROM orders GROUP BY 1""")
+def last_values_first_position(t: Tables) -> DataFrame:
+    """The last row's values at the first row's position."""
+    rows = t.orders.select("o_custkey", "o_orderstatus", "o_orderkey", F.struct("o_orderdate", "o_orderkey").alias("at"))
+    last = rows.groupBy("o_custkey").agg(F.max_by("o_orderstatus", "at").alias("o_orderstatus"), F.min("o_orderkey").alias("o_orderkey"))
+    return last.select("o_custkey", "o_orderstatus", "o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS title FROM part")
+def title_fallback(t: Tables) -> DataFrame:
+    """The first title that isn't blank."""
+    return t.part.select("p_partkey", text.first_nonblank(F.lit(None).cast("string"), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_name")).otherwise(" "), "p_brand").alias("title"))
+
+
+@query("""SELECT p_partkey, p_size > 45 OR (p_size <= 5) AS stopped, p_size BETWEEN 6 AND 20 AS watched, p_size % 2 = 0 AS active FROM part""")
+def product_predicates(t: Tables) -> DataFrame:
+    """P5, P10, P11."""
+    from apotheca.functions import labels
+
+    size = F.col("p_size")
+    stopped = labels.is_stopped(F.when(size > 45, "Non commercialisée").otherwise("x"), F.lit(1), F.when(size <= 5, 0).otherwise(2))
+    watched = labels.is_watched(F.when(size.between(6, 12), " oui ").when(size.between(13, 20), "Surveillance renforcée").otherwise("Non"))
+    active = labels.is_active(F.lit("Autorisation abrogée"), F.when(size % 2 == 0, "Commercialisée").otherwise("Non commercialisée"))
+    return t.part.select("p_partkey", stopped.alias("stopped"), watched.alias("watched"), active.alias("active"))

@@ -41,6 +41,7 @@ def records(source: DataFrame, names: list[str], exact: bool = True, raw: bool =
 
 
 def _cut(source: DataFrame, least: int, columns: dict[str, Column], valid: Column) -> Parsed:
+    """Typed rows, and the lines that fail validation; lines with too few cells are left out of both."""
     cells = source.withColumn("cells", F.split("value", "\t", -1))
     enough = cells.filter(F.size("cells") >= least)
     typed = enough.select("pos", "value", *(c.alias(n) for n, c in columns.items())).withColumn("__valid", F.coalesce(valid, F.lit(False)))
