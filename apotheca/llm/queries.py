@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apotheca.llm import bpe, embedding_dedup, line_crf, main_text, minhash, packing, personal_data, quality_rules, sharding, url_filter
+from apotheca.llm import bpe, embedding_dedup, line_crf, main_text, minhash, oracles, packing, personal_data, quality_rules, sharding, url_filter
 from apotheca.llm.scratch import shared_folder
 
 
@@ -112,4 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Of the queries that SQL can express; tests/llm holds the others against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": url_filter.oracle_sql(),
+    "op4_quality_rules": oracles.repetition(quality_rules.Limits()),
+    "op5_embedding_dedup": oracles.vectors(0.93),
+    "op7_minhash": oracles.minhash(4, 80),
 }
