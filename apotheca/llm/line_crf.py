@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
+from apotheca.llm.scratch import hash_sample
 
 
 def _class(chars: str) -> np.ndarray:
@@ -226,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
         known = known.filter(usable)
     known = known.groupBy(id_col).agg(F.min(label_col).cast("int").alias("__label"))
     sizes = {r["__label"]: r["n"] for r in known.groupBy("__label").agg(F.count("*").alias("n")).collect()}
-    parts = [known.filter(F.col("__label") == k).orderBy(F.xxhash64(id_col), id_col).limit(options.per_class) for k in (0, 1)]
+    parts = [hash_sample(known.filter(F.col("__label") == k), id_col, options.per_class, sizes.get(k, 0)) for k in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     wanted = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(sample), id_col, "inner")
     schema = T.StructType().add("label", T.IntegerType()).add("counts", T.BinaryType()).add("lines", T.BinaryType())

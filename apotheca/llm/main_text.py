@@ -7,7 +7,7 @@ margins that lie inside it and score negative, are the text.
 
 The weights are learned from labelled pages, which are those that mark their article themselves with exactly one
 <article> or <main>: how much oftener a kind of token stands inside than outside. They are fitted on
-a bounded sample, at most ``Options.sample`` labelled pages in the order of a hash of their id; kinds that the
+those among a bounded sample, the first ``Options.sample`` pages in the order of a hash of their id; kinds that the
 sample lacks keep a prior weight. Extraction reads every page whole, labelled or not, with the same weights.
 
 Defined results: a null or empty page, or one without words outside of head, scripts and the like, gives an empty
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
+from apotheca.llm.scratch import hash_sample
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -54,9 +55,9 @@ ARTICLE = frozenset(("article", "main"))
 
 @dataclass(frozen=True)
 class Options:
-    """sample: most labelled pages that are fitted on. prior: tokens that the prior weights count for."""
+    """sample: pages of which the labelled ones are fitted on. prior: tokens that the prior weights count for."""
 
-    sample: int = 2000
+    sample: int = 4000
     prior: float = 4.0
     tag_cost: float = 0.25
     word_limit: float = 3.0
@@ -193,7 +194,8 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", optio
     """Weights of the kinds of tokens from labelled pages; a row per kind of token goes to the driver."""
     options = options or Options()
     marks = [F.regexp_count(html_col, F.lit(rf"(?i)<{tag}[\s>]")) for tag in sorted(ARTICLE)]
-    labelled = pages.filter((marks[0] == 1) | ((marks[0] == 0) & (marks[1] == 1))).orderBy(F.xxhash64(id_col), id_col).limit(options.sample)
+    chosen = hash_sample(pages.select(id_col), id_col, options.sample).distinct()
+    labelled = pages.select(id_col, html_col).join(F.broadcast(chosen), id_col, "left_semi").filter((marks[0] == 1) | ((marks[0] == 0) & (marks[1] == 1)))
     schema = T.StructType().add("kind", T.StringType()).add("inside", T.DoubleType()).add("outside", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
