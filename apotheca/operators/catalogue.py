@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
+from apotheca.sources.store import materialised
 
 
 def explorer_list(clusters: DataFrame, products: DataFrame) -> DataFrame:
@@ -110,12 +111,15 @@ def ranked(rows: DataFrame, order: list[Column | str], rank: str = "rank", withi
 
 
 def _ranked_by_range(rows: DataFrame, order: list[Column | str], rank: str) -> DataFrame:
-    """A global rank without one task for all rows: parts of a range sort are numbered, then shifted by their offsets."""
-    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    window = Window.partitionBy("__part").orderBy("__at")
-    numbered = sorted_rows.withColumn(rank, F.row_number().over(window).cast("long"))
-    sizes = sorted_rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    """A global rank without one task for all rows: parts of a range sort are numbered, then shifted by their offsets.
+
+    The sorted parts are written once, for a range sort that runs twice may cut its parts at other places.
+    """
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    written = materialised(parts, "ranked")
+    sizes = written.groupBy("__part").agg(F.count("*").alias("__n"))
     offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = written.withColumn(rank, F.row_number().over(Window.partitionBy("__part").orderBy("__at")).cast("long"))
     return numbered.join(F.broadcast(offsets.select("__part", "__before")), "__part").withColumn(rank, F.col(rank) + F.col("__before")).drop("__part", "__at", "__before")
 
 

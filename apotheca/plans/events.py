@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from apotheca.functions import codes, labels, text
 from apotheca.operators import catalogue, search, stock
 from apotheca.plans.registry import Tables, query
+from apotheca.sources.store import shared_folder
 from apotheca.streaming import scans
 
 #: Hours stand for the seconds of the original cooldown, for the events of a user lie hours apart.
@@ -228,23 +228,13 @@ def cooldown_filter(t: Tables) -> DataFrame:
 @query(f"WITH {COOLED} SELECT user_id, event_id FROM f WHERE accepted")
 def cooldown_streamed(t: Tables) -> DataFrame:
     """The same filter as a stream over the table's files, with state per user, run to the end of what there is."""
-    spark, place = t.spark, _scratch(t.spark)
+    spark, place = t.spark, f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     t.events.select("user_id", "ts", "event_id").write.parquet(f"{place}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in")
     scans.run_stream(scans.cooldown_stream(source, "user_id", "ts", COOLDOWN, "event_id"), f"{place}/out", f"{place}/state")
     return spark.read.parquet(f"{place}/out").select("user_id", "event_id")
 
 
-def _scratch(spark) -> str:
-    """A new folder in spark.checkpoint.dir; a temporary one where that is unset on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query(f"""WITH {COOLED}, s AS (SELECT f.event_id, f.user_id, f.accepted, e.event_type, e.value, row_number() OVER (PARTITION BY f.user_id, json_extract_string(e.props, '$.k') ORDER BY e.ts, f.event_id) > 1 AS dup FROM f JOIN events e USING (event_id))
 SELECT event_id, CASE WHEN event_type = 'error' THEN 'warning' WHEN NOT accepted THEN 'ignored' WHEN value < 2 THEN 'not_found' WHEN dup THEN CASE WHEN event_type = 'purchase' THEN 'duplicate' ELSE 'ignored' END WHEN event_type = 'purchase' THEN 'added' ELSE 'success' END AS decision FROM s""")
 def scan_decisions(t: Tables) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +15,23 @@ REFERENCE_TABLES = ("specialites", "medicaments", "medicament_summary", "generiq
 VIEW_TABLES = ("ui_group_details", "ui_explorer_list")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which all executors share; a temporary folder where that is unset on one machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"file://{tempfile.gettempdir()}"
+
+
+def materialised(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared folder and read back, for steps that must see the same rows in the same places."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def first_per_key(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key (S8, M1); a partial top-1 per key runs before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
