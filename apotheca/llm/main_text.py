@@ -33,6 +33,7 @@ from apotheca.llm import textarrays as ta
 from apotheca.llm.scratch import hash_sample
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
+_OPEN_COMMENT = re.compile(r"<!--.*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _WORD = re.compile(r"\w+|[^\w\s]+")
 _HINT_SPLIT = re.compile(r"[^a-z]+")
@@ -85,6 +86,7 @@ def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     stack: list[tuple[str, str | None]] = []
     margins: list[str] = []
+    open_tags: Counter[str] = Counter()
     hidden = links = articles = block = 0
 
     def text(part: str) -> None:
@@ -97,26 +99,27 @@ def tokens(page: str) -> list[Token]:
         nonlocal hidden, links, articles
         while len(stack) > at:
             tag, hint = stack.pop()
+            open_tags[tag] -= 1
             hidden -= tag in HIDDEN
             links -= tag == "a"
             articles -= tag in ARTICLE
             if hint:
                 margins.pop()
 
-    position = 0
+    position, last = 0, page.rfind(">")
     while True:
-        match = _TAG.search(page, position)
+        match = (_TAG if position <= last else _OPEN_COMMENT).search(page, position)
         text(page[position : match.start() if match else len(page)])
         if not match:
             return out
         position = match.end()
-        if not match[2]:
+        if not match.re.groups or not match[2]:
             continue
         tag, closing = match[2].lower(), bool(match[1])
         if tag not in INLINE:
             block += 1
         if closing:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_tags[tag] else None
             if not hidden:
                 out.append((f"{'margin ' if margins else ''}/{tag}", 0, articles - (at is not None and tag in ARTICLE), "", block))
             if at is not None:
@@ -134,6 +137,7 @@ def tokens(page: str) -> list[Token]:
                 out.append(("space", 0, articles, " ", block))
             if tag not in VOID and not match[3].endswith("/"):
                 stack.append((tag, hint))
+                open_tags[tag] += 1
                 hidden += tag in HIDDEN
                 links += tag == "a"
                 articles += tag in ARTICLE
@@ -178,16 +182,16 @@ def extract(page: str | None, weights: Mapping[str, float], options: Options) ->
     found = tokens(page or "")
     value = lambda kind: weights[kind] if kind in weights else prior_weight(kind, options)
     start, end = best_region([value(t[0]) * max(t[1], not t[3] and not t[0].startswith("word")) for t in found])
-    lines: list[str] = []
+    lines: list[list[str]] = []
     last = None
     for kind, _, _, text, block in found[start:end]:
         if text and not (kind.startswith("word margin") and value(kind) < 0):
             if block == last:
-                lines[-1] += text
+                lines[-1].append(text)
             else:
-                lines.append(text)
+                lines.append([text])
             last = block
-    return "\n".join(line for line in (" ".join(x.split()) for x in lines) if line)
+    return "\n".join(line for line in (" ".join("".join(x).split()) for x in lines) if line)
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", options: Options | None = None) -> dict[str, float]:

@@ -252,6 +252,9 @@ def test_main_text(spark):
     assert main_text.extract(PAGE, weights, options) == TEXT
     assert main_text.extract(PAGE.replace("main>", "div>"), weights, options) == TEXT
     assert [main_text.extract(x, weights, options) for x in ("<p>just text", "", None, "<script>only</script>", "<" * 2000)] == ["just text", "", "", "", "<" * 2000]
+    for odd in ('<a "' * 50000, "<b>" * 50000 + "</i>" * 50000, "<p>" + "x<b>y</b>" * 50000, "<p>one two</p><!-- open <p>not this"):
+        found = main_text.extract(odd, weights, options)
+    assert found == "one two"
     tags = re.compile(r"<[^>]*>")
     import html
 
