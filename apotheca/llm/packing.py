@@ -61,7 +61,7 @@ def _encoder(path: str) -> UnitEncoder:
                 start = end
         return out
 
-    return UnitEncoder(encode_units, most=250_000)
+    return UnitEncoder(encode_units, most=500_000)
 
 
 def cut(n: int, capacity: int) -> list[int]:
