@@ -105,3 +105,35 @@ def test_settings_decode(spark):
         codes.setting(F.encode("a", "UTF-8"), "int").alias("a"), codes.setting(F.encode("b", "UTF-8"), "boolean").alias("b"), codes.setting(F.encode("c", "UTF-8"), "double").alias("c")
     )
     assert tuple(row.first()) == (12, True, None)
+
+
+def common_words(names):
+    """The longest run of the shortest name's words that all names hold, longest first, then leftmost."""
+    split = [n.upper().split() for n in names]
+    shortest = min(split, key=len)
+    for size in range(len(shortest), 0, -1):
+        for start in range(len(shortest) - size + 1):
+            run = shortest[start : start + size]
+            if all(any(words[i : i + size] == run for i in range(len(words))) for words in split):
+                return " ".join(run)
+    return ""
+
+
+def test_lcs_naming_by_brute_force(spark):
+    import __spark_entry__ as contract
+
+    folder = "/root/testdata/sf0.01"
+    groups = {}
+    for r in spark.read.parquet(f"{folder}/part.parquet").orderBy("p_partkey").collect():
+        groups.setdefault((r.p_brand, r.p_size), []).append(r.p_name)
+    found = {(r.chemical_id, r.p_size): (r.display_name, r.naming_method) for r in contract.queries()["lcs_naming"](spark, folder).collect()}
+    assert set(found) == set(groups)
+    for key, names in groups.items():
+        common = common_words(names)
+        if len(names) == 1:
+            expected = (names[0].upper(), "SINGLE_SOURCE")
+        elif len(common) >= 3:
+            expected = (common, "LCS_CONSENSUS")
+        else:
+            expected = (names[0].upper().split()[0], "BRAND_EXTRACTION_FALLBACK")
+        assert found[key] == expected, names
