@@ -150,6 +150,26 @@ def test_personal_data(spark):
         assert {tuple(s) for s in row.base} <= {tuple(s) for s in row.spans}
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "none"])
+def test_personal_data_small(spark, size):
+    """Every kind is added to on tables of any size, and where matches are rare."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet") if size == "sf0.001" else frame(spark, ["nothing here", "on 2024-05-17", None, ""])
+    model = personal_data.fit(docs)
+    assert all(t < float("inf") for t in model.thresholds)
+    texts = ["call (743) 555-3824 now", "ip 10[.]0[.]0[.]1 up", "card 4111.1111.1111.1111 ok", "write to joe (at) example.com please", "on 2024-05-17 at 10"]
+    found = [[(t[s:e], personal_data.KINDS[k]) for s, e, k in spans] for t, (_, spans) in zip(texts, personal_data.find_spans(texts, model), strict=True)]
+    assert found == [[("(743) 555-3824", "phone")], [("10[.]0[.]0[.]1", "ip")], [("4111.1111.1111.1111", "card")], [("joe (at) example.com", "email")], []]
+
+
+def test_personal_data_rare(spark):
+    """Rare matches are drawn though the plain sample misses them."""
+    docs = frame(spark, [f"in {1900 + i % 100}" for i in range(400)] + [f"call +1 (743) 555-{1000 + i}" for i in range(8)])
+    few = personal_data.Options(sample=5)
+    assert personal_data.count_matches(docs, "doc_id", "text").filter("n_phone > 0").count() == 8
+    model = personal_data.fit(docs, options=few)
+    assert model.thresholds[3] < float("inf")
+
+
 def test_op2_digests(spark):
     import hashlib
 
