@@ -170,6 +170,39 @@ def test_personal_data_rare(spark):
     assert model.thresholds[3] < float("inf")
 
 
+def test_number_candidates():
+    """Every series of neighbouring groups with a fitting number of digits, between base spans."""
+    rng = random.Random(4)
+    for _ in range(2000):
+        text = "".join(rng.choice(["12", "3456", "7", "890", " ", ", ", "-", " (", ") ", "+", "x", "   ", "    ", "1.2.3.4"]) for _ in range(rng.randint(0, 14)))
+        base = personal_data.base_spans(text)
+        groups, expected = [m.span() for m in re.finditer("[0-9]+", text)], set()
+        for i, j in itertools.combinations_with_replacement(range(len(groups)), 2):
+            gaps = [text[a[1] : b[0]] for a, b in itertools.pairwise(groups[i : j + 1])]
+            start, end = groups[i][0], groups[j][1]
+            touched = any(start < e and s < end for s, e, _ in base)
+            if all(re.fullmatch(r"[ \xa0().,/_-]{1,3}", g) for g in gaps) and not touched:
+                n = sum(b - a for a, b in groups[i : j + 1])
+                prefix = start and text[start - 1] in "+(" and not any(s < start <= e for s, e, _ in base)
+                expected |= {(start - bool(prefix), end, kind) for kind, low, high in ((2, 12, 19), (3, 7, 15)) if low <= n <= high}
+        assert {c for c in personal_data.candidates(text, base) if c[2] > 1} == expected
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_neighbouring_numbers(spark, size):
+    model = personal_data.fit(spark.read.parquet(f"/root/testdata/{size}/documents.parquet"))
+    expected = {
+        "ask (743) 555-3824, (134) 555-2562 today": [("(743) 555-3824", "phone"), ("(134) 555-2562", "phone")],
+        "card 4111.1111.1111.1111 12/27 ok": [("4111.1111.1111.1111", "card")],
+        "call (743) 555-3824 2024 or so": [("(743) 555-3824", "phone")],
+        "call +1 (134) 555-2562, (743) 555-3824 now": [("+1 (134) 555-2562", "phone"), ("(743) 555-3824", "phone")],
+        "call (743) 555-3824 now": [("(743) 555-3824", "phone")],
+        "on 2024-05-17 at 10": [],
+    }
+    for text, (_, spans) in zip(expected, personal_data.find_spans(list(expected), model), strict=True):
+        assert [(text[s:e], personal_data.KINDS[k]) for s, e, k in spans] == expected[text]
+
+
 def test_op2_digests(spark):
     import hashlib
 
