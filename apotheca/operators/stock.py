@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from apotheca.sources.store import materialised
 
 
 def accumulate(adds: DataFrame, key: str, amount: str, order: list[str], keep: list[str]) -> DataFrame:
@@ -12,21 +19,53 @@ def accumulate(adds: DataFrame, key: str, amount: str, order: list[str], keep: l
     return adds.groupBy(key).agg(F.sum(amount).alias("stock_count"), *(F.min_by(c, at).alias(c) for c in keep), F.max(order[0]).alias("updated_at"))
 
 
+def _lows(batches: Iterator[pa.RecordBatch], strict: bool) -> Iterator[pa.RecordBatch]:
+    """Of each run of a key in a sorted batch: its sum, its least prefix sum, and the prefix sums that are record lows."""
+    part = TaskContext.get().partitionId() << 32
+    for number, batch in enumerate(batches):
+        found: list[tuple[int, int, int, list[int]]] = []
+        before: object = found
+        total, least, lows = 0, 0, []
+        keys = batch.column(0).to_pylist()
+        for i, (key, change) in enumerate(zip(keys, batch.column(1).to_pylist(), strict=True)):
+            if key != before:
+                if i:
+                    found.append((i - 1, total, least, lows))
+                before, total, least, lows = key, 0, 0, []
+            total += change
+            if total < least or (total == least and not strict):
+                least = total
+                lows.append(total)
+        if keys:
+            found.append((len(keys) - 1, total, least, lows))
+            at, totals, leasts, all_lows = zip(*found, strict=True)
+            columns = [batch.column(0).take(pa.array(at)), pa.array([part + number] * len(at), pa.int64()), pa.array(totals, pa.int64()), pa.array(leasts, pa.int64()), pa.array(all_lows, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=[batch.schema.names[0], "__chunk", "__total", "__least", "__lows"])
+
+
 def fold_quantity(changes: DataFrame, key: str, delta: str, order: list[str], allow_zero: bool = False) -> DataFrame:
     """Quantity and number of deletions after all changes in order (M5).
 
     A quantity that falls to zero or below (below zero with allow_zero) deletes the item; the next change
-    begins again from nothing. Needs a key's changes together, as any ordered fold does.
-    """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(delta).cast("long").alias("__delta")))), lambda s: s["__delta"])
-    start = F.struct(F.lit(0).cast("long").alias("quantity"), F.lit(0).cast("long").alias("deletions"))
-
-    def step(state: Column, change: Column) -> Column:
-        after = state["quantity"] + change
-        gone = (after < 0) if allow_zero else (after <= 0)
-        return F.struct(F.when(gone, F.lit(0).cast("long")).otherwise(after).alias("quantity"), (state["deletions"] + F.when(gone, 1).otherwise(0)).cast("long").alias("deletions"))
+    begins again from nothing. A null change changes nothing.
 
-    return changes.groupBy(key).agg(F.aggregate(ordered, start, step).alias("state")).select(key, "state.quantity", "state.deletions")
+    The quantity is q = max(0, q + d), so changes are sorted by key and order over all tasks and cut into chunks, whose
+    sums and least prefix sums give the quantity before each chunk. A chunk's deletions are its record lows that reach
+    minus that quantity. No task needs a key's changes together.
+    """
+    known = changes.withColumn("__delta", F.col(delta).cast("long"))
+    ordered = known.filter("__delta is not null").select(key, *order, "__delta").repartitionByRange(key, *order).sortWithinPartitions(key, *order).select(key, "__delta")
+    schema = T.StructType([changes.schema[key]]).add("__chunk", "long").add("__total", "long").add("__least", "long").add("__lows", T.ArrayType(T.LongType()))
+    chunks = materialised(ordered.mapInArrow(lambda batches: _lows(batches, allow_zero), schema), "quantities")
+    zero = F.lit(0).cast("long")
+    sums = chunks.select(F.col(key).alias("__key"), F.col("__chunk").alias("__at"), "__total", "__least")
+    earlier = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__before", F.coalesce(F.sum("__total").over(earlier), zero)).withColumn("__low", F.col("__before") + F.col("__least"))
+    sums = sums.withColumn("__start", F.col("__before") - F.least(zero, F.coalesce(F.min("__low").over(earlier), zero))).select("__key", "__at", "__start")
+    both = chunks.join(sums, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__chunk") == F.col("__at")))
+    gone = F.size(F.filter("__lows", lambda low: (low < -F.col("__start")) if allow_zero else (low <= -F.col("__start")))).cast("long")
+    after = F.greatest(F.col("__start") + F.col("__total"), F.col("__total") - F.col("__least"))
+    return both.groupBy(key).agg(F.max_by(after, "__chunk").alias("quantity"), F.sum(gone).alias("deletions"))
 
 
 def set_quantity(changes: DataFrame, key: str, quantity: str, order: list[str]) -> DataFrame:

@@ -5,36 +5,128 @@ Times are event times, so results don't depend on when a job runs.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from apotheca.sources.store import materialised
+
+#: Fixed value: microseconds beyond any time.
+_FOREVER = 2**61
+
+
+def _segments(batches: Iterator[pa.RecordBatch], key: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each run of a key in a sorted batch as one row: its times, which scans are forced, its scans."""
+    part = TaskContext.get().partitionId() << 32
+    for number, batch in enumerate(batches):
+        keys = batch.column(key).to_pylist()
+        if keys:
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            listed = lambda c: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), c)  # noqa: B023, E731
+            rows = pa.StructArray.from_arrays(batch.columns[:-2], fields=list(batch.schema)[:-2])
+            columns = [batch.column(key).take(pa.array(cuts[:-1])), pa.array([part + number] * (len(cuts) - 1), pa.int64()), listed(batch.column(-2)), listed(batch.column(-1)), listed(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _following(times: list[int], forced: list[bool], span: int) -> list[int]:
+    """Of each scan, the next that is accepted if it is; the number of scans if there is none."""
+    out, j, force = [len(times)] * len(times), len(times), len(times)
+    for i in reversed(range(len(times))):
+        while j > i + 1 and times[j - 1] - times[i] >= span:
+            j -= 1
+        out[i] = min(j, force)
+        force = i if forced[i] else force
+    return out
+
+
+def _entered(times: list[int], forced: list[bool], last: int | None, span: int) -> int:
+    """The first scan that is accepted after that time."""
+    first = 0 if last is None else bisect_left(times, last + span)
+    return next((i for i in range(first) if forced[i]), first)
+
+
+def _steps(batches: Iterator[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """What a segment makes of the last accepted time before it: up to each time less the span, the time it leaves."""
+    for batch in batches:
+        ups, lasts = [], []
+        for times, forced in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            after, leaves = _following(times, forced, span), [0] * len(times)
+            for i in reversed(range(len(times))):
+                leaves[i] = times[i] if after[i] == len(times) else leaves[after[i]]
+            # Up to the first forced scan, which is entered from any time; beyond a span after the first nothing is entered.
+            end = next((i for i, f in enumerate(forced) if f), None)
+            most = min(len(times), bisect_left(times, times[0] + span) + 1)
+            up, last = [], []
+            for i in range(most if end is None else min(most, end + 1)):
+                at = _FOREVER if i == end else times[i]
+                if last and last[-1] == leaves[i]:
+                    up[-1] = at
+                else:
+                    up.append(at)
+                    last.append(leaves[i])
+            ups.append(up)
+            lasts.append(last)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ups, pa.list_(pa.int64())), pa.array(lasts, pa.list_(pa.int64()))], names=names)
+
+
+def _carried(batches: Iterator[pa.RecordBatch], span: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The last accepted time before each segment, of segments sorted by key; one number is carried."""
+    before, last = object(), None
+    for batch in batches:
+        found = []
+        for key, ups, lasts in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if key != before:
+                before, last = key, None
+            found.append(last)
+            at = 0 if last is None else bisect_left(ups, last + span)
+            last = lasts[at] if at < len(lasts) else last
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=names)
+
+
+def _accepted(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        taken = []
+        for times, forced, last in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            after, ok = _following(times, forced, span), [False] * len(times)
+            i = _entered(times, forced, last, span)
+            while i < len(times):
+                ok[i] = True
+                i = after[i]
+            taken.append(ok)
+        yield pa.RecordBatch.from_arrays([batch.column(3), pa.array(taken, pa.list_(pa.bool_()))], names=["__rows", "__taken"])
+
 
 def cooldown(scans: DataFrame, key: str, ts: str, seconds: int, tie: str, forced: Column | None = None) -> DataFrame:
     """Scans with accepted: at least so long after the key's last accepted scan, or forced (ST1).
 
-    A scan that comes so long after the one before it is accepted whatever came earlier, so a key's scans fall
-    apart there, and only the runs between are folded in order. A key with most of the scans is so many groups.
+    Scans are sorted by key and time over all tasks and cut into segments. A segment is summarised as a step function
+    of the last accepted time before it; these are applied in order, carrying one number, and then each segment is
+    decided by itself. No task holds a key's scans; only the steps of a key pass through one task.
     """
-    force = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
+    span, names = seconds * 1_000_000, scans.columns
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    order = Window.partitionBy(key).orderBy("__t", tie)
-    timed = scans.withColumn("__t", micros).withColumn("__force", force)
-    begins = F.coalesce(F.col("__t") - F.lag("__t").over(order) >= seconds * 1_000_000, F.lit(True)) | F.col("__force")
-    runs = timed.withColumn("__begins", begins).withColumn("__run", F.sum(F.col("__begins").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.array_sort(F.collect_list(F.struct("__t", tie, F.struct(*[c for c in scans.columns if c not in (key, tie)]).alias("row"))))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.expr("cast(array() as array<boolean>)").alias("taken"))
-
-    def step(state: Column, scan: Column) -> Column:
-        ok = F.coalesce(scan["__t"] - state["last"] >= seconds * 1_000_000, F.lit(True))
-        return F.struct(F.when(ok, scan["__t"]).otherwise(state["last"]).alias("last"), F.concat(state["taken"], F.array(ok)).alias("taken"))
-
-    folded = runs.groupBy(key, "__run").agg(rows.alias("__rows")).withColumn("__taken", F.aggregate("__rows", start, step)["taken"])
-    pairs = folded.select(key, F.explode(F.arrays_zip("__rows", "__taken")).alias("p"))
-    return pairs.select(key, F.col(f"p.__rows.{tie}").alias(tie), "p.__rows.row.*", F.col("p.__taken").alias("accepted")).select(*scans.columns, "accepted")
+    force = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
+    timed = scans.withColumn("__t", F.coalesce(micros, F.lit(-_FOREVER))).withColumn("__force", force | micros.isNull())
+    ordered = timed.repartitionByRange(key, "__t", tie).sortWithinPartitions(key, "__t", tie)
+    longs, head = T.ArrayType(T.LongType()), lambda: T.StructType([T.StructField("__key", scans.schema[key].dataType), T.StructField("__chunk", T.LongType())])
+    split = head().add("__times", longs).add("__forced", T.ArrayType(T.BooleanType())).add("__rows", T.ArrayType(scans.schema))
+    stepped, started = head().add("__up", longs).add("__last", longs), head().add("__start", "long")
+    at = names.index(key)
+    segments = materialised(ordered.mapInArrow(lambda b: _segments(b, at, split.names), split), "segments")
+    steps = segments.select("__key", "__chunk", "__times", "__forced").mapInArrow(lambda b: _steps(b, span, stepped.names), stepped)
+    starts = steps.repartition("__key").sortWithinPartitions("__key", "__chunk").mapInArrow(lambda b: _carried(b, span, started.names), started)
+    starts = starts.select(F.col("__key").alias("__key2"), F.col("__chunk").alias("__chunk2"), "__start")
+    both = segments.join(starts, F.col("__key").eqNullSafe(F.col("__key2")) & (F.col("__chunk") == F.col("__chunk2"))).select("__times", "__forced", "__start", "__rows")
+    decided = T.StructType().add("__rows", T.ArrayType(scans.schema)).add("__taken", T.ArrayType(T.BooleanType()))
+    pairs = both.mapInArrow(lambda b: _accepted(b, span), decided).select(F.explode(F.arrays_zip("__rows", "__taken")).alias("p"))
+    return pairs.select("p.__rows.*", F.col("p.__taken").alias("accepted"))
 
 
 def cooldown_stream(scans: DataFrame, key: str, ts: str, seconds: int, tie: str) -> DataFrame:

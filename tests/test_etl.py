@@ -1,6 +1,7 @@
 """The batch job on small files that take every branch, and the table writers."""
 
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +110,28 @@ def test_quantity_fold(spark):
     assert {tuple(r) for r in stock.fold_quantity(df, "k", "d", ["t"], allow_zero=True).collect()} == {("a", 5, 0), ("b", 0, 1)}
 
 
+@pytest.mark.parametrize("allow_zero", [False, True])
+def test_quantity_fold_hot_key(spark, allow_zero):
+    """A key with most of the changes is folded in many chunks, as one after the other; no array holds a key's changes."""
+    rng = random.Random(6)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["a", "b", None]), i, rng.choice([-3, -1, -1, 0, 1, 2, 2, None])) for i in range(4000)]
+    state = {}
+    for key, _, change in rows:
+        quantity, deletions = state.get(key, (0, 0))
+        if change is not None:
+            quantity += change
+            gone = quantity < 0 if allow_zero else quantity <= 0
+            state[key] = (0, deletions + 1) if gone else (quantity, deletions)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        found = stock.fold_quantity(spark.createDataFrame(rows, "k string, t int, d int").repartition(5), "k", "d", ["t"], allow_zero)
+        assert {r.k: (r.quantity, r.deletions) for r in found.collect()} == state
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_cooldown_forced(spark):
     rows = [("k", i, f"2024-01-01 00:00:{s:02d}") for i, s in enumerate((0, 1, 2, 3, 4))]
     df = spark.createDataFrame(rows, "k string, i int, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
@@ -118,6 +141,28 @@ def test_cooldown_forced(spark):
     assert [r.accepted for r in forced] == [True, True, False, True, False]
 
 
+@pytest.mark.parametrize("span", [2, 60, 100_000])
+def test_cooldown_hot_key(spark, span):
+    """A hot key's run is decided in many segments, as one scan after the other; no array holds the run."""
+    rng = random.Random(span)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.randint(0, 3000) if rng.random() < 0.99 else None, rng.random() < 0.02) for i in range(3000)]
+    last, expected = {}, {}
+    for key, i, t, forced in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1])):
+        expected[i] = forced or t is None or last.get(key) is None or t - last[key] >= span
+        if expected[i]:
+            last[key] = t
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "41")
+    try:
+        df = spark.createDataFrame(rows, "k string, i int, s int, f boolean").withColumn("t", F.timestamp_seconds("s")).repartition(5)
+        found = scans.cooldown(df, "k", "t", span, "i", forced=F.col("f"))
+        assert found.columns == [*df.columns, "accepted"]
+        assert {r.i: r.accepted for r in found.collect()} == expected
+        assert "collect_list" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_window_streams_plan(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00", "x"), ("a", "2024-01-01 00:00:00", "x"), ("a", "2024-01-01 00:10:00", "y")]
     df = spark.createDataFrame(rows, "k string, t string, v string").withColumn("t", F.col("t").cast("timestamp"))
