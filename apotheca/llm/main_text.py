@@ -198,8 +198,9 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", optio
     """Weights of the kinds of tokens from labelled pages; a row per kind of token goes to the driver."""
     options = options or Options()
     marks = [F.regexp_count(html_col, F.lit(rf"(?i)<{tag}[\s>]")) for tag in sorted(ARTICLE)]
-    chosen = hash_sample(pages.select(id_col), id_col, options.sample).distinct()
-    labelled = pages.select(id_col, html_col).join(F.broadcast(chosen), id_col, "left_semi").filter((marks[0] == 1) | ((marks[0] == 0) & (marks[1] == 1)))
+    every = pages.select(id_col, html_col).filter((marks[0] == 1) | ((marks[0] == 0) & (marks[1] == 1)))
+    chosen = hash_sample(every.select(id_col), id_col, options.sample).distinct()
+    labelled = every.join(F.broadcast(chosen), id_col, "left_semi")
     schema = T.StructType().add("kind", T.StringType()).add("inside", T.DoubleType()).add("outside", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

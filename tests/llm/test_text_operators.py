@@ -329,3 +329,14 @@ def test_best_region():
         start, end = main_text.best_region(scores)
         best = max((sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=0)
         assert sum(scores[start:end]) == max(best, 0)
+
+
+def test_main_text_rare_labels(spark):
+    """Weights come from labelled pages however rare they are."""
+    plain = [f"<html><body><p>page {i}</p></body></html>" for i in range(300)]
+    rare = [f"<html><nav>menu {i}</nav><article><p>text of page {i}</p></article></html>" for i in range(3)]
+    rows = [(i, page) for i, page in enumerate(plain + rare)]
+    few = main_text.Options(sample=3)
+    fitted = main_text.fit(spark.createDataFrame(rows, "page_id long, html string"), options=few)
+    assert fitted == main_text.fit(spark.createDataFrame(rows[-3:], "page_id long, html string"), options=few)
+    assert fitted != main_text.fit(spark.createDataFrame(rows[:-3], "page_id long, html string"), options=few)
