@@ -5,21 +5,21 @@ The last token of a prefix is the one token that ends there, whose rest is a sho
 compatible with that prefix's last token; two tokens are compatible if BPE leaves them apart. Appending a byte
 therefore only adds an entry, and an edit only changes the entries after it up to the next piece that stays.
 
-Texts are first cut at spaces that a non-space follows, which always begin a piece of the splitting
-pattern; these units repeat a lot, and each task keeps the ids of a bounded number of them.
+Texts are first cut where the splitting pattern always begins a piece (see ``units``); these units repeat a lot, and
+each task keeps the ids of a bounded number of them.
 
-Defined results: a null or empty text has no ids and decodes to no bytes. Texts are never cut. No special tokens
-exist: their spellings are ordinary text. Rows are independent, so repeated rows and null ids are no case apart;
-only the id and the text are read.
+Defined results: a null or empty text has no ids and decodes to no bytes. Texts are never cut short. No special tokens
+exist: their spellings are ordinary text. Rows are independent, so repeated rows and null ids are no case apart, and
+an empty table gives an empty result; only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
-
-#: A space that begins a piece of its own.
-_UNIT_SPACE = re.compile(r" (?=\S)")
-_OTHER_SPACE = re.compile(r" (?:\s|\Z)")
+from apotheca.llm.units import UnitMemory
 
 
 class Vocabulary:
@@ -48,7 +45,7 @@ class Vocabulary:
                 self.endings.setdefault(token[i:], -1)
         self.endings |= self.ranks
         self.pattern = regex.compile(pattern)
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """BPE by its definition: the pair of the lowest rank is merged until none can be."""
@@ -62,24 +59,29 @@ class Vocabulary:
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens as they are when one follows the other."""
-        found = self._apart.get((left, right))
+        key = left << 32 | right
+        found = self._apart.get(key)
         if found is None:
             if len(self._apart) > 1_000_000:
                 self._apart.clear()
-            found = self._apart[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            found = self._apart[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
         return found
 
     def extend(self, piece: bytes, last: list[int]) -> None:
         """Add the last tokens of the prefixes that ``last`` doesn't have yet; last[0] stands for the empty one."""
-        endings, apart = self.endings, self.apart
+        endings, apart, known = self.endings, self.apart, self._apart.get
         for end in range(len(last), len(piece) + 1):
             start = end - 1
             while True:
                 token = endings[piece[start:end]]
-                if token >= 0 and (start == 0 or apart(last[start], token)):
-                    last.append(token)
-                    break
+                if token >= 0:
+                    if not start:
+                        break
+                    found = known(last[start] << 32 | token)
+                    if found or (found is None and apart(last[start], token)):
+                        break
                 start -= 1
+            last.append(token)
 
     def read_back(self, last: list[int]) -> list[int]:
         ids, end = [], len(last) - 1
@@ -98,6 +100,12 @@ class Vocabulary:
     def encode(self, text: str) -> list[int]:
         return [i for piece in self.pattern.findall(text) for i in self.encode_piece(piece.encode())]
 
+    def encode_units(self, texts: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of units that lie end to end, and how many each has."""
+        ends = np.cumsum(sizes).tolist()
+        ids = [self.encode(texts[a:b].decode()) for a, b in pairwise([0, *ends])]
+        return np.array(list(chain.from_iterable(ids)), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
 
@@ -157,50 +165,6 @@ def _common(a: str, b: str) -> str:
     return a[:n]
 
 
-class UnitEncoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit integers, with a bounded memory of units.
-
-    encode_units: from a list of strings, of which all but perhaps the first begin with a space, to the ids of
-    each. Two generations are kept: what is used moves to the young one, and when that is full it becomes the
-    old one, so frequent units stay. A word with a final comma or full stop is kept as the word and the mark.
-    """
-
-    LONG, MARKS = 64, ",."
-
-    def __init__(self, encode_units: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.encode_units, self.most = encode_units, most
-        self.marks = dict(zip(self.MARKS, (encode_units([m])[0] for m in self.MARKS), strict=True))
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _recall(self, units: set[str]) -> None:
-        """Bring the units into the young generation."""
-        young, old = self.young, self.old
-        units -= young.keys()
-        kept = units & old.keys()
-        young.update((u, old[u]) for u in kept)
-        units -= kept
-        marked = {u for u in units if u[-1:] in self.marks and u[:-1].isalpha()}
-        if marked:
-            self._recall({u[:-1] for u in marked})
-            young.update((u, young[u[:-1]] + self.marks[u[-1]]) for u in marked)
-            units -= marked
-        if units:
-            listed = list(units)
-            young.update(zip(listed, self.encode_units([" " + u for u in listed]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_UNIT_SPACE.split(t) if _OTHER_SPACE.search(t) else t.split(" ") for t in texts]
-        first = list({u[0] for u in split})
-        begins = dict(zip(first, (self.encode_units([u])[0] for u in first), strict=True))
-        self._recall(set().union(*(u[1:] for u in split)))
-        get = self.young.__getitem__
-        out = [begins[u[0]] + b"".join(map(get, u[1:])) for u in split]
-        if len(self.young) > self.most:
-            self.young, self.old = {}, {u: ids for u, ids in self.young.items() if len(u) <= self.LONG}
-        return out
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """One per Python worker."""
@@ -208,9 +172,8 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> UnitEncoder:
-    words = vocabulary(path, pattern)
-    return UnitEncoder(lambda units: [np.array(words.encode(u), dtype="<u4").tobytes() for u in units])
+def _memory(path: str, pattern: str) -> UnitMemory:
+    return UnitMemory(vocabulary(path, pattern).encode_units)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,9 +185,10 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, end, texts in ta.text_ranges(batch.column(1)):
-                ids = _encoder(path, pattern).encode(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), pa.array(ids, pa.binary())], names=schema.names)
+            for row, end, data, offsets in ta.byte_ranges(batch.column(1)):
+                ids, ends = _memory(path, pattern).encode(data, offsets)
+                lists = pa.BinaryArray.from_buffers(pa.binary(), end - row, [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, end - row), lists], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -10,13 +10,16 @@ When a worker's input ends, it holds fewer than k pieces of each class k, a boun
 and cut into full sequences, and what remains into sequences whose lengths are powers of two, so that they
 need no padding.
 
-Defined results: a null or empty text is the end id alone. Rows that repeat an id are packed each by itself. An
-empty table gives an empty result. Only the id and the text are read. sequence_id is the number of the
+Defined results: a null or empty text is the end id alone. The spelling of an added token in a text, such as
+<|endoftext|>, is that token, as the library has it. Rows that repeat an id, or are equal, are packed each by itself, in
+the order in which they come. An empty table gives an empty result. Only the id and the text are read, so other
+columns can't clash, whatever their names. sequence_id is the number of the
 partition times 2 ** 40 plus a count, so it is unique, and the same again if a lost task is repeated.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,40 +31,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
-from apotheca.llm.bpe import UnitEncoder
+from apotheca.llm.units import UnitMemory, begin_with_space, gather
 
 #: doc_id, start, length, doc_tokens, ids
 Piece = tuple[object, int, int, int, bytes]
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> UnitEncoder:
-    """The library's tokenizer on units of text; one per Python worker.
+class Encoder:
+    """The library's ids of whole texts, by units that are remembered (see ``units``).
 
-    Units are encoded many at a time, as one text, and the ids are dealt back by the number of their bytes.
+    Units that begin with a space are encoded many at a time, as one text, and the ids are dealt back by the
+    number of their bytes; others one by one. Texts that hold an added token's spelling, such as <|endoftext|>,
+    are encoded whole.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    token_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
-    for token, rank in tokenizer.get_vocab().items():
-        token_bytes[rank] = len(token)
-
-    def encode_units(units: list[str]) -> list[bytes]:
-        out = []
-        for some in (units[i : i + 200] for i in range(0, len(units), 200)):
-            ids = np.array(tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            sizes = np.array([len(u.encode()) for u in some])
-            ends = np.searchsorted(np.cumsum(token_bytes[ids]), np.cumsum(sizes)) + (sizes > 0)
-            data, start = ids.tobytes(), 0
-            for end in np.maximum.accumulate(ends).tolist():
-                out.append(data[4 * start : 4 * end])
-                start = end
+
+    AT_ONCE = 200
+
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.added = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.token_bytes = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, rank in self.tokenizer.get_vocab().items():
+            self.token_bytes[rank] = len(token)
+        self.memory = UnitMemory(self.encode_units, most)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_units(self, texts: bytes, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw, starts = np.frombuffer(texts, dtype=np.uint8), np.cumsum(sizes) - sizes
+        spaced = begin_with_space(raw, sizes)
+        joined, ends = gather(raw, starts[spaced], sizes[spaced]).tobytes(), np.cumsum(sizes[spaced])
+        cuts = [0, *ends[self.AT_ONCE - 1 :: self.AT_ONCE].tolist(), len(joined)]
+        ids = np.concatenate(self.plain([joined[a:b].decode() for a, b in itertools.pairwise(cuts)]))
+        counts = np.zeros(len(sizes), dtype=np.int64)
+        counts[spaced] = np.diff(np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1, prepend=0)
+        single = self.plain([texts[a : a + n].decode() for a, n in zip(starts[~spaced].tolist(), sizes[~spaced].tolist(), strict=True)])
+        counts[~spaced] = [len(x) for x in single]
+        order = np.concatenate([np.flatnonzero(spaced), np.flatnonzero(~spaced)])
+        at = np.empty(len(sizes), dtype=np.int64)
+        at[order] = np.cumsum(counts[order]) - counts[order]
+        return gather(np.concatenate([ids, *single]), at, counts), counts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of each of the texts that lie end to end, as little-endian unsigned 32-bit integers."""
+        ids, ends = self.memory.encode(data, offsets)
+        raw, at = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        out = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        whole = data.tobytes() if self.added else b""
+        if any(word in whole for word in self.added):
+            for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                if any(word in whole[a:b] for word in self.added):
+                    out[k] = self.plain([whole[a:b].decode()])[0].astype("<u4").tobytes()
         return out
 
-    return UnitEncoder(encode_units, most=500_000)
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """One per Python worker."""
+    return Encoder(path)
 
 
 def cut(n: int, capacity: int) -> list[int]:
@@ -151,9 +182,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for row, stop, texts in ta.text_ranges(batch.column(1)):
+            for row, stop, data, offsets in ta.byte_ranges(batch.column(1)):
                 placed = []
-                for doc_id, ids in zip(batch.column(0).slice(row, stop - row).to_pylist(), _encoder(path).encode(texts), strict=True):
+                for doc_id, ids in zip(batch.column(0).slice(row, stop - row).to_pylist(), _encoder(path).encode(data, offsets), strict=True):
                     placed += worker.add(doc_id, ids + end)
                 yield rows(placed, id_type)
         if id_type is not None:

@@ -64,6 +64,11 @@ def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ranges of bytes."""
+    return _ranges(_BYTE_VALUE[data], _BASE, starts, ends)
+
+
 @dataclass
 class Texts:
     """Consecutive texts of one block. Offsets, starts and ends are byte positions in ``data``."""
@@ -117,7 +122,7 @@ class Texts:
         return starts[has_word], ends[has_word], doc[has_word]
 
     def range_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return _ranges(_BYTE_VALUE[self.data], _BASE, starts, ends)
+        return range_hashes(self.data, starts, ends)
 
     def ngrams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First word and hash of every window of n words that lies in one document."""
@@ -168,16 +173,22 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """(first row, end row, texts) over the column, in blocks of about ``limit`` bytes and whole texts."""
+def byte_ranges(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) over the column, in blocks of about ``limit`` bytes and whole texts."""
     data, offsets = buffers(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
-        yield row, end, Texts(data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
+        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
 
 
+def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """(first row, end row, texts) over the column, in blocks of about ``limit`` bytes and whole texts."""
+    for row, end, data, offsets in byte_ranges(column, limit):
+        yield row, end, Texts(data, offsets)
+
+
 def text_ranges(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, end row, texts as Python strings) in blocks of about ``limit`` bytes and whole texts."""
     column = pc.fill_null(column, "")

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from apotheca.llm import bpe, line_crf, main_text, packing, personal_data, quality_rules, queries
+from apotheca.llm import bpe, line_crf, main_text, packing, personal_data, quality_rules, queries, units
 from apotheca.llm import textarrays as ta
 
 FOLDER = "/root/testdata/sf0.001"
@@ -230,18 +230,49 @@ def odd_texts(texts):
     rng = random.Random(1)
     parts = list("abcdeéñ ß  \n\t\x1c\x85　'stdmlvre.,!?0129²Ⅷ½漢字🙂́-_=") + ["  ", " a", "the ", "'ll", "'re", "==="]
     made = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
-    return made + ["=" * 5000, " " * 3000, "ab" * 2000, "<|endoftext|>", " ", "a "] + [t or "" for t in texts]
+    return made + ["=" * 5000, " " * 3000, "ab" * 2000, "<|endoftext|>", " ", "a ", "Il l'été,ça \xc5\x93uvre3 ×÷ a“b” «c» d…"] + [t or "" for t in texts]
 
 
 def test_bpe(odd_texts, reference):
+    """The memory is so small that units are forgotten all the time."""
     vocabulary = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoder = bpe.UnitEncoder(lambda units: [np.array(vocabulary.encode(u), dtype="<u4").tobytes() for u in units], most=500)
-    for i in range(0, len(odd_texts), 100):
-        part = odd_texts[i : i + 100]
-        for text, ids in zip(part, encoder.encode(part), strict=True):
-            ids = np.frombuffer(ids, dtype="<u4")
-            assert ids.tolist() == reference.encode_ordinary(text)
-            assert vocabulary.decode(ids) == text.encode()
+    memory = units.UnitMemory(vocabulary.encode_units, most=500)
+    for row, end, data, offsets in ta.byte_ranges(pa.array(odd_texts), 4000):
+        ids, ends = memory.encode(data, offsets)
+        for k, text in enumerate(odd_texts[row:end]):
+            own = ids[ends[k] : ends[k + 1]]
+            assert own.tolist() == reference.encode_ordinary(text)
+            assert vocabulary.decode(own) == text.encode()
+
+
+def test_units_of_equal_hash(odd_texts, reference, monkeypatch):
+    """Hashes only find the place; whatever they are, the ids are right."""
+    vocabulary = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    monkeypatch.setattr(ta, "range_hashes", lambda data, starts, ends: (data[starts] % 7).astype(np.uint64) << np.uint64(60))
+    memory = units.UnitMemory(vocabulary.encode_units, most=500)
+    for row, end, data, offsets in ta.byte_ranges(pa.array(odd_texts[:300]), 2000):
+        ids, ends = memory.encode(data, offsets)
+        for k, text in enumerate(odd_texts[row:end]):
+            assert ids[ends[k] : ends[k + 1]].tolist() == reference.encode_ordinary(text)
+
+
+def test_op9_query(spark, reference, texts):
+    import hashlib
+
+    ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = queries.op9_bpe(spark, FOLDER).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = np.array(reference.encode_ordinary(docs[r.doc_id]), dtype="<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+    # Nulls, repeated rows, null ids, columns named as the result's, and an empty table.
+    odd = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "a <|endoftext|> b", "y"), (2, "", "z")], "doc_id long, text string, ids string")
+    encoded = bpe.encode_documents(odd, ranks, pattern)
+    found = sorted((str(r.doc_id), bytes(r.ids), bytes(r.decoded)) for r in bpe.decode_documents(encoded, ranks, pattern).collect())
+    plain = np.array(reference.encode_ordinary("a <|endoftext|> b"), dtype="<u4").tobytes()
+    assert found == [("1", b"", b""), ("1", b"", b""), ("2", b"", b""), ("None", plain, b"a <|endoftext|> b")]
+    assert bpe.decode_documents(bpe.encode_documents(odd.limit(0), ranks, pattern), ranks, pattern).count() == 0
 
 
 def test_bpe_edits(odd_texts, reference):
@@ -259,14 +290,15 @@ def test_bpe_edits(odd_texts, reference):
             assert live.text == text and live.ids() == reference.encode_ordinary(text)
 
 
-def test_packing(spark, texts):
+def packed_pieces(spark, texts):
+    """Holds the pieces against the library's ids; the lengths of the sequences."""
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    rows = packing.pack_documents(frame(spark, texts).repartition(3), path).collect()
+    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in enumerate(texts)], "doc_id long, text string, start string, ids int")
     pieces, sequences = defaultdict(list), defaultdict(list)
-    for r in rows:
+    for r in packing.pack_documents(docs.repartition(3), path).collect():
         pieces[r.doc_id].append((r.start, r.length, bytes(r.ids), r.doc_tokens))
         sequences[r.sequence_id].append((r.offset, r.length))
     for i, text in enumerate(texts):
@@ -274,21 +306,41 @@ def test_packing(spark, texts):
         found = sorted(pieces[i])
         assert b"".join(p[2] for p in found) == ids and {p[3] for p in found} == {len(ids) // 4}
         assert [p[0] for p in found] == list(itertools.accumulate([0, *(p[1] for p in found)]))[:-1]
-    totals = []
     for parts in sequences.values():
         parts.sort()
         assert [o for o, _ in parts] == list(itertools.accumulate([0, *(n for _, n in parts)]))[:-1]
-        totals.append(sum(n for _, n in parts))
+    assert packing.pack_documents(docs.limit(0), path).count() == 0
+    return [sum(n for _, n in parts) for parts in sequences.values()]
+
+
+def test_packing(spark, texts):
+    totals = packed_pieces(spark, texts)
     assert max(totals) <= 2048
     assert sum(0 if n & (n - 1) == 0 else 2048 - n for n in totals) < 0.02 * sum(totals)
-    assert packing.pack_documents(frame(spark, texts).limit(0), path).count() == 0
 
 
-def test_op6_checksums(spark):
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    whole = {(r.doc_id, r.start): r for r in packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json")).collect()}
-    for r in queries.op6_packing(spark, FOLDER).collect():
-        assert r.ids_crc32 == zlib.crc32(whole[r.doc_id, r.start].ids)
+def test_packing_odd_texts(spark, odd_texts):
+    special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b <|endoftext"]
+    totals = packed_pieces(spark, [*odd_texts[:3000:4], *special, None, "", *special])
+    assert max(totals) <= 2048
+
+
+def test_op6_query(spark):
+    """Every id of every document in exactly one piece, against the library; sequences gapless and within their length."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected = {r.doc_id: np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    ends, sequences = Counter(), defaultdict(list)
+    for r in sorted(queries.op6_packing(spark, FOLDER).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = expected[r.doc_id]
+        assert r.start == ends[r.doc_id] and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        ends[r.doc_id] += r.length
+        sequences[r.sequence_id].append((r.offset, r.length))
+    assert ends == {k: len(ids) for k, ids in expected.items()}
+    for parts in sequences.values():
+        parts.sort()
+        assert [o for o, _ in parts] == list(itertools.accumulate([0, *(n for _, n in parts)]))[:-1] and sum(n for _, n in parts) <= 2048
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page"><header class="site-header"><h1>Site</h1><nav><a href=x>Home</a></nav></header>
