@@ -369,11 +369,6 @@ def test_main_text(spark):
         assert main_text.extract(page.html, weights, options) == "\n".join(b for b in blocks if b)
 
 
-def test_main_text_query(spark):
-    rows = queries.op10_main_text(spark, FOLDER).collect()
-    assert len(rows) == spark.read.parquet(f"{FOLDER}/pages.parquet").count() and all(r.n_chars == len(r.text) for r in rows)
-
-
 def test_best_region():
     rng = random.Random(4)
     for _ in range(300):
