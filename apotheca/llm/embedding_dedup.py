@@ -9,13 +9,18 @@
    many vectors it is linked with, and a spanning forest of the links instead of the links.
 4. Components come from alternating large-star and small-star; the smallest id of each is kept.
 
+Vectors that more than a thousandth of all rows have, at most a thousand, are given to all tasks when rows are joined
+with their results; rows of others meet theirs by a join in which no key is common.
+
 Bounds: k-means sees at most ``sample`` vectors and makes at most ``most_cells`` cells, so what is sent to tasks is
 bounded; a cell of any size is cut into blocks of ``block`` vectors, every two of which meet in a task. On data
 without clusters the visits come near to comparing all vectors of a label, which is what exactness costs there.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or whose label or id
 is null, is linked with nothing: no links, its own component, kept. Vectors of different lengths are not linked.
-Repeated rows count as vectors of their own. Only the id, vector and label are read.
+Repeated rows count as vectors of their own, so a vector that is there three times has two links more; each of the rows
+comes back, with the same component. An id on several vectors joins their components, and its rows may show the links of
+all of them. An empty table gives an empty result. Only the id, vector and label are read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apotheca.llm.components import components
-from apotheca.llm.scratch import Table
+from apotheca.llm.scratch import Table, with_class
 
 
 @dataclass(frozen=True)
@@ -149,7 +154,9 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     classes = rows.filter(usable).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = Table(classes.withColumn("size", F.size("vector")), "vectors").df
 
-    counts = {r["size"]: r["n"] for r in classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n")).orderBy("size").limit(64).collect()}
+    # Only lengths of which a label has more vectors than a cell holds: at most a row for so many vectors.
+    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n")).filter(F.col("n") > options.cell)
+    counts = {r["size"]: r["n"] for r in sizes.orderBy("size").collect()}
     centroids = {}
     for size, n in counts.items():
         cells = min(-(-n // options.cell), options.most_cells)
@@ -161,8 +168,9 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     roots = components(found.filter("root != id"), "id", "root").df
 
     named = classes.join(links, "id", "left").join(roots, classes["id"] == roots["node"], "left")
-    named = named.select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    linked = rows.filter(usable).join(named, ["label", "vector"], "left").select("id", "n_links", "component_id")
+    named = named.select("label", "vector", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    named = Table(named, "named").df
+    linked = with_class(rows.filter(usable), named, ["label", "vector"], named.agg(F.sum("copies")).first()[0] or 0).select("id", "n_links", "component_id")
     alone = rows.filter(~usable).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -13,32 +13,37 @@ Jaccard similarity of their whole sets is at least ``percent`` / 100.
 4. What is left are buckets that hold more than one component. Their members' signatures are compared in blocks of
    bounded size, each pair in the first bucket that it shares; a member that comes within ``slack`` of the
    threshold with one of another component is passed on with its whole set, and the pairs are confirmed where they
-   meet. A task returns a spanning forest of confirmed links, never the pairs. So no candidate is given up, and
-   no step makes more rows than there are members of buckets.
+   meet. A task returns a spanning forest of confirmed links, never the pairs. So no candidate is given up. Members
+   are dealt by the size of their sets first, for linked sets differ by a bounded factor; within a size
+   class of m members of one such bucket, each goes to m / block tasks. All other steps make at most a row per
+   member of a bucket.
 5. Components come from alternating large-star and small-star.
+6. Classes that hold more than a thousandth of all rows, at most a thousand, are given to all tasks; rows of other
+   classes meet theirs by a join in which no key is common.
 
 A pair at the threshold shares a band with probability 1 - (1 - s ** rows) ** bands: for the defaults at 0.8
-all but 1.4e-7, and more above it.
+all but 1.4e-7, and more above it. Its signatures pass with all but 1.8e-8 (120 minima, binomial).
 
 Defined results: a null text, an empty one or one without words has size 0 and is linked with nothing. Rows with
-a null id are linked with nothing and kept. Rows that repeat an id count as one document. Only the id and the
-text are read; the result has no other input column.
+a null id are linked with nothing and kept. Rows that repeat an id count as one document: they share a
+component, whatever their texts. Only the id and the text are read; the result has no other input column.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from apotheca.llm import textarrays as ta
 from apotheca.llm.components import components
-from apotheca.llm.scratch import Table, small_batches
+from apotheca.llm.scratch import Table, small_batches, with_class
 
 
 @dataclass(frozen=True)
@@ -51,7 +56,7 @@ class Options:
     percent: int = 80
     bands: int = 30
     rows: int = 4
-    slack: float = 0.17
+    slack: float = 0.22
     block: int = 1024
     block_bytes: int = 4 << 20
     batch: int = 500
@@ -201,12 +206,24 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options:
     return with_both(passed, sets, "shingles").mapInArrow(equal, schema).distinct()
 
 
-def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of buckets dealt to pairs of blocks i <= j; sizes: key and the number of blocks (cuts)."""
-    part = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda other: F.struct(F.least(other, F.col("part")).alias("i"), F.greatest(other, F.col("part")).alias("j")))
-    dealt = members.join(sizes, "key").withColumn("part", part).withColumn("meet", F.explode(meets))
-    return dealt.select("key", "meet.i", "meet.j", "part", *[c for c in members.columns if c != "key"])
+def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -> DataFrame:
+    """Members of buckets dealt to pairs of blocks i <= j that may hold linked sets; ``limit``: of a block's weights.
+
+    In buckets of more than one block, a block holds sets of one size class, and only blocks of the same class and of
+    neighbouring ones meet: sets of classes further apart are too different in size to be linked.
+    """
+    unit = 1.001 * max(math.log(100 / options.percent), 1e-3)
+    shift = 1 << 20
+    sized = members.withColumn("class", F.floor(F.log("n_shingles") / unit).cast("int"))
+    sizes = sized.groupBy("key", "class").agg(F.sum(weight).alias("weight")).groupBy("key")
+    sizes = sizes.agg(F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("weight") / F.lit(limit)).cast("int")))).alias("cuts"))
+    sizes = sizes.withColumn("cuts", F.when(F.col("total") > limit, F.col("cuts")).otherwise(F.create_map(F.lit(0), F.lit(1))))
+    dealt = sized.join(sizes, "key").withColumn("class", F.when(F.col("total") > limit, F.col("class")).otherwise(F.lit(0)))
+    dealt = dealt.withColumn("part", (F.col("class") * shift + F.pmod(F.xxhash64("id"), F.col("cuts")[F.col("class")])).cast("long"))
+    near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("class") + d), lambda c: F.map_contains_key("cuts", c))
+    others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("cuts")[c] - 1), lambda k: (c * shift + k).cast("long"))))
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *[c for c in members.columns if c not in ("key", "n_shingles")])
 
 
 def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[int, int, int]]:
@@ -266,12 +283,10 @@ def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Opt
         kind = group.schema.field("id").type
         return pa.table({"a": pa.array(left, kind), "b": pa.array(right, kind)})
 
-    signed = members.join(sketches, "id").select("key", "band", "id", "component", "signature")
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / F.lit(options.block)).cast("int").alias("cuts"))
-    flagged = Table(_blocked(signed, sizes).groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
-    whole = flagged.df.join(sketches, "id").join(sets, "id").select("key", "band", "id", "component", "signature", "shingles")
-    heavy = flagged.df.join(sets.select("id", F.octet_length("shingles").alias("size")), "id").groupBy("key").agg(F.ceil(F.sum("size") / F.lit(options.block_bytes)).cast("int").alias("cuts"))
-    links = Table(_blocked(whole, heavy).groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
+    signed = members.join(sketches, "id").select("key", "band", "id", "component", "n_shingles", "signature")
+    flagged = Table(_blocked(signed, F.lit(1), options.block, options).groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
+    whole = flagged.df.join(sketches, "id").join(sets, "id").select("key", "band", "id", "component", "n_shingles", "signature", "shingles")
+    links = Table(_blocked(whole, 8 * F.col("n_shingles"), options.block_bytes, options).groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
     flagged.drop()
     return links
 
@@ -285,13 +300,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     with small_batches(docs.sparkSession, options.batch):
         all_rows = Table(_sketches(docs, id_col, text_col, options), "sketches").df
     rows = all_rows.filter("id is not null and n_shingles > 0")
-    classes = rows.groupBy("n_shingles", "high", "low").agg(F.min("id").alias("id"))
+    classes = rows.groupBy("n_shingles", "high", "low").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     firsts = rows.join(classes.select("id").distinct(), "id", "left_semi")
     keyed = firsts.select("id", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     buckets = Table(keyed.join(shared.select("key", "least"), "key").distinct(), "buckets")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = rows.select("id", "signature")
+    sketches = rows.select("id", "n_shingles", "signature")
     with small_batches(docs.sparkSession, options.batch):
         sets = Table(_sets(texts.join(buckets.df.select("id").distinct(), "id", "left_semi"), options.words), "sets")
         centre = buckets.df.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
@@ -304,9 +319,12 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for table in (found, more, links, sets, buckets):
         table.drop()
 
-    named = classes.join(roots.df, classes["id"] == roots.df["node"], "left").select("n_shingles", "high", "low", F.coalesce("root", "id").alias("component"))
-    placed = all_rows.select("id", "n_shingles", "high", "low").join(named, ["n_shingles", "high", "low"], "left")
-    component_id = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("id")))
+    digest = ["n_shingles", "high", "low"]
+    total = all_rows.count()
+    named = classes.join(roots.df, classes["id"] == roots.df["node"], "left").filter("copies > 1 or root is not null")
+    named = Table(named.select(*digest, "copies", F.coalesce("root", "id").alias("component")), "named").df
+    placed = with_class(all_rows.select("id", *digest), named, digest, total)
+    component_id = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))
     return placed.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

@@ -67,3 +67,16 @@ def hash_sample(rows: DataFrame, id_col: str, size: int, count: int | None = Non
     if count > 4 * size:
         hashed = hashed.filter(F.col("__hash") < -(2**63) + int(2**64 * (4 * size / count)))
     return hashed.orderBy("__hash", id_col).limit(size).drop("__hash")
+
+
+def with_class(rows: DataFrame, classes: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """``rows``, ``total`` in number, left joined with their classes by ``keys``; classes have the column copies.
+
+    Classes of more than a thousandth of all rows, of which there are at most a thousand, are broadcast. So rows
+    of a common class stay where they are, and no key of the other join has more than that share.
+    """
+    least = max(total // 1000, 1)
+    large, others = classes.filter(F.col("copies") > least).drop("copies"), classes.filter(F.col("copies") <= least).drop("copies")
+    found = rows.join(F.broadcast(large.withColumn("__large", F.lit(True))), keys, "left")
+    common = found.filter("__large").drop("__large")
+    return common.unionByName(rows.join(F.broadcast(large), keys, "left_anti").join(others, keys, "left"))
