@@ -19,8 +19,9 @@ without clusters the visits come near to comparing all vectors of a label, which
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or whose label or id
 is null, is linked with nothing: no links, its own component, kept. Vectors of different lengths are not linked.
 Repeated rows count as vectors of their own, so a vector that is there three times has two links more; each of the rows
-comes back, with the same component. An id on several vectors joins their components, and its rows may show the links of
-all of them. An empty table gives an empty result. Only the id, vector and label are read.
+comes back, with the same component. Rows of an id on several vectors are judged each by its vector; where that id is the
+smallest of the rows of several vectors, these count as one vector. An empty table gives an empty result. Only the id,
+vector and label are read.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from plain import plain_score, plain_spans
 
 from apotheca.llm import bpe, line_crf, main_text, packing, personal_data, quality_rules, queries, units
 from apotheca.llm import textarrays as ta
@@ -88,6 +89,18 @@ def test_classifier_on_held_out(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_op1_against_plain_scores(spark):
+    """Every score of the query, by features and sums over the chain in plain Python."""
+    model = queries.quality_model(spark, FOLDER)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    rows = queries.op1_quality_classifier(spark, FOLDER).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        score = plain_score(texts[r.doc_id], model)
+        assert abs(r.score - score) < 1e-6 and (r.predicted == int(score >= 0.7) or abs(score - 0.7) < 1e-6)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_classifier_edges(spark):
     df = frame(spark, EDGES)
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, 7), (2, None)], "doc_id long, quality int")
@@ -115,19 +128,6 @@ def test_classifier_does_not_learn_from_held_out(spark):
     assert np.array_equal(models[0].weights, models[1].weights)
 
 
-PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
-
-
-def plain_spans(text):
-    out = []
-    for kind, pattern in enumerate(PATTERNS):
-        for m in re.finditer(pattern, text):
-            digits = re.sub("[^0-9]", "", m.group())
-            if (kind == 0, kind == 1 and all(int(x) <= 255 for x in m.group().split(".")), kind == 2 and 12 <= len(digits) <= 19 and personal_data.luhn(digits), kind == 3 and 9 <= len(digits) <= 15)[kind]:
-                out.append((m.start(), m.end(), kind))
-    return sorted(out, key=lambda s: (s[0], s[2]))
-
-
 def test_base_spans(texts):
     rng = random.Random(3)
     parts = list("0123456789") * 2 + list("  ..--@@++()ab٣é\n") + ["a@b.c", "1.2.3.4", "4111 1111 1111 1111", "+1 (743) 555-3824"]
