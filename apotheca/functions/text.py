@@ -97,8 +97,9 @@ def normalise_product(x: ColumnOrName) -> Column:
 
 def normalise_search(x: ColumnOrName) -> Column:
     """Lower-case letters and digits separated by single spaces (T6); null gives an empty text."""
-    plain = F.lower(strip_accents(F.coalesce(as_column(x), F.lit(""))))
-    return trim(collapse(F.regexp_replace(plain, rf"[^a-z0-9{WHITE}]", " ")))
+    x = F.coalesce(as_column(x), F.lit(""))
+    plain = F.lower(F.when(F.octet_length(x) == F.char_length(x), x).otherwise(strip_accents(x)))
+    return F.trim(F.regexp_replace(plain, "[^a-z0-9]+", " "))
 
 
 # Cutting names

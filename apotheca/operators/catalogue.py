@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
+from apotheca.operators.skew import with_group
 from apotheca.sources.store import materialised
 
 
@@ -35,34 +36,36 @@ def lookup(requests: DataFrame, packages: DataFrame, code: str = "code") -> Data
 
 
 def same_composition(groups: DataFrame) -> DataFrame:
-    """group_id and other_id of groups with an equal, non-empty composition.
+    """A row per composition that several groups have: how many, the first and the last of them.
 
-    Groups of equal composition are gathered by key first, so the pairs are those asked for and no more.
+    Who has which composition is ``composition_sizes``; the two say what all pairs would, without making them.
     """
     known = groups.filter(F.coalesce("composition", F.lit("")) != "").select("group_id", "composition").distinct()
-    other = known.select(F.col("group_id").alias("other_id"), "composition")
-    return known.join(other, "composition").filter("group_id <> other_id").select("group_id", "other_id", "composition")
+    return known.groupBy("composition").agg(F.count("*").alias("groups"), F.min("group_id").alias("first_group"), F.max("group_id").alias("last_group")).filter("groups > 1")
 
 
 def composition_sizes(groups: DataFrame) -> DataFrame:
-    """How many other groups have each group's composition; counts instead of pairs."""
-    known = groups.filter(F.coalesce("composition", F.lit("")) != "").select("group_id", "composition").distinct()
-    sizes = known.groupBy("composition").agg((F.count("*") - 1).alias("others"), F.min("group_id").alias("first_group"))
-    return known.join(sizes, "composition").select("group_id", "composition", "others", "first_group")
+    """Each group with its composition, how many others have it and the first that has."""
+    known = materialised(groups.filter(F.coalesce("composition", F.lit("")) != "").select("group_id", "composition").distinct(), "compositions")
+    sizes = materialised(known.groupBy("composition").agg(F.count("*").alias("n"), F.min("group_id").alias("first_group")), "composition_sizes")
+    return with_group(known, sizes, ["composition"], "n").select("group_id", "composition", (F.col("n") - 1).alias("others"), "first_group")
 
 
 def supersets(targets: DataFrame, candidates: DataFrame) -> DataFrame:
     """target_id and candidate_id where the candidate's set holds the target's and more.
 
-    Relational division by counting shared elements: a join on the element, so pairs without any common
-    element never meet. Columns: id, elements (array of texts).
+    Relational division over distinct sets: equal sets are one row, so a common element is met once per set and not
+    once per row that holds it. Owners are joined back to the sets that fit. Columns: id, elements (array of texts).
     """
-    t = targets.select(F.col("id").alias("target_id"), F.array_distinct("elements").alias("elements")).withColumn("size", F.size("elements"))
-    c = candidates.select(F.col("id").alias("candidate_id"), F.array_distinct("elements").alias("elements")).withColumn("candidate_size", F.size("elements"))
-    left = t.select("target_id", "size", F.explode("elements").alias("element"))
-    right = c.select("candidate_id", "candidate_size", F.explode("elements").alias("element"))
-    shared = left.join(right, "element").filter("candidate_size > size and target_id <> candidate_id").groupBy("target_id", "candidate_id", "size", "candidate_size").agg(F.count("*").alias("n"))
-    return shared.filter("n = size").select("target_id", "candidate_id", "candidate_size")
+    sets = lambda rows, name: rows.select(F.col("id").alias(f"{name}_id"), F.array_sort(F.array_distinct("elements")).alias(name))
+    t, c = sets(targets, "target"), sets(candidates, "candidate")
+    asked, held = t.select("target").distinct(), c.select("candidate").distinct()
+    left = asked.select("target", F.explode("target").alias("element"))
+    right = held.select("candidate", F.explode("candidate").alias("element"))
+    larger = F.size("candidate") > F.size("target")
+    fitting = left.join(right, "element").filter(larger).groupBy("target", "candidate").agg(F.count("*").alias("n")).filter(F.col("n") == F.size("target"))
+    found = fitting.select("target", "candidate").join(t, "target").join(c, "candidate")
+    return found.filter("target_id <> candidate_id").select("target_id", "candidate_id", F.size("candidate").alias("candidate_size"))
 
 
 def group_details(members: DataFrame, products: DataFrame, packages: DataFrame) -> DataFrame:
@@ -104,23 +107,36 @@ def distinct_parts(rows: DataFrame, column: str, separator: str = ";") -> DataFr
 
 
 def ranked(rows: DataFrame, order: list[Column | str], rank: str = "rank", within: list[str] | None = None) -> DataFrame:
-    """Rows with their place in an order, per group if asked for."""
-    if within:
-        return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*within).orderBy(*order)).cast("long"))
-    return _ranked_by_range(rows, order, rank)
+    """Rows with their place in an order, per group if asked for.
+
+    No task sees a whole group: rows are sorted by ranges of (group, order) and numbered throughout, and
+    a group's places begin at the least number it has.
+    """
+    if not within:
+        return _numbered(rows, order, rank)
+    numbered = _numbered(rows, [*within, *order], rank)
+    firsts = materialised(numbered.groupBy(*within).agg(F.min(rank).alias("__first"), F.count("*").alias("__members")), "firsts")
+    placed = with_group(numbered, firsts, within, "__members")
+    return placed.withColumn(rank, F.col(rank) - F.col("__first") + 1).select(*rows.columns, rank)
 
 
-def _ranked_by_range(rows: DataFrame, order: list[Column | str], rank: str) -> DataFrame:
-    """A global rank without one task for all rows: parts of a range sort are numbered, then shifted by their offsets.
+def _numbered(rows: DataFrame, order: list[Column | str], rank: str) -> DataFrame:
+    """A global rank: the place in a part of a range sort, which the id of the row holds, after the rows of earlier parts.
 
     The sorted parts are written once, for a range sort that runs twice may cut its parts at other places.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
-    written = materialised(parts, "ranked")
+    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    written = materialised(parts, "ranked").withColumn("__part", F.shiftright("__at", 33))
     sizes = written.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    numbered = written.withColumn(rank, F.row_number().over(Window.partitionBy("__part").orderBy("__at")).cast("long"))
-    return numbered.join(F.broadcast(offsets.select("__part", "__before")), "__part").withColumn(rank, F.col(rank) + F.col("__before")).drop("__part", "__at", "__before")
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return written.join(F.broadcast(before), "__part").select(*rows.columns, place.alias(rank))
+
+
+def dimension(rows: DataFrame, column: str, name: str, key: str, unknown: str = "unknown") -> DataFrame:
+    """Distinct values with dense ids from 1 in order, and id 0 for unknown."""
+    known = ranked(rows.select(text.nonblank(column).alias(name)).filter(F.col(name).isNotNull()).distinct(), [name], key)
+    return known.unionByName(rows.sparkSession.range(1).select(F.lit(unknown).alias(name), F.lit(0).cast("long").alias(key)))
 
 
 def page(rows: DataFrame, order: list[Column | str], offset: int, limit: int) -> DataFrame:
@@ -129,8 +145,8 @@ def page(rows: DataFrame, order: list[Column | str], offset: int, limit: int) ->
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in random order that a seed repeats."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    """n rows in random order that a seed repeats (O7); tasks pass on no more than n rows each."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
 
 
 def nocase(column: str) -> Column:
@@ -158,8 +174,20 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def contained_duplicates(scans: DataFrame, boxes: DataFrame, key: str, serial: str, label: str) -> DataFrame:
-    """Scans whose serial is part of a known label of the same key (J16): the looser of the two duplicate tests."""
-    return scans.join(boxes.select(F.col(key), F.col(label).alias("__label")), (scans[key] == boxes[key]) & F.contains(F.col("__label"), scans[serial]), "left_semi")
+    """Scans whose serial is part of a known label of the same key (J16): the looser of the two duplicate tests.
+
+    A label's substrings, of lengths that serials have, are joined by equality, so a key with very many labels is no group
+    that has to meet: rows grow with the labels' lengths only. An empty serial is part of any label.
+    """
+    lengths = scans.agg(F.min(F.length(serial)), F.max(F.length(serial))).first()
+    if lengths[0] is None:
+        return scans.limit(0)
+    least, most, size = F.lit(max(lengths[0], 1)), F.lit(lengths[1]), F.length(label)
+    sizes = F.when(F.least(most, size) >= least, F.sequence(least, F.least(most, size))).otherwise(F.array().cast("array<int>"))
+    parts = boxes.select(key, label, F.explode(sizes).alias("__size")).select(key, label, "__size", F.explode(F.sequence(F.lit(1), size - F.col("__size") + 1)).alias("__from"))
+    parts = parts.select(key, F.col(label).substr(F.col("__from"), F.col("__size")).alias(serial)).distinct()
+    empty = scans.filter(F.length(serial) == 0).join(boxes.filter(F.col(label).isNotNull()).select(key).distinct(), key, "left_semi")
+    return scans.join(parts, [key, serial], "left_semi").select(*scans.columns).unionByName(empty.select(*scans.columns))
 
 
 def audit_view(clusters: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
@@ -18,13 +18,32 @@ def majority_vote(members: DataFrame, profiles: DataFrame) -> DataFrame:
     return counted.groupBy("group_id").agg(best).select("group_id", "best.chemical_id", "best.votes")
 
 
+def memberships(members: DataFrame, votes: DataFrame) -> DataFrame:
+    """chemical_id, cluster_id, kind (group or product), id and pos (where it is first seen): a row per member.
+
+    Nothing is gathered, whatever share of all groups a signature has.
+    """
+    voted = members.join(votes.select("group_id", "chemical_id"), "group_id")
+    rows = [voted.select("chemical_id", F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id"), "pos") for kind, c in (("group", "group_id"), ("product", "cis"))]
+    found = rows[0].unionByName(rows[1]).groupBy("chemical_id", "kind", "id").agg(F.min("pos").alias("pos"))
+    return found.withColumn("cluster_id", cluster_key("SCL_"))
+
+
+def cluster_key(prefix: str) -> Column:
+    """The id of a signature's cluster."""
+    return F.concat(F.lit(prefix), F.upper(F.substring(F.md5("chemical_id"), 1, 12)))
+
+
 def super_clusters(members: DataFrame, votes: DataFrame) -> DataFrame:
-    """chemical_id, cluster_id, group_ids and distinct member ids, both in first-seen order."""
+    """chemical_id, cluster_id, group_ids and distinct member ids, both in first-seen order: the catalogue's own rows.
+
+    A row holds its cluster's lists, as the source's does; ``memberships`` is the same as rows.
+    """
     groups = members.groupBy("group_id").agg(F.min("pos").alias("first")).join(votes.select("group_id", "chemical_id"), "group_id")
     lists = groups.groupBy("chemical_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "group_id"))), lambda g: g["group_id"]).alias("group_ids"))
     placed = members.join(votes.select("group_id", "chemical_id"), "group_id").groupBy("chemical_id", "cis").agg(F.min("pos").alias("first"))
     products = placed.groupBy("chemical_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "cis"))), lambda m: m["cis"]).alias("cis_ids"))
-    return lists.join(products, "chemical_id").withColumn("cluster_id", F.concat(F.lit("SCL_"), F.upper(F.substring(F.md5("chemical_id"), 1, 12))))
+    return lists.join(products, "chemical_id").withColumn("cluster_id", cluster_key("SCL_"))
 
 
 def name_clusters(clusters: DataFrame, elections: DataFrame) -> DataFrame:

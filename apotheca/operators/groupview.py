@@ -27,10 +27,14 @@ def price_range(rows: DataFrame, key: str, price: str) -> DataFrame:
     return rows.groupBy(key).agg(label.alias("price_label"))
 
 
-def in_first_seen_order(x: ColumnOrName, pos: ColumnOrName, separator: str = " • ") -> Column:
-    """Distinct values by the position they were first seen at, joined."""
-    found = F.array_sort(F.collect_list(F.when(text.nonblank(x).isNotNull(), F.struct(as_column(pos).alias("pos"), text.nonblank(x).alias("x")))))
-    return F.array_join(F.array_distinct(F.transform(found, lambda s: s["x"])), separator)
+def in_first_seen_order(rows: DataFrame, key: str, column: ColumnOrName, pos: ColumnOrName, name: str, separator: str = " • ") -> DataFrame:
+    """Per group: distinct values by the position they were first seen at, joined.
+
+    Values are made distinct before they are gathered, so a list has a group's values and not its rows.
+    """
+    seen = rows.select(key, text.nonblank(column).alias("__x"), as_column(pos).alias("__pos")).groupBy(key, "__x").agg(F.min("__pos").alias("__pos"))
+    found = F.array_sort(F.collect_list(F.when(F.col("__x").isNotNull(), F.struct("__pos", "__x"))))
+    return seen.groupBy(key).agg(F.array_join(F.transform(found, lambda s: s["__x"]), separator).alias(name))
 
 
 def split_sorted(rows: DataFrame, key: str, column: str, pattern: str = r"[,;\n]") -> DataFrame:

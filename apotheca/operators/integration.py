@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
+from apotheca.operators.clusters import cluster_key
 
 
 def orphans(products: DataFrame, members: DataFrame, votes: DataFrame) -> DataFrame:
@@ -22,6 +23,17 @@ def place_orphans(orphan_products: DataFrame, profiles: DataFrame, clusters: Dat
     return placed.withColumn("fate", fate)
 
 
+def promoted_members(placed: DataFrame) -> DataFrame:
+    """chemical_id, cluster_id, cis and pos of every promoted orphan, a row each."""
+    return placed.filter("fate = 'PROMOTED'").select("chemical_id", cluster_key("ORPH_").alias("cluster_id"), "cis", "pos")
+
+
+def promoted_names(placed: DataFrame) -> DataFrame:
+    """chemical_id, cluster_id, display_name and products of the clusters of promoted orphans."""
+    grouped = placed.filter("fate = 'PROMOTED'").groupBy("chemical_id").agg(F.min_by("name", "pos").alias("first_name"), F.count("*").alias("products"))
+    return grouped.select("chemical_id", cluster_key("ORPH_").alias("cluster_id"), text.promoted_name("first_name").alias("display_name"), "products")
+
+
 def promoted_clusters(placed: DataFrame) -> DataFrame:
     """A cluster for each signature of promoted orphans, named after its first."""
     first = F.struct("pos", "name")
@@ -29,7 +41,7 @@ def promoted_clusters(placed: DataFrame) -> DataFrame:
         F.min_by("name", "pos").alias("first_name"),
         F.transform(F.array_sort(F.collect_list(F.struct(first.alias("k"), "cis"))), lambda x: x["cis"]).alias("cis_ids"),
     )
-    return grouped.select("chemical_id", F.concat(F.lit("ORPH_"), F.upper(F.substring(F.md5("chemical_id"), 1, 12))).alias("cluster_id"), "cis_ids", text.promoted_name("first_name").alias("display_name"))
+    return grouped.select("chemical_id", cluster_key("ORPH_").alias("cluster_id"), "cis_ids", text.promoted_name("first_name").alias("display_name"))
 
 
 def missing_signatures(placed: DataFrame, n: int = 10) -> DataFrame:
@@ -54,11 +66,11 @@ def consolidate(secondaries: DataFrame) -> DataFrame:
     return named.groupBy("cluster_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "brand"))), lambda x: x["brand"])).alias("brands"))
 
 
-def final_clusters(named: DataFrame, placed: DataFrame, elections: DataFrame) -> DataFrame:
+def final_clusters(named: DataFrame, placed: DataFrame, secondaries: DataFrame) -> DataFrame:
     """All clusters with their members, attached orphans, brands and search vector (T15, union of the two lists)."""
     attached = placed.filter("fate = 'ATTACHED'").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cis"))), lambda x: x["cis"]).alias("orphan_cis"))
-    runners = named.select("cluster_id", F.explode("group_ids").alias("group_id")).join(elections.select("group_id", "secondaries"), "group_id").select("cluster_id", "group_id", F.posexplode("secondaries").alias("at", "s"))
-    brands = consolidate(runners.select("cluster_id", F.struct("group_id", "at").alias("pos"), F.col("s.name").alias("name")))
+    runners = named.select("cluster_id", F.explode("group_ids").alias("group_id")).join(secondaries, "group_id")
+    brands = consolidate(runners.select("cluster_id", F.struct("group_id", "sort_order", "pos", "cis").alias("pos"), "name"))
     none = F.expr("cast(array() as array<string>)")
     main = named.join(attached, "cluster_id", "left").join(brands, "cluster_id", "left").select(
         "cluster_id", "chemical_id", "display_name", "cis_ids", F.coalesce("orphan_cis", none).alias("orphan_cis"), F.coalesce("brands", none).alias("secondary_princeps"), F.slice("elected_names", 1, 5).alias("sample_names")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from apotheca.operators import clusters, elections, integration, profiles
 from apotheca.sources import tsv
+from apotheca.sources.store import materialised
 
 
 @dataclass(frozen=True)
@@ -29,15 +31,15 @@ def read(spark: SparkSession, folder: str) -> tuple[tsv.Parsed, tsv.Parsed, tsv.
     return tsv.products(load("products.tsv")), tsv.members(load("members.tsv")), tsv.packages(load("packages.tsv")), tsv.compositions(load("composition.tsv"))
 
 
-def build(products: DataFrame, members: DataFrame, packages: DataFrame, composition: DataFrame) -> Catalogue:
-    """All phases as one lazy plan."""
+def build(products: DataFrame, members: DataFrame, packages: DataFrame, composition: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Catalogue:
+    """All phases as one lazy plan; ``keep`` may write what several of them read."""
     resolved = profiles.resolve_links(profiles.of_products(composition, products.filter("not is_homeopathic")))
-    profiled = profiles.signatures(resolved)
-    elected = elections.elect(members, products)
-    votes = clusters.majority_vote(members, profiled)
-    named = clusters.name_clusters(clusters.super_clusters(members, votes), elected)
-    placed = integration.place_orphans(integration.orphans(products, members, votes), profiled, named)
-    return Catalogue(products, members, packages, composition, profiled, elected, votes, integration.final_clusters(named, placed, elected), placed)
+    profiled = keep(profiles.signatures(resolved), "profiles")
+    elected = keep(elections.elect(members, products), "elections")
+    votes = keep(clusters.majority_vote(members, profiled), "votes")
+    named = keep(clusters.name_clusters(clusters.super_clusters(members, votes), elected), "named")
+    placed = keep(integration.place_orphans(integration.orphans(products, members, votes), profiled, named), "placed")
+    return Catalogue(products, members, packages, composition, profiled, elected, votes, integration.final_clusters(named, placed, elections.secondaries(members, products, elected)), placed)
 
 
 def quality(catalogue: Catalogue) -> DataFrame:
@@ -56,9 +58,13 @@ def issues(rates: DataFrame, limits: dict[str, float]) -> DataFrame:
 
 
 def run(spark: SparkSession, folder: str, out: str, limits: dict[str, float] | None = None) -> Catalogue:
-    """Read, build, judge, and write; nothing is written if a rate is above its limit."""
+    """Read, build, judge, and write; nothing is written to ``out`` if a rate is above its limit.
+
+    Files are parsed once and every phase runs once: they are kept in the shared folder, so that positions stay the
+    same and a lost executor costs no more than its tasks.
+    """
     parsed = read(spark, folder)
-    catalogue = build(*(p.rows for p in parsed))
+    catalogue = build(*(materialised(p.rows, f"parsed-{i}") for i, p in enumerate(parsed)), keep=materialised)
     found = issues(quality(catalogue), limits).collect() if limits else []
     if found:
         raise ValueError(f"quality gate: {[(r['rate_name'], r['value']) for r in found]}")

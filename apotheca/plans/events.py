@@ -164,6 +164,14 @@ def trigram_postings(t: Tables) -> DataFrame:
     return search.trigrams(t.part, "p_partkey", "p_name")
 
 
+@query("""SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'olt') AND contains(lower(p_name), 'blu') ORDER BY p_partkey LIMIT 50""")
+def search_indexed(t: Tables) -> DataFrame:
+    """through the trigram postings, written once."""
+    place = f"{shared_folder(t.spark)}/trigrams-{uuid.uuid4().hex}"
+    search.write_index(t.part, "p_partkey", "p_name", place)
+    return search.search_index(t.spark.read.parquet(place), t.part, "p_partkey", "p_name", "OLT of bLu", "p_partkey").select("p_partkey", "p_name")
+
+
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents), n AS (SELECT count(*) AS docs, avg(len(ws)) AS mean_length FROM w),
 h AS (SELECT doc_id, len(ws) AS length, x AS word, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS x FROM w) WHERE x IN ('license', 'version', 'the') GROUP BY doc_id, len(ws), x), f AS (SELECT word, count(*) AS df FROM h GROUP BY 1)
 SELECT doc_id, round(-sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM h JOIN f USING (word), n GROUP BY 1""")
@@ -227,12 +235,41 @@ def cooldown_filter(t: Tables) -> DataFrame:
 
 @query(f"WITH {COOLED} SELECT user_id, event_id FROM f WHERE accepted")
 def cooldown_streamed(t: Tables) -> DataFrame:
-    """The same filter as a stream over the table's files, with state per user, run to the end of what there is."""
-    spark, place = t.spark, f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    t.events.select("user_id", "ts", "event_id").write.parquet(f"{place}/in")
-    source = spark.readStream.schema(spark.read.parquet(f"{place}/in").schema).option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in")
+    """The same filter as a stream with state per user, over several batches, to the end of what there is."""
+    source, place = _stream(t, "user_id", "ts", "event_id")
     scans.run_stream(scans.cooldown_stream(source, "user_id", "ts", COOLDOWN, "event_id"), f"{place}/out", f"{place}/state")
-    return spark.read.parquet(f"{place}/out").select("user_id", "event_id")
+    return t.spark.read.parquet(f"{place}/out").select("user_id", "event_id")
+
+
+def _stream(t: Tables, *columns: str, slices: int = 3, files: int = 4) -> tuple[DataFrame, str]:
+    """A stream of the events, a slice of time for each batch, and its folder; slices are written one after the other."""
+    place = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    rows = t.events.select(*columns)
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    ends = [first + (last - first) * (k + 1) / slices for k in range(slices - 1)] if first else []
+    number = sum((F.when(F.col("ts") > F.lit(e).cast(rows.schema["ts"].dataType), 1).otherwise(0) for e in ends), F.lit(0))
+    for k in range(len(ends) + 1):
+        rows.filter(number == k).repartition(files).write.mode("append").parquet(f"{place}/in")
+    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{place}/in"), place
+
+
+@query("SELECT user_id, json_extract_string(props, '$.k') AS k FROM events WHERE props IS NOT NULL GROUP BY ALL")
+def unique_box_streamed(t: Tables) -> DataFrame:
+    """M9: boxes by user and label, each emitted once, in the batch that has it first; state lasts as long as the events do."""
+    source, place = _stream(t, "user_id", "ts", "props")
+    boxes = scans.unique_boxes_stream(source.withColumn("k", F.get_json_object("props", "$.k")).withColumn("ts", F.col("ts").cast("timestamp")), ["user_id", "k"], "ts", "3650 days")
+    scans.run_stream(boxes, f"{place}/out", f"{place}/state")
+    return t.spark.read.parquet(f"{place}/out").select("user_id", "k")
+
+
+@query("""WITH l AS (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events), e AS (SELECT * FROM l WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 21600::BIGINT * 1000000),
+w AS (SELECT max(ts) AS newest FROM events) SELECT user_id, ts FROM e, w WHERE epoch_us(ts) + 21600::BIGINT * 1000000 < epoch_us(newest) - 3600::BIGINT * 1000000""")
+def debounce_streamed(t: Tables) -> DataFrame:
+    """ST9 with session windows: the end of every burst of six hours that the watermark has passed."""
+    source, place = _stream(t, "user_id", "ts", "event_type")
+    bursts = scans.debounce_stream(source.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_type", "6 hours", "1 hour")
+    scans.run_stream(bursts, f"{place}/out", f"{place}/state")
+    return t.spark.read.parquet(f"{place}/out").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query(f"""WITH {COOLED}, s AS (SELECT f.event_id, f.user_id, f.accepted, e.event_type, e.value, row_number() OVER (PARTITION BY f.user_id, json_extract_string(e.props, '$.k') ORDER BY e.ts, f.event_id) > 1 AS dup FROM f JOIN events e USING (event_id))
@@ -280,17 +317,17 @@ def natural_order(t: Tables) -> DataFrame:
     return catalogue.ranked(rows, [text.natural_key("title"), "p_partkey"], within=["p_brand"]).select("p_partkey", "rank")
 
 
-@query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'Anti-infectieux' WHEN 1 THEN 'Divers' END AS atc, '"' || n_name || '"' AS phrase, 'CIP ' || n_nationkey AS code_line, n_name || ' • ' || n_nationkey AS subtitle,
-CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'MOL' END AS title FROM nation""")
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Anti-infectieux' WHEN 1 THEN 'Divers' END AS atc, '"' || p_name || '"' AS phrase, 'CIP ' || p_partkey AS code_line, p_name || ' • ' || p_partkey AS subtitle,
+CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'MOL' END AS title FROM part""")
 def display_labels(t: Tables) -> DataFrame:
-    code = F.element_at(F.array(F.lit("J01"), F.lit(" v03"), F.lit("X")), F.col("n_nationkey") % 3 + 1)
-    key = F.col("n_nationkey").cast("string")
-    title = labels.display_title(F.col("n_nationkey") % 2 == 0, F.lit("g"), F.concat(F.lit("mol - "), "n_name"), F.lit("MOL - brand"))
-    return t.nation.select("n_nationkey", labels.atc_label(code).alias("atc"), labels.quoted_phrase(F.concat("n_name", F.lit(" "))).alias("phrase"), labels.code_line(key).alias("code_line"), labels.subtitle("n_name", F.lit(" "), key).alias("subtitle"), title.alias("title"))
+    code = F.element_at(F.array(F.lit("J01"), F.lit(" v03"), F.lit("X")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    key = F.col("p_partkey").cast("string")
+    title = labels.display_title(F.col("p_partkey") % 2 == 0, F.lit("g"), F.concat(F.lit("mol - "), "p_name"), F.lit("MOL - brand"))
+    return t.part.select("p_partkey", labels.atc_label(code).alias("atc"), labels.quoted_phrase(F.concat("p_name", F.lit(" "))).alias("phrase"), labels.code_line(key).alias("code_line"), labels.subtitle("p_name", F.lit(" "), key).alias("subtitle"), title.alias("title"))
 
 
-@query("""SELECT n_nationkey, upper(n_name || ' A ' || n_regionkey) AS vector, upper(replace(n_name, '_', ' ')) || ' A' AS keywords, n_name AS prefix FROM nation""")
+@query("""SELECT p_partkey, upper(p_name || ' A ' || p_size) AS vector, upper(p_name) || ' A' AS keywords, p_name AS prefix FROM part""")
 def search_vectors(t: Tables) -> DataFrame:
-    region = F.col("n_regionkey").cast("string")
-    names = F.array(F.concat("n_name", F.lit(" one")), F.concat("n_name", F.lit(" two")))
-    return t.nation.select("n_nationkey", text.search_vector("n_name", F.lit("a"), region).alias("vector"), text.keyword_vector("n_name", F.lit("a pour"), F.lit("A")).alias("keywords"), text.common_word_prefix(names).alias("prefix"))
+    size = F.col("p_size").cast("string")
+    names = F.array(F.concat("p_name", F.lit(" one")), F.concat("p_name", F.lit(" two")))
+    return t.part.select("p_partkey", text.search_vector("p_name", F.lit("a"), size).alias("vector"), text.keyword_vector("p_name", F.lit("a pour"), F.lit("A")).alias("keywords"), text.common_word_prefix(names).alias("prefix"))

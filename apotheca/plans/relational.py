@@ -97,11 +97,21 @@ def same_composition_counts(t: Tables) -> DataFrame:
     return catalogue.composition_sizes(profiled(t).select(F.col("cis").alias("group_id"), F.col("chemical_id").alias("composition")))
 
 
-@query("""WITH names AS (SELECT p_brand AS group_id, string_agg(DISTINCT p_type, '+' ORDER BY p_type) AS composition FROM part GROUP BY 1)
-SELECT a.group_id, b.group_id AS other_id, a.composition FROM names a JOIN names b ON a.composition = b.composition AND a.group_id <> b.group_id""")
+@query("""WITH names AS (SELECT o_custkey AS group_id, string_agg(DISTINCT o_orderpriority, '+' ORDER BY o_orderpriority) AS composition FROM orders GROUP BY 1)
+SELECT composition, count(*) AS groups, min(group_id) AS first_group, max(group_id) AS last_group FROM names GROUP BY 1 HAVING count(*) > 1""")
 def same_composition_groups(t: Tables) -> DataFrame:
-    groups = t.part.groupBy(F.col("p_brand").alias("group_id")).agg(F.array_join(F.sort_array(F.collect_set("p_type")), "+").alias("composition"))
-    return catalogue.same_composition(groups)
+    """Customers by the priorities that they order with, of which there are few, so groups are large."""
+    return catalogue.same_composition(_compositions(t))
+
+
+@query("""WITH names AS (SELECT o_custkey AS group_id, string_agg(DISTINCT o_orderpriority, '+' ORDER BY o_orderpriority) AS composition FROM orders GROUP BY 1)
+SELECT group_id, composition, count(*) OVER (PARTITION BY composition) - 1 AS others, min(group_id) OVER (PARTITION BY composition) AS first_group FROM names""")
+def same_composition_members(t: Tables) -> DataFrame:
+    return catalogue.composition_sizes(_compositions(t))
+
+
+def _compositions(t: Tables) -> DataFrame:
+    return t.orders.groupBy(F.col("o_custkey").alias("group_id")).agg(F.array_join(F.sort_array(F.collect_set("o_orderpriority")), "+").alias("composition"))
 
 
 @query("""WITH sets AS (SELECT CAST(user_id AS VARCHAR) AS id, list_distinct(list(event_type)) AS e FROM events GROUP BY 1),
@@ -166,13 +176,22 @@ def chemical_signature(t: Tables) -> DataFrame:
     return profiled(t).select("cis", "chemical_id")
 
 
-@query(f"""WITH {PRODUCTS}, {MEMBERS}, runners AS (SELECT m.group_id, m.cis, p.clean_name AS name, row_number() OVER (PARTITION BY m.group_id ORDER BY sort_order, m.pos) AS k FROM members m JOIN products p USING (cis) WHERE m.type = '0' AND p.active)
-SELECT g.group_id, r.cis AS winner_cis, coalesce(r.name, upper(g.label)) AS winner_name, coalesce(s.secondaries, '') AS secondaries, g.candidates, CASE WHEN r.cis IS NULL THEN 'LABEL_FALLBACK' ELSE 'ACTIVE_PRINCEPS' END AS method
+RUNNERS = "runners AS (SELECT m.group_id, m.cis, m.sort_order, p.clean_name AS name, row_number() OVER (PARTITION BY m.group_id ORDER BY sort_order, m.pos) AS k FROM members m JOIN products p USING (cis) WHERE m.type = '0' AND p.active)"
+
+
+@query(f"""WITH {PRODUCTS}, {MEMBERS}, {RUNNERS}
+SELECT g.group_id, r.cis AS winner_cis, coalesce(r.name, upper(g.label)) AS winner_name, coalesce(s.runners, 0) AS runners, g.candidates, CASE WHEN r.cis IS NULL THEN 'LABEL_FALLBACK' ELSE 'ACTIVE_PRINCEPS' END AS method
 FROM (SELECT group_id, count(*) FILTER (type = '0') AS candidates, min(label) AS label FROM members GROUP BY 1) g LEFT JOIN (SELECT * FROM runners WHERE k = 1) r USING (group_id)
-LEFT JOIN (SELECT group_id, string_agg(cis, ',' ORDER BY k) AS secondaries FROM runners WHERE k > 1 GROUP BY 1) s USING (group_id)""")
+LEFT JOIN (SELECT group_id, count(*) AS runners FROM runners GROUP BY 1) s USING (group_id)""")
 def princeps_election(t: Tables) -> DataFrame:
-    found = elections.elect(members(t), products(t))
-    return found.select("group_id", "winner_cis", "winner_name", F.array_join(F.transform("secondaries", lambda s: s["cis"]), ",").alias("secondaries"), "candidates", "method")
+    return elections.elect(members(t), products(t))
+
+
+@query(f"""WITH {PRODUCTS}, {MEMBERS}, {RUNNERS} SELECT group_id, cis, sort_order, name FROM runners WHERE k > 1""")
+def princeps_secondaries(t: Tables) -> DataFrame:
+    """The runners that didn't win, as rows."""
+    rows, parts = members(t), products(t)
+    return elections.secondaries(rows, parts, elections.elect(rows, parts)).select("group_id", "cis", "sort_order", "name")
 
 
 @query(f"WITH {MEMBERS}, {PROFILES}, {VOTES} SELECT group_id, chemical_id, votes FROM votes")
@@ -180,21 +199,27 @@ def majority_vote(t: Tables) -> DataFrame:
     return clusters.majority_vote(members(t), profiled(t))
 
 
-@query(f"""WITH {MEMBERS}, {PROFILES}, {VOTES}, g AS (SELECT v.chemical_id, string_agg(group_id, ',' ORDER BY f.first, group_id) AS group_ids FROM votes v JOIN (SELECT group_id, min(pos) AS first FROM members GROUP BY 1) f USING (group_id) GROUP BY 1),
-m AS (SELECT chemical_id, string_agg(cis, ',' ORDER BY first, cis) AS cis_ids FROM (SELECT chemical_id, cis, min(pos) AS first FROM members JOIN votes USING (group_id) GROUP BY 1, 2) GROUP BY 1)
-SELECT chemical_id, md5(group_ids) AS group_ids, md5(cis_ids) AS cis_ids, 'SCL_' || upper(substr(md5(chemical_id), 1, 12)) AS cluster_id FROM g JOIN m USING (chemical_id)""")
+@query(f"""WITH {MEMBERS}, {PROFILES}, {VOTES}, v AS (SELECT * FROM members JOIN votes USING (group_id)), r AS (SELECT chemical_id, 'group' AS kind, CAST(group_id AS VARCHAR) AS id, pos FROM v UNION ALL SELECT chemical_id, 'product', cis, pos FROM v)
+SELECT chemical_id, kind, id, min(pos) AS pos, 'SCL_' || upper(substr(md5(chemical_id), 1, 12)) AS cluster_id FROM r GROUP BY 1, 2, 3""")
 def super_clusters(t: Tables) -> DataFrame:
+    """Clusters as rows of their members."""
     rows = members(t)
-    found = clusters.super_clusters(rows, clusters.majority_vote(rows, profiled(t)))
-    return found.select("chemical_id", F.md5(F.array_join("group_ids", ",")).alias("group_ids"), F.md5(F.array_join("cis_ids", ",")).alias("cis_ids"), "cluster_id")
+    return clusters.memberships(rows, clusters.majority_vote(rows, profiled(t)))
 
 
-@query(f"""WITH {PRODUCTS}, {PROFILES}, f AS (SELECT * FROM products JOIN profiles USING (cis) WHERE NOT is_homeopathic),
-g AS (SELECT chemical_id, arg_min(name, pos) AS first_name, string_agg(cis, ',' ORDER BY pos) AS cis_ids FROM f GROUP BY 1)
-SELECT chemical_id, 'ORPH_' || upper(substr(md5(chemical_id), 1, 12)) AS cluster_id, md5(cis_ids) AS cis_ids, upper(first_name) AS display_name FROM g""")
+@query(f"""WITH {PRODUCTS}, {PROFILES} SELECT chemical_id, 'ORPH_' || upper(substr(md5(chemical_id), 1, 12)) AS cluster_id, upper(arg_min(name, pos)) AS display_name, count(*) AS products
+FROM products JOIN profiles USING (cis) WHERE NOT is_homeopathic GROUP BY chemical_id""")
 def promoted_orphans(t: Tables) -> DataFrame:
-    placed = products(t).filter("not is_homeopathic").join(profiled(t).select("cis", "chemical_id"), "cis").withColumn("fate", F.lit("PROMOTED"))
-    return integration.promoted_clusters(placed).select("chemical_id", "cluster_id", F.md5(F.array_join("cis_ids", ",")).alias("cis_ids"), "display_name")
+    return integration.promoted_names(_promoted(t))
+
+
+@query(f"""WITH {PRODUCTS}, {PROFILES} SELECT chemical_id, 'ORPH_' || upper(substr(md5(chemical_id), 1, 12)) AS cluster_id, cis, pos FROM products JOIN profiles USING (cis) WHERE NOT is_homeopathic""")
+def promoted_members(t: Tables) -> DataFrame:
+    return integration.promoted_members(_promoted(t))
+
+
+def _promoted(t: Tables) -> DataFrame:
+    return products(t).filter("not is_homeopathic").join(profiled(t).select("cis", "chemical_id"), "cis").withColumn("fate", F.lit("PROMOTED"))
 
 
 @query("""WITH d AS (SELECT p_brand AS cluster_id, p_type || ' ' || p_name AS name, min(p_partkey) AS pos FROM part GROUP BY 1, 2),
@@ -215,9 +240,10 @@ def lcs_naming(t: Tables) -> DataFrame:
     return names.select("chemical_id", "p_size", display.alias("display_name"), method.alias("naming_method"))
 
 
-@query("SELECT p_brand AS lab_name, row_number() OVER (ORDER BY p_brand) AS lab_id FROM (SELECT DISTINCT p_brand FROM part)")
+@query("SELECT p_brand AS lab_name, row_number() OVER (ORDER BY p_brand) AS lab_id FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'unknown', 0")
 def lab_dimension(t: Tables) -> DataFrame:
-    return catalogue.ranked(t.part.select(F.col("p_brand").alias("lab_name")).distinct(), ["lab_name"], "lab_id")
+    """Dense ids from 1, and 0 for what has no laboratory."""
+    return catalogue.dimension(t.part, "p_brand", "lab_name", "lab_id")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS k FROM lineitem) WHERE k = 1""")
@@ -265,7 +291,7 @@ def price_range(t: Tables) -> DataFrame:
 
 @query("""WITH f AS (SELECT o_custkey, o_orderpriority AS x, min((o_orderdate, o_orderkey)) AS first FROM orders GROUP BY 1, 2) SELECT o_custkey, string_agg(x, ' • ' ORDER BY first) AS rates FROM f GROUP BY 1""")
 def refund_rates(t: Tables) -> DataFrame:
-    return t.orders.groupBy("o_custkey").agg(groupview.in_first_seen_order("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("rates"))
+    return groupview.in_first_seen_order(t.orders, "o_custkey", "o_orderpriority", F.struct("o_orderdate", "o_orderkey"), "rates")
 
 
 @query("""WITH p AS (SELECT o_custkey, trim(unnest(string_split(o_orderpriority || ';' || o_orderstatus || '; ', ';'))) AS part FROM orders) SELECT o_custkey, string_agg(DISTINCT part, ', ' ORDER BY part) AS parts FROM p WHERE part <> '' GROUP BY 1""")
@@ -362,6 +388,19 @@ def smart_order(t: Tables) -> DataFrame:
     return catalogue.ranked(t.part, [*order, "p_partkey"], within=["p_brand"]).select("p_partkey", "rank")
 
 
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY date_trunc('second', o_orderdate) DESC, o_orderkey) AS rank FROM orders""")
+def updated_order(t: Tables) -> DataFrame:
+    """Newest change first."""
+    return catalogue.ranked(t.orders.withColumn("updated_at", F.date_trunc("second", "o_orderdate")), [F.desc("updated_at"), "o_orderkey"]).select("o_orderkey", "rank")
+
+
+@query("""SELECT p_partkey, coalesce(CASE WHEN p_size % 3 > 0 THEN upper(p_name) END, p_type) AS title FROM part ORDER BY lower(coalesce(CASE WHEN p_size % 3 > 0 THEN upper(p_name) END, p_type)), p_partkey LIMIT 1000""")
+def coalesced_order(t: Tables) -> DataFrame:
+    """The first thousand by the first title there is, without case."""
+    title = F.coalesce(F.when(F.col("p_size") % 3 > 0, F.upper("p_name")), F.col("p_type"))
+    return catalogue.page(t.part.select("p_partkey", title.alias("title")), [catalogue.nocase("title"), "p_partkey"], 0, 1000)
+
+
 @query("SELECT c_custkey, row_number() OVER (ORDER BY lower(c_mktsegment), c_name DESC) AS rank FROM customer")
 def nocase_order(t: Tables) -> DataFrame:
     return catalogue.ranked(t.customer, [catalogue.nocase("c_mktsegment"), F.desc("c_name")]).select("c_custkey", "rank")
@@ -383,7 +422,7 @@ def topk_title(t: Tables) -> DataFrame:
     return catalogue.page(t.part.select("p_partkey", "p_name"), ["p_name", "p_partkey"], 0, 100)
 
 
-@query()
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5('0:' || p_partkey), p_partkey LIMIT 200")
 def random_sample(t: Tables) -> DataFrame:
     """200 rows in an order that a seed repeats."""
     return catalogue.sample(t.part, "p_partkey", 200).select("p_partkey", "p_name")
@@ -481,10 +520,10 @@ def update_check(t: Tables) -> DataFrame:
     return store.update_available(t.orders.select("o_orderkey", local.alias("local"), F.lit("db-1998-01-01").alias("remote")), "local", "remote").select("o_orderkey", "available")
 
 
-@query("""WITH m AS (SELECT DISTINCT o_custkey AS group_id, o_orderkey % 100 AS cis FROM orders), p AS (SELECT DISTINCT s_suppkey AS cis, CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE 'S' || s_suppkey END AS cip_code FROM supplier)
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS group_id, l_suppkey AS cis FROM orders JOIN lineitem ON o_orderkey = l_orderkey), p AS (SELECT DISTINCT s_suppkey AS cis, CASE WHEN s_nationkey % 2 = 0 THEN s_name ELSE 'S' || s_suppkey END AS cip_code FROM supplier)
 SELECT group_id, cis, cip_code FROM m JOIN p USING (cis)""")
 def package_expansion(t: Tables) -> DataFrame:
-    rows = t.orders.select(F.col("o_custkey").alias("group_id"), (F.col("o_orderkey") % 100).alias("cis")).distinct()
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("group_id"), F.col("l_suppkey").alias("cis")).distinct()
     packs = t.supplier.select(F.col("s_suppkey").alias("cis"), F.when(F.col("s_nationkey") % 2 == 0, F.col("s_name")).otherwise("").alias("cip13"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("cip7"))
     return catalogue.expand_packages(rows, packs).select("group_id", "cis", "cip_code")
 

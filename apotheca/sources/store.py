@@ -51,10 +51,59 @@ def upsert(table: DataFrame, changes: DataFrame, keys: list[str], order: list[st
     return table.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(last_per_key(changes, keys, order).select(*table.columns))
 
 
-def refresh(rows: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Full refresh of a materialised table."""
-    writer = rows.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+def refresh(rows: DataFrame, path: str, partition_by: list[str] | None = None, keep: int = 2) -> int:
+    """Full refresh of a materialised table (M13, S14): a new version beside the old ones, committed by one rename.
+
+    Readers of ``current`` see the old rows or the new ones, never a part, also if the job dies on its way. Of older
+    versions ``keep`` - 1 stay for readers that have begun. Returns the version.
+    """
+    spark, folder, version = rows.sparkSession, f"rows-{uuid.uuid4().hex}", _last_version(rows.sparkSession, path) + 1
+    writer = rows.write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{folder}")
+    files, hadoop = _files(spark, path)
+    draft, final = hadoop(f"{path}/versions/_{uuid.uuid4().hex}"), hadoop(f"{path}/versions/{version:012d}")
+    stream = files.create(draft, False)
+    stream.write(bytearray(folder.encode()))
+    stream.close()
+    if files.exists(final) or not files.rename(draft, final):
+        files.delete(draft, False)
+        raise RuntimeError(f"version {version} of {path} was committed by another writer")
+    for old in range(version - keep, 0, -1):
+        if not files.exists(hadoop(f"{path}/versions/{old:012d}")):
+            break
+        files.delete(hadoop(f"{path}/{_folder(spark, path, old)}"), True)
+        files.delete(hadoop(f"{path}/versions/{old:012d}"), False)
+    return version
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last committed version of a table that ``refresh`` wrote."""
+    version = _last_version(spark, path)
+    if not version:
+        raise ValueError(f"{path} has no version")
+    return spark.read.parquet(f"{path}/{_folder(spark, path, version)}")
+
+
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _last_version(spark: SparkSession, path: str) -> int:
+    files, hadoop = _files(spark, path)
+    if not files.exists(hadoop(f"{path}/versions")):
+        return 0
+    names = [status.getPath().getName() for status in files.listStatus(hadoop(f"{path}/versions"))]
+    return max((int(n) for n in names if n.isdigit()), default=0)
+
+
+def _folder(spark: SparkSession, path: str, version: int) -> str:
+    files, hadoop = _files(spark, path)
+    stream = files.open(hadoop(f"{path}/versions/{version:012d}"))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
 
 
 def write_json(rows: DataFrame, path: str) -> None:

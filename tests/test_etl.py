@@ -95,7 +95,43 @@ def test_refresh_and_json(spark, tmp_path):
     store.refresh(df, str(tmp_path / "t"))
     store.refresh(df.limit(1), str(tmp_path / "t"))
     store.write_json(df, str(tmp_path / "j"))
-    assert spark.read.parquet(str(tmp_path / "t")).count() == 1 and spark.read.json(str(tmp_path / "j")).count() == 3
+    assert store.current(spark, str(tmp_path / "t")).count() == 1 and spark.read.json(str(tmp_path / "j")).count() == 3
+
+
+def test_refresh_is_seen_whole(spark, tmp_path):
+    """A version that isn't committed is not read; old versions go, the last but one stays."""
+    place = str(tmp_path / "v")
+    with pytest.raises(ValueError, match="no version"):
+        store.current(spark, place)
+    assert [store.refresh(spark.range(n), place) for n in (3, 5, 7)] == [1, 2, 3]
+    spark.range(99).write.parquet(f"{place}/rows-unfinished")
+    assert store.current(spark, place).count() == 7
+    assert sorted(p.name for p in (tmp_path / "v" / "versions").iterdir() if p.name.isdigit()) == ["000000000002", "000000000003"]
+
+
+def test_ranks_within_groups(spark):
+    """Groups of any size, one of which has most rows, against a plain sort."""
+    rng = random.Random(3)
+    rows = [("hot" if rng.random() < 0.7 else f"g{rng.randrange(40)}", rng.randrange(50), i) for i in range(3000)]
+    got = {r.i: r.rank for r in catalogue.ranked(spark.createDataFrame(rows, "g string, x int, i int"), ["x", "i"], within=["g"]).collect()}
+    expected = {}
+    for g in {r[0] for r in rows}:
+        expected |= {i: k + 1 for k, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]))}
+    assert got == expected
+
+
+def test_supersets_and_contained_duplicates(spark):
+    rng = random.Random(4)
+    sets = lambda n, name: [(f"{name}{i}", rng.sample("abcde", rng.randint(0, 4))) for i in range(n)]
+    targets, candidates = sets(30, "t"), sets(60, "c")
+    df = lambda rows: spark.createDataFrame(rows, "id string, elements array<string>")
+    got = {(r.target_id, r.candidate_id, r.candidate_size) for r in catalogue.supersets(df(targets), df(candidates)).collect()}
+    assert got == {(t, c, len(y)) for t, x in targets for c, y in candidates if x and set(x) < set(y)}
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    scans = [(i, rng.choice("kl"), rng.choice([None, "", word(rng.randint(1, 4))])) for i in range(200)]
+    boxes = [(rng.choice("kl"), rng.choice([None, word(rng.randint(0, 6))])) for _ in range(6)]
+    found = catalogue.contained_duplicates(spark.createDataFrame(scans, "i int, k string, s string"), spark.createDataFrame(boxes, "k string, l string"), "k", "s", "l")
+    assert {r.i for r in found.collect()} == {i for i, k, s in scans if s is not None and any(b == k and x is not None and s in x for b, x in boxes)}
 
 
 def test_global_rank_is_exact(spark):
