@@ -215,10 +215,10 @@ def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -
     unit = 1.001 * max(math.log(100 / options.percent), 1e-3)
     shift = 1 << 20
     sized = members.withColumn("class", F.floor(F.log("n_shingles") / unit).cast("int"))
-    sizes = sized.groupBy("key", "class").agg(F.sum(weight).alias("weight")).groupBy("key")
-    sizes = sizes.agg(F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("weight") / F.lit(limit)).cast("int")))).alias("cuts"))
-    sizes = sizes.withColumn("cuts", F.when(F.col("total") > limit, F.col("cuts")).otherwise(F.create_map(F.lit(0), F.lit(1))))
-    dealt = sized.join(sizes, "key").withColumn("class", F.when(F.col("total") > limit, F.col("class")).otherwise(F.lit(0)))
+    sizes = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")).groupBy("key")
+    sizes = sizes.agg(F.sum("n").alias("copies"), F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("weight") / F.lit(limit)).cast("int")))).alias("cuts"))
+    sizes = Table(sizes.withColumn("cuts", F.when(F.col("total") > limit, F.col("cuts")).otherwise(F.create_map(F.lit(0), F.lit(1)))), "cuts").df
+    dealt = with_class(sized, sizes, ["key"], sizes.agg(F.sum("copies")).first()[0] or 0).withColumn("class", F.when(F.col("total") > limit, F.col("class")).otherwise(F.lit(0)))
     dealt = dealt.withColumn("part", (F.col("class") * shift + F.pmod(F.xxhash64("id"), F.col("cuts")[F.col("class")])).cast("long"))
     near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("class") + d), lambda c: F.map_contains_key("cuts", c))
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("cuts")[c] - 1), lambda k: (c * shift + k).cast("long"))))
