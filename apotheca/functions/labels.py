@@ -197,27 +197,6 @@ def is_form_only(x: ColumnOrName) -> Column:
     return (F.size(parts) > 0) & F.forall(parts, lambda w: reduce(lambda a, b: a | b, (F.startswith(w, F.lit(k)) for k in plain)))
 
 
-def index_principle(x: ColumnOrName) -> Column:
-    """A principle as the search index holds it: without stereo marks, inverse salts, noise, and synonyms united."""
-    n = F.upper(text.strip_accents(trim(F.upper(F.coalesce(as_column(x), F.lit(""))))))
-    n = F.regexp_replace(n, r"^ACIDE\s+", "")
-    n = F.regexp_replace(n, r"^\(\s*[RS]\s*\)\s*-\s*(.+)$", "$1")
-    inverse = r"^([A-Z0-9\-]+)\s*\(\s*([^()]+?)\s+DE\s*\)$"
-    core, salt = F.regexp_extract(n, inverse, 1), F.regexp_extract(n, inverse, 2)
-    n = F.when(core == "", n).when(core.isin(*words.ELECTROLYTES), salt).otherwise(core)
-    m = F.regexp_replace(n, r"^(?:(?:SOLUTION|CONCENTRAT) DE\s+)+", "")
-    m = F.regexp_replace(m, r"(?:\s*,?\s*(?:FORME PULVERULENTE ?[,.]?|LIQUIDE|SOLUTION DE|BETADEX-CLATHRATE|PROPYLENE GLYCOLATE))+\s*$", "")
-    m = F.regexp_replace(m, r"\s*\([^)]*\)\s*$", "")
-    m = F.when(text.is_pure_inorganic(m), m).otherwise(text.substance_name(m))
-    m = F.when(F.regexp_like(m, F.lit("OMEGA[- ]3")), "OMEGA-3").when(F.contains(m, F.lit("CALCITONINE")) & contains_any(m, ("SAUMON", "SALMINE", "SYNTHETIQUE")), "CALCITONINE").otherwise(m)
-    for old, new in words.PRINCIPLE_SYNONYMS:
-        m = F.regexp_replace(m, old, new)
-    m = F.regexp_replace(F.regexp_replace(m, "CLAVULANATE", "CLAVULANIQUE"), "^CLAVULANIQUE.*$", "CLAVULANIQUE")
-    m = F.regexp_replace(m, "^TRYPTOPHANE.*$", "TRYPTOPHANE")
-    m = F.when(m == "PHOSPHATE MONOSODIQUE", "PHOSPHATE").otherwise(m)
-    return trim(text.collapse(F.when(text.is_pure_inorganic(n), n).otherwise(F.regexp_replace(m, r"[,\s]+$", ""))))
-
-
 def display_title(is_princeps: ColumnOrName, group_id: ColumnOrName, reference: ColumnOrName, canonical: ColumnOrName) -> Column:
     """A reference's brand, a group member's molecule, else the canonical name."""
     first = trim(F.get(F.split(as_column(canonical), " - "), F.lit(0)))

@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from apotheca.functions.words import (
+    ELECTROLYTES,
     FALLBACK_FORMS,
     INORGANIC_CORES,
     INORGANIC_MODIFIERS,
@@ -20,6 +21,9 @@ from apotheca.functions.words import (
     MINERALS,
     NAME_STOPWORDS,
     PARENTHESIS_SALTS,
+    PRINCIPLE_LAST,
+    PRINCIPLE_NOISE,
+    PRINCIPLE_SPELLINGS,
     SALT_PREFIXES,
     SALT_SUFFIXES,
 )
@@ -189,12 +193,41 @@ def format_principles(x: ColumnOrName) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(p.substr(1, 1)), F.lower(p.substr(F.lit(2), F.length(p))))), ", ")
 
 
+def _rewritten(x: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    """Each rule once, in order; what is left is trimmed after each."""
+    return reduce(lambda c, rule: trim(F.regexp_replace(c, *rule)), rules, x)
+
+
+def index_principle(x: ColumnOrName) -> Column:
+    """A principle as the search index holds it: without stereo marks, inverse salts, salts and noise, spellings united.
+
+    Its own order of rewrites, other than that of ``substance_name``: minerals go before salt suffixes, these in one pass
+    through their list, and a pure inorganic name ends the chain at once.
+    """
+    n = F.upper(strip_accents(trim(F.upper(F.coalesce(as_column(x), F.lit(""))))))
+    n = _rewritten(n, ((r"^ACIDE\s+", ""), (r"^\(\s*[RS]\s*\)\s*-\s*(.+)$", "$1")))
+    inverse = r"^([A-Z0-9\-]+)\s*\(\s*([^()]+?)\s+DE\s*\)$"
+    core, salt = F.regexp_extract(n, inverse, 1), trim(F.regexp_replace(F.regexp_extract(n, inverse, 2), r"\s+(?:DE|D['’])\s*$", ""))
+    n = F.when(core == "", n).when(core.isin(*ELECTROLYTES), salt).otherwise(core)
+    m = _rewritten(n, PRINCIPLE_NOISE)
+    m = trim(F.regexp_replace(m, rf"^(?:{'|'.join(p if p.endswith("'") else rf'{p}(?= |$)' for p in SALT_PREFIXES)})\s*", ""))
+    m = _rewritten(m, tuple(rule for mineral in MINERALS for rule in ((rf"\s+(?:DE\s+|D['’]){mineral}$", ""), (rf"^{mineral}\s+(?:DE\s+|D['’])", ""))))
+    # In one pass, what stands further left comes later in the list.
+    m = trim(F.regexp_replace(m, "".join(rf"(?:\s* {suffix})?" for suffix in reversed(dict.fromkeys(SALT_SUFFIXES))) + "$", ""))
+    m = _rewritten(m, ((r"\s*\([A-Z]+\s+D[E'’].*\)$", ""), (rf"\s*\((?:{'|'.join(SALT_SUFFIXES)})\)", "")))
+    omega = F.replace(F.regexp_extract(m, "OMEGA[- ]?3", 0), F.lit(" "), F.lit("-"))
+    m = F.when(F.contains(m, F.lit("OMEGA-3")) | F.contains(m, F.lit("OMEGA 3")), omega).otherwise(m)
+    m = F.when(F.regexp_like(m, F.lit("(?s)^(?=.*CALCITONINE).*(?:SAUMON|SALMINE|SYNTHETIQUE)")), "CALCITONINE").otherwise(m)
+    m = _rewritten(_rewritten(m, PRINCIPLE_SPELLINGS), PRINCIPLE_LAST)
+    return trim(collapse(F.when(is_pure_inorganic(n), n).otherwise(m)))
+
+
 def common_principles(x: ColumnOrName) -> Column:
-    """Principles split on + or else on commas, without salts, distinct, sorted and joined."""
+    """Principles split on + or else on commas, as the search index holds them, distinct, sorted and joined by a space."""
     x = as_column(x)
     parts = F.when(F.contains(x, F.lit("+")), F.split(x, r"\+")).otherwise(F.split(x, ","))
-    names = F.filter(F.transform(parts, lambda p: substance_name(p)), lambda p: p != "")
-    return F.array_join(F.array_sort(F.array_distinct(names)), ", ")
+    names = F.filter(F.transform(parts, lambda p: index_principle(p)), lambda p: p != "")
+    return F.array_join(F.array_sort(F.array_distinct(names)), " ")
 
 
 def princeps_label(x: ColumnOrName) -> Column:

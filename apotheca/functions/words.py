@@ -88,11 +88,26 @@ HOMEO_MAKERS = ("LEHNING", "BOIRON", "HEEL", "WELEDA", "RECKEWEG", "UNDA", "LABO
 HOMEO_TERMS = ("HOMÉOPATHIQU", "HOMEOPATH", "POUR PRÉPARATIONS", "GRANULES", "GLOBULES", "TRITURATION", "MOTHER TINCTURE", "TEINTURE MÈRE")
 DILUTIONS = (r"\d+(?:CH|DH|K)", r"\b(?:CH|DH|K)\s*\d+\b", r"\b\d+LM\b", r"\b\d+M\b(?![GL])", r"\b\d+X\b", r"\b\d+CK\b", r"\b\d+Q\b")
 
-# Rewrites of principles for the search index, in order.
+# Minerals that keep a name of the form "mineral (salt DE)" for its salt.
 ELECTROLYTES = ("SODIUM", "POTASSIUM", "CALCIUM", "MAGNESIUM", "LITHIUM", "ZINC", "FER", "CUIVRE")
-PRINCIPLE_SYNONYMS = (
-    ("CARBOCYSTEINE", "CARBOCISTEINE"), ("SEVORANE", "SEVOFLURANE"), ("^COLECALCIFEROL$", "CHOLECALCIFEROL"), ("URSODESOXYCHOLIQUE", "URSODEOXYCHOLIQUE"),
-    ("CYAMEPROMAZINE", "CYAMEMAZINE"), ("REMIFENTANYL", "REMIFENTANIL"), ("VALPROIQUE", "VALPROATE"),
+
+# Rewrites of principles for the search index, each applied once and in this order: noise before salts are taken off,
+# spellings after, and noise again.
+PRINCIPLE_NOISE = (
+    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE$", ""), (r"\s*,?\s*FORME PULVERULENTE,$", ""), (r"\s*,?\s*FORME PULVERULENTE \.$", ""),
+    (r"\s*,?\s*LIQUIDE$", ""), (r"^(.*?)CONCENTRAT DE\s+", "$1"), (r",\s*FORME PULVERULENTE\s*$", ""), (r"^SOLUTION DE\s+", ""), (r",\s*SOLUTION DE\s*$", ""),
+    (r"\s+BETADEX-CLATHRATE\s*$", ""), (r"\s+PROPYLENE GLYCOLATE\s*$", ""), (r"\s*\([^)]*\)\s*$", ""),
+)
+PRINCIPLE_SPELLINGS = (
+    (r"^(.*?)CARBOCYSTEINE", "$1CARBOCISTEINE"), (r"^(.*?)SEVORANE", "$1SEVOFLURANE"), (r"^COLECALCIFEROL$", "CHOLECALCIFEROL"), (r"^(.*?)URSODESOXYCHOLIQUE", "$1URSODEOXYCHOLIQUE"),
+    (r"^(.*?)CLAVULANATE", "$1CLAVULANIQUE"), (r"^(.*CLAVULAN.*?)\s+DE\s+POTASSIUM\s+DILUE\s*$", "$1"), (r"^CLAVULANIQUE.*$", "CLAVULANIQUE"),
+    (r"^(.*?)CYAMEPROMAZINE", "$1CYAMEMAZINE"), (r"^(.*?)REMIFENTANYL", "$1REMIFENTANIL"), (r"^(.*?)VALPROIQUE", "$1VALPROATE"),
+    (r"^(.*TRYPTOPHANE.*?)\s+L\s*$", "$1"), (r"^TRYPTOPHANE.*$", "TRYPTOPHANE"),
+    (r"^(?=.*BENZYLIQUE)(.*?)DICHLORO-2,4", "$1DICHLORO"), (r"^(.*?)DICHLORO\s+BENZYLIQUE", "$1DICHLOROBENZYLIQUE"), (r"^PHOSPHATE MONOSODIQUE$", "PHOSPHATE"),
+)
+PRINCIPLE_LAST = (
+    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE\s*$", ""), (r"\s*,?\s*FORME PULVERULENTE,\s*$", ""), (r"\s*,?\s*FORME PULVERULENTE \.\s*$", ""),
+    (r"\s*,?\s*LIQUIDE\s*$", ""), (r"^(.*?)\(CONCENTRAT\s+DE\)", "$1"), (r"[,\s]+$", ""),
 )
 
 # First level of the ATC classification.

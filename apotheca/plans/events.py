@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apotheca.functions import codes, labels, text
+from apotheca.functions import codes, labels, text, words
 from apotheca.operators import catalogue, search, stock
 from apotheca.plans.registry import Tables, query
 from apotheca.sources.store import shared_folder
@@ -39,7 +39,7 @@ def text_normalise_names(t: Tables) -> DataFrame:
 
 
 @query("""SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) || ', ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS principles, upper(p_name) AS maker, p_name AS label, p_brand AS holder, p_name AS masked,
-upper(p_name) AS key, list_aggregate(list_sort(list_distinct([upper(p_name), p_type])), 'string_agg', ', ') AS common, p_name AS princeps, upper(substr(p_name, 1, 1)) AS letter FROM part""")
+upper(p_name) AS key, list_aggregate(list_sort(list_distinct([upper(p_name), p_type])), 'string_agg', ' ') AS common, p_name AS princeps, upper(substr(p_name, 1, 1)) AS letter FROM part""")
 def text_labels(t: Tables) -> DataFrame:
     return t.part.select(
         "p_partkey",
@@ -55,21 +55,30 @@ def text_labels(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN upper(p_name) WHEN 1 THEN upper(p_name) WHEN 2 THEN upper(p_name) WHEN 3 THEN 'CHLORURE DE SODIUM' WHEN 4 THEN upper(p_name) ELSE '' END AS substance FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 AND p_size % 3 = 0 THEN 'CHLORURE DE SODIUM' WHEN p_partkey % 3 = 2 AND p_size % 3 = 1 THEN '' ELSE upper(p_name) END AS substance FROM part""")
 def salt_strip(t: Tables) -> DataFrame:
-    kind = F.col("p_size") % 6
-    label = (
-        F.when(kind == 0, F.concat(F.lit("Chlorhydrate de "), "p_name")).when(kind == 1, F.concat(F.lit("ACÉTATE D'"), "p_name")).when(kind == 2, F.concat("p_name", F.lit(" sodique dihydraté")))
-        .when(kind == 3, F.lit("Chlorure de sodium")).when(kind == 4, F.concat("p_name", F.lit(" (sulfate de) "))).otherwise(" ")
-    )
-    return t.part.select("p_partkey", text.substance_name(label).alias("substance"))
+    """Every salt prefix and suffix of the lists before or after a part's name, and what is no name and salt."""
+    prefixes, suffixes = F.array(*map(F.lit, words.SALT_PREFIXES)), F.array(*map(F.lit, words.SALT_SUFFIXES))
+    at = F.floor(F.col("p_partkey") / 3).cast("int")
+    prefix, suffix = F.element_at(prefixes, at % len(words.SALT_PREFIXES) + 1), F.element_at(suffixes, at % len(words.SALT_SUFFIXES) + 1)
+    other = F.when(F.col("p_size") % 3 == 0, F.lit("Chlorure de sodium")).when(F.col("p_size") % 3 == 1, " ").otherwise(F.concat("p_name", F.lit(" sodique dihydraté (sulfate de) ")))
+    label = F.when(F.col("p_partkey") % 3 == 0, F.concat(prefix, F.when(F.endswith(prefix, F.lit("'")), "").otherwise(" "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat_ws(" ", "p_name", suffix)).otherwise(other)
+    return t.part.select("p_partkey", text.substance_name(F.lower(label)).alias("substance"))
+
+
+#: A principle in many spellings, {} being a name, and what the index holds for it.
+SPELLINGS = (
+    ("Sodium ({} de)", "{}"), ("{} (chlorhydrate de)", "{}"), ("(R)-{}", "{}"), ("( S ) - {}", "{}"), ("Omega 3 {}", "OMEGA-3"), ("{} omega-3", "OMEGA-3"), ("Solution de {}", "{}"), ("Concentrat de solution de {}", "{}"),
+    ("{} concentrat de x", "{} X"), ("Magnésium de {}", "{}"), ("{} de potassium", "{}"), ("{} d'zinc", "{}"), ("{} maléate dihydraté", "{}"), ("{} dihydraté maléate", "{} DIHYDRATE"), ("{}, forme pulvérulente", "{}"),
+    ("{} liquide", "{}"), ("Acide {}", "{}"), ("Chlorhydrate de {}", "{}"), ("acétate d'{}", "{}"), ("{} betadex-clathrate", "{}"), ("{} carbocysteine", "{} CARBOCISTEINE"), ("clavulanate de {}", "CLAVULANIQUE"),
+    ("{} acide valproique", "{} ACIDE VALPROATE"), ("calcitonine {} de saumon", "CALCITONINE"), ("{} tryptophane L", "{} TRYPTOPHANE"), ("{} , ", "{}"), ("{} (sulfate)", "{}"), ("{} tert-butylamine", "{}"),
+)
 
 
-@query("""SELECT p_partkey, upper(CASE WHEN p_size % 4 = 0 THEN 'valproate' WHEN p_size % 4 = 1 THEN p_name WHEN p_size % 4 = 2 THEN p_name ELSE 'omega-3' END) AS principle FROM part""")
+@query(f"""SELECT p_partkey, replace(([{', '.join("'" + e + "'" for _, e in SPELLINGS)}])[p_partkey % {len(SPELLINGS)} + 1], '{{}}', upper(p_name)) AS principle FROM part""")
 def index_principles(t: Tables) -> DataFrame:
-    kind = F.col("p_size") % 4
-    label = F.when(kind == 0, "Sodium (valproate de)").when(kind == 1, F.concat("p_name", F.lit(" (chlorhydrate de)"))).when(kind == 2, F.concat(F.lit("(R)-"), "p_name")).otherwise("Omega 3 esters")
-    return t.part.select("p_partkey", labels.index_principle(label).alias("principle"))
+    spelled = F.element_at(F.array(*(F.lit(x) for x, _ in SPELLINGS)), (F.col("p_partkey") % len(SPELLINGS) + 1).cast("int"))
+    return t.part.select("p_partkey", text.index_principle(F.replace(spelled, F.lit("{}"), F.col("p_name"))).alias("principle"))
 
 
 @query("""WITH f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Comprimé' WHEN 1 THEN 'solution INJECTable' WHEN 2 THEN 'sirop' WHEN 3 THEN 'crème' ELSE p_type END AS form FROM part)

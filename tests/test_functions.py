@@ -79,7 +79,7 @@ def test_common_words(spark, names, expected):
         (text.normalise_search, "Amoxicilline/Acide clavulanique", "amoxicilline acide clavulanique"),
         (text.normalise_search, "Cœur DOLIPRANE® ", "coeur doliprane"),
         (text.normalise_search, None, ""),
-        (labels.index_principle, "SODIUM (VALPROATE DE)", "VALPROATE"),
+        (text.index_principle, "SODIUM (VALPROATE DE)", "VALPROATE"),
         (labels.grouping_key, "0,03 mg", ""),
         (labels.main_holder, "; LABO XYZ SAS / B", "LABO XYZ"),
         (labels.main_holder, None, "Laboratoire inconnu"),
@@ -94,6 +94,58 @@ def test_scalars(spark, function, x, expected):
     assert one(spark, function, x) == expected
 
 
+#: Golden values, each for a step of the chain or for the order of two.
+PRINCIPLES = {
+    "  acide Ursodésoxycholique ": "URSODEOXYCHOLIQUE",
+    "(R) - Salbutamol": "SALBUTAMOL",
+    "SODIUM (CHLORURE DE)": "CHLORURE",
+    "CUIVRE (GLUCONATE DE)": "GLUCONATE",
+    "MORPHINE (CHLORHYDRATE DE)": "MORPHINE",
+    "Chlorure  de sodium": "CHLORURE DE SODIUM",
+    "MAGNESIUM": "MAGNESIUM",
+    "SOLUTION DE DIGLUCONATE": "DIGLUCONATE",
+    "CONCENTRAT DE SOLUTION DE X": "X",
+    "X CONCENTRAT DE Y": "X Y",
+    "VITAMINE A, FORME PULVERULENTE": "VITAMINE A",
+    "PARAFFINE LIQUIDE": "PARAFFINE",
+    "DINOPROSTONE BETADEX-CLATHRATE": "DINOPROSTONE",
+    "LATANOPROST PROPYLENE GLYCOLATE": "LATANOPROST",
+    "NICOTINE (RESINATE)": "NICOTINE",
+    "ACETATE D'HYDROCORTISONE": "HYDROCORTISONE",
+    "CHLORHYDRATE DIHYDRATE DE X": "X",
+    "CITRATE": "CITRATE",
+    "MAGNESIUM DE PIDOLATE": "PIDOLATE",
+    "PIDOLATE DE MAGNESIUM": "PIDOLATE",
+    "PERINDOPRIL TERT-BUTYLAMINE": "PERINDOPRIL",
+    "X MALEATE DIHYDRATE": "X",
+    "X DIHYDRATE MALEATE": "X DIHYDRATE",
+    "ESOMEPRAZOLE MAGNESIQUE DIHYDRATE": "ESOMEPRAZOLE",
+    "X MONOSODIQUE ANHYDRE": "X",
+    "HUILE RICHE EN OMEGA 3 ET AUTRES": "OMEGA-3",
+    "CALCITONINE SYNTHETIQUE DE SAUMON": "CALCITONINE",
+    "CARBOCYSTEINE": "CARBOCISTEINE",
+    "SEVORANE": "SEVOFLURANE",
+    "COLECALCIFEROL": "CHOLECALCIFEROL",
+    "CONCENTRAT DE COLECALCIFEROL": "CHOLECALCIFEROL",
+    "CLAVULANATE DE POTASSIUM DILUE": "CLAVULANIQUE",
+    "AMOXICILLINE CLAVULANATE": "AMOXICILLINE CLAVULANIQUE",
+    "CYAMEPROMAZINE": "CYAMEMAZINE",
+    "REMIFENTANYL": "REMIFENTANIL",
+    "ACIDE VALPROIQUE": "VALPROATE",
+    "TRYPTOPHANE L": "TRYPTOPHANE",
+    "ALCOOL DICHLORO-2,4 BENZYLIQUE": "ALCOOL DICHLOROBENZYLIQUE",
+    "PHOSPHATE MONOSODIQUE": "PHOSPHATE MONOSODIQUE",
+    "X, , ": "X",
+    "": "",
+}
+
+
+def test_index_principles(spark):
+    df = spark.createDataFrame(list(PRINCIPLES.items()), "x string, expected string")
+    assert {r.x: r.got for r in df.select("x", text.index_principle("x").alias("got")).collect()} == PRINCIPLES
+    assert one(spark, text.common_principles, "Morphine (chlorhydrate de)+ ACIDE VALPROIQUE+morphine") == "MORPHINE VALPROATE"
+
+
 def test_natural_order(spark):
     names = ["a10", "a9", "B1", "a9 x"]
     df = spark.createDataFrame([(n,) for n in names], "x string").orderBy(text.natural_key("x"))
