@@ -203,6 +203,64 @@ def test_neighbouring_numbers(spark, size):
         assert [(text[s:e], personal_data.KINDS[k]) for s, e, k in spans] == expected[text]
 
 
+def planted(rng):
+    """Texts with personal data in spellings that the base patterns don't match, and numbers that are none."""
+    digits = lambda n: "".join(str(rng.randrange(10)) for _ in range(n))
+    words = lambda n: " ".join(rng.choice("the old river ran under a long bridge near our town and we saw it".split()) for _ in range(n))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if personal_data.luhn(body + c))
+
+    def number(kind):
+        if kind == 0:
+            return f"{rng.choice(['ann', 'joe.w', 'k_lee', 'info'])}{rng.choice([' (at) ', '(at)', ' [at] '])}{rng.choice(['mail', 'uni-x'])}{rng.choice(['.', ' (dot) '])}{rng.choice(['org', 'com'])}"
+        if kind == 1:
+            return rng.choice(["[.]", "(.)"]).join(str(rng.randint(1, 255)) for _ in range(4))
+        if kind == 2:
+            n = card()
+            return rng.choice([".", "/", " - "]).join(n[i : i + 4] for i in range(0, 16, 4))
+        return rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(digits(3), digits(3), digits(4))
+
+    def ordinary():
+        return rng.choice([f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.randint(10, 28)}.{rng.randint(10, 12)}.{rng.randint(1990, 2030)}", f"{rng.randint(1, 9)},{digits(3)},{digits(3)}", f"version {rng.randint(1, 9)}.{rng.randint(0, 9)}.{rng.randint(0, 9)}", f"{rng.randint(1900, 1999)}, {rng.randint(2000, 2030)}", f"$ {digits(3)}.{digits(2)}", "met (at) noon. Then"])
+
+    for i in range(400):
+        kind = i % 5
+        value = ordinary() if kind == 4 else number(kind)
+        before, after = words(rng.randint(2, 9)) + " ", " " + words(rng.randint(2, 9))
+        yield before + value + after, None if kind == 4 else (len(before), len(before) + len(value), kind)
+
+
+def test_added_spans(spark):
+    """What the trees add: planted data is found and ordinary numbers are left alone; on sf0.1 all that is added is right."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = personal_data.fit(docs)
+    texts = list(planted(random.Random(12)))
+    found = [set(spans) for _, spans in personal_data.find_spans([t for t, _ in texts], model)]
+    wanted = [{span} if span else set() for _, span in texts]
+    hits = sum(len(f & w) for f, w in zip(found, wanted, strict=True))
+    assert hits >= 0.9 * sum(map(len, wanted)) and hits >= 0.95 * sum(map(len, found))
+    rows = personal_data.find_personal_data(docs.select("doc_id", "text"), model).filter("size(spans) > size(base)").join(docs.select("doc_id", "text"), "doc_id").collect()
+    added = [(kind, r.text[start:end]) for r in rows for kind, start, end in set(map(tuple, r.spans)) - set(map(tuple, r.base))]
+    assert len(added) >= 5
+    for kind, value in added:
+        digits = re.sub("[^0-9]", "", value)
+        assert (kind == "card" and 12 <= len(digits) <= 19 and personal_data.luhn(digits)) or (kind == "phone" and value[0] == "+" and 9 <= len(digits) <= 15)
+
+
+def test_op2_edges(spark):
+    """An empty table, repeated rows, null ids, and an address of any length."""
+    long = "a" * 300 + "@" + "b" * 200 + ".com"
+    df = spark.createDataFrame([(1, "mail a@b.com", 1), (1, "mail a@b.com", 1), (None, "mail a@b.com", 2), (2, long + " x", 3)], "doc_id long, text string, base int")
+    rows = sorted((str(r.doc_id), [tuple(s) for s in r.spans]) for r in personal_data.find_personal_data(df, None).collect())
+    assert rows == [("1", [("email", 5, 12)])] * 2 + [("2", [("email", 0, len(long))]), ("None", [("email", 5, 12)])]
+    assert personal_data.candidates("x" * 300 + " (at) " + "y" * 100 + ".com")[0] == (0, 410, 0)
+    empty = df.limit(0)
+    model = personal_data.fit(empty)
+    assert personal_data.find_personal_data(empty, model).count() == 0 and personal_data.redact_documents(empty, model).columns == df.columns
+
+
 def test_op2_digests(spark):
     import hashlib
 
