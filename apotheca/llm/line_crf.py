@@ -7,8 +7,9 @@ calibration, is the document's score.
 
 Training labels are of documents, so in training each line takes its document's label. The model is fitted on
 the driver on a bounded sample: at most ``FitOptions.per_class`` documents of each label in the order of a hash
-of their id, of those with at most ``FitOptions.max_lines`` lines. Scoring has no such bounds and reads
-whole texts.
+of their id, and of each at most ``FitOptions.max_lines`` consecutive lines, from a place that depends on its length, so
+long documents teach as much as others and the sample has at most 2 * per_class * max_lines lines. Scoring has no such
+bounds and reads whole texts.
 
 Defined results: a null or empty text, or one without words, is a chain of one empty line and gets that
 line's score. Repeated documents score alike. Rows of labels with a null id or a label other than 0 and 1
@@ -58,7 +59,7 @@ class FitOptions:
     """per_class, max_lines: bounds of the sample that is fitted on. steps, rate, ridge: the gradient ascent."""
 
     per_class: int = 1500
-    max_lines: int = 400
+    max_lines: int = 100
     steps: int = 120
     rate: float = 0.1
     ridge: float = 0.02
@@ -215,6 +216,16 @@ def fit_chains(features: np.ndarray, counts: np.ndarray, labels: np.ndarray, wei
     return Model(mean, scale, model.weights, model.moves, float(slope), float(offset))
 
 
+def learned_lines(doc: np.ndarray, size: np.ndarray, n: int, most: int) -> np.ndarray:
+    """Which lines are learned from: all of a document, or so many consecutive ones, from anywhere in it."""
+    counts = np.bincount(doc, minlength=n)
+    first = np.cumsum(counts) - counts
+    scattered = np.bincount(doc, weights=size, minlength=n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    start = (scattered % np.maximum(counts - most + 1, 1).astype(np.uint64)).astype(np.int64)
+    place = np.arange(len(doc)) - first[doc] - start[doc]
+    return (place >= 0) & (place < most)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", usable: Column | None = None, options: FitOptions | None = None) -> Model:
     """Fit on labelled documents; ``usable`` says which ids of ``labels`` may be learned from.
 
@@ -235,11 +246,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, texts in ta.blocks(batch.column(1)):
-                features, doc, _ = line_features(texts)
+                features, doc, size = line_features(texts)
+                kept = learned_lines(doc, size, texts.n, options.max_lines)
+                features, doc = features[kept], doc[kept]
                 counts = np.bincount(doc, minlength=texts.n)
                 known = np.array(batch.column(2).slice(row, end - row).to_pylist(), dtype=np.int64)
                 for label in (0, 1):
-                    fits = (known == label) & (counts <= options.max_lines)
+                    fits = known == label
                     if fits.any():
                         yield pa.RecordBatch.from_pydict({"label": pa.array([label], pa.int32()), "counts": [counts[fits].astype(np.int32).tobytes()], "lines": [features[fits[doc]].astype(np.float32).tobytes()]})
 

@@ -111,6 +111,20 @@ def test_classifier_edges(spark):
     assert line_crf.keep_documents(df, none).columns == df.columns
 
 
+def test_learned_lines():
+    """Short documents teach with all their lines, long ones with consecutive lines, not always the first."""
+    counts = np.array([3, 1, 250, 100, 777])
+    doc, rng = np.repeat(np.arange(5), counts), np.random.default_rng(0)
+    starts = set()
+    for _ in range(20):
+        kept = np.flatnonzero(line_crf.learned_lines(doc, rng.integers(1, 90, len(doc)), 5, 100))
+        assert np.bincount(doc[kept]).tolist() == [3, 1, 100, 100, 100]
+        own = kept[doc[kept] == 4]
+        assert own[-1] - own[0] == 99
+        starts.add(own[0])
+    assert len(starts) > 5
+
+
 def test_lines(spark):
     folder = "/root/testdata/sf0.01"
     model = queries.quality_model(spark, folder)
