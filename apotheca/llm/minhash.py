@@ -226,9 +226,9 @@ def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -
     return dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *[c for c in members.columns if c not in ("key", "n_shingles")])
 
 
-def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[int, int, int]]:
-    """(x, y, equal minima) of members of different components and, in mixed tasks, blocks, that have like signatures
-    and no earlier bucket in common."""
+def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """x, y and equal minima of members of different components and, in mixed tasks, blocks, that have like signatures
+    and no earlier bucket in common; by stripes of rows."""
     n, rows = options.bands * options.rows, options.rows
     least = (options.percent / 100 - options.slack) * n
     matrix, component, part = _signature_matrix(group.column("signature"), n), group.column("component").to_numpy(), group.column("part").to_numpy()
@@ -244,10 +244,12 @@ def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[int, int,
             far |= part[start:stop, None] == part[None, :]
         like[far] = -1
         x, y = np.nonzero(like >= least)
-        if len(x):
-            earlier = (matrix[start + x, : band * rows] == matrix[y, : band * rows]).reshape(len(x), band, rows).all(2).any(1)
-            x, y = x[~earlier], y[~earlier]
-            yield from zip((start + x).tolist(), y.tolist(), like[x, y].tolist(), strict=True)
+        # Pairs are looked at a few thousand at a time, for a stripe may hold very many.
+        for some in range(0, len(x), 4096):
+            left, right = x[some : some + 4096], y[some : some + 4096]
+            earlier = (matrix[start + left, : band * rows] == matrix[right, : band * rows]).reshape(len(left), band, rows).all(2).any(1)
+            left, right = left[~earlier], right[~earlier]
+            yield (start + left).astype(np.int32), right.astype(np.int32), like[left, right]
 
 
 def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Options) -> Table:
@@ -257,8 +259,10 @@ def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Opt
     link_schema = T.StructType([T.StructField("a", id_type.dataType), T.StructField("b", id_type.dataType)])
 
     def flag(group: pa.Table) -> pa.Table:
-        close = sorted({k for x, y, _ in _close_pairs(group, options) for k in (x, y)})
-        return group.select(["key", "band", "id", "component"]).take(pa.array(close, pa.int64()))
+        close = np.zeros(group.num_rows, dtype=bool)
+        for x, y, _ in _close_pairs(group, options):
+            close[x] = close[y] = True
+        return group.select(["key", "band", "id", "component"]).filter(pa.array(close))
 
     def link(group: pa.Table) -> pa.Table:
         ids = group.column("id").to_numpy()
@@ -274,12 +278,15 @@ def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Opt
         first: dict[int, int] = {}
         for k, c in enumerate(group.column("component").to_pylist()):
             root[k] = first.setdefault(c, k)
-        for x, y, _ in sorted(_close_pairs(group, options), key=lambda p: -p[2]):
-            a, b = top(x), top(y)
-            if a != b and _similar(sets[x], sets[y], options.percent):
-                root[max(a, b)] = min(a, b)
-                left.append(ids[x])
-                right.append(ids[y])
+        pairs = [np.concatenate(p) for p in zip(*_close_pairs(group, options), strict=True)]
+        order = np.argsort(-pairs[2], kind="stable") if pairs else ()
+        for some in range(0, len(order), 4096):
+            for x, y in zip(*(p[order[some : some + 4096]].tolist() for p in pairs[:2]), strict=True):
+                a, b = top(x), top(y)
+                if a != b and _similar(sets[x], sets[y], options.percent):
+                    root[max(a, b)] = min(a, b)
+                    left.append(ids[x])
+                    right.append(ids[y])
         kind = group.schema.field("id").type
         return pa.table({"a": pa.array(left, kind), "b": pa.array(right, kind)})
 
