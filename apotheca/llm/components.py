@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from apotheca.llm.scratch import Table
 
 
+EDGES_A_FILE = 8192
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,7 +43,8 @@ def components(links: DataFrame, left: str, right: str) -> Table:
     table = Table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     digest = _digest(table.df)
     while digest[0]:
-        after = Table(_small_star(_large_star(table.df)), "edges")
+        # There are never more edges than before, so few are not spread over very many files.
+        after = Table(_small_star(_large_star(table.df)).coalesce(max(1, -(-digest[0] // EDGES_A_FILE))), "edges")
         table.drop()
         table, before, digest = after, digest, _digest(after.df)
         if digest == before:

@@ -206,8 +206,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, options:
     return with_both(passed, sets, "shingles").mapInArrow(equal, schema).distinct()
 
 
-def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -> DataFrame:
-    """Members of buckets dealt to pairs of blocks i <= j that may hold linked sets; ``limit``: of a block's weights.
+def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -> tuple[DataFrame, DataFrame]:
+    """The blocks of buckets, kept until they are released, and the members of buckets dealt to pairs of blocks i <= j that may hold linked sets; ``limit``: of a block's weights.
 
     In buckets of more than one block, a block holds sets of one size class, and only blocks of the same class and of
     neighbouring ones meet: sets of classes further apart are too different in size to be linked.
@@ -217,13 +217,13 @@ def _blocked(members: DataFrame, weight: Column, limit: int, options: Options) -
     sized = members.withColumn("class", F.floor(F.log("n_shingles") / unit).cast("int"))
     sizes = sized.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum(weight).alias("weight")).groupBy("key")
     sizes = sizes.agg(F.sum("n").alias("copies"), F.sum("weight").alias("total"), F.map_from_entries(F.collect_list(F.struct("class", F.ceil(F.col("weight") / F.lit(limit)).cast("int")))).alias("cuts"))
-    sizes = Table(sizes.withColumn("cuts", F.when(F.col("total") > limit, F.col("cuts")).otherwise(F.create_map(F.lit(0), F.lit(1)))), "cuts").df
+    sizes = sizes.withColumn("cuts", F.when(F.col("total") > limit, F.col("cuts")).otherwise(F.create_map(F.lit(0), F.lit(1)))).persist()
     dealt = with_class(sized, sizes, ["key"], sizes.agg(F.sum("copies")).first()[0] or 0).withColumn("class", F.when(F.col("total") > limit, F.col("class")).otherwise(F.lit(0)))
     dealt = dealt.withColumn("part", (F.col("class") * shift + F.pmod(F.xxhash64("id"), F.col("cuts")[F.col("class")])).cast("long"))
     near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.col("class") + d), lambda c: F.map_contains_key("cuts", c))
     others = F.flatten(F.transform(near, lambda c: F.transform(F.sequence(F.lit(0), F.col("cuts")[c] - 1), lambda k: (c * shift + k).cast("long"))))
     dealt = dealt.withColumn("other", F.explode(others))
-    return dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *[c for c in members.columns if c not in ("key", "n_shingles")])
+    return sizes, dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", *[c for c in members.columns if c not in ("key", "n_shingles")])
 
 
 def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -291,9 +291,13 @@ def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Opt
         return pa.table({"a": pa.array(left, kind), "b": pa.array(right, kind)})
 
     signed = members.join(sketches, "id").select("key", "band", "id", "component", "n_shingles", "signature")
-    flagged = Table(_blocked(signed, F.lit(1), options.block, options).groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
+    sizes, dealt = _blocked(signed, F.lit(1), options.block, options)
+    flagged = Table(dealt.groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
+    sizes.unpersist()
     whole = flagged.df.join(sketches, "id").join(sets, "id").select("key", "band", "id", "component", "n_shingles", "signature", "shingles")
-    links = Table(_blocked(whole, 8 * F.col("n_shingles"), options.block_bytes, options).groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
+    sizes, dealt = _blocked(whole, 8 * F.col("n_shingles"), options.block_bytes, options)
+    links = Table(dealt.groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
+    sizes.unpersist()
     flagged.drop()
     return links
 
