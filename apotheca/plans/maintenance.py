@@ -20,7 +20,7 @@ def _lines(rows: DataFrame, *cells) -> DataFrame:
 
 
 def _write_files(t: Tables, folder: str) -> None:
-    """The four raw files, with blank lines and lines of too few cells among them; one is gzipped, one Latin-1 bytes."""
+    """The four raw files, with blank lines and lines of too few cells among them; one is gzipped."""
     key, blank = F.lpad(F.col("p_partkey").cast("string"), 8, "0"), [F.lit("")] * 3
     holder = F.when(F.col("p_size") > 48, "BOIRON").otherwise(F.col("p_brand"))
     status = F.when(F.col("p_size") <= 40, "Autorisation active").otherwise("Abrogée")
