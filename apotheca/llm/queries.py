@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from apotheca.llm import bpe, embedding_dedup, line_crf, main_text, minhash, oracles, packing, personal_data, quality_rules, sharding, url_filter
+from apotheca.llm import bpe, collocations, embedding_dedup, hard_negatives, line_crf, main_text, minhash, nearest, oracles, packing, personal_data, quality_rules, sharding, url_filter
 from apotheca.llm.scratch import shared_folder
 
 
@@ -98,6 +98,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_phrases(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids that 7 divides are moved on by one, as the contract has it."""
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_personal_data": op2_personal_data,
@@ -109,6 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_bpe": op9_bpe,
     "op10_main_text": op10_main_text,
+    "op11_collocations": op11_collocations,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_nearest": op13_nearest,
 }
 
 #: Of the queries that SQL can express; tests/llm holds the others against brute force.
@@ -118,4 +135,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": oracles.vectors(0.93),
     "op7_minhash": oracles.minhash(4, 80),
     "op8_sharding": "SELECT doc_id, lang, source, n_chars, md5(text) AS text_md5 FROM documents",
+    "op11_collocations": collocations.oracle_sql(),
+    "op12_hard_negatives": hard_negatives.oracle_sql(),
 }

@@ -21,10 +21,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _STARTS_CHAR = (np.arange(256) & 0xC0) != 0x80
 
-_SEED = np.random.Generator(np.random.PCG64(20240229))
-_BYTE_VALUE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
 _WORD_BASE = 0xD6E8FEB86659FD93 | 1
+_NEXT = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH = np.uint64(0xC2B2AE3D27D4EB4F)
 _DOC = np.uint64(0xA0761D6478BD642F)
 
@@ -56,7 +54,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Rolling polynomial hash of values[start:end] for many ranges: two lookups in one running sum."""
+    """Rolling polynomial hash of values[start:end] for many short ranges of hashes: two lookups in one running sum."""
     n = len(values)
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(values * _powers(base, n, _POWERS), out=total[1:])
@@ -64,9 +62,35 @@ def _ranges(values: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray)
     return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _LENGTH)
 
 
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two hashes in order; no polynomial, so which texts collide follows from no structure of them."""
+    return mix(left * _NEXT + right)
+
+
 def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of ranges of bytes."""
-    return _ranges(_BYTE_VALUE[data], _BASE, starts, ends)
+    """Hashes of ranges of bytes: of eight bytes each at first, then of neighbouring hashes two by two, and of the length."""
+    sizes = np.asarray(ends - starts, dtype=np.int64)
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    counts = np.maximum((sizes + 7) >> 3, 1)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    rest = np.minimum(np.repeat(sizes, counts) - 8 * nth, 8)
+    mask = np.where(rest > 0, np.uint64(2**64 - 1) >> ((8 - np.maximum(rest, 1)) * 8).astype(np.uint64), np.uint64(0))
+    parts = mix(eight[np.repeat(np.asarray(starts, dtype=np.int64), counts) + 8 * nth] & mask)
+    out = parts[np.cumsum(counts) - counts]
+    long = np.flatnonzero(counts > 1)
+    parts, counts = parts[np.repeat(counts > 1, counts)], counts[long]
+    while len(counts) and counts.max() > 1:
+        halves = (counts + 1) >> 1
+        nth = 2 * (np.arange(halves.sum()) - np.repeat(np.cumsum(halves) - halves, halves))
+        at = np.repeat(np.cumsum(counts) - counts, halves) + nth
+        two = nth + 1 < np.repeat(counts, halves)
+        after = parts[at]
+        after[two] = _joined(after[two], parts[at[two] + 1])
+        parts, counts = after, halves
+    out[long] = parts
+    return mix(out ^ (sizes.astype(np.uint64) * _LENGTH))
 
 
 @dataclass
@@ -98,7 +122,7 @@ class Texts:
         return out
 
     def word_hashes(self) -> np.ndarray:
-        return _ranges(_BYTE_VALUE[self.data], _BASE, self.word_start, self.word_end)
+        return range_hashes(self.data, self.word_start, self.word_end)
 
     def word_chars(self) -> np.ndarray:
         """Code points of every word."""
@@ -125,7 +149,7 @@ class Texts:
         return range_hashes(self.data, starts, ends)
 
     def ngrams(self, words: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of every window of n words that lies in one document."""
+        """First word and rolling hash of every window of n words that lies in one document."""
         at = np.arange(max(len(words) - n + 1, 0))
         at = at[self.word_doc[at] == self.word_doc[at + n - 1]] if len(at) else at
         return at, _ranges(words, _WORD_BASE, at, at + n)
