@@ -7,12 +7,13 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into
    its occurrences, so ROLLUP over w1 ... w4 sums the counts of shorter phrases as prefixes of longer ones.
 2. A window ends early where no frequent phrase can go on. Words and pairs of neighbours are first counted by hash, in
    ``buckets`` buckets; a bucket's count bounds each of its pairs from above, so where it is below ``least`` the pair,
-   and every phrase with it, is rare. Such windows are padded from there on. No frequent phrase loses an occurrence,
-   whatever the hashes do: where buckets are full, as in a corpus far larger than they are, windows just stay longer.
+   and every phrase with it, is rare. Triples of frequent pairs are counted alike in a second pass. Windows are padded
+   from the first rare pair or triple on. No frequent phrase loses an occurrence, whatever the hashes do: where
+   buckets are full, as in a corpus far larger than they are, windows just stay longer.
 3. Phrases of at least ``least`` occurrences are joined with their two parts for each cut; the lowest score counts.
 4. The first ``top`` of a language are taken within salts of their phrases, then of these.
 
-What is sent to tasks is one bit a bucket. Blocks of whole texts bound a worker's memory. Words are told apart by their
+What is sent to tasks is two bits a bucket. Blocks of whole texts bound a worker's memory. Words are told apart by their
 bytes, never by hash, and scores are exact: products are decimals of 38 digits.
 
 Defined results: null texts are empty, a null language is ``und``; repeated documents count as often as they are
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apotheca.llm.scratch import Table
+from apotheca.llm.scratch import Table, small_batches
 from apotheca.llm.textarrays import byte_ranges, mix, range_hashes
 
 ORDER = 5
@@ -49,20 +50,20 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class Options:
     """least: occurrences of a candidate. top: phrases a language. redundant: percent of a phrase's count, at which a longer
-    candidate makes it go. buckets: a power of two of at least 2 ** 15. keys: hashes that a task holds before it counts them."""
+    candidate makes it go. buckets: a power of two of at least 2 ** 15. keys: hashes that a task holds before it counts them. texts: rows that a worker gets at once."""
 
     least: int = 100
     top: int = 2000
     redundant: int = 100
     buckets: int = 1 << 27
     keys: int = 1 << 23
+    texts: int = 2500
     salts: int = 32
 
 
 @dataclass
 class Block:
-    """Words of some whole texts. words: the distinct ones. word, lang: of each word in order; follows: whether the next word is
-    in the same piece. single, pair: buckets of each word, and of it with the next."""
+    """Words of some whole texts. words: the distinct ones. word, lang: of each word in order; follows: whether the next word is in single, pair: buckets of each word, and of it with the next."""
 
     words: pa.StringArray
     word: np.ndarray
@@ -70,6 +71,7 @@ class Block:
     follows: np.ndarray
     single: np.ndarray
     pair: np.ndarray
+    triple: np.ndarray
 
 
 def _block(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, lang_hash: np.ndarray, buckets: int) -> Block | None:
@@ -90,7 +92,7 @@ def _block(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, lang_hash:
     coded = pa.Array.from_buffers(kind_of, len(start), [None, pa.py_buffer(at), pa.py_buffer(data[ink])]).dictionary_encode()
     words, word = coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy().astype(np.int64)
     doc = np.searchsorted(offsets, start, side="right") - 1
-    breaks = np.zeros(n + 1, dtype=np.int64)
+    breaks = np.zeros(n + 1, dtype=at.dtype)
     np.cumsum(kind == 2, out=breaks[1:])
     follows = np.zeros(len(start), dtype=bool)
     follows[:-1] = (doc[1:] == doc[:-1]) & (breaks[start[1:]] == breaks[end[:-1]])
@@ -98,10 +100,12 @@ def _block(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, lang_hash:
     hashes = range_hashes(np.frombuffer(words.buffers()[2], dtype=np.uint8), ends[:-1], ends[1:])
     lang = langs[doc]
     own = mix(hashes[word] + lang_hash[lang])
-    pair = np.zeros(len(own), dtype=np.int32)
     low = np.uint64(buckets - 1)
-    pair[:-1] = (mix(own[:-1] * _NEXT + own[1:]) & low).astype(np.int32)
-    return Block(words.cast(pa.large_string()), word, lang, follows, (own & low).astype(np.int32), pair)
+    bucket = lambda hashes: (hashes & low).astype(np.int32)
+    pair, triple = (np.zeros(len(own), dtype=np.int32) for _ in range(2))
+    pairs = mix(own[:-1] * _NEXT + own[1:])
+    pair[:-1], triple[:-2] = bucket(pairs), bucket(mix(pairs[:-1] * _NEXT + own[2:]))
+    return Block(words.cast(pa.large_string()), word, lang, follows, bucket(own), pair, triple)
 
 
 def _blocks(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[pa.Array, Block]]:
@@ -116,9 +120,26 @@ def _blocks(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[pa.Array, Blo
             yield langs, block
 
 
-def _bucket_counts(texts: DataFrame, options: Options) -> DataFrame:
+def _bit(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _pairs(block: Block, often: np.ndarray) -> np.ndarray:
+    """Whether each word and the next are in a piece and may be a frequent pair."""
+    return block.follows & _bit(often, block.pair)
+
+
+def _triples(pairs: np.ndarray) -> np.ndarray:
+    return pairs & np.append(pairs[1:], False)
+
+
+def _bucket_counts(texts: DataFrame, often: bytes | None, options: Options) -> DataFrame:
+    """Of words and pairs; of triples, if the frequent pairs are given."""
+    sent = texts.sparkSession.sparkContext.broadcast(often)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
+        bits = None if sent.value is None else np.frombuffer(sent.value, dtype=np.uint8)
 
         def counted() -> pa.RecordBatch:
             found, count = np.unique(np.concatenate(held), return_counts=True)
@@ -126,20 +147,20 @@ def _bucket_counts(texts: DataFrame, options: Options) -> DataFrame:
 
         for batch in batches:
             for _, block in _blocks(batch, options.buckets):
-                held += [block.single, block.pair[block.follows]]
-                n += sum(map(len, held[-2:]))
+                held += [block.single, block.pair[block.follows]] if bits is None else [block.triple[_triples(_pairs(block, bits))]]
+                n = sum(map(len, held))
                 if n >= options.keys:
                     yield counted()
-                    held, n = [], 0
+                    held = []
         if held:
             yield counted()
 
     return texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def frequent_buckets(texts: DataFrame, options: Options) -> bytes:
-    """One bit a bucket, set if words and pairs in it occur ``least`` times or more together."""
-    often = _bucket_counts(texts, options).filter(F.col("n") >= options.least)
+def frequent_buckets(texts: DataFrame, options: Options, often: bytes | None = None) -> bytes:
+    """One bit a bucket, set if what is in it occurs ``least`` times or more together; see ``_bucket_counts``."""
+    often = _bucket_counts(texts, often, options).filter(F.col("n") >= options.least)
 
     def pack(rows: pa.Table) -> pa.Table:
         bits = np.zeros(_SEGMENT, dtype=bool)
@@ -154,16 +175,17 @@ def frequent_buckets(texts: DataFrame, options: Options) -> bytes:
     return out.tobytes()
 
 
-def _windows(block: Block, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(block: Block, often: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language, words, count) of the distinct windows; words has a row of ORDER numbers, -1 for padding."""
-    bit = lambda at: (often[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
     n = len(block.word)
-    known, goes_on = bit(block.single), block.follows & bit(block.pair)
+    known, pairs = _bit(often, block.single), _pairs(block, often)
+    # Whether a window goes on to the word after this one, in its second place and in later ones.
+    goes_on = [pairs, np.append(False, (_triples(pairs) & _bit(triples, block.triple))[:-1])]
     code = block.lang * (len(block.words) + 1) + np.where(known, block.word + 1, 0)
     found = [code]
     inside = known
     for k in range(1, ORDER):
-        inside = inside & np.append(goes_on, np.zeros(k, dtype=bool))[k - 1 : k - 1 + n]
+        inside = inside & np.append(goes_on[k > 1], np.zeros(k, dtype=bool))[k - 1 : k - 1 + n]
         if not inside.any():
             break
         rows = np.flatnonzero(inside)
@@ -181,15 +203,16 @@ def _windows(block: Block, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return block.lang[first], words, count
 
 
-def count_windows(texts: DataFrame, often: bytes, options: Options) -> DataFrame:
+def count_windows(texts: DataFrame, often: bytes, triples: bytes, options: Options) -> DataFrame:
     """lang, w1 ... w5, n: the distinct windows, padded with null, and how often they occur."""
-    sent = texts.sparkSession.sparkContext.broadcast(often)
+    context = texts.sparkSession.sparkContext
+    sent = context.broadcast(often), context.broadcast(triples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(sent.value, dtype=np.uint8)
+        bits = [np.frombuffer(s.value, dtype=np.uint8) for s in sent]
         for batch in batches:
             for langs, block in _blocks(batch, options.buckets):
-                lang, words, count = _windows(block, bits)
+                lang, words, count = _windows(block, *bits)
                 columns = [block.words.take(pa.array(words[:, k], mask=words[:, k] < 0)).cast(pa.string()) for k in range(ORDER)]
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)).cast(pa.string()), *columns, pa.array(count.astype(np.int64))], names=["lang", *WORDS, "n"])
 
@@ -237,9 +260,12 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """lang, rank (from 1), phrase, a, l, r, n, score: the first ``top`` phrases of each language."""
     options = options or Options()
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
-    windows = count_windows(texts, frequent_buckets(texts, options), options)
-    phrases = Table(frequent_phrases(Table(windows, "windows").df, options.least), "phrases").df
-    scored = _scored(phrases, options)
+    with small_batches(docs.sparkSession, options.texts):
+        often = frequent_buckets(texts, options)
+        windows = Table(count_windows(texts, often, frequent_buckets(texts, options, often), options), "windows")
+    phrases = Table(frequent_phrases(windows.df, options.least), "phrases")
+    windows.drop()
+    scored = _scored(phrases.df, options)
     order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
     salted = scored.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(options.salts)))
     first = salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= options.top)

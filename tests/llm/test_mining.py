@@ -82,9 +82,10 @@ def test_pruned_windows_are_fewer_and_lose_nothing(spark):
     """Windows end where no frequent phrase can go on; counts of frequent phrases stay as they are with all windows."""
     table = spark.read.parquet(f"{FOLDER}/documents.parquet").select("text", "lang")
     options = collocations.Options(least=20)
-    pruned = collocations.count_windows(table, collocations.frequent_buckets(table, options), options)
-    whole = collocations.count_windows(table, b"\xff" * (options.buckets // 8), options)
-    assert pruned.count() * 5 < whole.count()
+    often, every = collocations.frequent_buckets(table, options), b"\xff" * (options.buckets // 8)
+    pruned = collocations.count_windows(table, often, collocations.frequent_buckets(table, options, often), options)
+    pairs, whole = (collocations.count_windows(table, b, every, options) for b in (often, every))
+    assert pruned.count() < pairs.count() and pairs.count() * 5 < whole.count()
     both = [sorted(map(tuple, collocations.frequent_phrases(w, 20).collect())) for w in (pruned, whole)]
     assert both[0] == both[1]
 
