@@ -72,4 +72,6 @@ def in_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], row_block: i
         is_row = group.column("__row")
         return compare(group.filter(is_row), group.filter(pa.compute.invert(is_row)))
 
-    return both.groupBy(*keys, "__r", "__q").applyInArrow(lambda group: run(group), schema)
+    # Work per byte is high here, so tasks are not joined by their few bytes: a fixed number of partitions, dealt by the group's key.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(tasks, *keys, "__r", "__q").groupBy(*keys, "__r", "__q").applyInArrow(lambda group: run(group), schema)
