@@ -31,7 +31,7 @@ def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
-    """Similarity of each pair, 0 to 1. Letters match within half of the longer length; each takes the first that is free."""
+    """Similarity of each pair, 0 to 1; of empty texts 0. Letters match within half of the longer length; each takes the first free."""
     (a, la), (b, lb) = _letters(left), _letters(right)
     n, at, rows = len(la), np.arange(b.shape[1]), np.arange(len(la))
     window = np.maximum(np.maximum(la, lb) // 2 - 1, 0)[:, None]
@@ -47,7 +47,6 @@ def jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
     moved = ((first(a, hit) != first(b, taken)) & (np.arange(width) < m[:, None])).sum(1) // 2
     some = np.maximum(m, 1)
     jaro = np.where(m > 0, (m / np.maximum(la, 1) + m / np.maximum(lb, 1) + (m - moved) / some) / 3, 0.0)
-    jaro = np.where((la == 0) & (lb == 0), 1.0, jaro)
     head = min(width, PREFIX_MOST)
     same = (a[:, :head] == b[:, :head]) & (np.arange(head) < np.minimum(la, lb)[:, None])
     prefix = np.cumprod(same, axis=1).sum(1) if n else np.zeros(0)
