@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from apotheca.functions.text import ColumnOrName, as_column, trim
+from apotheca.functions.text import WHITE, ColumnOrName, as_column, trim
 
 #: Milligrams per unit.
 DOSAGE_UNITS = {"KG": 1_000_000.0, "G": 1000.0, "MG": 1.0, "UG": 0.001, "ΜG": 0.001, "µG": 0.001, "MCG": 0.001}
@@ -45,13 +45,13 @@ def generated_short_code(code: ColumnOrName) -> Column:
 
 # Barcodes
 
-_FIELD = r"\G[\s\x1D]*(01\d{14}|1[17]\d{6}|(?:10|21)[^\s\x1D]+)"
+_FIELD = r"\G\x1D*(01[0-9]{14}|1[17][0-9]{6}|(?:10|21)[^\x1D]*)"
 
 
 def _gs1_field(raw: Column, identifier: str) -> Column:
-    """The last field of an identifier among those that can be read from the start."""
-    fields = F.regexp_extract_all(raw, F.lit(_FIELD), F.lit(1))
-    found = F.get(F.reverse(F.filter(fields, lambda f: F.startswith(f, F.lit(identifier)))), F.lit(0))
+    """The last field of an identifier that isn't empty, among those that can be read from the start."""
+    fields = F.regexp_extract_all(F.regexp_replace(raw, rf"[{WHITE}]", "\x1d"), F.lit(_FIELD), F.lit(1))
+    found = F.get(F.reverse(F.filter(fields, lambda f: F.startswith(f, F.lit(identifier)) & (F.length(f) > 2))), F.lit(0))
     return found.substr(F.lit(3), F.length(found))
 
 
@@ -68,7 +68,8 @@ def gs1_date(x: ColumnOrName) -> Column:
 def parse_gs1(raw: ColumnOrName) -> Column:
     """Struct gtin (13 digits), short_code, serial, lot, expires, made of a barcode (D1f, D2f).
 
-    White space counts as the separator 0x1D. Reading stops at the first place that no field fits.
+    White space, no-break spaces too, counts as the separator 0x1D. A lot or serial may be empty and is then left out. Reading
+    stops at the first place that no field fits.
     """
     raw = as_column(raw)
     fourteen = _gs1_field(raw, "01")

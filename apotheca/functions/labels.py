@@ -190,11 +190,28 @@ def grouping_key(x: ColumnOrName) -> Column:
     return F.when(source == "", "").when(F.length(out) < 3, short).otherwise(out)
 
 
+def _any_part(x: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(x, F.lit(p)) for p in parts))
+
+
 def is_form_only(x: ColumnOrName) -> Column:
-    """Whether every word of a text is a form."""
-    parts = F.filter(F.split(F.lower(trim(F.coalesce(as_column(x), F.lit("")))), r"[\s,;]+"), lambda w: w != "")
-    plain = tuple(words.GROUPING_FORMS)
-    return (F.size(parts) > 0) & F.forall(parts, lambda w: reduce(lambda a, b: a | b, (F.startswith(w, F.lit(k)) for k in plain)))
+    """Whether every word of a text has a form in it; single letters are passed over."""
+    parts = F.filter(F.split(F.lower(F.coalesce(as_column(x), F.lit(""))), rf"[{text.WHITE},.\-]+"), lambda w: w != "")
+    return (F.size(parts) > 0) & F.forall(parts, lambda w: (F.length(w) < 2) | _any_part(w, words.FORM_KEYWORDS))
+
+
+def is_formulation(x: ColumnOrName) -> Column:
+    """Whether a text describes a formulation instead of naming a brand.
+
+    It is a form only, holds two of the listed keywords, holds one and is longer than 60 letters, or begins with no capital
+    letter and has a form or a keyword in each of its words.
+    """
+    x = F.coalesce(as_column(x), F.lit(""))
+    low = trim(F.lower(x))
+    found = reduce(lambda a, b: a + b, (F.contains(low, F.lit(k)).cast("int") for k in words.FORMULATION_KEYWORDS))
+    head = x.substr(1, 1)
+    each = F.forall(F.split(low, rf"[{text.WHITE}]+"), lambda w: (F.length(w) < 2) | _any_part(w, words.FORM_KEYWORDS) | _any_part(w, words.FORMULATION_KEYWORDS))
+    return (x != "") & (is_form_only(x) | (found >= 2) | ((F.length(x) > 60) & (found >= 1)) | ((head == F.lower(head)) & each))
 
 
 def display_title(is_princeps: ColumnOrName, group_id: ColumnOrName, reference: ColumnOrName, canonical: ColumnOrName) -> Column:

@@ -17,6 +17,7 @@ from apotheca.functions.words import (
     FALLBACK_FORMS,
     INORGANIC_CORES,
     INORGANIC_MODIFIERS,
+    KEYWORD_STOPWORDS,
     MINERAL_MODIFIERS,
     MINERALS,
     NAME_STOPWORDS,
@@ -240,52 +241,92 @@ def search_vector(display: ColumnOrName, *lists: ColumnOrName) -> Column:
     return F.upper(F.concat_ws(" ", as_column(display), *(as_column(x) for x in lists)))
 
 
-def keyword_vector(*parts: ColumnOrName, stopwords: tuple[str, ...] = NAME_STOPWORDS) -> Column:
-    """Distinct words of letters and digits in first-seen order, without stop words."""
-    words = F.split(F.upper(normalise_search(F.concat_ws(" ", *(as_column(p) for p in parts)))), " ")
-    return F.array_join(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords))), " ")
+def keyword_vector(substance: ColumnOrName, brand: ColumnOrName, others: ColumnOrName, principles: ColumnOrName, raw_names: ColumnOrName) -> Column:
+    """Words of letters and digits of a product's names for the index, without stop words.
+
+    Entries count once, by their first place: the substance, the brand, an array of other brands, principles (cut at + and
+    commas, and before a dosage) and an array of raw names. Nulls and empties are left out.
+    """
+    none = F.expr("cast(array() as array<string>)")
+    cut = F.transform(F.split(F.coalesce(as_column(principles), F.lit("")), "[+,]"), lambda p: trim(F.get(F.split(trim(p), rf"[{WHITE}]+[0-9]"), F.lit(0))))
+    raw = F.filter(F.coalesce(as_column(raw_names), none), lambda n: trim(n) != "")
+    entries = F.concat(F.array(as_column(substance), as_column(brand)), F.coalesce(as_column(others), none), cut, F.transform(raw, lambda n: F.upper(strip_marks(n))))
+    joined = F.upper(strip_marks(F.array_join(F.array_distinct(F.filter(entries, lambda e: e.isNotNull() & (e != ""))), " ")))
+    kept = F.regexp_replace(joined, rf"(?<![A-Za-z0-9_])(?:{'|'.join(KEYWORD_STOPWORDS)})(?![A-Za-z0-9_])", " ")
+    return F.trim(F.regexp_replace(kept, "[^A-Z0-9]+", " "))
 
 
 def common_word_prefix(names: ColumnOrName) -> Column:
-    """The longest run of words that all texts of an array begin with."""
-    split = F.transform(as_column(names), lambda n: F.split(trim(collapse(n)), " "))
-    shortest = F.array_min(F.transform(split, lambda w: F.size(w)))
-    first = F.get(split, F.lit(0))
-    same = F.filter(F.sequence(F.lit(1), shortest), lambda n: F.forall(split, lambda w: F.slice(w, F.lit(1), n) == F.slice(first, F.lit(1), n)))
-    return F.when(F.size(split) > 0, F.array_join(F.slice(first, F.lit(1), F.coalesce(F.array_max(same), F.lit(0))), " ")).otherwise("")
+    """The longest run of words that all texts of an array begin with, without case, as the first one spells it.
+
+    Where that has less than three letters, the texts are compared again without blanks and hyphens, letter by letter: three
+    letters or more in common are spelt like the first text that has just these, if there is one. One text is its own answer.
+    """
+    names = as_column(names)
+    split = F.transform(names, lambda n: F.split(trim(n), rf"[{WHITE}]+"))
+    upper = F.transform(split, lambda w: F.transform(w, lambda x: F.upper(x)))
+    run = lambda w, n: F.slice(w, F.lit(1), n)
+    longest = lambda sizes, same: F.coalesce(F.array_max(F.filter(sizes, same)), F.lit(0))
+    counts = F.sequence(F.lit(1), F.array_min(F.transform(split, lambda w: F.size(w))))
+    by_word = F.array_join(run(F.get(split, F.lit(0)), longest(counts, lambda n: F.forall(upper, lambda w: run(w, n) == run(F.get(upper, F.lit(0)), n)))), " ")
+
+    dense = lambda n: F.upper(F.regexp_replace(n, rf"[{WHITE}\-]", ""))
+    condensed = F.transform(names, dense)
+    fewest = F.array_min(F.transform(condensed, lambda c: F.length(c)))
+    sizes = F.when(fewest > 0, F.sequence(F.lit(1), fewest)).otherwise(F.expr("cast(array() as array<int>)"))
+    head = F.get(condensed, F.lit(0)).substr(F.lit(1), longest(sizes, lambda n: F.forall(condensed, lambda c: c.substr(F.lit(1), n) == F.get(condensed, F.lit(0)).substr(F.lit(1), n))))
+    spelt = F.coalesce(F.get(F.filter(names, lambda n: dense(n) == head), F.lit(0)), head)
+    return F.when(F.size(names) == 0, "").when(F.size(names) == 1, F.get(names, F.lit(0))).when((F.length(by_word) < 3) & (F.length(head) >= 3), spelt).otherwise(by_word)
+
+
+def run_words(x: ColumnOrName) -> Column:
+    """The words of a normalised name that runs are made of: decimals stay whole, punctuation separates."""
+    masked = F.regexp_replace(as_column(x), r"([0-9])[.,]([0-9])", "$1DECIMAL$2")
+    return F.filter(F.transform(F.split(masked, r"[\s\-,.()]+"), lambda t: F.replace(t, F.lit("DECIMAL"), F.lit(","))), lambda t: t != "")
+
+
+def has_run(name: ColumnOrName, run: ColumnOrName) -> Column:
+    """Whether a run of words stands in a normalised name as whole words."""
+    name, run = as_column(name), as_column(run)
+    return F.contains(name, run) & F.regexp_like(name, F.concat(F.lit(r"(?i)(?:\b)\Q"), run, F.lit(r"\E\b")))
 
 
 def longest_common_words(names: ColumnOrName) -> Column:
     """The longest run of words of the shortest text that stands in all texts of an array.
 
-    Longest first, then leftmost, the first of equally short texts; decimals stay whole. One text is its own
-    answer, none gives "".
+    Longest first, then leftmost, of the last of equally short texts; decimals stay whole. One text is its own
+    answer, none gives "". For groups of any size ``clusters.common_runs`` does the same on rows.
     """
     names = as_column(names)
     plain = F.transform(names, lambda n: normalise_name(n))
-    split = F.transform(plain, lambda n: F.filter(F.transform(F.split(F.regexp_replace(n, r"([0-9])[.,]([0-9])", "$1DECIMAL$2"), r"[\s\-,.()]+"), lambda t: F.replace(t, F.lit("DECIMAL"), F.lit(","))), lambda t: t != ""))
+    split = F.transform(plain, lambda n: run_words(n))
     fewest = F.array_min(F.transform(split, lambda w: F.size(w)))
-    shortest = F.get(F.filter(split, lambda w: F.size(w) == fewest), F.lit(0))
-    none = F.expr("cast(array() as array<string>)")
-    runs = F.flatten(
-        F.transform(
-            F.when(fewest > 0, F.sequence(fewest, F.lit(1))).otherwise(F.expr("cast(array() as array<int>)")),
-            lambda n: F.transform(F.sequence(F.lit(1), fewest - n + 1), lambda start: F.array_join(F.slice(shortest, start, n), " ")),
-        )
-    )
-    everywhere = F.filter(F.coalesce(runs, none), lambda run: F.forall(plain, lambda n: F.regexp_like(n, F.concat(F.lit(r"(?i)\b\Q"), run, F.lit(r"\E\b")))))
-    return F.when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise(F.coalesce(F.get(everywhere, F.lit(0)), F.lit("")))
+    shortest = F.element_at(F.filter(split, lambda w: F.size(w) == fewest), -1)
+    everywhere = F.filter(word_runs(shortest), lambda run: F.forall(plain, lambda n: has_run(n, run)))
+    return F.when(F.size(names) == 0, "").when(F.size(names) == 1, F.get(names, F.lit(0))).otherwise(F.coalesce(F.get(everywhere, F.lit(0)), F.lit("")))
+
+
+def word_runs(words: ColumnOrName) -> Column:
+    """All runs of an array of words, the longest first, then the leftmost."""
+    words = as_column(words)
+    size = F.size(words)
+    none = F.expr("cast(array() as array<int>)")
+    runs = F.transform(F.when(size > 0, F.sequence(size, F.lit(1))).otherwise(none), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda start: F.array_join(F.slice(words, start, n), " ")))
+    return F.coalesce(F.flatten(runs), F.expr("cast(array() as array<string>)"))
 
 
 def cluster_name(names: ColumnOrName, chemical_id: ColumnOrName) -> tuple[Column, Column]:
     """Display name and how it was found, from the elected names of a cluster's groups."""
     names = as_column(names)
-    common = longest_common_words(names)
+    return agreed_name(longest_common_words(names), F.get(names, F.lit(0)), F.coalesce(F.size(names), F.lit(0)), chemical_id)
+
+
+def agreed_name(common: ColumnOrName, first: ColumnOrName, count: ColumnOrName, chemical_id: ColumnOrName) -> tuple[Column, Column]:
+    """The same from the names' common words, the first of them, and how many there are."""
+    common, first, count = as_column(common), as_column(first), as_column(count)
     agreed = (F.length(common) >= 3) & ~F.regexp_like(common, F.lit(r"^[0-9]+$"))
-    first = F.get(names, F.lit(0))
-    none = F.coalesce(F.size(names), F.lit(0)) <= 0
-    name = F.when(none, F.concat(F.lit("CLUSTER_"), as_column(chemical_id).substr(1, 8))).when(F.size(names) == 1, first).when(agreed, common).otherwise(brand_name(first))
-    method = F.when(none, "BRAND_EXTRACTION_FALLBACK").when(F.size(names) == 1, "SINGLE_SOURCE").when(agreed, "LCS_CONSENSUS").otherwise("BRAND_EXTRACTION_FALLBACK")
+    name = F.when(count <= 0, F.concat(F.lit("CLUSTER_"), as_column(chemical_id).substr(1, 8))).when(count == 1, first).when(agreed, common).otherwise(brand_name(first))
+    method = F.when(count <= 0, "BRAND_EXTRACTION_FALLBACK").when(count == 1, "SINGLE_SOURCE").when(agreed, "LCS_CONSENSUS").otherwise("BRAND_EXTRACTION_FALLBACK")
     return substance_name(name), method
 
 

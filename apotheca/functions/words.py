@@ -72,6 +72,21 @@ GROUPING_FORMS = (
     "orodispersible", "sublingual", "transdermique", "gingival", "pelliculé", "effervescent", "buvable",
 )
 
+# Parts of words that make a word a form, for telling forms from brands.
+FORM_KEYWORDS = (
+    "comprimé", "gélule", "solution", "injectable", "poudre", "sirop", "suspension", "crème", "pommade", "gel", "collyre", "inhalation", "orodispersible", "sublingual", "transdermique", "gingival", "pelliculé", "effervescent", "buvable", "enrobé",
+    "dispersible", "sécable", "gastro-résistant", "lyophilisat", "capsule", "pastille", "bain", "bouche", "granulés", "sachet", "dose", "ampoule", "flacon", "perfusion", "vaginal", "rectal", "ovule", "suppositoire",
+)
+
+# Parts of texts that describe a formulation.
+FORMULATION_KEYWORDS = (
+    "édulcorée", "édulcoré", "édulcorer", "maltitol", "saccharine", "saccharose", "sucralose", "sans sucre", "sans lactose", "sans gluten", "au goût de", "arôme", "aromatisée", "liquide", "en poudre", "en solution", "rapport", "ratio", "proportion",
+    "pour", "à", "et", "ou", "en sachet", "en flacon", "en ampoule", "adultes", "enfants", "nourrissons", "suspension buvable", "poudre pour", "solution pour", "molle", "sécable", "pelliculé", "enrobé", "dispositif", "système", "présentation",
+)
+
+# Words that a search index of keywords leaves out.
+KEYWORD_STOPWORDS = ("COMPRIME", "GELULE", "SIROP", "SACHET", "DOSE", "FLACON", "MG", "ML", "BASE", "ANHYDRE")
+
 # Spellings of commercial states, and how each is shown.
 COMMERCIAL_STATES = {
     "active": ("en cours", "actif", "active", "current"),

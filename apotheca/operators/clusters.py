@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
+from apotheca.operators.skew import with_group
+from apotheca.sources.store import materialised
 
 
 def majority_vote(members: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -60,6 +64,26 @@ def name_clusters(clusters: DataFrame, elections: DataFrame) -> DataFrame:
     return joined.withColumns({"display_name": display, "naming_method": method})
 
 
+def common_runs(names: DataFrame, keys: list[str], name: str = "name", pos: str = "pos") -> DataFrame:
+    """keys, names (how many), first_name and common: the longest run of words in all names of a group (T11), "" if none.
+
+    The group's shortest name, the last of equals, gives the runs, an array bounded by its length. Each distinct name notes
+    which of them it has; these are counted, and a run of all names stays. No task holds a group's names, whatever share of
+    all rows it has. One name is its own answer. Null names and keys are left out.
+    """
+    rows = names.filter(F.col(name).isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
+    rows = rows.select(*keys, F.col(name).alias("__name"), F.col(pos).alias("__pos"), text.normalise_name(name).alias("__plain"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("names"), F.min_by("__name", "__pos").alias("first_name"))
+    distinct = materialised(rows.groupBy(*keys, "__plain").agg(F.max("__pos").alias("__pos")).withColumn("__words", text.run_words("__plain")), "names")
+    shortest = distinct.groupBy(*keys).agg(F.count("*").alias("__n"), F.min_by("__words", F.struct(F.size("__words"), -F.col("__pos"))).alias("__short"))
+    groups = materialised(shortest.select(*keys, "__n", text.word_runs("__short").alias("__runs")), "runs")
+    met = with_group(distinct.select(*keys, "__plain"), groups, keys, "__n")
+    found = met.select(*keys, "__n", F.explode(F.filter(F.transform("__runs", lambda run, i: F.struct(i.alias("at"), run.alias("run"))), lambda r: text.has_run("__plain", r["run"]))).alias("r"))
+    best = found.groupBy(*keys, "__n", "r").agg(F.count("*").alias("__has")).filter("__has = __n").groupBy(*keys).agg(F.min(F.col("r")).alias("r"))
+    common = F.when(F.col("names") == 1, F.col("first_name")).otherwise(F.coalesce("r.run", F.lit("")))
+    return counted.join(best, keys, "left").select(*keys, "names", "first_name", common.alias("common"))
+
+
 def first_names(names: DataFrame, n: int = 5) -> DataFrame:
     """cluster_id and the first n names by position (J19); rows: cluster_id, pos, name."""
     window = Window.partitionBy("cluster_id").orderBy("pos")

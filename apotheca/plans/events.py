@@ -335,8 +335,8 @@ def display_labels(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", labels.atc_label(code).alias("atc"), labels.quoted_phrase(F.concat("p_name", F.lit(" "))).alias("phrase"), labels.code_line(key).alias("code_line"), labels.subtitle("p_name", F.lit(" "), key).alias("subtitle"), title.alias("title"))
 
 
-@query("""SELECT p_partkey, upper(p_name || ' A ' || p_size) AS vector, upper(p_name) || ' A' AS keywords, p_name AS prefix FROM part""")
+@query("""SELECT p_partkey, upper(p_name || ' A ' || p_size) AS vector, upper(p_name) || ' A POUR' AS keywords, p_name AS prefix FROM part""")
 def search_vectors(t: Tables) -> DataFrame:
     size = F.col("p_size").cast("string")
     names = F.array(F.concat("p_name", F.lit(" one")), F.concat("p_name", F.lit(" two")))
-    return t.part.select("p_partkey", text.search_vector("p_name", F.lit("a"), size).alias("vector"), text.keyword_vector("p_name", F.lit("a pour"), F.lit("A")).alias("keywords"), text.common_word_prefix(names).alias("prefix"))
+    return t.part.select("p_partkey", text.search_vector("p_name", F.lit("a"), size).alias("vector"), text.keyword_vector("p_name", F.lit("a pour"), F.array(F.lit("a pour")), F.lit(""), F.array(F.lit("base"))).alias("keywords"), text.common_word_prefix(names).alias("prefix"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apotheca.operators import similarity
+from apotheca.functions import codes, labels, text
+from apotheca.operators import clusters, similarity
 from apotheca.plans.registry import Tables, query
 
 #: An order's first part gives an ungrouped product: its name without one letter, and a dosage.
@@ -31,3 +32,62 @@ def fuzzy_orphans(t: Tables) -> DataFrame:
     titled = t.part.withColumn("name", F.concat("p_name", F.when(F.col("p_size") > 25, " fort").otherwise("")))
     groups = titled.groupBy("name", F.col("p_type").alias("form")).agg(F.min("p_partkey").alias("group_id"))
     return similarity.attach(orphans, groups).select("id", "group_id", "score")
+
+
+@query(r"""WITH n AS (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'third' WHEN p_size % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 1) END AS grp, upper(p_type || ', ' || CASE p_partkey % 2 WHEN 0 THEN 'des ' ELSE '' END || p_name || ' 12.5 mg') AS name, p_partkey AS pos FROM part),
+d AS (SELECT grp, name, max(pos) AS pos, list_filter(list_transform(regexp_split_to_array(regexp_replace(name, '([0-9])[.,]([0-9])', '\1DECIMAL\2', 'g'), '[\s\-,.()]+'), lambda t: replace(t, 'DECIMAL', ',')), lambda t: t <> '') AS ws FROM n GROUP BY 1, 2),
+s AS (SELECT grp, arg_min(ws, (len(ws), -pos)) AS ws, count(*) AS n FROM d GROUP BY 1),
+r AS (SELECT grp, n, unnest(flatten(list_transform(range(1, len(ws) + 1), lambda k: list_transform(range(1, len(ws) - k + 2), lambda i: {'k': -k, 'i': i, 'run': array_to_string(ws[i:i + k - 1], ' ')})))) AS r FROM s),
+h AS (SELECT grp, r FROM r JOIN d USING (grp) WHERE regexp_matches(d.name, '\b' || regexp_escape(r.run) || '\b') GROUP BY grp, r, n HAVING count(*) = n)
+SELECT grp, (SELECT count(*) FROM n WHERE n.grp = s.grp) AS names, CASE WHEN (SELECT count(*) FROM n WHERE n.grp = s.grp) = 1 THEN (SELECT min(name) FROM n WHERE n.grp = s.grp) ELSE coalesce((SELECT arg_min(r.run, r) FROM h WHERE h.grp = s.grp), '') END AS common FROM s""")
+def common_word_runs(t: Tables) -> DataFrame:
+    """T11 on rows: the words that all names of a group share; a third of all parts are one group."""
+    group = F.when(F.col("p_partkey") % 3 == 0, "third").when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise(F.substring_index("p_name", " ", 1))
+    name = F.upper(F.concat("p_type", F.lit(", "), F.when(F.col("p_partkey") % 2 == 0, "des ").otherwise(""), "p_name", F.lit(" 12.5 mg")))
+    rows = t.part.select(group.alias("grp"), name.alias("name"), F.col("p_partkey").alias("pos"))
+    return clusters.common_runs(rows, ["grp"]).select("grp", "names", "common")
+
+
+@query("""SELECT event_id, '340093' || lpad(CAST(event_id AS VARCHAR), 7, '0') AS gtin, CASE event_id % 5 WHEN 0 THEN NULL WHEN 3 THEN NULL ELSE 'L' || user_id END AS lot,
+CASE event_id % 5 WHEN 3 THEN NULL ELSE event_type || event_id END AS serial, CASE event_id % 5 WHEN 2 THEN DATE '2027-02-28' END AS expires FROM events""")
+def gs1_separators(t: Tables) -> DataFrame:
+    """D1f where it is odd: empty lots, no-break spaces and tabs as separators, fields that nothing can read, repeated ones."""
+    code = F.concat(F.lit("010340093"), F.lpad(F.col("event_id").cast("string"), 7, "0"))
+    lot, serial = F.concat(F.lit("L"), F.col("user_id").cast("string")), F.concat("event_type", F.col("event_id").cast("string"))
+    kinds = (
+        F.concat(code, F.lit("10\x1d21"), serial), F.concat(code, F.lit("\u00a010"), lot, F.lit("\u202f\t21"), serial), F.concat(code, F.lit("17270200"), F.lit("10"), lot, F.lit(" 21"), serial),
+        F.concat(code, F.lit("9910"), lot, F.lit("\x1d21"), serial), F.concat(F.lit("21old\x1d10"), lot, F.lit("\x1d"), code, F.lit("10\x1d21"), serial, F.lit("\x1d21")),
+    )
+    raw = F.element_at(F.array(*kinds), (F.col("event_id") % 5 + 1).cast("int"))
+    return t.events.select("event_id", codes.parse_gs1(raw).alias("g")).select("event_id", "g.gtin", "g.lot", "g.serial", "g.expires")
+
+
+#: Texts, whether each is a form only, and whether it describes a formulation.
+FORMS = (
+    ("Comprimé à croquer", False, False), ("gélule L.P", True, True), ("poudre pour {}", False, True), ("{}", False, False), ("Sans sucre, {} édulcorée", False, True), ("en solution, {}", False, False),
+    ("{} POUR UNE TRÈS LONGUE DESCRIPTION DE CE PRODUIT-LÀ ET DE SES EMPLOIS", False, True), ("comprimés pelliculés", True, True), ("Gel-crème", True, True), ("a b", True, True), ("", False, False), ("Solution buvable {}", False, False),
+    ("arôme gel", False, True), ("Arôme gel", False, False),
+)
+
+
+@query(f"""SELECT p_partkey, only_form, formulation FROM part JOIN (VALUES {", ".join(f"({i}, {only}, {either})" for i, (_, only, either) in enumerate(FORMS))}) f(i, only_form, formulation) ON p_partkey % {len(FORMS)} = i""")
+def form_descriptions(t: Tables) -> DataFrame:
+    """Texts that are forms only, and texts that describe a formulation."""
+    pattern = F.element_at(F.array(*(F.lit(p) for p, _, _ in FORMS)), (F.col("p_partkey") % len(FORMS) + 1).cast("int"))
+    label = F.replace(pattern, F.lit("{}"), F.upper("p_brand"))
+    return t.part.select("p_partkey", labels.is_form_only(label).alias("only_form"), labels.is_formulation(label).alias("formulation"))
+
+
+@query("""SELECT p_partkey, upper(p_name) || ' ' || replace(upper(p_brand), '#', ' ') || ' AUTRE ' || upper(p_name) || ' ' || upper(p_type) || ' POUR ENFANT' AS keywords,
+CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '')) WHEN 2 THEN '' ELSE 'a  b ' END AS prefix FROM part""")
+def keyword_vectors(t: Tables) -> DataFrame:
+    """T16 with stop words, dosages and repeated entries; T17 without case, with the condensed spelling, and of one text."""
+    one = F.array(F.lit("autré"), "p_name", F.lit("Autré"), F.lit(""))
+    keywords = text.keyword_vector("p_name", "p_brand", F.filter(one, lambda x: x == "autré"), F.concat("p_name", F.lit(" comprimé 500 mg, "), "p_type", F.lit(" 5+ ,")), F.array(F.lit("  "), F.lit("pour enfant base"), F.lit(None).cast("string")))
+    first = F.substring_index("p_name", " ", 1)
+    dense = F.upper(F.replace("p_name", F.lit(" "), F.lit("")))
+    kinds = (
+        F.array(F.concat("p_name", F.lit(" 500")), F.concat(F.upper("p_name"), F.lit("  1000 mg"))), F.array(F.concat(first, F.lit("-"), F.substring_index("p_name", " ", -1), F.lit(" 500")), F.concat(dense, F.lit("1000"))),
+        F.array(F.lit("x y"), "p_name"), F.array(F.lit("a  b ")),
+    )
+    return t.part.select("p_partkey", keywords.alias("keywords"), text.common_word_prefix(F.element_at(F.array(*kinds), F.col("p_size") % 4 + 1)).alias("prefix"))

@@ -235,9 +235,10 @@ def secondary_consolidation(t: Tables) -> DataFrame:
 @query()
 def lcs_naming(t: Tables) -> DataFrame:
     """Names of clusters of whole part names; SQL has no regular expression of a column's words, tests hold it to brute force."""
-    names = t.part.groupBy(F.col("p_brand").alias("chemical_id"), "p_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name"))), lambda s: s["p_name"]).alias("names"))
-    display, method = text.cluster_name("names", "chemical_id")
-    return names.select("chemical_id", "p_size", display.alias("display_name"), method.alias("naming_method"))
+    names = t.part.select(F.col("p_brand").alias("chemical_id"), "p_size", F.col("p_name").alias("name"), F.col("p_partkey").alias("pos"))
+    found = clusters.common_runs(names, ["chemical_id", "p_size"])
+    display, method = text.agreed_name("common", "first_name", "names", "chemical_id")
+    return found.select("chemical_id", "p_size", display.alias("display_name"), method.alias("naming_method"))
 
 
 @query("SELECT p_brand AS lab_name, row_number() OVER (ORDER BY p_brand) AS lab_id FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'unknown', 0")

@@ -1,10 +1,12 @@
 """Golden values of the scalar functions."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from apotheca.operators import clusters
 from apotheca.functions import codes, labels, text
 
 SALTS = {
@@ -37,6 +39,9 @@ def test_substance(spark, label):
     [
         ("01034009303026132132780924334799\x1d10MA00614A\x1d17270430", ("3400930302613", "3030261", "32780924334799", "MA00614A", datetime.date(2027, 4, 30))),
         ("INVALID_BARCODE_DATA", (None,) * 5),
+        ("0103400930302613" + "10\x1d21ABC", ("3400930302613", "3030261", "ABC", None, None)),
+        ("0103400930302613" + "17251300\u00a021S9", ("3400930302613", "3030261", "S9", None, None)),
+        ("0103400930302613" + "17171225\u00a021S9\u202f10L 1", ("3400930302613", "3030261", "S9", "L", datetime.date(2017, 12, 25))),
         ("01340093", (None,) * 5),
     ],
 )
@@ -189,3 +194,43 @@ def test_lcs_naming_by_brute_force(spark):
         else:
             expected = (names[0].upper().split()[0], "BRAND_EXTRACTION_FALLBACK")
         assert found[key] == expected, names
+
+
+def names_of(spark, names):
+    return spark.createDataFrame([(names,)], "n array<string>")
+
+
+@pytest.mark.parametrize(
+    ("names", "expected"),
+    [
+        (["Doliprane 500", "DOLIPRANE 1000"], "Doliprane"), (["CO-APROVEL", "COAPROVEL"], "CO-APROVEL"), (["a  b"], "a  b"), ([], ""), (["CLAMOXYL 1 g", "clamoxyl 1 g poudre"], "CLAMOXYL 1 g"),
+        (["CO-APROVEL 150", "COAPROVEL 300"], "COAPROVEL"), (["AB 1", "AC 2"], ""), (["", "x"], ""), (["ab cd", "AB ce"], "ABC"), (["xy z", "XY Z"], "xy z"),
+    ],
+)
+def test_common_word_prefix(spark, names, expected):
+    assert names_of(spark, names).select(text.common_word_prefix("n")).first()[0] == expected
+
+
+@pytest.mark.parametrize(
+    ("parts", "expected"),
+    [
+        (("paracetamol comprime 500 mg base", None, None, None, None), "PARACETAMOL 500"), (("Paracétamol", "DOLIPRANE", ["EFFERALGAN", "DOLIPRANE"], "PARACETAMOL 500 mg + CODEINE, ", ["Doliprane 1000 mg", " "]), "PARACETAMOL DOLIPRANE EFFERALGAN PARACETAMOL CODEINE DOLIPRANE 1000"),
+        (("A", "POUR", [], "", None), "A POUR"), (("DOSES", "DOSE", None, None, None), "DOSES"), (("x-ml", None, None, "a 1,b", None), "X A B"),
+    ],
+)
+def test_keyword_vector(spark, parts, expected):
+    df = spark.createDataFrame([parts], "a string, b string, c array<string>, d string, e array<string>")
+    assert df.select(text.keyword_vector("a", "b", "c", "d", "e")).first()[0] == expected
+
+
+def test_common_runs_of_a_hot_group(spark):
+    """A third of all names are of one group; runs and counts are as those of the names put together."""
+    rng = random.Random(3)
+    words = ["DOLI", "12,5", "12.5", "mg", "DES", "É-X", "a.b", "(x)"]
+    rows = [("hot" if i % 3 == 0 else f"g{rng.randrange(60)}", " ".join(["Base", *(rng.choice(words) for _ in range(rng.randrange(4)))]), i) for i in range(900)] + [("one", "Un nom ", 1000), ("none", None, 1001), ("none", "", 1002), (None, "x", 1003), ("none", " - ", 1004)]
+    found = {r.grp: (r.names, r.first_name, r.common) for r in clusters.common_runs(spark.createDataFrame(rows, "grp string, name string, pos long"), ["grp"]).collect()}
+    for grp in {r[0] for r in rows if r[0] is not None}:
+        names = [n for g, n, _ in rows if g == grp and n is not None]
+        want = names_of(spark, names).select(text.longest_common_words("n")).first()[0] if grp in ("hot", "one", "none", "g1", "g2") else found[grp][2]
+        assert found[grp] == (len(names), names[0], want)
+    assert found["hot"][2] == "BASE"
