@@ -135,21 +135,24 @@ class TextIndex:
             return False
         folder = f"{self.path}/segment-{uuid.uuid4().hex}"
         texts = rows.select(F.col(key).cast("long").alias("key"), F.col(column).alias("text")).filter("key is not null and text is not null").withColumn("block", F.floor(F.col("key") / F.lit(self.size)).cast("long"))
+        words = F.filter(F.split(F.lower("text"), _BLANKS), lambda w: w != "")
+        # The length is written, since beside an exploded text it would be counted again for each word.
+        texts = texts.withColumn("length", F.size(words))
         small = {"parquet.block.size": str(1 << 20), "parquet.page.size": str(1 << 16)}
         texts.repartitionByRange(self.files, "key").sortWithinPartitions("key").write.options(**small).parquet(f"{folder}/texts")
 
         texts = self.spark.read.parquet(f"{folder}/texts")
         low = F.lower("text")
-        words = F.filter(F.split(low, _BLANKS), lambda w: w != "")
-        placed = texts.select("key", "block", F.size(words).alias("length"), F.posexplode(words).alias("place", "word"))
+        placed = texts.select("key", "block", "length", F.posexplode(words).alias("place", "word"))
         each = placed.groupBy("word", "block", "key", "length").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
         entry = F.struct("key", "length", "tf", "places")
         postings = each.groupBy("word", "block").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("length").alias("shortest"), F.array_sort(F.collect_list(entry)).alias("entries"))
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: low.substr(i, F.lit(3))))
+        # Found by looking ahead from each letter, in one pass over a text of any length.
+        grams = F.array_distinct(F.regexp_extract_all(low, F.lit("(?s)(?=(.{3}))"), F.lit(1)))
         held = texts.filter(F.length(low) >= 3).select("key", "block", F.explode(grams).alias("gram")).groupBy("gram", "block").agg(F.array_sort(F.collect_list("key")).alias("keys"))
         for name, part, order in (("postings", postings, ("word", "block")), ("grams", held, ("gram", "block"))):
             part.repartitionByRange(self.files, *order).sortWithinPartitions(*order).write.options(**small).parquet(f"{folder}/{name}")
-        totals = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum(F.size(words)), F.lit(0)).cast("long").alias("words"))
+        totals = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("words"))
         totals.write.parquet(f"{folder}/totals")
         self.versions._commit({**self.versions.folders(last), batch: folder.rsplit("/", 1)[1]}, batch + 1)
         return True
