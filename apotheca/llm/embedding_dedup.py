@@ -26,6 +26,7 @@ vector and label are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,10 +42,11 @@ from apotheca.llm.scratch import Table, with_class
 
 @dataclass(frozen=True)
 class Options:
-    """cosine: links are at least this. cell: vectors of the largest label per cell that k-means aims at."""
+    """cosine: links are at least this. cell: vectors of the largest label, n of them, per cell that k-means aims at; by default
+    n ** (2 / 3), so cells are n ** (1 / 3) at every size."""
 
     cosine: float = 0.93
-    cell: int = 4096
+    cell: int | None = None
     block: int = 2048
     sample: int = 20_000
     most_cells: int = 1024
@@ -155,12 +157,12 @@ def vector_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     classes = rows.filter(usable).groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     classes = Table(classes.withColumn("size", F.size("vector")), "vectors").df
 
-    # Only lengths of which a label has more vectors than a cell holds: at most a row for so many vectors.
-    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n")).filter(F.col("n") > options.cell)
+    # A row for each length that vectors have.
+    sizes = classes.groupBy("label", "size").agg(F.count("*").alias("n")).groupBy("size").agg(F.max("n").alias("n"))
     counts = {r["size"]: r["n"] for r in sizes.orderBy("size").collect()}
     centroids = {}
     for size, n in counts.items():
-        cells = min(-(-n // options.cell), options.most_cells)
+        cells = min(-(-n // options.cell) if options.cell else math.ceil(n ** (1 / 3) - 1e-9), options.most_cells)
         if cells > 1:
             taken = classes.filter(F.col("size") == size).orderBy(F.xxhash64("id"), "id").limit(options.sample).select("vector").toArrow()
             centroids[size] = spherical_kmeans(_matrix(taken.column(0)), cells, options)

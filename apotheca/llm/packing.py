@@ -2,11 +2,12 @@
 
 A document's ids are cut into pieces: full sequences first, then halves, quarters and eighths of a sequence as
 they fit, and a rest shorter than an eighth. A piece of length n belongs to the reciprocal class
-k = capacity // n (at most ``classes``), and a bin of class k is filled with exactly k pieces, so no search is
+k = capacity // n, and a bin of class k is filled with exactly k pieces, so no search is
 needed and every worker fills its own bins. Halves, quarters and eighths fill their bins without a gap; a rest
 wastes at most capacity / k - n.
 
-When a worker's input ends, it holds fewer than k pieces of each class k, a bounded number. They are laid end to end
+When a worker's input ends, it holds fewer than k pieces of each class k, less than a sequence for each of at most
+2 * sqrt(capacity) classes. They are laid end to end
 and cut into full sequences, and what remains into sequences whose lengths are powers of two, so that they
 need no padding.
 
@@ -110,8 +111,8 @@ def cut(n: int, capacity: int) -> list[int]:
 class Worker:
     """The open bins of one worker."""
 
-    def __init__(self, capacity: int, classes: int, first_sequence: int):
-        self.capacity, self.classes, self.sequence = capacity, classes, first_sequence
+    def __init__(self, capacity: int, first_sequence: int):
+        self.capacity, self.sequence = capacity, first_sequence
         self.open: dict[int, list[Piece]] = {}
 
     def _close(self, pieces: list[Piece]) -> list[tuple[Piece, int, int]]:
@@ -126,7 +127,7 @@ class Worker:
         """Take a document; the placed pieces (piece, sequence, offset) of the bins that this fills."""
         out, start, total = [], 0, len(ids) // 4
         for length in cut(total, self.capacity):
-            k = min(self.capacity // length, self.classes)
+            k = self.capacity // length
             bin_ = self.open.setdefault(k, [])
             bin_.append((doc_id, start, length, total, ids[4 * start : 4 * (start + length)]))
             start += length
@@ -154,7 +155,7 @@ class Worker:
         return out
 
 
-def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, classes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     path: a tokenizer file that every executor has. end_id follows each document. One narrow pass.
@@ -178,7 +179,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 2048, end_id: int
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = Worker(capacity, classes, TaskContext.get().partitionId() << 40)
+        worker = Worker(capacity, TaskContext.get().partitionId() << 40)
         id_type = None
         for batch in batches:
             id_type = batch.schema.field(0).type

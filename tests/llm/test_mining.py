@@ -252,3 +252,33 @@ def test_structured_texts_are_not_copies(spark):
     assert groups == {1: (1, True), 2: (2, True), 3: (3, True)}
     assert {r.doc_id: r.n_dup_lines for r in quality_rules.repetition_stats(docs).collect()} == {1: 0, 2: 0, 3: 1}
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 1), (2, 12), (1, 40), (20, 40), (33, 90), (300, 600)])
+def test_short_documents_are_packed_with_little_padding(low, high):
+    from apotheca.llm.packing import Worker
+
+    rng, worker = random.Random(1), Worker(2048, 0)
+    lengths = [rng.randint(low, high) for _ in range(20_000)]
+    placed = [x for i, n in enumerate(lengths) for x in worker.add(i, bytes(4 * n))] + worker.finish()
+    held = Counter()
+    for piece, sequence, offset in placed:
+        assert offset == held[sequence]
+        held[sequence] += piece[2]
+    assert sum(held.values()) == sum(lengths)
+    padding = sum(2048 - n for n in held.values() if n & (n - 1))
+    assert padding < 0.05 * sum(lengths)
+
+
+def test_cells_decide_at_every_size(spark):
+    """k-means makes several cells of the given tables' labels, and they spare most of the pairs of clustered vectors."""
+    from apotheca.llm import embedding_dedup
+
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(20, 32))
+    vectors = centres[rng.integers(0, 20, 2000)] + 0.02 * rng.normal(size=(2000, 32))
+    options = embedding_dedup.Options()
+    centroids = embedding_dedup.spherical_kmeans(vectors, math.ceil(2000 ** (1 / 3)), options)
+    row, cell, home = embedding_dedup.cells_of(vectors, centroids, options)
+    at_home, visits = np.bincount(cell[home], minlength=len(centroids)), np.bincount(cell, minlength=len(centroids))
+    assert len(centroids) == 13 and (at_home * visits).sum() < 0.25 * 2000**2
