@@ -79,9 +79,14 @@ def toggled(changes: DataFrame, key: str) -> DataFrame:
 
 
 def mark_duplicates(scans: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Scans with outcome added for the first of a box and duplicate for the others (M9)."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return scans.withColumn("outcome", F.when(rank == 1, "added").otherwise("duplicate"))
+    """Scans with outcome added for the first of a box and duplicate for the others (M9).
+
+    Null boxes are a box too; of scans equal in order one is the first. Firsts are aggregated, on the map side first, and met by an
+    id of the row, which no two rows share, so a box of any number of scans is many tasks.
+    """
+    numbered = materialised(scans.withColumn("__id", F.monotonically_increasing_id()), "scans")
+    firsts = numbered.groupBy(*keys).agg(F.min(F.struct(*order, "__id")).alias("__at")).select("__at.__id", F.lit(True).alias("__is_first"))
+    return numbered.join(firsts, "__id", "left").select(*scans.columns, F.when(F.col("__is_first"), "added").otherwise("duplicate").alias("outcome"))
 
 
 def add_unique_boxes(scans: DataFrame, box: list[str], item: str, order: list[str]) -> DataFrame:

@@ -58,19 +58,22 @@ def full_refresh(t: Tables) -> DataFrame:
     return store.current(t.spark, place)
 
 
-@query(f"""SELECT table_name, column_name, CAST(ordinal_position - 1 AS INTEGER) AS position, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' OR data_type LIKE 'DECIMAL%' THEN 'double' ELSE 'String' END AS app_type
-FROM information_schema.columns WHERE table_name IN ({', '.join(f"'{n}'" for n in TABLES)})""")
+#: A union over the tables, and the non-null values of each of their columns.
+COUNTS = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in TABLES)
+FILLED = " UNION ALL ".join(f"SELECT '{n}' AS table_name, column_name, filled FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {n}) ON COLUMNS(*) INTO NAME column_name VALUE filled)" for n in TABLES)
+
+
+@query(f"""SELECT table_name, column_name, CAST(ordinal_position - 1 AS INTEGER) AS position, CASE WHEN data_type IN ('BIGINT', 'INTEGER') THEN 'int' WHEN data_type = 'DOUBLE' OR data_type LIKE 'DECIMAL%' THEN 'double' ELSE 'String' END AS app_type, filled
+FROM information_schema.columns JOIN ({FILLED}) USING (table_name, column_name)""")
 def schema_catalog(t: Tables) -> DataFrame:
-    """S12, S15."""
-    return store.schema_report(t.spark, {name: getattr(t, name) for name in TABLES}).select("table_name", "column_name", "position", "app_type")
+    """Columns of all tables, and how many values they hold."""
+    return store.schema_report({name: getattr(t, name) for name in TABLES}).select("table_name", "column_name", "position", "app_type", "filled")
 
 
-@query(f"""SELECT name AS table_name, name IN ({', '.join(f"'{n}'" for n in TABLES)}) AS there FROM (VALUES {', '.join(f"('{n}')" for n in (*store.REFERENCE_TABLES, *store.VIEW_TABLES, *TABLES))}) v(name)""")
+@query(f"""SELECT name AS table_name, n, CASE WHEN n IS NULL THEN 'missing' WHEN n = 0 THEN 'empty' ELSE 'ready' END AS state FROM (VALUES {', '.join(f"('{n}')" for n in (*store.REFERENCE_TABLES, *store.VIEW_TABLES, *TABLES))}) v(name) LEFT JOIN ({COUNTS}) c ON name = table_name""")
 def integrity_check(t: Tables) -> DataFrame:
-    """Of all tables that are asked for, which are there."""
-    there = {name: getattr(t, name) for name in TABLES}
-    missing = store.missing_tables(there)
-    return t.spark.createDataFrame([(n, n not in missing) for n in (*store.REFERENCE_TABLES, *store.VIEW_TABLES, *TABLES)], "table_name string, there boolean")
+    """All tables that are asked for, counted; the catalogue's own are missing in this folder."""
+    return store.check_integrity(store.opened(t.spark, t.folder, (*store.REFERENCE_TABLES, *store.VIEW_TABLES, *TABLES)))
 
 
 @query("SELECT p_brand, count(*) AS n, sum(o_totalprice) > 0 AS sold FROM part LEFT JOIN lineitem ON p_partkey = l_partkey LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")

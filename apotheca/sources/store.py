@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,20 +120,49 @@ def run_query(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql)
 
 
-def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name and n of each table, counted in one job."""
-    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()))
+def opened(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame | None]:
+    """Tables of a folder by name, None for those that aren't there or have no schema."""
+    found: dict[str, DataFrame | None] = {}
+    for name in names:
+        try:
+            found[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+        except AnalysisException:
+            found[name] = None
+    return found
 
 
-def missing_tables(tables: dict[str, DataFrame]) -> list[str]:
+def row_counts(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """table_name and n of each table, counted in one job; n is null for a table that isn't there."""
+    there = {name: df for name, df in tables.items() if df is not None}
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in there.items()]
+    absent = [name for name in tables if name not in there]
+    if absent:
+        spark = SparkSession.active()
+        counts.append(spark.createDataFrame([(name, None) for name in absent], "table_name string, n long"))
+    return reduce(DataFrame.unionByName, counts)
+
+
+def missing_tables(tables: dict[str, DataFrame | None]) -> list[str]:
     """Which of the tables that must be there are not."""
-    return [name for name in (*REFERENCE_TABLES, *VIEW_TABLES) if name not in tables]
+    return [name for name in (*REFERENCE_TABLES, *VIEW_TABLES) if tables.get(name) is None]
+
+
+def check_integrity(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """table_name, n and state of each table: missing, empty or ready, by its counted rows."""
+    state = F.when(F.col("n").isNull(), "missing").when(F.col("n") == 0, "empty").otherwise("ready")
+    return row_counts(tables).withColumn("state", state)
+
+
+def schema_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, column_name, position, sql_type, app_type, nullable and filled (values that aren't null) of every column."""
 
+    def columns(name: str, df: DataFrame) -> DataFrame:
+        fixed = lambda i, f: {"table_name": name, "column_name": f.name, "position": i, "sql_type": f.dataType.simpleString(), "app_type": app_type(f.dataType), "nullable": f.nullable}
+        quoted = lambda f: F.col("`" + f.name.replace("`", "``") + "`")
+        cells = [F.struct(*(F.lit(v).alias(k) for k, v in fixed(i, f).items()), F.count(quoted(f)).alias("filled")) for i, f in enumerate(df.schema)]
+        return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
-def schema_report(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """table_name, column_name, position, sql_type, app_type, nullable of every column."""
-    rows = [(name, f.name, i, f.dataType.simpleString(), app_type(f.dataType), f.nullable) for name, df in tables.items() for i, f in enumerate(df.schema)]
-    return spark.createDataFrame(rows, "table_name string, column_name string, position int, sql_type string, app_type string, nullable boolean")
+    return reduce(DataFrame.unionByName, (columns(name, df) for name, df in tables.items()))
 
 
 def app_type(kind: T.DataType) -> str:

@@ -1,17 +1,18 @@
 """Readers of the catalogue's tab-separated files: typed rows with a stable position, and the rejected lines.
 
-Positions matter, for many rules take the first row. A position grows with the order of the lines of a file;
-write it out once, so that it stays the same for all later steps.
+Positions matter, for many rules take the first row. A position is the number of a line over all files, so it doesn't depend on
+how files are cut into splits or splits into tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apotheca.functions import codes, labels, text
+from apotheca.sources.store import materialised
 
 
 @dataclass(frozen=True)
@@ -26,10 +27,21 @@ class Parsed:
 
 
 def lines(spark: SparkSession, path: str, charset: str = "UTF-8") -> DataFrame:
-    """pos and value of the lines that aren't blank; .gz files are read as they are."""
+    """pos and value of the lines that aren't blank; .gz files are read as they are.
+
+    pos counts lines from 0 over all files in the order of their paths, blank ones too. Lines are written once with their place in
+    the split they come from; splits are counted, put in order of path and offset, and each moves its lines by what is before it.
+    One task sees a row per split; no line is shuffled unless these rows outgrow a broadcast.
+    """
     reader = spark.read.option("encoding", charset)
     read = reader.text(path) if charset.upper() == "UTF-8" else reader.option("sep", chr(0)).option("quote", "").csv(path, schema="value string")
-    return read.select(F.monotonically_increasing_id().alias("pos"), "value").filter(text.nonblank("value").isNotNull())
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    written = materialised(read.select("value", *split, F.monotonically_increasing_id().alias("__at")), "lines")
+    splits = written.groupBy("__file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    earlier = Window.orderBy("__file", "__start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")
+    moves = materialised(splits.select("__file", "__start", shift.alias("__shift")), "splits")
+    return written.filter(text.nonblank("value").isNotNull()).join(moves, ["__file", "__start"]).select((F.col("__at") + F.col("__shift")).alias("pos"), "value")
 
 
 def records(source: DataFrame, names: list[str], exact: bool = True, raw: bool = False) -> Parsed:

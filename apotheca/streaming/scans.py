@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from apotheca.operators.catalogue import ranked
 from apotheca.sources.store import materialised
 
 #: Fixed value: microseconds beyond any time.
@@ -162,11 +163,21 @@ def run_stream(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def debounce(changes: DataFrame, key: str, ts: str, value: str, millis: int, tie: str) -> DataFrame:
-    """The last value of every burst, once nothing has changed for so long (ST9)."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    after = F.lead(micros).over(Window.partitionBy(key).orderBy(ts, tie)) - micros
-    return changes.withColumn("__after", after).filter(F.coalesce(F.col("__after") >= millis * 1000, F.lit(True))).select(key, ts, value, tie)
+def debounce(changes: DataFrame, key: str, ts: str, value: str, millis: int, tie: str, chunk: int = 65_536) -> DataFrame:
+    """The last value of every burst, once nothing has changed for so long (ST9).
+
+    Changes are numbered in the order of key and time over all tasks and cut into chunks of equal size. A change meets the next one
+    of its chunk, and the last of a chunk the first of the next chunk; no task holds more of a key than a chunk.
+    """
+    columns = [key, ts, value, tie]
+    here = F.struct(F.col(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"))
+    numbered = ranked(changes.select(*dict.fromkeys(columns)), [key, ts, tie], "__place").withColumn("__chunk", F.floor((F.col("__place") - 1) / chunk)).withColumn("__here", here)
+    firsts = numbered.groupBy("__chunk").agg(F.min_by("__here", "__place").alias("__beyond")).withColumn("__chunk", F.col("__chunk") - 1)
+    within = F.lead("__here").over(Window.partitionBy("__chunk").orderBy("__place"))
+    met = numbered.withColumn("__within", within).join(firsts, "__chunk", "left").withColumn("__next", F.coalesce("__within", "__beyond"))
+    same = F.col("__next").isNotNull() & F.col("__next.key").eqNullSafe(F.col("__here.key"))
+    after = F.when(same, F.col("__next.at") - F.col("__here.at"))
+    return met.filter(F.coalesce(after >= millis * 1000, F.lit(True))).select(*columns)
 
 
 def debounce_stream(changes: DataFrame, key: str, ts: str, value: str, gap: str, lateness: str) -> DataFrame:

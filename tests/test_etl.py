@@ -85,9 +85,44 @@ def test_charsets_and_arity(spark, tmp_path):
 
 
 def test_schema_report(spark, built):
-    rows = {(r.column_name, r.app_type) for r in store.schema_report(spark, {"placed": built.placed}).collect()}
+    rows = {(r.column_name, r.app_type) for r in store.schema_report({"placed": built.placed}).collect()}
     assert {("cis", "String"), ("is_homeopathic", "bool"), ("pos", "int")} <= rows
     assert "specialites" in store.missing_tables({})
+    odd = spark.createDataFrame([(1, None), (None, None)], "`a.b` int, `c``d` string")
+    assert {r.column_name: r.filled for r in store.schema_report({"odd": odd}).collect()} == {"a.b": 1, "c`d": 0}
+
+
+def test_counts_go_on_without_a_table(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "specialites.parquet"))
+    spark.range(0).write.parquet(str(tmp_path / "medicaments.parquet"))
+    (tmp_path / "laboratories.parquet").mkdir()
+    tables = store.opened(spark, str(tmp_path), ["specialites", "medicaments", "laboratories", "none"])
+    found = {r.table_name: (r.n, r.state) for r in store.check_integrity(tables).collect()}
+    assert found == {"specialites": (3, "ready"), "medicaments": (0, "empty"), "laboratories": (None, "missing"), "none": (None, "missing")}
+    assert "specialites" not in store.missing_tables(tables) and "laboratories" in store.missing_tables(tables)
+    assert store.row_counts({"none": None}).collect() == [("none", None)]
+
+
+def test_positions_follow_files(spark, tmp_path):
+    """A small file before a large one of many splits, blank lines between; the same positions however files are cut."""
+    expected, at = {}, 0
+    for name, n in (("a.tsv", 3), ("b.tsv", 900), ("c.tsv", 0), ("d.tsv", 40)):
+        rows = ["" if i % 7 == 3 else f"{name}\t{i}" for i in range(n)]
+        (tmp_path / name).write_text("".join(r + "\n" for r in rows))
+        expected |= {at + i: r for i, r in enumerate(rows) if r}
+        at += n
+    settings = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(s) for s in settings]
+    try:
+        for size, cost in (("300", "0"), ("1777", "10"), ("128m", "4m")):
+            for setting, to in zip(settings, (size, cost), strict=True):
+                spark.conf.set(setting, to)
+            assert {r.pos: r.value for r in tsv.lines(spark, str(tmp_path)).collect()} == expected
+            latin = sorted(tsv.lines(spark, str(tmp_path), "ISO-8859-1").collect())
+            assert [r.value for r in latin] == list(expected.values())
+    finally:
+        for setting, to in zip(settings, before, strict=True):
+            spark.conf.set(setting, to)
 
 
 def test_refresh_and_json(spark, tmp_path):
@@ -199,6 +234,30 @@ def test_cooldown_hot_key(spark, span):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 1000])
+def test_debounce_hot_key(spark, chunk):
+    """A key with most of the changes is cut into chunks; no window is by key."""
+    rng = random.Random(chunk)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), i, rng.randint(0, 4000) if rng.random() < 0.98 else None, f"v{i}") for i in range(1500)]
+    expected, following = set(), {}
+    for key, i, t, value in sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[1]), reverse=True):
+        if key not in following or t is None or following[key] - t >= 5:
+            expected.add((key, value))
+        following[key] = t
+    df = spark.createDataFrame(rows, "k string, i int, s int, v string").withColumn("t", F.timestamp_seconds("s")).repartition(5)
+    found = scans.debounce(df, "k", "t", "v", 5000, "i", chunk)
+    assert {(r.k, r.v) for r in found.collect()} == expected and found.columns == ["k", "t", "v", "i"]
+
+
+def test_duplicates_of_hot_null_and_tied_boxes(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot"] * 8 + ["a", None]), rng.choice([None, 1, 1, 2, 3])) for _ in range(900)]
+    found = stock.mark_duplicates(spark.createDataFrame(rows, "box string, t int").repartition(5), ["box"], ["t"])
+    added = [(r.box, r.t) for r in found.collect() if r.outcome == "added"]
+    assert sorted(added, key=str) == [("a", None), ("hot", None), (None, None)] and found.count() == len(rows)
+    assert "Window" not in found._jdf.queryExecution().toString()
+
+
 def test_window_streams_plan(spark, tmp_path):
     rows = [("a", "2024-01-01 00:00:00", "x"), ("a", "2024-01-01 00:00:00", "x"), ("a", "2024-01-01 00:10:00", "y")]
     df = spark.createDataFrame(rows, "k string, t string, v string").withColumn("t", F.col("t").cast("timestamp"))
