@@ -108,6 +108,18 @@ def status_flags(commercial: ColumnOrName, availability: ColumnOrName, expires:
     )
 
 
+def prescription_flags(condition: ColumnOrName) -> Column:
+    """The flags that a condition of prescription sets, in order; none for a null one."""
+    plain = F.lower(F.coalesce(as_column(condition), F.lit("")))
+    return F.array_compact(F.array(*(F.when(F.regexp_like(plain, F.lit(pattern)), flag) for flag, pattern in words.PRESCRIPTION_FLAGS.items())))
+
+
+def availability(code: ColumnOrName) -> Column:
+    """The state of availability that a code stands for; null for another code."""
+    states = F.create_map(*(F.lit(x) for pair in words.AVAILABILITY.items() for x in pair))
+    return F.try_element_at(states, trim(as_column(code)))
+
+
 def flag_map(**flags: ColumnOrName) -> Column:
     """Regulatory flags by name as booleans; null counts as false."""
     return F.create_map(*(x for name, c in flags.items() for x in (F.lit(name), F.coalesce(as_column(c).cast("boolean"), F.lit(False)))))

@@ -131,3 +131,18 @@ ATC_LEVEL_1 = {
     "J": "Anti-infectieux", "L": "Antinéoplasiques", "M": "Muscles et Squelette", "N": "Système nerveux", "P": "Antiparasitaires",
     "R": "Système respiratoire", "S": "Organes sensoriels", "V": "Divers",
 }
+
+# Routes of administration by group, and which group may be merged into which (from, to).
+ROUTE_GROUPS = {
+    "SYSTEMIC": ("ORALE", "SUBLINGUALE", "PER OS", "INTRAVEINEUSE", "INTRAMUSCULAIRE", "SOUS-CUTANEE", "RECTALE"),
+    "LOCAL": ("CUTANEE", "DERMIQUE", "NASALE", "OPHTALMIQUE", "OTIQUE", "RECTALE", "VAGINALE"),
+    "EXTERNAL": ("INHALATION", "TRANSDERMIQUE"),
+}
+ROUTE_MERGES = (("SYSTEMIC", "SYSTEMIC"), ("LOCAL", "LOCAL"), ("EXTERNAL", "EXTERNAL"), ("SYSTEMIC", "LOCAL"), ("LOCAL", "SYSTEMIC"), ("EXTERNAL", "LOCAL"))
+
+# Conditions of prescription by flag, as patterns without case; states of availability by code.
+PRESCRIPTION_FLAGS = {
+    "LIST_1": r"liste\s+i\b", "LIST_2": r"liste\s+ii\b", "NARCOTIC": "stupéfiant", "HOSPITAL": "hospitalier",
+    "DENTAL": "dentaire", "EXCEPTION": "d'exception", "RESTRICTED": "restreinte",
+}
+AVAILABILITY = {"1": "Rupture de stock", "2": "Tension d'approvisionnement", "3": "Arrêt de commercialisation", "4": "Remise à disposition"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apotheca.functions import labels
+
 #: Short names that are right.
 SHORT_NAMES = ("ZINC", "FER", "EAU", "GEL", "AIR", "SEL")
 
@@ -59,3 +61,12 @@ def cluster_metrics(clusters: DataFrame) -> DataFrame:
 def exists(rows: DataFrame, condition: Column) -> DataFrame:
     """One row: whether any row meets a condition (A36); one row is enough for each task."""
     return rows.filter(condition).limit(1).agg((F.count("*") > 0).alias("found"))
+
+
+def cluster_flags(members: DataFrame, conditions: DataFrame) -> DataFrame:
+    """cluster_id, flag and products: a flag of any member's condition is its cluster's, with how many members have it.
+
+    members: cluster_id, cis. conditions: cis, condition, any number a product. Flags are made distinct per product first.
+    """
+    flags = conditions.select("cis", F.explode(labels.prescription_flags("condition")).alias("flag")).distinct()
+    return members.select("cluster_id", "cis").distinct().join(flags, "cis").groupBy("cluster_id", "flag").agg(F.count("*").alias("products"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import codes, labels, text
-from apotheca.operators import clusters, fulltext, similarity
+from apotheca.operators import aliases, clusters, fulltext, quality, similarity, subclusters
 from apotheca.plans.registry import Tables, query
+from apotheca.sources import tsv
 from apotheca.sources.store import shared_folder
 
 #: An order's first part gives an ungrouped product: its name without one letter, and a dosage.
@@ -96,6 +97,87 @@ def keyword_vectors(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", keywords.alias("keywords"), text.common_word_prefix(F.element_at(F.array(*kinds), F.col("p_size") % 4 + 1)).alias("prefix"))
 
 
+#: A part's name ends in a dosage of one of its line items, spelt in one of four ways, of no line item, or in none.
+ENDS = ("{} mg", "{}mg", "{},0 mg", "1{} MG ", " {}.0 mg")
+
+
+@query("""WITH d AS (SELECT l_partkey AS cis, CAST(l_quantity AS BIGINT) AS q, l_orderkey, l_linenumber FROM lineitem), f AS (SELECT cis, arg_min(q, (l_orderkey, l_linenumber)) AS q FROM d GROUP BY 1),
+p AS (SELECT p_partkey AS cis, p_brand AS chemical_id, lower(p_type) AS form, upper(split_part(p_name, ' ', 2)) || coalesce(CASE p_partkey % 6 WHEN 0 THEN ' ' || q || ' mg' WHEN 1 THEN ' ' || q || 'mg' WHEN 2 THEN ' ' || q || ',0 mg' WHEN 3 THEN ' 1' || q || ' MG ' WHEN 4 THEN '  ' || q || '.0 mg' END, '') AS name FROM part LEFT JOIN f ON p_partkey = cis),
+m AS (SELECT DISTINCT chemical_id, form, q FROM p JOIN d USING (cis)), v AS (SELECT chemical_id, form, unnest([q || ' mg', q || 'mg', q || ',0 mg', q || ',0mg', q || '.0 mg', q || '.0mg']) AS v FROM m),
+n AS (SELECT DISTINCT chemical_id, form, name FROM p), h AS (SELECT chemical_id, form, name, max(length(v)) AS cut FROM n JOIN v USING (chemical_id, form) WHERE ends_with(' ' || lower(trim(name)), ' ' || v) GROUP BY 1, 2, 3),
+c AS (SELECT p.*, CASE WHEN cut IS NULL THEN trim(name) ELSE trim(left(trim(name), length(trim(name)) - cut)) END AS brand FROM p LEFT JOIN h USING (chemical_id, form, name)),
+w AS (SELECT chemical_id, form, brand, count(*) AS votes, min(cis) AS pos FROM c GROUP BY 1, 2, 3), b AS (SELECT chemical_id, form, arg_max(brand, (votes, -pos)) AS brand, max(votes) AS votes FROM w GROUP BY 1, 2)
+SELECT chemical_id, form, brand, votes, count(*) OVER (PARTITION BY chemical_id, brand) AS merged_forms FROM b""")
+def form_subclusters(t: Tables) -> DataFrame:
+    """Brands of parts by form without the dosages of their line items, and the forms that one brand joins."""
+    quantity = F.col("l_quantity").cast("long").cast("string")
+    lines = t.lineitem.select(F.col("l_partkey").alias("cis"), quantity.alias("q"), "l_orderkey", "l_linenumber")
+    first = lines.groupBy("cis").agg(F.min_by("q", F.struct("l_orderkey", "l_linenumber")).alias("q"))
+    ends = F.element_at(F.array(*(F.lit(f" {e}") for e in ENDS), F.lit("")), (F.col("cis") % (len(ENDS) + 1) + 1).cast("int"))
+    stem = F.upper(F.element_at(F.split("p_name", " "), 2))
+    parts = t.part.select(F.col("p_partkey").alias("cis"), F.col("p_brand").alias("chemical_id"), F.col("p_type").alias("shape"), "p_name").join(first, "cis", "left")
+    named = parts.withColumn("name", F.concat(stem, F.coalesce(F.replace(ends, F.lit("{}"), F.col("q")), F.lit(""))))
+    placed = subclusters.by_form(named.select("cis", "shape", "name"), named.select("cis", "chemical_id"))
+    mask = subclusters.dosage_mask(placed, lines.select("cis", F.concat("q", F.lit(" mg")).alias("dosage")))
+    chosen = subclusters.representatives(placed.select("chemical_id", "subcluster_id", "name", F.col("cis").alias("pos")), subclusters.without_dosages(placed, mask))
+    forms = placed.select("subcluster_id", "form").distinct()
+    return subclusters.merged(chosen).join(forms, "subcluster_id").select("chemical_id", "form", "brand", "votes", "merged_forms")
+
+
+@query("""WITH RECURSIVE c AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN ['SYSTEMIC'] WHEN 1 THEN ['LOCAL'] WHEN 2 THEN ['EXTERNAL'] ELSE ['SYSTEMIC', 'LOCAL'] END AS routes, [chr(CAST(65 + p_partkey % 2 AS INTEGER)) || '0' || p_partkey % 3, 'C0' || p_size % 5 || CASE WHEN p_size > 9 THEN 'AB' ELSE '' END] AS atc, p_partkey % 7 = 1 AS bridged FROM part),
+a AS (SELECT id AS alias, CASE WHEN id < 6 THEN (id + 1) % 6 ELSE id // 2 END AS target FROM c WHERE id % 11 <> 7),
+l AS (SELECT alias, target FROM a JOIN c s ON alias = s.id JOIN c e ON target = e.id WHERE alias < 6 OR ((list_has_any(s.routes, e.routes) OR (list_has_any(s.routes, ['SYSTEMIC', 'EXTERNAL']) AND list_contains(e.routes, 'LOCAL')) OR (list_contains(s.routes, 'LOCAL') AND list_contains(e.routes, 'SYSTEMIC')))
+  AND (list_has_any(list_transform(s.atc, lambda x: x[:3]), list_transform(e.atc, lambda x: x[:3])) OR (e.bridged AND len(list_filter(list_concat(s.atc, e.atc), lambda x: x[1] NOT IN ('A', 'C'))) = 0)))),
+w AS (SELECT alias, target AS stop FROM l UNION SELECT w.alias, l.target FROM w JOIN l ON w.stop = l.alias), r AS (SELECT w.alias, coalesce(min(stop) FILTER (l.alias IS NULL), min(stop)) AS root FROM w LEFT JOIN l ON w.stop = l.alias GROUP BY 1)
+SELECT p_partkey, coalesce(root, p_partkey) AS cluster FROM part LEFT JOIN r ON alias = p_partkey""")
+def cluster_aliases(t: Tables) -> DataFrame:
+    """Parts that are other parts by chains of renames, one of them a cycle, where routes and codes let each pair merge."""
+    routes = F.element_at(F.array(F.array(F.lit("orale")), F.array(F.lit("nasale")), F.array(F.lit("inhalation")), F.array(F.lit("rectale"))), F.col("p_size") % 4 + 1)
+    code = F.concat(F.chr(F.lit(65) + F.col("p_partkey") % 2), F.lit("0"), (F.col("p_partkey") % 3).cast("string"))
+    low = F.concat(F.lit("C0"), (F.col("p_size") % 5).cast("string"), F.when(F.col("p_size") > 9, "AB").otherwise(""))
+    bridges = F.when(F.col("p_partkey") % 7 == 1, F.array(F.lit("A"), F.lit("C")))
+    known = t.part.select(F.col("p_partkey").alias("cluster_id"), aliases.route_groups(F.array_join(routes, " ; ")).alias("routes"), F.array(code, low).alias("atc"), bridges.alias("bridges"))
+    id_ = F.col("p_partkey")
+    renames = t.part.filter(id_ % 11 != 7).select(id_.alias("alias"), F.when(id_ < 6, (id_ + 1) % 6).otherwise(F.floor(id_ / 2)).alias("target"))
+    merges = renames.filter("alias < 6").unionByName(aliases.allowed(renames.filter("alias >= 6"), known))
+    return aliases.canonical(t.part.select("p_partkey", id_.alias("cluster")), aliases.resolve(merges), "cluster")
+
+
+#: Conditions of prescription, and the flags that they set.
+CONDITIONS = (
+    ("liste I", "LIST_1"), ("Liste  II", "LIST_2"), ("STUPÉFIANTS, liste I", "LIST_1,NARCOTIC"), ("usage hospitalier", "HOSPITAL"), ("cabinet dentaire ; médicament d'exception", "DENTAL,EXCEPTION"),
+    ("prescription restreinte", "RESTRICTED"), ("listes i", ""), ("", ""),
+)
+
+
+def _conditions(t: Tables) -> DataFrame:
+    """Line items' parts with a condition that hangs on the order, from lines of the file of conditions."""
+    condition = F.element_at(F.array(*(F.lit(c) for c, _ in CONDITIONS)), (F.least(F.col("l_orderkey") % 61, F.lit(len(CONDITIONS) - 1)) + 1).cast("int"))
+    cells = F.array(F.lpad(F.col("l_partkey").cast("string"), 8, "0"), condition)
+    return tsv.conditions(t.lineitem.select(F.col("l_orderkey").alias("pos"), F.array_join(cells, "\t").alias("value"))).rows
+
+
+@query(f"""WITH f(i, flags) AS (VALUES {", ".join(f"({i}, '{flags}')" for i, (_, flags) in enumerate(CONDITIONS))}), s AS (SELECT DISTINCT l_partkey, unnest(string_split(flags, ',')) AS flag FROM lineitem JOIN f ON least(l_orderkey % 61, {len(CONDITIONS) - 1}) = i),
+g AS (SELECT p_brand || p_type AS cluster_id, flag, count(*) AS products FROM part JOIN s ON p_partkey = l_partkey WHERE flag <> '' GROUP BY ALL)
+SELECT cluster_id, flag, products FROM g""")
+def prescription_flags(t: Tables) -> DataFrame:
+    """Flags of conditions of prescription; one product's flag is its whole cluster's."""
+    placed = t.part.select(F.concat("p_brand", "p_type").alias("cluster_id"), F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("cis"))
+    return quality.cluster_flags(placed, _conditions(t))
+
+
+@query("""WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN lpad(CAST(o_custkey AS VARCHAR), 8, '0') ELSE '' END AS cis, CASE WHEN o_orderkey % 3 = 0 THEN '34009' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') ELSE '' END AS cip13, left(o_orderpriority, 1) AS code, o_orderdate FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT cis, cip13, arg_max(CASE code WHEN '1' THEN 'Rupture de stock' WHEN '2' THEN 'Tension d''approvisionnement' WHEN '3' THEN 'Arrêt de commercialisation' WHEN '4' THEN 'Remise à disposition' ELSE 'own words' END, o_orderkey) AS state, arg_max(strftime(o_orderdate, '%d/%m/%Y'), o_orderkey) AS since FROM a GROUP BY 1, 2""")
+def availability_states(t: Tables) -> DataFrame:
+    """The last state of availability of each product or package, from lines of the file of shortages; others name neither."""
+    asked = F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey") % 3)
+    cis, cip = F.when(asked != 0, F.lpad(F.col("o_custkey").cast("string"), 8, "0")), F.when(asked == 0, F.concat(F.lit("34009"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")))
+    cells = [F.coalesce(c, F.lit("")) for c in (cis, cip, F.concat(F.lit(" "), F.substring("o_orderpriority", 1, 1)), F.lit("own words"), F.date_format("o_orderdate", "dd/MM/yyyy"))]
+    lines = t.orders.select(F.col("o_orderkey").alias("pos"), F.array_join(F.array(*cells), "\t").alias("value"))
+    last = F.max_by(F.struct("state", "since"), "pos").alias("a")
+    return tsv.availability(lines).rows.groupBy("cis", "cip13").agg(last).select("cis", "cip13", "a.state", "a.since")
+
+
 WORDS = r"w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL)"
 
 

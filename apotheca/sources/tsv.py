@@ -102,3 +102,14 @@ def compositions(source: DataFrame) -> Parsed:
     """Composition rows need 8 cells; "0" and blank links are independent."""
     columns = {"cis": _cell(0), "element": _cell(1), "code": _cell(2), "substance": _cell(3), "dosage": _cell(4), "reference": _cell(5), "nature": _cell(6), "link": F.when(_cell(7).isin("", "0"), "").otherwise(_cell(7))}
     return _cut(source, 8, columns, F.length("cis") > 0)
+
+
+def conditions(source: DataFrame) -> Parsed:
+    """Conditions of prescription need a product id and 2 cells; a product may have several."""
+    return _cut(source, 2, {"cis": _cell(0), "condition": _cell(1)}, F.length("cis") == 8)
+
+
+def availability(source: DataFrame) -> Parsed:
+    """States of availability need 4 cells and the id of a product, of a package, or both; the state of an unknown code is its label."""
+    columns = {"cis": F.coalesce(_cell(0), F.lit("")), "cip13": F.coalesce(_cell(1), F.lit("")), "state": F.coalesce(labels.availability(_cell(2)), _cell(3)), "since": _cell(4), "until": _cell(5)}
+    return _cut(source, 4, columns, (F.length("cis") == 8) | (F.length("cip13") == 13))
