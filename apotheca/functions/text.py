@@ -1,12 +1,14 @@
 """Text normalisers of the catalogue: each takes a column or its name and returns a column.
 
-All are built-in Spark functions, so they stay inside whole-stage code generation. Null gives null unless said
+All are built-in Spark functions. Long chains of rewrites bind what they use more than once, so that plans stay small
+enough to be compiled. Null gives null unless said
 otherwise. White space is Unicode's, which Java's \\s alone is not.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -52,6 +54,11 @@ _MARKED, _PLAIN = _accent_table()
 LIGATURES = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss", "ø": "o", "Ø": "O", "ł": "l", "Ł": "L"}
 
 
+def bound(x: ColumnOrName, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(as_column(x)), use), F.lit(0))
+
+
 def trim(x: ColumnOrName) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(as_column(x), rf"^[{WHITE}]+|[{WHITE}]+$", "")
@@ -134,20 +141,16 @@ def _word_before_pivot(name: Column, shape: Column) -> Column:
 
 def subtract_shape(name: ColumnOrName, shape: ColumnOrName) -> Column:
     """A product name without its form: up to the first ", ", else the form's last place, else its main word."""
-    n, s = normalise_product(name), normalise_product(F.coalesce(as_column(shape), F.lit("")))
-    comma, at = F.instr(n, F.lit(", ")), _last_index(n, s)
-    return F.when(comma > 0, trim(_before(n, comma - 1))).when(at >= 0, _without_tail(_before(n, at))).otherwise(F.coalesce(_word_before_pivot(n, s), n))
+    cut = lambda n, s, at: F.when(at >= 0, _without_tail(_before(n, at))).otherwise(F.coalesce(_word_before_pivot(n, s), n))
+    by_shape = lambda n: bound(normalise_product(F.coalesce(as_column(shape), F.lit(""))), lambda s: bound(_last_index(n, s), lambda at: cut(n, s, at)))
+    return bound(normalise_product(name), lambda n: F.when(F.contains(n, F.lit(", ")), trim(F.substring_index(n, ", ", 1))).otherwise(by_shape(n)))
 
 
 def clean_fallback_label(label: ColumnOrName) -> Column:
     """The brand of a group label: after the last " - ", up to ", " or the first listed form found."""
+    ends = ("(.*?), ", *(f"(.*) {form}" for form in FALLBACK_FORMS))
     n = normalise_name(F.element_at(F.split(as_column(label), " - "), -1))
-    comma = F.instr(n, F.lit(", "))
-    out = F.when(comma > 0, trim(_before(n, comma - 1)))
-    for form in FALLBACK_FORMS:
-        at = _last_index(n, F.lit(f" {form}"))
-        out = out.when(at >= 0, trim(_before(n, at)))
-    return out.otherwise(n)
+    return trim(F.regexp_replace(n, rf"(?s)^(?:{'|'.join(ends)}).*$", "".join(f"${i + 1}" for i in range(len(ends)))))
 
 
 def brand_name(name: ColumnOrName) -> Column:
@@ -206,21 +209,21 @@ def index_principle(x: ColumnOrName) -> Column:
     through their list, and a pure inorganic name ends the chain at once.
     """
     n = F.upper(strip_accents(trim(F.upper(F.coalesce(as_column(x), F.lit(""))))))
-    n = _rewritten(n, ((r"^ACIDE\s+", ""), (r"^\(\s*[RS]\s*\)\s*-\s*(.+)$", "$1")))
-    inverse = r"^([A-Z0-9\-]+)\s*\(\s*([^()]+?)\s+DE\s*\)$"
-    core, salt = F.regexp_extract(n, inverse, 1), trim(F.regexp_replace(F.regexp_extract(n, inverse, 2), r"\s+(?:DE|D['’])\s*$", ""))
-    n = F.when(core == "", n).when(core.isin(*ELECTROLYTES), salt).otherwise(core)
-    m = _rewritten(n, PRINCIPLE_NOISE)
-    m = trim(F.regexp_replace(m, rf"^(?:{'|'.join(p if p.endswith("'") else rf'{p}(?= |$)' for p in SALT_PREFIXES)})\s*", ""))
-    m = _rewritten(m, tuple(rule for mineral in MINERALS for rule in ((rf"\s+(?:DE\s+|D['’]){mineral}$", ""), (rf"^{mineral}\s+(?:DE\s+|D['’])", ""))))
+    salt_of = r"\s*\(\s*([^()]+?)"
+    inverse = ((rf"^(?:{'|'.join(ELECTROLYTES)}){salt_of}(?:\s+(?:DE|D['’]))?\s+DE\s*\)$", "$1"), (rf"^([A-Z0-9\-]+){salt_of}\s+DE\s*\)$", "$1"))
+    n = _rewritten(n, ((r"^ACIDE\s+", ""), (r"^\(\s*[RS]\s*\)\s*-\s*(.+)$", "$1"), *inverse))
+    return bound(n, lambda n: trim(collapse(F.when(is_pure_inorganic(n), n).otherwise(_index_rewrites(n)))))
+
+
+def _index_rewrites(n: Column) -> Column:
+    minerals = ((rf"\s+(?:DE\s+|D['’]){m}$|^{m}\s+(?:DE\s+|D['’])[{WHITE}]*", "") for m in MINERALS)
+    prefixes = "|".join(p if p.endswith("'") else rf"{p}(?= |$)" for p in SALT_PREFIXES)
     # In one pass, what stands further left comes later in the list.
-    m = trim(F.regexp_replace(m, "".join(rf"(?:\s* {suffix})?" for suffix in reversed(dict.fromkeys(SALT_SUFFIXES))) + "$", ""))
-    m = _rewritten(m, ((r"\s*\([A-Z]+\s+D[E'’].*\)$", ""), (rf"\s*\((?:{'|'.join(SALT_SUFFIXES)})\)", "")))
-    omega = F.replace(F.regexp_extract(m, "OMEGA[- ]?3", 0), F.lit(" "), F.lit("-"))
-    m = F.when(F.contains(m, F.lit("OMEGA-3")) | F.contains(m, F.lit("OMEGA 3")), omega).otherwise(m)
-    m = F.when(F.regexp_like(m, F.lit("(?s)^(?=.*CALCITONINE).*(?:SAUMON|SALMINE|SYNTHETIQUE)")), "CALCITONINE").otherwise(m)
-    m = _rewritten(_rewritten(m, PRINCIPLE_SPELLINGS), PRINCIPLE_LAST)
-    return trim(collapse(F.when(is_pure_inorganic(n), n).otherwise(m)))
+    suffixes = "".join(rf"(?:\s* {suffix})?" for suffix in reversed(dict.fromkeys(SALT_SUFFIXES)))
+    salts = ((suffixes + "$", ""), (r"\s*\([A-Z]+\s+D[E'’].*\)$", ""), (rf"\s*\((?:{'|'.join(SALT_SUFFIXES)})\)", ""))
+    omega = ((r"(?s)^(?=.*OMEGA[- ]3).*?(OMEGA[- ]?3).*$", "$1"), (r"^OMEGA 3$", "OMEGA-3"))
+    calcitonin = (r"(?s)^(?=.*CALCITONINE).*(?:SAUMON|SALMINE|SYNTHETIQUE).*$", "CALCITONINE")
+    return _rewritten(n, (*PRINCIPLE_NOISE, (rf"^(?:{prefixes})\s*", ""), *minerals, *salts, *omega, calcitonin, *PRINCIPLE_SPELLINGS, *PRINCIPLE_LAST))
 
 
 def common_principles(x: ColumnOrName) -> Column:
@@ -315,14 +318,8 @@ def word_runs(words: ColumnOrName) -> Column:
     return F.coalesce(F.flatten(runs), F.expr("cast(array() as array<string>)"))
 
 
-def cluster_name(names: ColumnOrName, chemical_id: ColumnOrName) -> tuple[Column, Column]:
-    """Display name and how it was found, from the elected names of a cluster's groups."""
-    names = as_column(names)
-    return agreed_name(longest_common_words(names), F.get(names, F.lit(0)), F.coalesce(F.size(names), F.lit(0)), chemical_id)
-
-
 def agreed_name(common: ColumnOrName, first: ColumnOrName, count: ColumnOrName, chemical_id: ColumnOrName) -> tuple[Column, Column]:
-    """The same from the names' common words, the first of them, and how many there are."""
+    """Display name of a cluster and how it was found, from its elected names' common words, the first name, and how many there are."""
     common, first, count = as_column(common), as_column(first), as_column(count)
     agreed = (F.length(common) >= 3) & ~F.regexp_like(common, F.lit(r"^[0-9]+$"))
     name = F.when(count <= 0, F.concat(F.lit("CLUSTER_"), as_column(chemical_id).substr(1, 8))).when(count == 1, first).when(agreed, common).otherwise(brand_name(first))

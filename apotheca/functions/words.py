@@ -109,7 +109,7 @@ ELECTROLYTES = ("SODIUM", "POTASSIUM", "CALCIUM", "MAGNESIUM", "LITHIUM", "ZINC"
 # Rewrites of principles for the search index, each applied once and in this order: noise before salts are taken off,
 # spellings after, and noise again.
 PRINCIPLE_NOISE = (
-    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE$", ""), (r"\s*,?\s*FORME PULVERULENTE,$", ""), (r"\s*,?\s*FORME PULVERULENTE \.$", ""),
+    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE(?:,| \.)?$", ""),
     (r"\s*,?\s*LIQUIDE$", ""), (r"^(.*?)CONCENTRAT DE\s+", "$1"), (r",\s*FORME PULVERULENTE\s*$", ""), (r"^SOLUTION DE\s+", ""), (r",\s*SOLUTION DE\s*$", ""),
     (r"\s+BETADEX-CLATHRATE\s*$", ""), (r"\s+PROPYLENE GLYCOLATE\s*$", ""), (r"\s*\([^)]*\)\s*$", ""),
 )
@@ -121,7 +121,7 @@ PRINCIPLE_SPELLINGS = (
     (r"^(?=.*BENZYLIQUE)(.*?)DICHLORO-2,4", "$1DICHLORO"), (r"^(.*?)DICHLORO\s+BENZYLIQUE", "$1DICHLOROBENZYLIQUE"), (r"^PHOSPHATE MONOSODIQUE$", "PHOSPHATE"),
 )
 PRINCIPLE_LAST = (
-    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE\s*$", ""), (r"\s*,?\s*FORME PULVERULENTE,\s*$", ""), (r"\s*,?\s*FORME PULVERULENTE \.\s*$", ""),
+    (r"^SOLUTION DE \s*", ""), (r"^CONCENTRAT DE \s*", ""), (r"\s*,?\s*FORME PULVERULENTE(?:,| \.)?\s*$", ""),
     (r"\s*,?\s*LIQUIDE\s*$", ""), (r"^(.*?)\(CONCENTRAT\s+DE\)", "$1"), (r"[,\s]+$", ""),
 )
 

@@ -38,34 +38,25 @@ def cluster_key(prefix: str) -> Column:
     return F.concat(F.lit(prefix), F.upper(F.substring(F.md5("chemical_id"), 1, 12)))
 
 
-def super_clusters(members: DataFrame, votes: DataFrame) -> DataFrame:
-    """chemical_id, cluster_id, group_ids and distinct member ids, both in first-seen order: the catalogue's own rows.
+def name_clusters(memberships: DataFrame, elections: DataFrame) -> DataFrame:
+    """chemical_id, cluster_id, groups, products, display_name and naming_method of every cluster.
 
-    A row holds its cluster's lists, as the source's does; ``memberships`` is the same as rows.
+    The elected names of a cluster's groups stay rows, whatever their number.
     """
-    groups = members.groupBy("group_id").agg(F.min("pos").alias("first")).join(votes.select("group_id", "chemical_id"), "group_id")
-    lists = groups.groupBy("chemical_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "group_id"))), lambda g: g["group_id"]).alias("group_ids"))
-    placed = members.join(votes.select("group_id", "chemical_id"), "group_id").groupBy("chemical_id", "cis").agg(F.min("pos").alias("first"))
-    products = placed.groupBy("chemical_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "cis"))), lambda m: m["cis"]).alias("cis_ids"))
-    return lists.join(products, "chemical_id").withColumn("cluster_id", cluster_key("SCL_"))
-
-
-def name_clusters(clusters: DataFrame, elections: DataFrame) -> DataFrame:
-    """Clusters with elected_names in group order, display_name and naming_method."""
-    names = (
-        clusters.select("chemical_id", F.posexplode("group_ids").alias("at", "group_id"))
-        .join(elections.select("group_id", "winner_name"), "group_id")
-        .filter(F.coalesce("winner_name", F.lit("")) != "")
-        .groupBy("chemical_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "winner_name"))), lambda n: n["winner_name"]).alias("elected_names"))
-    )
-    joined = clusters.join(names, "chemical_id", "left").withColumn("elected_names", F.coalesce("elected_names", F.expr("cast(array() as array<string>)")))
-    display, method = text.cluster_name("elected_names", "chemical_id")
-    return joined.withColumns({"display_name": display, "naming_method": method})
+    counts = memberships.groupBy("chemical_id", "cluster_id").agg(F.count_if(F.col("kind") == "group").alias("groups"), F.count_if(F.col("kind") == "product").alias("products"))
+    common = common_runs(elected_names(memberships, elections), ["chemical_id"])
+    display, method = text.agreed_name("common", "first_name", F.coalesce("names", F.lit(0)), "chemical_id")
+    return counts.join(common, "chemical_id", "left").select(*counts.columns, display.alias("display_name"), method.alias("naming_method"))
+
+
+def elected_names(memberships: DataFrame, elections: DataFrame) -> DataFrame:
+    """chemical_id, cluster_id, name and pos of the winners that aren't blank, a row per group."""
+    winners = elections.select(F.col("group_id").cast("string").alias("id"), F.col("winner_name").alias("name")).filter("name <> ''")
+    return memberships.filter("kind = 'group'").join(winners, "id").select("chemical_id", "cluster_id", "name", "pos")
 
 
 def common_runs(names: DataFrame, keys: list[str], name: str = "name", pos: str = "pos") -> DataFrame:
-    """keys, names (how many), first_name and common: the longest run of words in all names of a group (T11), "" if none.
+    """keys, names (how many), first_name, first_pos and common: the longest run of words in all names of a group (T11), "" if none.
 
     The group's shortest name, the last of equals, gives the runs, an array bounded by its length. Each distinct name notes
     which of them it has; these are counted, and a run of all names stays. No task holds a group's names, whatever share of
@@ -73,15 +64,15 @@ def common_runs(names: DataFrame, keys: list[str], name: str = "name", pos: str
     """
     rows = names.filter(F.col(name).isNotNull() & reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys)))
     rows = rows.select(*keys, F.col(name).alias("__name"), F.col(pos).alias("__pos"), text.normalise_name(name).alias("__plain"))
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("names"), F.min_by("__name", "__pos").alias("first_name"))
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("names"), F.min_by("__name", "__pos").alias("first_name"), F.min("__pos").alias("first_pos"))
     distinct = materialised(rows.groupBy(*keys, "__plain").agg(F.max("__pos").alias("__pos")).withColumn("__words", text.run_words("__plain")), "names")
-    shortest = distinct.groupBy(*keys).agg(F.count("*").alias("__n"), F.min_by("__words", F.struct(F.size("__words"), -F.col("__pos"))).alias("__short"))
+    shortest = distinct.groupBy(*keys).agg(F.count("*").alias("__n"), F.max_by("__words", F.struct(-F.size("__words"), "__pos")).alias("__short"))
     groups = materialised(shortest.select(*keys, "__n", text.word_runs("__short").alias("__runs")), "runs")
     met = with_group(distinct.select(*keys, "__plain"), groups, keys, "__n")
     found = met.select(*keys, "__n", F.explode(F.filter(F.transform("__runs", lambda run, i: F.struct(i.alias("at"), run.alias("run"))), lambda r: text.has_run("__plain", r["run"]))).alias("r"))
     best = found.groupBy(*keys, "__n", "r").agg(F.count("*").alias("__has")).filter("__has = __n").groupBy(*keys).agg(F.min(F.col("r")).alias("r"))
     common = F.when(F.col("names") == 1, F.col("first_name")).otherwise(F.coalesce("r.run", F.lit("")))
-    return counted.join(best, keys, "left").select(*keys, "names", "first_name", common.alias("common"))
+    return counted.join(best, keys, "left").select(*keys, "names", "first_name", "first_pos", common.alias("common"))
 
 
 def first_names(names: DataFrame, n: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import text
-from apotheca.operators.clusters import cluster_key
+from apotheca.operators.clusters import cluster_key, common_runs
 
 
 def orphans(products: DataFrame, members: DataFrame, votes: DataFrame) -> DataFrame:
@@ -34,16 +34,6 @@ def promoted_names(placed: DataFrame) -> DataFrame:
     return grouped.select("chemical_id", cluster_key("ORPH_").alias("cluster_id"), text.promoted_name("first_name").alias("display_name"), "products")
 
 
-def promoted_clusters(placed: DataFrame) -> DataFrame:
-    """A cluster for each signature of promoted orphans, named after its first."""
-    first = F.struct("pos", "name")
-    grouped = placed.filter("fate = 'PROMOTED'").groupBy("chemical_id").agg(
-        F.min_by("name", "pos").alias("first_name"),
-        F.transform(F.array_sort(F.collect_list(F.struct(first.alias("k"), "cis"))), lambda x: x["cis"]).alias("cis_ids"),
-    )
-    return grouped.select("chemical_id", cluster_key("ORPH_").alias("cluster_id"), "cis_ids", text.promoted_name("first_name").alias("display_name"))
-
-
 def missing_signatures(placed: DataFrame, n: int = 10) -> DataFrame:
     """The n most frequent signatures of promoted orphans with an example."""
     grouped = placed.filter("fate = 'PROMOTED'").groupBy("chemical_id").agg(F.count("*").alias("n"), F.min_by("name", "pos").alias("example"))
@@ -51,31 +41,41 @@ def missing_signatures(placed: DataFrame, n: int = 10) -> DataFrame:
 
 
 def consolidate(secondaries: DataFrame) -> DataFrame:
-    """cluster_id and brand names: names by first word, as their common words of 3 letters or more, else the first.
+    """cluster_id, brand and pos, a row per brand: names by first word, as their common words of 3 letters or more, else the first.
 
     Rows: cluster_id, pos, name.
     """
     distinct = secondaries.groupBy("cluster_id", "name").agg(F.min("pos").alias("pos"))
-    word = F.get(F.split(text.trim("name"), r"\s+"), F.lit(0))
-    families = distinct.withColumn("word", word).groupBy("cluster_id", "word").agg(
-        F.min("pos").alias("pos"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names")
-    )
-    common = text.longest_common_words("names")
-    brand = F.when(F.length(common) >= 3, common).otherwise(F.get("names", F.lit(0)))
-    named = families.select("cluster_id", "pos", brand.alias("brand"))
-    return named.groupBy("cluster_id").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "brand"))), lambda x: x["brand"])).alias("brands"))
-
-
-def final_clusters(named: DataFrame, placed: DataFrame, secondaries: DataFrame) -> DataFrame:
-    """All clusters with their members, attached orphans, brands and search vector (T15, union of the two lists)."""
-    attached = placed.filter("fate = 'ATTACHED'").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cis"))), lambda x: x["cis"]).alias("orphan_cis"))
-    runners = named.select("cluster_id", F.explode("group_ids").alias("group_id")).join(secondaries, "group_id")
-    brands = consolidate(runners.select("cluster_id", F.struct("group_id", "sort_order", "pos", "cis").alias("pos"), "name"))
-    none = F.expr("cast(array() as array<string>)")
-    main = named.join(attached, "cluster_id", "left").join(brands, "cluster_id", "left").select(
-        "cluster_id", "chemical_id", "display_name", "cis_ids", F.coalesce("orphan_cis", none).alias("orphan_cis"), F.coalesce("brands", none).alias("secondary_princeps"), F.slice("elected_names", 1, 5).alias("sample_names")
-    )
-    promoted = promoted_clusters(placed).select("cluster_id", "chemical_id", "display_name", none.alias("cis_ids"), F.col("cis_ids").alias("orphan_cis"), none.alias("secondary_princeps"), none.alias("sample_names"))
-    both = main.unionByName(promoted)
-    vector = text.search_vector("display_name", F.array_join("secondary_princeps", " "), F.array_join("sample_names", " "))
-    return both.withColumn("search_vector", vector).withColumn("count_products", F.size("cis_ids") + F.size("orphan_cis"))
+    families = distinct.withColumn("word", F.get(F.split(text.trim("name"), r"\s+"), F.lit(0)))
+    brand = F.when(F.length("common") >= 3, F.col("common")).otherwise(F.col("first_name"))
+    named = common_runs(families, ["cluster_id", "word"]).select("cluster_id", brand.alias("brand"), "first_pos")
+    return named.groupBy("cluster_id", "brand").agg(F.min("first_pos").alias("pos"))
+
+
+def brands(memberships: DataFrame, secondaries: DataFrame) -> DataFrame:
+    """cluster_id, brand and pos of the brands beside the elected ones, in the order of groups and of their runners."""
+    groups = memberships.filter("kind = 'group'").select("cluster_id", F.col("id").alias("group_id"))
+    runners = secondaries.withColumn("group_id", F.col("group_id").cast("string")).join(groups, "group_id")
+    return consolidate(runners.select("cluster_id", F.struct("group_id", "sort_order", "pos", "cis").alias("pos"), "name"))
+
+
+def cluster_members(memberships: DataFrame, placed: DataFrame) -> DataFrame:
+    """cluster_id, cis, role (GROUPED, ATTACHED, PROMOTED) and pos of every product in a cluster, a row each."""
+    grouped = memberships.filter("kind = 'product'").select("cluster_id", F.col("id").alias("cis"), F.lit("GROUPED").alias("role"), "pos")
+    cluster = F.coalesce("cluster_id", cluster_key("ORPH_"))
+    return grouped.unionByName(placed.filter("fate <> 'NO_PROFILE'").select(cluster.alias("cluster_id"), "cis", F.col("fate").alias("role"), "pos"))
+
+
+def final_clusters(named: DataFrame, placed: DataFrame, brands: DataFrame, samples: DataFrame) -> DataFrame:
+    """All clusters with counts of their products and their search vector, which holds a few sample names and all brands.
+
+    ``samples`` has cluster_id and sample_names. Products and brands are tables of their own.
+    """
+    attached = placed.filter("fate = 'ATTACHED'").groupBy("cluster_id").agg(F.count("*").alias("attached"))
+    listed = brands.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "brand"))), lambda b: b["brand"]).alias("brands"))
+    main = named.join(attached, "cluster_id", "left").join(listed, "cluster_id", "left").join(samples, "cluster_id", "left")
+    vector = text.search_vector("display_name", F.array_join("brands", " "), F.array_join("sample_names", " "))
+    total = F.col("products") + F.coalesce("attached", F.lit(0))
+    main = main.select("cluster_id", "chemical_id", "display_name", "naming_method", total.alias("count_products"), vector.alias("search_vector"))
+    alone = promoted_names(placed).select("cluster_id", "chemical_id", "display_name", F.lit("PROMOTED").alias("naming_method"), F.col("products").alias("count_products"), text.search_vector("display_name").alias("search_vector"))
+    return main.unionByName(alone)

@@ -23,6 +23,8 @@ class Catalogue:
     elections: DataFrame
     votes: DataFrame
     clusters: DataFrame
+    cluster_members: DataFrame
+    cluster_brands: DataFrame
     placed: DataFrame
 
 
@@ -32,14 +34,17 @@ def read(spark: SparkSession, folder: str) -> tuple[tsv.Parsed, tsv.Parsed, tsv.
 
 
 def build(products: DataFrame, members: DataFrame, packages: DataFrame, composition: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Catalogue:
-    """All phases as one lazy plan; ``keep`` may write what several of them read."""
+    """All phases; ``keep`` may write what several of them read."""
     resolved = profiles.resolve_links(profiles.of_products(composition, products.filter("not is_homeopathic")))
     profiled = keep(profiles.signatures(resolved), "profiles")
     elected = keep(elections.elect(members, products), "elections")
     votes = keep(clusters.majority_vote(members, profiled), "votes")
-    named = keep(clusters.name_clusters(clusters.super_clusters(members, votes), elected), "named")
+    belonging = keep(clusters.memberships(members, votes), "memberships")
+    named = keep(clusters.name_clusters(belonging, elected), "named")
     placed = keep(integration.place_orphans(integration.orphans(products, members, votes), profiled, named), "placed")
-    return Catalogue(products, members, packages, composition, profiled, elected, votes, integration.final_clusters(named, placed, elections.secondaries(members, products, elected)), placed)
+    brands = keep(integration.brands(belonging, elections.secondaries(members, products, elected)), "brands")
+    final = integration.final_clusters(named, placed, brands, clusters.first_names(clusters.elected_names(belonging, elected)))
+    return Catalogue(products, members, packages, composition, profiled, elected, votes, final, integration.cluster_members(belonging, placed), brands, placed)
 
 
 def quality(catalogue: Catalogue) -> DataFrame:
@@ -68,6 +73,6 @@ def run(spark: SparkSession, folder: str, out: str, limits: dict[str, float] | N
     found = issues(quality(catalogue), limits).collect() if limits else []
     if found:
         raise ValueError(f"quality gate: {[(r['rate_name'], r['value']) for r in found]}")
-    for name in ("products", "members", "packages", "elections", "clusters", "placed"):
+    for name in ("products", "members", "packages", "elections", "clusters", "cluster_members", "cluster_brands", "placed"):
         getattr(catalogue, name).write.mode("overwrite").parquet(f"{out}/{name}")
     return catalogue

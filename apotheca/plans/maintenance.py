@@ -26,7 +26,7 @@ def _write_files(t: Tables, folder: str) -> None:
     status = F.when(F.col("p_size") <= 40, "Autorisation active").otherwise("Abrogée")
     products = _lines(t.part, key, F.concat_ws(" ", "p_name", "p_brand"), F.lit("comprimé"), F.lit("orale"), status, *blank, F.lit(""), F.lit(""), holder)
     products.unionByName(t.region.select(F.when(F.col("r_regionkey") % 2 == 0, " ").otherwise("short\tline").alias("value"))).write.text(f"{folder}/products.tsv")
-    group = members(t)
+    group = members(t).orderBy("group_id", "sort_order", "pos")
     _lines(group, *map(F.col, ("group_id", "label", "cis", "type", "sort_order"))).write.option("compression", "gzip").text(f"{folder}/members.tsv")
     part = t.lineitem.select("l_partkey").distinct().select(F.lpad(F.col("l_partkey").cast("string"), 8, "0").alias("cis"))
     code = F.concat(F.lit("34009"), "cis")
@@ -36,16 +36,18 @@ def _write_files(t: Tables, folder: str) -> None:
 
 
 @query(f"""WITH {PRODUCTS}, {MEMBERS}, {PROFILES}, own AS (SELECT cis, chemical_id FROM profiles JOIN products USING (cis) WHERE NOT is_homeopathic),
-counted AS (SELECT group_id, chemical_id, count(*) AS votes, min((sort_order, pos)) AS first FROM members JOIN own USING (cis) GROUP BY ALL), voted AS (SELECT DISTINCT group_id FROM counted),
-kept AS (SELECT DISTINCT cis FROM members JOIN voted USING (group_id)), orphans AS (SELECT cis FROM products WHERE NOT is_homeopathic AND cis NOT IN (SELECT cis FROM kept))
+counted AS (SELECT group_id, chemical_id, count(*) AS votes, min((sort_order, pos)) AS first FROM members JOIN own USING (cis) GROUP BY ALL),
+voted AS (SELECT group_id, chemical_id FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY votes DESC, first) AS k FROM counted) WHERE k = 1),
+kept AS (SELECT DISTINCT cis FROM members JOIN voted USING (group_id)), orphans AS (SELECT cis FROM products WHERE NOT is_homeopathic AND cis NOT IN (SELECT cis FROM kept)),
+joined AS (SELECT DISTINCT chemical_id, cis FROM members JOIN voted USING (group_id) UNION ALL SELECT chemical_id, cis FROM orphans JOIN own USING (cis))
 SELECT 'products' AS table_name, count(*) AS n FROM products UNION ALL SELECT 'members', count(*) FROM members UNION ALL SELECT 'packages', count(DISTINCT l_partkey) FROM lineitem
-UNION ALL SELECT 'elections', count(DISTINCT group_id) FROM members UNION ALL SELECT 'placed', count(*) FROM orphans""")
+UNION ALL SELECT 'elections', count(DISTINCT group_id) FROM members UNION ALL SELECT 'placed', count(*) FROM orphans UNION ALL SELECT 'clusters', count(DISTINCT chemical_id) FROM joined UNION ALL SELECT 'cluster_members', count(*) FROM joined""")
 def batch_job(t: Tables) -> DataFrame:
     """S1-S6, S14 and every phase after: files are written, read, built, judged by the quality gate, and written out."""
     folder = f"{store.shared_folder(t.spark)}/job-{uuid.uuid4().hex}"
     _write_files(t, folder)
     etl.run(t.spark, folder, f"{folder}/out", limits={"suspect_name_rate": 1.0, "no_profile_rate": 1.0})
-    return store.row_counts({name: t.spark.read.parquet(f"{folder}/out/{name}") for name in ("products", "members", "packages", "elections", "placed")})
+    return store.row_counts({name: t.spark.read.parquet(f"{folder}/out/{name}") for name in ("products", "members", "packages", "elections", "placed", "clusters", "cluster_members")})
 
 
 @query("""SELECT p_brand AS cluster_id, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1""")

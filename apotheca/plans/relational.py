@@ -225,11 +225,11 @@ def _promoted(t: Tables) -> DataFrame:
 @query("""WITH d AS (SELECT p_brand AS cluster_id, p_type || ' ' || p_name AS name, min(p_partkey) AS pos FROM part GROUP BY 1, 2),
 f AS (SELECT cluster_id, string_split(name, ' ')[1] AS word, min(pos) AS pos, list(name ORDER BY pos) AS names FROM d GROUP BY 1, 2),
 c AS (SELECT cluster_id, pos, CASE WHEN len(names) = 1 THEN names[1] WHEN list_aggregate(list_transform(names, lambda n: string_split(n, ' ')[2]), 'min') = list_aggregate(list_transform(names, lambda n: string_split(n, ' ')[2]), 'max') THEN word || ' ' || upper(string_split(names[1], ' ')[2]) ELSE word END AS brand FROM f)
-SELECT cluster_id, string_agg(brand, '|' ORDER BY pos) AS brands FROM c GROUP BY 1""")
+SELECT cluster_id, brand, min(pos) AS pos FROM c GROUP BY 1, 2""")
 def secondary_consolidation(t: Tables) -> DataFrame:
     """Names begin with the part's type, so a family is a type, and what its names share is at least that."""
     rows = t.part.select(F.col("p_brand").alias("cluster_id"), F.col("p_partkey").alias("pos"), F.concat_ws(" ", "p_type", "p_name").alias("name"))
-    return integration.consolidate(rows).select("cluster_id", F.array_join("brands", "|").alias("brands"))
+    return integration.consolidate(rows).select("cluster_id", "brand", "pos")
 
 
 @query()

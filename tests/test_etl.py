@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from apotheca.operators import catalogue, stock
+from apotheca.operators import catalogue, integration, stock
 from apotheca.plans import etl
 from apotheca.sources import store, tsv
 from apotheca.streaming import scans
@@ -52,8 +52,22 @@ def built(spark, folder):
 def test_clusters(built):
     rows = {r.chemical_id: r for r in built.clusters.collect()}
     assert set(rows) == {"0046", "0099"}
-    assert rows["0046"].display_name == "ALPHA" and rows["0046"].orphan_cis == ["10000005"] and rows["0046"].cis_ids == ["10000001", "10000002", "10000003"]
-    assert rows["0099"].display_name == "LONE" and rows["0099"].cluster_id.startswith("ORPH_")
+    assert (rows["0046"].display_name, rows["0046"].naming_method, rows["0046"].count_products) == ("ALPHA", "LCS_CONSENSUS", 4)
+    assert rows["0046"].search_vector == "ALPHA ALPHA 500 MG ALPHA FORTE 1 G"
+    assert (rows["0099"].display_name, rows["0099"].count_products, rows["0099"].search_vector) == ("LONE", 1, "LONE") and rows["0099"].cluster_id.startswith("ORPH_")
+    members = {(r.cluster_id, r.cis, r.role) for r in built.cluster_members.collect()}
+    large, alone = rows["0046"].cluster_id, rows["0099"].cluster_id
+    assert members == {(large, "10000001", "GROUPED"), (large, "10000002", "GROUPED"), (large, "10000003", "GROUPED"), (large, "10000005", "ATTACHED"), (alone, "10000006", "PROMOTED")}
+    assert built.cluster_brands.count() == 0
+
+
+def test_brands_of_a_hot_cluster(spark):
+    """Two thirds of all names are of one cluster; brands are families by first word, named by what their names share."""
+    rows = [("hot" if i % 3 else f"c{i % 7}", (i // 10, 0, i, str(i)), f"{word} {'B' if word == 'AX' else i % 4} {i % 5} mg") for i, word in enumerate(["AX", "Do", "X"] * 200)]
+    df = spark.createDataFrame([*rows, ("one", (0, 0, 0, "0"), "Nom seul "), ("one", (1, 0, 0, "0"), None)], "cluster_id string, pos struct<g int, o int, p int, c string>, name string")
+    found = {(r.cluster_id, r.brand): tuple(r.pos) for r in integration.consolidate(df.filter("name is not null")).collect()}
+    assert {b for c, b in found if c == "hot"} == {"Do 1 1 mg", "X 2 2 mg"} and found["hot", "X 2 2 mg"] == (0, 0, 2, "2")
+    assert found["one", "Nom seul "] == (0, 0, 0, "0") and {b for c, b in found if c == "c0"} == {"AX B"}
 
 
 def test_elections(built):
