@@ -237,8 +237,37 @@ def subtitle(*parts: ColumnOrName) -> Column:
     return F.concat_ws(" • ", *(text.nonblank(p) for p in parts))
 
 
-def code_line(cip: ColumnOrName) -> Column:
-    return F.concat(F.lit("CIP "), as_column(cip))
+def code_line(cip: ColumnOrName, holder: ColumnOrName | None = None) -> Column:
+    """The code of a package, after its holder if there is one."""
+    line = F.concat(F.lit("CIP "), as_column(cip))
+    return line if holder is None else F.when(as_column(holder) != "", F.concat(trim(holder), F.lit(" • "), line)).otherwise(line)
+
+
+def _molecule(canonical: ColumnOrName) -> Column:
+    return trim(F.get(F.split(as_column(canonical), " - "), F.lit(0)))
+
+
+def _has_reference(is_princeps: ColumnOrName, group_id: ColumnOrName, reference: ColumnOrName) -> Column:
+    """Whether a product is a generic whose group's reference is known."""
+    return ~as_column(is_princeps) & as_column(group_id).isNotNull() & ~F.coalesce(as_column(reference), F.lit("")).isin("", "Inconnu")
+
+
+def hero_label(is_princeps: ColumnOrName, group_id: ColumnOrName, brand: ColumnOrName, reference: ColumnOrName, canonical: ColumnOrName) -> Column:
+    """What a card shows first (T28): the brand or else the reference, for references and generics of a known one; a group
+    member's molecule; else the canonical name."""
+    named = as_column(is_princeps) | _has_reference(is_princeps, group_id, reference)
+    return F.when(named, F.coalesce(F.nullif(as_column(brand), F.lit("")), as_column(reference))).when(as_column(group_id).isNotNull(), _molecule(canonical)).otherwise(as_column(canonical))
+
+
+def display_name(is_princeps: ColumnOrName, brand: ColumnOrName, reference: ColumnOrName, canonical: ColumnOrName) -> Column:
+    """A reference's brand, unless it is blank or the placeholder BRAND, or else its whole name; a generic's molecule."""
+    own = F.nullif(trim(brand), F.lit(""))
+    return F.when(as_column(is_princeps), F.coalesce(F.when(F.upper(own) != "BRAND", own), trim(reference))).otherwise(_molecule(canonical))
+
+
+def subtitle_lines(is_princeps: ColumnOrName, group_id: ColumnOrName, reference: ColumnOrName, canonical: ColumnOrName, form: ColumnOrName, dosage: ColumnOrName) -> Column:
+    """The lines below a label (T28): the canonical name of a generic of a known reference, then form and dosage; blanks are left out."""
+    return F.array_compact(F.array(F.when(_has_reference(is_princeps, group_id, reference), text.nonblank(canonical)), F.nullif(subtitle(form, dosage), F.lit(""))))
 
 
 def quoted_phrase(query: ColumnOrName) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apotheca.functions import text
 from apotheca.functions.text import ColumnOrName, as_column, trim
 
 _BRAND = r"(?i)^([A-Z][A-Z0-9\s/\-]+?)"
+_STRONG = r"(?i)^([A-Z][A-Z0-9\s]+?)\s+\d+(?:\.\d+)?\s*(?:mg|g|ml|UI|%)"
 _DOSE = r"\s+\d+(?:\.\d+)?\s*(?:mg|g|ml|UI|%"
 
 #: Salts that the simple rule takes off, and small words and forms of reference dosages.
@@ -68,17 +68,21 @@ def score(products: DataFrame, composition: DataFrame, members: DataFrame, refer
     principal = F.coalesce(F.nullif("reference_generic", F.lit("")), trim(F.get(F.split("reference_name", ","), F.lit(0))))
     phased = _brand(name, _BRAND + _DOSE + r")\s*,", _BRAND + _DOSE + r")\s+", _BRAND + ",")
     sure = F.when(known & reference & comma, 0.98).when(known & comma, 0.95).when(known, 0.9).when(reference, 0.85).when(comma, 0.8).otherwise(0.5)
+    upper, upper_shape = F.upper(name), F.upper(shape)
+    ends = (shape != "") & F.contains(upper, upper_shape)
+    before = F.when(ends, upper.substr(F.lit(1), F.length(upper) - F.length(upper_shape) - F.instr(F.reverse(upper), F.reverse(upper_shape)) + 1)).otherwise(upper)
+    left = trim(F.regexp_replace(trim(before), r"[,.;:\-/]+$", ""))
+    strong = F.nullif(trim(F.regexp_extract(name, _STRONG, 1)), F.lit(""))
+    brand = trim(F.regexp_replace(F.coalesce(strong, trim(F.get(F.split(name, ","), F.lit(0)))), r"[,.\s]+$", ""))
     return rows.select(
         "cis",
         split.alias("comma_split"),
+        _result(left, left, upper_shape, F.when(ends, 0.7).otherwise(0.4), F.lit("form_subtraction")).alias("form_subtraction"),
+        _result(brand, F.coalesce(generic, brand), shape, F.when(strong.isNotNull(), 0.9).otherwise(0.6), F.lit("brand_extraction")).alias("brand_extraction"),
+        _result(brand, F.coalesce(generic, brand), shape, F.when(known, 0.95).otherwise(0.5), F.lit("composition_lookup")).alias("composition_lookup"),
         _result(dosed, F.coalesce(generic, dosed), form, F.when(known, 0.95).otherwise(0.6), F.when(known, "composition_full").otherwise("composition_fallback")).alias("composition_based"),
         _result(first, F.coalesce(generic, first), tail, F.when(known, 0.9).otherwise(0.8), F.when(known, "hybrid_full").otherwise("hybrid_comma_only")).alias("hybrid"),
         F.when(reference, _result(F.when(comma, first).otherwise(F.get(F.split(name, " "), F.lit(0))), principal, shape, F.when(F.nullif("reference_generic", F.lit("")).isNotNull(), 0.98).otherwise(0.85), F.lit("princeps_canonical"))).otherwise(split).alias("princeps_based"),
         _result(phased, F.coalesce(generic, phased), form, sure, F.when(known, "advanced_full").otherwise("advanced_partial")).alias("advanced_multiphase"),
     )
 
-
-def brand_extraction(name: ColumnOrName) -> Column:
-    """The first strong word of a name."""
-    brand = text.brand_name(name)
-    return _result(brand, brand, F.lit(""), F.when(brand == "UNKNOWN", 0.2).otherwise(0.8), F.lit("brand_extraction"))

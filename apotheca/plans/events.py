@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from apotheca.functions import codes, labels, text, words
 from apotheca.operators import catalogue, search, stock
 from apotheca.plans.registry import Tables, query
+from apotheca.sources import tsv
 from apotheca.sources.store import shared_folder
 from apotheca.streaming import scans
 
@@ -335,6 +336,41 @@ def display_labels(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", labels.atc_label(code).alias("atc"), labels.quoted_phrase(F.concat("p_name", F.lit(" "))).alias("phrase"), labels.code_line(key).alias("code_line"), labels.subtitle("p_name", F.lit(" "), key).alias("subtitle"), title.alias("title"))
 
 
+CARDS = """cards AS (SELECT p_partkey, p_name, p_type, p_brand, p_size, p_size % 2 = 0 AS princeps, CASE WHEN p_size % 3 > 0 THEN p_brand END AS group_id, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'Brand' ELSE p_brand END AS brand,
+CASE p_partkey % 5 WHEN 0 THEN 'Inconnu' WHEN 1 THEN '' ELSE p_brand || ' fort' END AS reference FROM part), known AS (SELECT *, NOT princeps AND group_id IS NOT NULL AND reference NOT IN ('', 'Inconnu') AS generic FROM cards)"""
+
+
+@query(f"""WITH {CARDS} SELECT p_partkey, CASE WHEN princeps OR generic THEN CASE WHEN brand <> '' THEN brand ELSE reference END WHEN group_id IS NOT NULL THEN p_name ELSE p_name || ' - ' || p_type END AS hero,
+CASE WHEN NOT princeps THEN p_name WHEN brand NOT IN ('', 'Brand') THEN brand ELSE reference END AS shown, concat_ws('|', CASE WHEN generic THEN p_name || ' - ' || p_type END, CASE WHEN p_size % 4 > 0 THEN p_type || ' • ' || p_size ELSE p_type END) AS lines,
+CASE WHEN p_size % 4 > 0 THEN p_brand || ' • CIP ' || p_partkey ELSE 'CIP ' || p_partkey END AS code_line FROM known""")
+def card_labels(t: Tables) -> DataFrame:
+    """Hero label, display name, subtitle lines and code line of references, generics and products of no group."""
+    group, size = F.when(F.col("p_size") % 3 > 0, F.col("p_brand")), F.col("p_size").cast("string")
+    brand = F.when(F.col("p_partkey") % 4 == 0, "").when(F.col("p_partkey") % 4 == 1, "Brand").otherwise(F.col("p_brand"))
+    reference = F.when(F.col("p_partkey") % 5 == 0, "Inconnu").when(F.col("p_partkey") % 5 == 1, "").otherwise(F.concat("p_brand", F.lit(" fort")))
+    rows = t.part.select("p_partkey", "p_type", "p_brand", (F.col("p_size") % 2 == 0).alias("princeps"), group.alias("group_id"), brand.alias("brand"), reference.alias("reference"), F.concat_ws(" - ", "p_name", "p_type").alias("canonical"), F.when(F.col("p_size") % 4 > 0, size).alias("dosage"))
+    holder = F.when(F.col("dosage").isNotNull(), F.concat(F.lit(" "), "p_brand"))
+    lines = labels.subtitle_lines("princeps", "group_id", "reference", "canonical", F.concat("p_type", F.lit(" ")), "dosage")
+    return rows.select("p_partkey", labels.hero_label("princeps", "group_id", "brand", "reference", "canonical").alias("hero"), labels.display_name("princeps", "brand", "reference", "canonical").alias("shown"), F.array_join(lines, "|").alias("lines"), labels.code_line(F.col("p_partkey").cast("string"), holder).alias("code_line"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 > 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events""")
+def scan_seconds(t: Tables) -> DataFrame:
+    """D6f: moments as texts, some of them unreadable, cut to the second."""
+    written = F.when(F.col("event_id") % 5 > 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).otherwise("soon")
+    return t.events.select("event_id", codes.second(written).alias("at"))
+
+
+@query("""SELECT p_partkey, p_partkey % 4 IN (1, 3) AS suspect FROM part""")
+def suspect_names(t: Tables) -> DataFrame:
+    """T5: names with a comma or bracket that cleaning left whole, empty ones, well-cleaned ones and plain ones."""
+    kind = F.col("p_partkey") % 4
+    name = F.concat("p_name", F.when(kind == 1, " (fort)").when(kind == 2, ", gel").otherwise(""))
+    clean = F.when(kind == 3, "").otherwise(text.normalise_product(F.when(kind == 2, F.col("p_name")).otherwise(F.col("name"))))
+    rows = t.part.select("p_partkey", "p_name", name.alias("name")).withColumn("clean_name", clean)
+    return rows.select("p_partkey", tsv.cleaning_is_suspect("name", "clean_name").alias("suspect"))
+
+
 @query("""SELECT p_partkey, upper(p_name || ' A ' || p_size) AS vector, upper(p_name) || ' A POUR' AS keywords, p_name AS prefix FROM part""")
 def search_vectors(t: Tables) -> DataFrame:
     size = F.col("p_size").cast("string")

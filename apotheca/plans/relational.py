@@ -336,29 +336,42 @@ def distributions_topn(t: Tables) -> DataFrame:
     return catalogue.union_all(*(quality.distribution(df, c).select(F.lit(kind).alias("kind"), "value", "n") for kind, df, c in parts))
 
 
-@query("""WITH n AS (SELECT p_partkey, p_size % 2 = 0 AS comma, p_size % 3 <> 0 AS known, p_size > 25 AS grouped FROM part),
-m AS (SELECT unnest([{'s': 'comma_split', 'm': 'comma_split', 'c': CASE WHEN comma THEN 0.8 ELSE 0.5 END}, {'s': 'composition_based', 'm': CASE WHEN known THEN 'composition_full' ELSE 'composition_fallback' END, 'c': CASE WHEN known THEN 0.95 ELSE 0.6 END},
+@query("""WITH n AS (SELECT p_partkey, p_size % 2 = 0 AS comma, p_size % 3 <> 0 AS known, p_size > 25 AS grouped, p_size % 7 = 0 AS dosed, p_size % 11 <> 0 AS shaped FROM part),
+m AS (SELECT unnest([{'s': 'form_subtraction', 'm': 'form_subtraction', 'c': CASE WHEN shaped THEN 0.7 ELSE 0.4 END}, {'s': 'brand_extraction', 'm': 'brand_extraction', 'c': CASE WHEN dosed THEN 0.9 ELSE 0.6 END}, {'s': 'composition_lookup', 'm': 'composition_lookup', 'c': CASE WHEN known THEN 0.95 ELSE 0.5 END},
+{'s': 'comma_split', 'm': 'comma_split', 'c': CASE WHEN comma THEN 0.8 ELSE 0.5 END}, {'s': 'composition_based', 'm': CASE WHEN known THEN 'composition_full' ELSE 'composition_fallback' END, 'c': CASE WHEN known THEN 0.95 ELSE 0.6 END},
 {'s': 'hybrid', 'm': CASE WHEN known THEN 'hybrid_full' ELSE 'hybrid_comma_only' END, 'c': CASE WHEN known THEN 0.9 ELSE 0.8 END},
 {'s': 'princeps_based', 'm': CASE WHEN grouped THEN 'princeps_canonical' ELSE 'comma_split' END, 'c': CASE WHEN NOT grouped THEN CASE WHEN comma THEN 0.8 ELSE 0.5 END WHEN known THEN 0.98 ELSE 0.85 END},
 {'s': 'advanced_multiphase', 'm': CASE WHEN known THEN 'advanced_full' ELSE 'advanced_partial' END, 'c': CASE WHEN known AND grouped AND comma THEN 0.98 WHEN known AND comma THEN 0.95 WHEN known THEN 0.9 WHEN grouped THEN 0.85 WHEN comma THEN 0.8 ELSE 0.5 END}]) AS r FROM n)
 SELECT r.s AS strategy, r.m AS method, count(*) AS n, round(CAST(sum(CAST(r.c AS DECIMAL(9, 2))) AS DOUBLE) / count(*), 4) AS mean_confidence FROM m GROUP BY 1, 2""")
 def strategy_scores(t: Tables) -> DataFrame:
     """Names with and without a comma, two thirds with a composition, half in a group of their own."""
-    name = F.concat("p_name", F.when(F.col("p_size") % 2 == 0, ", ").otherwise(" "), F.lower("p_type"))
-    rows = t.part.select(F.col("p_partkey").alias("cis"), name.alias("name"), F.lower("p_type").alias("shape"), "p_size")
+    name = F.concat("p_name", F.when(F.col("p_size") % 7 == 0, " 2.5 mg").otherwise(""), F.when(F.col("p_size") % 2 == 0, ", ").otherwise(" "), F.lower("p_type"))
+    shape = F.when(F.col("p_size") % 11 != 0, F.lower("p_type")).when(F.col("p_size") > 25, "")
+    rows = t.part.select(F.col("p_partkey").alias("cis"), name.alias("name"), shape.alias("shape"), "p_size")
     composition = rows.filter("p_size % 3 <> 0").select("cis", F.lit("SA").alias("nature"), F.col("name").alias("substance"), F.lit("un comprimé").alias("reference"), F.lit(0).alias("pos"))
     own = rows.filter("p_size > 25")
     scored = strategies.score(rows.drop("p_size"), composition, own.select("cis", F.col("cis").alias("group_id"), F.lit(0).alias("pos")), own.select(F.col("cis").alias("group_id"), F.col("cis").alias("reference_cis"), F.col("name").alias("reference_name")))
     return catalogue.union_all(*(quality.strategy_summary(scored, s).select(F.lit(s).alias("strategy"), "method", "n", "mean_confidence") for s in scored.columns if s != "cis"))
 
 
+@query("""SELECT p_partkey AS cis, upper(p_name) || ' 500 MG' AS subtracted, p_name AS brand, CASE WHEN p_size % 3 = 0 THEN p_name ELSE upper(p_name) END AS generic FROM part""")
+def strategy_first_set(t: Tables) -> DataFrame:
+    """What the first set of strategies takes for brand and substance."""
+    scored = _scored_by_composition(t)
+    return scored.select("cis", F.col("form_subtraction.brand").alias("subtracted"), "brand_extraction.brand", "composition_lookup.generic")
+
+
 @query("""SELECT p_partkey AS cis, p_name AS brand, CASE WHEN p_size % 3 = 0 THEN p_name ELSE upper(p_name) END AS generic, CASE WHEN p_size % 3 = 0 THEN lower(p_type) ELSE 'comprimé' END AS form FROM part""")
 def strategy_multiphase(t: Tables) -> DataFrame:
+    return _scored_by_composition(t).select("cis", "advanced_multiphase.brand", "advanced_multiphase.generic", "advanced_multiphase.form")
+
+
+def _scored_by_composition(t: Tables) -> DataFrame:
+    """Dosed names, two thirds with a composition, none in a group."""
     rows = t.part.select(F.col("p_partkey").alias("cis"), F.concat("p_name", F.lit(" 500 mg, "), F.lower("p_type")).alias("name"), F.lower("p_type").alias("shape"), "p_name", "p_size")
     composition = rows.filter("p_size % 3 <> 0").select("cis", F.lit("SA").alias("nature"), F.concat(F.lit("Chlorhydrate de "), "p_name").alias("substance"), F.lit("un comprimé").alias("reference"), F.lit(0).alias("pos"))
     none = rows.limit(0)
-    scored = strategies.score(rows.select("cis", "name", "shape"), composition, none.select("cis", F.col("cis").alias("group_id"), F.lit(0).alias("pos")), none.select(F.col("cis").alias("group_id"), F.col("cis").alias("reference_cis"), F.col("name").alias("reference_name")))
-    return scored.select("cis", "advanced_multiphase.brand", "advanced_multiphase.generic", "advanced_multiphase.form")
+    return strategies.score(rows.select("cis", "name", "shape"), composition, none.select("cis", F.col("cis").alias("group_id"), F.lit(0).alias("pos")), none.select(F.col("cis").alias("group_id"), F.col("cis").alias("reference_cis"), F.col("name").alias("reference_name")))
 
 
 @query("""SELECT round(avg(CASE WHEN p_size > 48 THEN 1.0 ELSE 0 END), 6) AS homeopathic_rate, round(avg(CASE WHEN p_size <= 40 THEN 1.0 ELSE 0 END), 6) AS active_rate, count(DISTINCT p_name) AS names,

@@ -234,3 +234,38 @@ def test_common_runs_of_a_hot_group(spark):
         want = names_of(spark, names).select(text.longest_common_words("n")).first()[0] if grp in ("hot", "one", "none", "g1", "g2") else found[grp][2]
         assert found[grp] == (len(names), names[0], want)
     assert found["hot"][2] == "BASE"
+
+
+@pytest.mark.parametrize(
+    ("card", "hero", "shown", "lines"),
+    [
+        ((True, "g", "BRAND", "Alpha 500", "MOL - Alpha", "gel", None), "BRAND", "Alpha 500", ["gel"]), ((True, None, "", " Alpha ", "MOL", None, " "), " Alpha ", "Alpha", []),
+        ((False, "g", "", "Alpha 500", " MOL - Alpha ", "gel", "1 g"), "Alpha 500", "MOL", ["MOL - Alpha", "gel • 1 g"]), ((False, "g", "B", "Inconnu", "MOL - Alpha", "", "1 g"), "MOL", "MOL", ["1 g"]),
+        ((False, None, "B", "Alpha", "MOL - Alpha", "gel", ""), "MOL - Alpha", "MOL", ["gel"]), ((False, "g", None, None, "MOL", None, None), "MOL", "MOL", []),
+    ],
+)
+def test_cards(spark, card, hero, shown, lines):
+    df = spark.createDataFrame([card], "p boolean, g string, b string, r string, c string, f string, d string")
+    assert df.select(labels.hero_label("p", "g", "b", "r", "c"), labels.display_name("p", "b", "r", "c"), labels.subtitle_lines("p", "g", "r", "c", "f", "d")).first()[:] == (hero, shown, lines)
+
+
+@pytest.mark.parametrize(
+    ("name", "shape", "subtracted", "brand"),
+    [
+        ("Alpha 1.5 mg gel, gel", "gel", ("ALPHA 1.5 MG GEL", 0.7), ("Alpha", 0.9)), ("Beta-X 5 mg; sirop", "gel", ("BETA-X 5 MG; SIROP", 0.4), ("Beta-X 5 mg; sirop", 0.6)),
+        ("GAMMA 2 B 10 %, x", None, ("GAMMA 2 B 10 %, X", 0.4), ("GAMMA 2 B", 0.9)), (None, "gel", ("", 0.4), ("", 0.6)), ("gel", "gel", ("", 0.7), ("gel", 0.6)),
+    ],
+)
+def test_first_strategies(spark, name, shape, subtracted, brand):
+    from apotheca.operators import strategies
+
+    products = spark.createDataFrame([("1", name, shape)], "cis string, name string, shape string")
+    composition = spark.createDataFrame([], "cis string, nature string, substance string, reference string, pos int")
+    members, references = spark.createDataFrame([], "cis string, group_id string, pos int"), spark.createDataFrame([], "group_id string, reference_cis string, reference_name string")
+    row = strategies.score(products, composition, members, references).first()
+    assert (row.form_subtraction.brand, row.form_subtraction.confidence) == subtracted and (row.brand_extraction.brand, row.brand_extraction.confidence) == brand
+    assert (row.composition_lookup.generic, row.composition_lookup.confidence) == (brand[0], 0.5)
+
+
+def test_seconds(spark):
+    assert one(spark, codes.second, "2024-02-29T23:59:59.999") == "2024-02-29 23:59:59" and one(spark, codes.second, "2024-02-30") is None
