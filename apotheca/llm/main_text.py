@@ -8,14 +8,14 @@ long advert can't cut an article in two; a run of link blocks costs at most ``Op
 
 Margins are elements such as nav or aside, and those that a word of their class, id or role marks as such. A
 class that only says what state something is in (has-sidebar, comments-open) marks nothing, nor does any on an element
-that holds the article, nine tenths of the words, or half of them and an h1. If a page marks its article itself, by
-<article> or <main> (or their roles), words inside it score high and those beside it low; a mark with less than a tenth of the
-words is not believed.
+that holds nine tenths of the words, or half of them and an h1. What such margins are is a rule and not learned, for the labels
+below can't tell an advert that stands inside an article from its text.
 
 The weights are learned from labelled pages, which are those with exactly one <article> or <main>: how much oftener a
-kind of token stands inside than outside, the marks themselves left aside. They are fitted on a bounded
-sample, the first ``Options.sample`` labelled pages in the order of a hash of their id; kinds that the
-sample lacks keep a prior weight. Extraction reads every page whole, labelled or not, with the same weights.
+kind of token stands inside than outside of it. That mark is a label and nothing else: it is no kind of token, and extraction
+scores no page by its own. They are fitted on a bounded sample, the first ``Options.sample`` labelled pages in the order of a hash
+of their id. Kinds that the sample lacks have the weight of their group (words, link words, margins, elements of prose, other tags),
+which is learned from its other kinds and, on tables without labels, a prior. Without weights nothing scores, and no text is found.
 
 Defined results: a null or empty page, or one without words outside of head, scripts and the like, gives an empty
 text. Tags that are left open end where browsers end them: head at the first element that isn't metadata, p, li,
@@ -103,6 +103,10 @@ class Options:
     least_mark: float = 0.1
 
 
+#: Elements around all of a page, which tell nothing of other tags.
+AROUND = frozenset("html head body".split())
+
+
 @dataclass
 class Element:
     """first, last: its tokens. hint: what marks it as a margin. mark: article or main, if it is one."""
@@ -260,15 +264,16 @@ def _covered(elements: Sequence[Element], n: int) -> list[bool]:
 
 @dataclass
 class Page:
-    """kinds: of each token as it counts; None in a margin. marked: which tokens are in the article as the page marks it,
-    None if it doesn't."""
+    """kinds: of each token as it counts; None in a margin. marked: the label, which tokens are in the article as the page
+    marks it; None if it doesn't, or if it wasn't asked for."""
 
     tokens: list[Token]
     kinds: list[str | None]
     marked: list[bool] | None
 
 
-def analysed(page: str, options: Options) -> Page:
+def analysed(page: str, options: Options, label: bool = False) -> Page:
+    """What extraction sees of a page and, with ``label``, what its own mark says, for fitting."""
     tokens, elements = read_page(page)
     n = len(tokens)
 
@@ -282,10 +287,10 @@ def analysed(page: str, options: Options) -> Page:
     own = running(in_margin)
     words = lambda e, of: of[e.last] - of[e.first]
     articles: list[Element] = []
-    for e in candidates:
+    for e in candidates if label else ():
         if e.mark == "article" and not (articles and e.first < articles[-1].last):
             articles.append(e)
-    mains = [e for e in candidates if e.mark == "main"]
+    mains = [e for e in candidates if label and e.mark == "main"]
     mark = articles[0] if len(articles) == 1 else mains[0] if mains else None
     if mark and mains and mark is not mains[0] and 5 * words(mark, own) < 2 * words(mains[0], own):
         mark = mains[0]
@@ -343,16 +348,35 @@ def _tag_weight(kind: str, odds: float, options: Options) -> float:
     return -options.tag_cost * cost
 
 
+def group(kind: str) -> str:
+    """The group whose weight a kind has that the sample lacks."""
+    if kind.startswith(("word", "space")):
+        return kind
+    if kind.startswith("margin"):
+        return "dividing margins" if kind.removeprefix("margin ") in DIVIDING else "margins"
+    return "prose" if kind.lstrip("/") in PROSE else "tags"
+
+
+#: A kind of each group, for its prior.
+GROUPS = {"word block": "word block", "word link": "word link", "dividing margins": "margin nav", "margins": "margin aside", "prose": "p", "tags": "div"}
+
+
 def learned_weights(inside: Mapping[str, float], outside: Mapping[str, float], options: Options) -> dict[str, float]:
-    """Log odds of inside against outside, smoothed towards the prior; tags are held below 0."""
-    weights = {}
+    """Log odds of inside against outside of kinds and groups, smoothed towards the prior; tags are held below 0."""
+    within, without = Counter(inside), Counter(outside)
     for kind in {*inside, *outside}:
-        share = 1 / (1 + math.exp(-prior_weight(kind, options)))
-        odds = math.log((inside.get(kind, 0) + options.prior * share) / (outside.get(kind, 0) + options.prior * (1 - share)))
-        if kind.startswith("word"):
+        if group(kind) != kind and kind.lstrip("/") not in AROUND:
+            within[group(kind)] += inside.get(kind, 0)
+            without[group(kind)] += outside.get(kind, 0)
+    weights = {}
+    for kind in {*within, *without, *GROUPS}:
+        like = GROUPS.get(kind, kind)
+        share = 1 / (1 + math.exp(-prior_weight(like, options)))
+        odds = math.log((within[kind] + options.prior * share) / (without[kind] + options.prior * (1 - share)))
+        if like.startswith("word"):
             weights[kind] = max(-options.word_limit, min(options.word_limit, odds))
         else:
-            weights[kind] = 0.0 if kind == "space" else _tag_weight(kind, odds, options)
+            weights[kind] = 0.0 if kind == "space" else _tag_weight(like, odds, options)
     return weights
 
 
@@ -370,18 +394,14 @@ def best_region(scores: Sequence[float]) -> tuple[int, int]:
 
 def token_scores(page: Page, weights: Mapping[str, float], options: Options) -> list[float]:
     """What each token adds; runs of links and of margins, with no other words between, cost no more than their bounds."""
-    limit, scores, run, paid = options.word_limit, [], 0.0, 0.0
+    scores, run, paid = [], 0.0, 0.0
     known: dict[str, float] = {}
-    for i, (token, kind) in enumerate(zip(page.tokens, page.kinds, strict=True)):
+    for token, kind in zip(page.tokens, page.kinds, strict=True):
         if kind is None:
             scores.append(0.0)
             continue
         if kind not in known:
-            prior = prior_weight(kind, options)
-            known[kind] = weights[kind] if kind in weights else prior if kind.startswith("word") or kind == "space" else _tag_weight(kind, prior, options)
-        if page.marked is not None:
-            scores.append(token.words * (limit if page.marked[i] else -limit) if token.text else 0.0)
-            continue
+            known[kind] = weights.get(kind, weights.get(group(kind), 0.0))
         score = known[kind] * (token.words if token.text else 1)
         if kind == "word block" and token.words:
             run = paid = 0.0
@@ -422,7 +442,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", optio
         for batch in batches:
             inside, outside = Counter(), Counter()
             for page in batch.column(0).to_pylist():
-                found = analysed(page or "", options)
+                found = analysed(page or "", options, label=True)
                 if found.marked is None:
                     continue
                 for token, kind, own in zip(found.tokens, found.kinds, found.marked, strict=True):

@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: SQL can't express the learned stages; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: SQL can't express the learned stages; tests/llm/test_group_operators.py holds run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ SHAPES = {
     "long advert": (f'<div>{article(2)}<div class="ad"><p>{"Buy it now. " * 40}</p></div><p>{P} {P} {P} {P}</p></div>', f"{text(2)}\n{P} {P} {P} {P}"),
     "short tail": (f'<article><p>{P}</p><aside>{P * 9}</aside><p>The end.</p></article>', f"{P}\nThe end."),
     "list of links": (f"<div>{article()}<ul>{LINKS}</ul><p>{P} {P} {P} {P}</p></div>", "\n".join([text(), *(f"link {i}" for i in range(30)), f"{P} {P} {P} {P}"])),
-    "list of links in an article": (f"<article><p>{P}</p><ul>{LINKS}</ul></article>", "\n".join([P, *(f"link {i}" for i in range(30))])),
+    "list of links at the end": (f"<article><p>{P}</p><ul>{LINKS}</ul></article>", P),
+    "teaser as article": (f'<body><article><h2>Teaser</h2><p>{P}</p></article><div class="content">{article(9)}</div></body>', f"Teaser\n{P}\n{text(9)}"),
     "button in a line": (f"<p>One two <button>Copy</button> three four. {P}</p>", f"One two three four. {P}"),
     "formula in a line": (f"<p>One two <math><mi>x</mi></math> three four. {P}</p>", f"One two x three four. {P}"),
     "open select": (f"<div><p>{P}</p><select><option>a<p>{P}</p>{article()}", f"{P}\n{P}\n{text()}"),
@@ -46,7 +48,7 @@ SHAPES = {
     "names on body": (f'<body class="home page sidebar-right"><div id="wrapper" class="with-nav"><div id="content">{article()}</div><div id="sidebar"><p>{P}</p></div></div></body>', text()),
     "consent first": (f'<div id="cookieBanner"><p>{P * 3}</p></div><nav>a b c</nav><div>{article()}</div>', text()),
     "open cells": (f"<article><table><tr><td>a b</td><td>c</td></tr><tr><td>d</table><p>{P}</p></article>", f"a b\nc\nd\n{P}"),
-    "open items": (f'<article><ul><li>one<li class="ad">ad ad<li>two</ul>{article()}</article>', f"one\ntwo\n{text()}"),
+    "open items": (f'<article><ul><li>one of the items<li class="ad">ad ad<li>two</ul>{article()}</article>', f"one of the items\ntwo\n{text()}"),
     "post of parts": (f'<div class="post"><div class="post-header"><h1>T</h1></div><div class="post-content">{article()}</div><div class="post-comments"><p>{P * 2}</p></div></div>', f"T\n{text()}"),
     "sign-up inside": (f'<article>{article(1)}<div class="newsletter-signup"><form><p>Sign up</p><input></form></div><p>{P}</p></article>', f"{text(1)}\n{P}"),
     "link around a block": (f"<article><a href=x><div>linked</a> text</div>{article()}</article>", f"linked text\n{text()}"),
@@ -66,11 +68,25 @@ def weights(spark):
 def test_shapes(weights, shape):
     page, expected = SHAPES[shape]
     assert main_text.extract(page, weights, OPTIONS) == expected
-    assert main_text.extract(page, {}, OPTIONS) == expected
+    assert main_text.extract(page, {}, OPTIONS) == ""
+
+
+def test_weights_decide(weights):
+    """A page without names of margins: what links cost, as learned, is what keeps a list of them out."""
+    page = f"<div><p>{P} {P}</p></div><ul>{LINKS}</ul>"
+    assert main_text.extract(page, weights, OPTIONS) == f"{P} {P}"
+    assert main_text.extract(page, weights | {"word link": 1.0}, OPTIONS).endswith("link 29")
+
+
+def test_fit_ignores_unlabelled(spark, weights):
+    """Weights come from labels: on tables without any they are the prior, and labels move them."""
+    prior = main_text.fit(spark.createDataFrame([(1, f"<div>{article()}</div>")], "page_id long, html string"))
+    assert prior == main_text.learned_weights({}, {}, OPTIONS) and weights["word block"] > prior["word block"] and weights["margin nav"] < 0
 
 
 def test_made_pages(weights):
-    """Pages put together at random: the article's blocks come back, and nothing else."""
+    """Pages put together at random, most without a mark: precision and recall of the words of the article's blocks."""
+    right = returned = wanted = 0
     rng = random.Random(8)
     words = "alpha beta gamma delta épsilon zeta eta theta iota kappa".split()
     sentence = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -84,13 +100,12 @@ def test_made_pages(weights):
             inner.append(f"<{tag}>{block.replace('gamma', '<b>gamma</b>').replace('é', '&eacute;')}</{tag}>")
             if rng.random() < 0.3:
                 inner.append(rng.choice(margins).format(sentence(rng.randint(1, 90))))
-        mark = rng.choice(["article", "main", "div role=main"])
+        mark = rng.choice(["article", "main", "div role=main", "div", "section"])
         before, after = ("".join(rng.choice(margins).format(sentence(rng.randint(1, 20))) for _ in range(rng.randint(0, 3))) for _ in range(2))
         page = f"<html><head><title>x</title></head><body>{before}<{mark}>{''.join(inner)}</{mark.split()[0]}>{after}</body></html>"
-        expected = blocks if sum(len(b.split()) for b in blocks) > 60 else None
-        found = main_text.extract(page, weights, OPTIONS)
-        if expected:
-            assert found == "\n".join(expected)
+        found, expected = Counter(main_text.extract(page, weights, OPTIONS).split()), Counter(" ".join(blocks).split())
+        right, returned, wanted = right + (found & expected).total(), returned + found.total(), wanted + expected.total()
+    assert right / returned >= 0.95 and right / wanted >= 0.95, (right / returned, right / wanted)
 
 
 def test_long_odd_pages(weights):
