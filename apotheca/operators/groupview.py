@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from apotheca.functions import text
 from apotheca.functions.text import ColumnOrName, as_column
+from apotheca.operators.catalogue import ranked
 
 
 def sorted_set(x: ColumnOrName) -> Column:
@@ -44,9 +45,12 @@ def split_sorted(rows: DataFrame, key: str, column: str, pattern: str = r"[,;\n]
 
 
 def two_lists(rows: DataFrame, key: str, flag: str, value: str, order: str) -> DataFrame:
-    """Per group: the values of flagged rows and of the others, each in order."""
-    part = lambda condition: F.transform(F.array_sort(F.collect_list(F.when(condition, F.struct(order, value)))), lambda s: s[value])
-    return rows.groupBy(key).agg(F.array_join(part(F.col(flag)), ",").alias("flagged"), F.array_join(part(~F.col(flag)), ",").alias("others"))
+    """key, list (flagged or others), value and place from 1: each group's two lists in order, a row per entry.
+
+    Places come from a sort over all tasks, so a group of any size is many tasks. A null flag counts as not flagged.
+    """
+    listed = rows.withColumn("list", F.when(F.col(flag), "flagged").otherwise("others"))
+    return ranked(listed, [order, value], within=[key, "list"]).select(key, "list", value, F.col("rank").alias("place"))
 
 
 def first_match(rows: DataFrame, key: str, condition: Column, value: str, order: str) -> DataFrame:

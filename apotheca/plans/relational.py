@@ -300,7 +300,7 @@ def conditions_split(t: Tables) -> DataFrame:
     return groupview.split_sorted(t.orders.withColumn("c", F.concat_ws(";", "o_orderpriority", "o_orderstatus", F.lit(" "))), "o_custkey", "c")
 
 
-@query("""SELECT p_brand, coalesce(string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (p_size > 25), '') AS flagged, coalesce(string_agg(p_partkey, ',' ORDER BY p_partkey) FILTER (p_size <= 25), '') AS others FROM part GROUP BY 1""")
+@query("""SELECT p_brand, list, CAST(p_partkey AS VARCHAR) AS value, row_number() OVER (PARTITION BY p_brand, list ORDER BY p_partkey) AS place FROM (SELECT *, CASE WHEN p_size > 25 THEN 'flagged' ELSE 'others' END AS list FROM part)""")
 def partition_lists(t: Tables) -> DataFrame:
     rows = t.part.select("p_brand", (F.col("p_size") > 25).alias("flag"), F.col("p_partkey").cast("string").alias("value"), F.col("p_partkey").alias("at"))
     return groupview.two_lists(rows, "p_brand", "flag", "value", "at")

@@ -269,3 +269,17 @@ def test_first_strategies(spark, name, shape, subtracted, brand):
 
 def test_seconds(spark):
     assert one(spark, codes.second, "2024-02-29T23:59:59.999") == "2024-02-29 23:59:59" and one(spark, codes.second, "2024-02-30") is None
+
+
+def test_two_lists_of_a_hot_group(spark):
+    from apotheca.operators import groupview
+
+    rows = [("hot" if i % 3 else f"g{i % 5}", None if i % 10 == 9 else i % 2 == 0, str(i), i // 2) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, flag boolean, value string, at int")
+    found = sorted((r.g, r.list, r.place, r.value) for r in groupview.two_lists(df, "g", "flag", "value", "at").collect())
+    want = []
+    for g in {r[0] for r in rows}:
+        for name, of in (("flagged", True), ("others", False)):
+            ordered = sorted((at, value) for key, flag, value, at in rows if key == g and bool(flag) == of)
+            want += [(g, name, i + 1, value) for i, (_, value) in enumerate(ordered)]
+    assert found == sorted(want)
