@@ -47,11 +47,13 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.repetition_stats(table(spark, sf_dir, "documents"))
+    stats = quality_rules.repetition_stats(table(spark, sf_dir, "documents"))
+    first = ["doc_id", *quality_rules.COUNTS, "base_failed", "kept"]
+    return stats.select(*first, *(c for c in stats.columns if c not in first))
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
