@@ -37,8 +37,9 @@ def top_missing(rows: DataFrame, signature: str, name: str, order: str, n: int =
 
 
 def strategy_summary(scored: DataFrame, result: str) -> DataFrame:
-    """Per method of a strategy's results: how many, and their mean confidence."""
-    return scored.groupBy(F.col(f"{result}.method").alias("method")).agg(F.count("*").alias("n"), F.round(F.avg(f"{result}.confidence"), 4).alias("mean_confidence"))
+    """Per method of a strategy's results: how many, and their mean confidence, summed as decimals so that no order of rows matters."""
+    total = F.sum(F.col(f"{result}.confidence").cast("decimal(9,2)")).cast("double")
+    return scored.groupBy(F.col(f"{result}.method").alias("method")).agg(F.count("*").alias("n"), F.round(total / F.count("*"), 4).alias("mean_confidence"))
 
 
 def reference_of_group(members: DataFrame, order: list[str]) -> DataFrame:
