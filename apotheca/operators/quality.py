@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import labels
+from apotheca.functions.numbers import rounded
 
 #: Short names that are right.
 SHORT_NAMES = ("ZINC", "FER", "EAU", "GEL", "AIR", "SEL")
@@ -39,7 +40,7 @@ def top_missing(rows: DataFrame, signature: str, name: str, order: str, n: int =
 def strategy_summary(scored: DataFrame, result: str) -> DataFrame:
     """Per method of a strategy's results: how many, and their mean confidence, summed as decimals so that no order of rows matters."""
     total = F.sum(F.col(f"{result}.confidence").cast("decimal(9,2)")).cast("double")
-    return scored.groupBy(F.col(f"{result}.method").alias("method")).agg(F.count("*").alias("n"), F.round(total / F.count("*"), 4).alias("mean_confidence"))
+    return scored.groupBy(F.col(f"{result}.method").alias("method")).agg(F.count("*").alias("n"), rounded(total / F.count("*"), 4).alias("mean_confidence"))
 
 
 def reference_of_group(members: DataFrame, order: list[str]) -> DataFrame:
@@ -53,8 +54,8 @@ def cluster_metrics(clusters: DataFrame) -> DataFrame:
     short = (F.length(name) < 4) & ~F.upper(name).isin(*SHORT_NAMES)
     return clusters.agg(
         F.count("*").alias("total_clusters"),
-        F.round(rate(F.startswith("cluster_name", F.lit("ORPH_"))), 6).alias("orphan_rate"),
-        F.round(rate(F.coalesce("cluster_princeps", F.lit("")) != ""), 6).alias("princeps_coverage"),
+        rounded(rate(F.startswith("cluster_name", F.lit("ORPH_"))), 6).alias("orphan_rate"),
+        rounded(rate(F.coalesce("cluster_princeps", F.lit("")) != ""), 6).alias("princeps_coverage"),
         F.count_if(short).alias("short_name_alerts"),
     )
 

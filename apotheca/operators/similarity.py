@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from apotheca.functions.numbers import rounded
+
 #: Fixed values of Jaro-Winkler similarity: the weight of a common prefix letter, at most so many, for scores above.
 PREFIX_WEIGHT, PREFIX_MOST, BOOST_ABOVE = 0.1, 4, 0.7
 
@@ -113,7 +115,7 @@ def attach(orphans: DataFrame, groups: DataFrame, least: float = 0.85, name_weig
     names = names.filter(F.col("name_score") * name_weight + (1 - name_weight) >= least - 1e-9)
     pairs = wanted.join(names, wanted["name"] == names["left_name"]).drop("left_name").join(known, "right_name")
     scored = with_similarity(pairs, "form", "right_form", "form_score")
-    scored = scored.withColumn("score", F.round(F.col("name_score") * name_weight + F.col("form_score") * (1 - name_weight), 6)).filter(F.col("score") >= least)
+    scored = scored.withColumn("score", rounded(F.col("name_score") * name_weight + F.col("form_score") * (1 - name_weight), 6)).filter(F.col("score") >= least)
     best = scored.groupBy("name", "form").agg(F.min_by(F.struct("group_id", "score"), F.struct(-F.col("score"), "group_id")).alias("best"))
     best = best.select(F.col("name").alias("__name"), F.col("form").alias("__form"), "best.*")
     return orphans.join(best, (F.col("name") == F.col("__name")) & F.col("form").eqNullSafe(F.col("__form")), "left").drop("__name", "__form")

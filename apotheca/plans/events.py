@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apotheca.functions import codes, labels, text, words
+from apotheca.functions.numbers import rounded
 from apotheca.operators import catalogue, search, stock
 from apotheca.plans.registry import Tables, query
 from apotheca.sources import tsv
@@ -186,7 +187,7 @@ def search_indexed(t: Tables) -> DataFrame:
 h AS (SELECT doc_id, len(ws) AS length, x AS word, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS x FROM w) WHERE x IN ('license', 'version', 'the') GROUP BY doc_id, len(ws), x), f AS (SELECT word, count(*) AS df FROM h GROUP BY 1)
 SELECT doc_id, round(-sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))), 6) AS score FROM h JOIN f USING (word), n GROUP BY 1""")
 def search_bm25(t: Tables) -> DataFrame:
-    return search.bm25(t.documents, "doc_id", "text", ["License", "version", "the"]).select("doc_id", F.round("score", 6).alias("score"))
+    return search.bm25(t.documents, "doc_id", "text", ["License", "version", "the"]).select("doc_id", rounded(F.col("score"), 6).alias("score"))
 
 
 @query("""SELECT user_id, CAST(sum(CASE WHEN event_type = 'purchase' THEN 2 ELSE 1 END) AS BIGINT) AS stock_count, arg_min(event_type, (ts, event_id)) AS event_type, max(ts) AS updated_at FROM events GROUP BY 1""")
