@@ -15,7 +15,7 @@ from apotheca.sources.store import shared_folder
 from apotheca.sources.versions import BucketedTable
 from apotheca.streaming import decisions, scans, upserts
 
-RULES = decisions.Rules(cooldown=21600, lifetime=86400, delay=43200, capacity=3, remember=864000, slot=3600)
+RULES = decisions.Rules(cooldown=21600, lifetime=86400, delay=43200, capacity=3, remember=864000, slot=3600, together=240)
 
 
 @contextmanager
