@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from apotheca.functions import codes, labels, text
 from apotheca.functions.numbers import rounded
-from apotheca.operators import aliases, clusters, fulltext, quality, similarity, subclusters
+from apotheca.operators import aliases, clusters, distinct, fulltext, quality, similarity, subclusters
 from apotheca.plans.registry import Tables, query
 from apotheca.sources import tsv
 from apotheca.sources.store import shared_folder
@@ -87,15 +87,19 @@ def form_descriptions(t: Tables) -> DataFrame:
 CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(replace(p_name, ' ', '')) WHEN 2 THEN '' ELSE 'a  b ' END AS prefix FROM part""")
 def keyword_vectors(t: Tables) -> DataFrame:
     """T16 with stop words, dosages and repeated entries; T17 without case, with the condensed spelling, and of one text."""
-    one = F.array(F.lit("autré"), "p_name", F.lit("Autré"), F.lit(""))
-    keywords = text.keyword_vector("p_name", "p_brand", F.filter(one, lambda x: x == "autré"), F.concat("p_name", F.lit(" comprimé 500 mg, "), "p_type", F.lit(" 5+ ,")), F.array(F.lit("  "), F.lit("pour enfant base"), F.lit(None).cast("string")))
-    first = F.substring_index("p_name", " ", 1)
-    dense = F.upper(F.replace("p_name", F.lit(" "), F.lit("")))
+    name, brand, kind = F.col("name"), F.col("brand"), F.col("kind")
+    one = F.array(F.lit("autré"), name, F.lit("Autré"), F.lit(""))
+    keywords = text.keyword_vector(name, brand, F.filter(one, lambda x: x == "autré"), F.concat(name, F.lit(" comprimé 500 mg, "), kind, F.lit(" 5+ ,")), F.array(F.lit("  "), F.lit("pour enfant base"), F.lit(None).cast("string")))
+    first = F.substring_index(name, " ", 1)
+    dense = F.upper(F.replace(name, F.lit(" "), F.lit("")))
     kinds = (
-        F.array(F.concat("p_name", F.lit(" 500")), F.concat(F.upper("p_name"), F.lit("  1000 mg"))), F.array(F.concat(first, F.lit("-"), F.substring_index("p_name", " ", -1), F.lit(" 500")), F.concat(dense, F.lit("1000"))),
-        F.array(F.lit("x y"), "p_name"), F.array(F.lit("a  b ")),
+        F.array(F.concat(name, F.lit(" 500")), F.concat(F.upper(name), F.lit("  1000 mg"))), F.array(F.concat(first, F.lit("-"), F.substring_index(name, " ", -1), F.lit(" 500")), F.concat(dense, F.lit("1000"))),
+        F.array(F.lit("x y"), name), F.array(F.lit("a  b ")),
     )
-    return t.part.select("p_partkey", keywords.alias("keywords"), text.common_word_prefix(F.element_at(F.array(*kinds), F.col("p_size") % 4 + 1)).alias("prefix"))
+    parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+    found = distinct.once_each(parts, {"name": F.col("p_name"), "brand": F.col("p_brand"), "kind": F.col("p_type")}, {"keywords": keywords})
+    found = distinct.once_each(found, {"name": F.col("p_name"), "number": F.col("p_size") % 4}, {"prefix": text.common_word_prefix(F.element_at(F.array(*kinds), F.col("number") + 1))})
+    return found.select("p_partkey", "keywords", "prefix")
 
 
 #: A part's name ends in a dosage of one of its line items, spelt in one of four ways, of no line item, or in none.
