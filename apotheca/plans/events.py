@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from apotheca.functions import codes, labels, text, words
 from apotheca.functions.numbers import rounded
-from apotheca.operators import catalogue, search, stock
+from apotheca.operators import catalogue, distinct, search, stock
 from apotheca.plans.registry import Tables, query
 from apotheca.sources import tsv
 from apotheca.sources.store import shared_folder
@@ -43,18 +43,20 @@ def text_normalise_names(t: Tables) -> DataFrame:
 @query("""SELECT p_partkey, upper(substr(p_name, 1, 1)) || lower(substr(p_name, 2)) || ', ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2)) AS principles, upper(p_name) AS maker, p_name AS label, p_brand AS holder, p_name AS masked,
 upper(p_name) AS key, list_aggregate(list_sort(list_distinct([upper(p_name), p_type])), 'string_agg', ' ') AS common, p_name AS princeps, upper(substr(p_name, 1, 1)) AS letter FROM part""")
 def text_labels(t: Tables) -> DataFrame:
-    return t.part.select(
-        "p_partkey",
-        text.format_principles(F.concat("p_name", F.lit(" ,,"), "p_type")).alias("principles"),
-        labels.maker_name(F.concat(F.lit("Laboratoires "), "p_name", F.lit(" SA"))).alias("maker"),
-        labels.product_label(F.concat(F.lit("12345678 "), "p_name", F.lit(",.-"))).alias("label"),
-        labels.main_holder(F.concat(F.lit(" ;"), "p_brand", F.lit(" SAS; other"))).alias("holder"),
-        labels.masked_label(F.concat("p_name", F.lit(", comprimé")), F.lit("Comprimé")).alias("masked"),
-        labels.grouping_key(F.concat("p_name", F.lit(" 500 mg pour 5 ml (x) - brand"))).alias("key"),
-        text.common_principles(F.concat("p_name", F.lit("+"), "p_type", F.lit("+"), "p_name")).alias("common"),
-        text.princeps_label(F.concat("p_type", F.lit(" - "), "p_name")).alias("princeps"),
-        text.initial("p_name").alias("letter"),
-    )
+    name, kind, brand = F.col("name"), F.col("kind"), F.col("brand")
+    results = {
+        "principles": text.format_principles(F.concat(name, F.lit(" ,,"), kind)),
+        "maker": labels.maker_name(F.concat(F.lit("Laboratoires "), name, F.lit(" SA"))),
+        "label": labels.product_label(F.concat(F.lit("12345678 "), name, F.lit(",.-"))),
+        "holder": labels.main_holder(F.concat(F.lit(" ;"), brand, F.lit(" SAS; other"))),
+        "masked": labels.masked_label(F.concat(name, F.lit(", comprimé")), F.lit("Comprimé")),
+        "key": labels.grouping_key(F.concat(name, F.lit(" 500 mg pour 5 ml (x) - brand"))),
+        "common": text.common_principles(F.concat(name, F.lit("+"), kind, F.lit("+"), name)),
+        "princeps": text.princeps_label(F.concat(kind, F.lit(" - "), name)),
+        "letter": text.initial(name),
+    }
+    rows = t.part.select("p_partkey", "p_name", "p_type", "p_brand")
+    return distinct.once_each(rows, {"name": F.col("p_name"), "kind": F.col("p_type"), "brand": F.col("p_brand")}, results).select("p_partkey", *results)
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 2 AND p_size % 3 = 0 THEN 'CHLORURE DE SODIUM' WHEN p_partkey % 3 = 2 AND p_size % 3 = 1 THEN '' ELSE upper(p_name) END AS substance FROM part""")
@@ -80,7 +82,8 @@ SPELLINGS = (
 @query(f"""SELECT p_partkey, replace(([{', '.join("'" + e + "'" for _, e in SPELLINGS)}])[p_partkey % {len(SPELLINGS)} + 1], '{{}}', upper(p_name)) AS principle FROM part""")
 def index_principles(t: Tables) -> DataFrame:
     spelled = F.element_at(F.array(*(F.lit(x) for x, _ in SPELLINGS)), (F.col("p_partkey") % len(SPELLINGS) + 1).cast("int"))
-    return t.part.select("p_partkey", text.index_principle(F.replace(spelled, F.lit("{}"), F.col("p_name"))).alias("principle"))
+    principle = F.replace(spelled, F.lit("{}"), F.col("p_name"))
+    return distinct.once_each(t.part.select("p_partkey", "p_name"), {"spelling": principle}, {"principle": text.index_principle("spelling")}).select("p_partkey", "principle")
 
 
 @query("""WITH f AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'Comprimé' WHEN 1 THEN 'solution INJECTable' WHEN 2 THEN 'sirop' WHEN 3 THEN 'crème' ELSE p_type END AS form FROM part)
@@ -374,6 +377,7 @@ def suspect_names(t: Tables) -> DataFrame:
 
 @query("""SELECT p_partkey, upper(p_name || ' A ' || p_size) AS vector, upper(p_name) || ' A POUR' AS keywords, p_name AS prefix FROM part""")
 def search_vectors(t: Tables) -> DataFrame:
-    size = F.col("p_size").cast("string")
-    names = F.array(F.concat("p_name", F.lit(" one")), F.concat("p_name", F.lit(" two")))
-    return t.part.select("p_partkey", text.search_vector("p_name", F.lit("a"), size).alias("vector"), text.keyword_vector("p_name", F.lit("a pour"), F.array(F.lit("a pour")), F.lit(""), F.array(F.lit("base"))).alias("keywords"), text.common_word_prefix(names).alias("prefix"))
+    names = F.array(F.concat("name", F.lit(" one")), F.concat("name", F.lit(" two")))
+    results = {"keywords": text.keyword_vector("name", F.lit("a pour"), F.array(F.lit("a pour")), F.lit(""), F.array(F.lit("base"))), "prefix": text.common_word_prefix(names)}
+    found = distinct.once_each(t.part.select("p_partkey", "p_name", "p_size"), {"name": F.col("p_name")}, results)
+    return found.select("p_partkey", text.search_vector("p_name", F.lit("a"), F.col("p_size").cast("string")).alias("vector"), *results)
