@@ -36,8 +36,11 @@ from apotheca.llm.textarrays import byte_ranges, mix, range_hashes
 
 ORDER = 5
 WORDS = [f"w{i + 1}" for i in range(ORDER)]
-_BLOCK = 1 << 22
+#: Bytes of texts in a block: of windows, which are told apart within it, and of counts, which aren't.
+_BLOCK, _COUNT_BLOCK = 1 << 22, 1 << 20
 _SEGMENT = 1 << 15
+#: Hashes that are counted, and rows that are sent, at once.
+_SLICE = 1 << 16
 _NEXT = np.uint64(0x9FB21C651E98DF25)
 
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -108,14 +111,14 @@ def _block(data: np.ndarray, offsets: np.ndarray, langs: np.ndarray, lang_hash:
     return Block(words.cast(pa.large_string()), word, lang, follows, bucket(own), pair, triple)
 
 
-def _blocks(batch: pa.RecordBatch, buckets: int) -> Iterator[tuple[pa.Array, Block]]:
+def _blocks(batch: pa.RecordBatch, buckets: int, size: int = _BLOCK) -> Iterator[tuple[pa.Array, Block]]:
     """(languages, block) for blocks of whole texts of the batch; columns text and lang."""
     coded = batch.column("lang").dictionary_encode()
     langs, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
     names = [x.encode() for x in langs.to_pylist()]
     ends = np.cumsum([0, *map(len, names)])
     hashes = range_hashes(np.frombuffer(b"".join(names), dtype=np.uint8), ends[:-1], ends[1:])
-    for row, end, data, offsets in byte_ranges(batch.column("text"), _BLOCK):
+    for row, end, data, offsets in byte_ranges(batch.column("text"), size):
         if (block := _block(data, offsets, codes[row:end], hashes, buckets)) is not None:
             yield langs, block
 
@@ -133,27 +136,32 @@ def _triples(pairs: np.ndarray) -> np.ndarray:
     return pairs & np.append(pairs[1:], False)
 
 
+def counted(buckets: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """bucket and n of hashes, which are sorted in place. They are counted a slice at a time, so a bucket may come twice, its count dealt over both."""
+    buckets.sort()
+    for k in range(0, len(buckets), _SLICE):
+        found, count = np.unique(buckets[k : k + _SLICE], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], names=["bucket", "n"])
+
+
 def _bucket_counts(texts: DataFrame, often: bytes | None, options: Options) -> DataFrame:
     """Of words and pairs; of triples, if the frequent pairs are given."""
     sent = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+        held, n = np.empty(options.keys, dtype=np.int32), 0
         bits = None if sent.value is None else np.frombuffer(sent.value, dtype=np.uint8)
-
-        def counted() -> pa.RecordBatch:
-            found, count = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(found), pa.array(count.astype(np.int64))], names=["bucket", "n"])
-
         for batch in batches:
-            for _, block in _blocks(batch, options.buckets):
-                held += [block.single, block.pair[block.follows]] if bits is None else [block.triple[_triples(_pairs(block, bits))]]
-                n = sum(map(len, held))
-                if n >= options.keys:
-                    yield counted()
-                    held = []
-        if held:
-            yield counted()
+            for _, block in _blocks(batch, options.buckets, _COUNT_BLOCK):
+                for found in [block.single, block.pair[block.follows]] if bits is None else [block.triple[_triples(_pairs(block, bits))]]:
+                    while len(found):
+                        taken = found[: len(held) - n]
+                        held[n : n + len(taken)] = taken
+                        n, found = n + len(taken), found[len(taken) :]
+                        if n == len(held):
+                            yield from counted(held)
+                            n = 0
+        yield from counted(held[:n])
 
     return texts.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
@@ -214,7 +222,8 @@ def count_windows(texts: DataFrame, often: bytes, triples: bytes, options: Optio
             for langs, block in _blocks(batch, options.buckets):
                 lang, words, count = _windows(block, *bits)
                 columns = [block.words.take(pa.array(words[:, k], mask=words[:, k] < 0)).cast(pa.string()) for k in range(ORDER)]
-                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang)).cast(pa.string()), *columns, pa.array(count.astype(np.int64))], names=["lang", *WORDS, "n"])
+                rows = pa.RecordBatch.from_arrays([langs.take(pa.array(lang)).cast(pa.string()), *columns, pa.array(count.astype(np.int64))], names=["lang", *WORDS, "n"])
+                yield from (rows.slice(k, _SLICE) for k in range(0, len(rows), _SLICE))
 
     schema = ", ".join(f"{c} string" for c in ("lang", *WORDS)) + ", n long"
     return texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
