@@ -173,21 +173,32 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
+#: Beginnings of serials, with their lengths, that are broadcast.
+BEGINNINGS = 10_000
+
+
 def contained_duplicates(scans: DataFrame, boxes: DataFrame, key: str, serial: str, label: str) -> DataFrame:
     """Scans whose serial is part of a known label of the same key (J16): the looser of the two duplicate tests.
 
-    A label's substrings, of lengths that serials have, are joined by equality, so a key with very many labels is no group
-    that has to meet: rows grow with the labels' lengths only. An empty serial is part of any label.
+    A label's substrings meet serials by equality, so a key with very many labels is no group that has to meet. Only substrings that
+    begin as serials do, and go on as long as serials that begin so, are made: the beginnings, as long as the shortest serial, are
+    broadcast where they are at most ``BEGINNINGS``, and are joined by key otherwise. An empty serial is part of any label.
     """
-    lengths = scans.agg(F.min(F.length(serial)), F.max(F.length(serial))).first()
-    if lengths[0] is None:
-        return scans.limit(0)
-    least, most, size = F.lit(max(lengths[0], 1)), F.lit(lengths[1]), F.length(label)
-    sizes = F.when(F.least(most, size) >= least, F.sequence(least, F.least(most, size))).otherwise(F.array().cast("array<int>"))
-    parts = boxes.select(key, label, F.explode(sizes).alias("__size")).select(key, label, "__size", F.explode(F.sequence(F.lit(1), size - F.col("__size") + 1)).alias("__from"))
-    parts = parts.select(key, F.col(label).substr(F.col("__from"), F.col("__size")).alias(serial)).distinct()
-    empty = scans.filter(F.length(serial) == 0).join(boxes.filter(F.col(label).isNotNull()).select(key).distinct(), key, "left_semi")
-    return scans.join(parts, [key, serial], "left_semi").select(*scans.columns).unionByName(empty.select(*scans.columns))
+    least = scans.filter(F.length(serial) > 0).agg(F.min(F.length(serial))).first()[0]
+    empty = scans.filter(F.length(serial) == 0).join(boxes.filter(F.col(label).isNotNull()).select(key).distinct(), key, "left_semi").select(*scans.columns)
+    if least is None:
+        return empty
+    begin = F.substring(serial, 1, least).alias("__begin")
+    begun = scans.filter(F.length(serial) > 0).select(key, begin, F.length(serial).alias("__size"))
+    known = begun.select("__begin", "__size").distinct()
+    few = known.limit(BEGINNINGS + 1).count() <= BEGINNINGS
+    sizes = F.broadcast(known.groupBy("__begin").agg(F.collect_set("__size").alias("__sizes"))) if few else begun.groupBy(key, "__begin").agg(F.collect_set("__size").alias("__sizes"))
+    # A label shorter than the shortest serial has no places.
+    places = F.when(F.length(label) >= least, F.sequence(F.lit(1), F.length(label) - least + 1)).otherwise(F.array().cast("array<int>"))
+    starts = boxes.select(key, label, F.explode(places).alias("__from")).withColumn("__begin", F.col(label).substr(F.col("__from"), F.lit(least)))
+    parts = starts.join(sizes, "__begin" if few else [key, "__begin"]).select(key, label, "__from", F.explode("__sizes").alias("__size"))
+    parts = parts.filter(F.col("__from") + F.col("__size") - 1 <= F.length(label)).select(key, F.col(label).substr(F.col("__from"), F.col("__size")).alias(serial)).distinct()
+    return scans.join(parts, [key, serial], "left_semi").select(*scans.columns).unionByName(empty)
 
 
 def audit_view(clusters: DataFrame) -> DataFrame:
