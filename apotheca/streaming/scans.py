@@ -130,27 +130,32 @@ def cooldown(scans: DataFrame, key: str, ts: str, seconds: int, tie: str, forced
     return pairs.select("p.__rows.*", F.col("p.__taken").alias("accepted"))
 
 
-def cooldown_stream(scans: DataFrame, key: str, ts: str, seconds: int, tie: str) -> DataFrame:
+def cooldown_stream(scans: DataFrame, key: str, ts: str, seconds: int, tie: str, buckets: int = 4096) -> DataFrame:
     """The accepted scans of a stream (key, ts, tie); one number per key is kept as state (ST1).
 
-    Scans of a micro-batch are taken in order; one that is older than the last accepted is not accepted.
+    Keys are dealt into buckets, whose state is the last accepted time of each of its keys, so a micro-batch calls for Python once a
+    bucket, however many keys there are. Scans of a micro-batch are taken in order; one that is older than the last accepted is not accepted.
     """
     schema = scans.select(key, ts, tie).schema
-    names = [key, ts, tie]
+    names, span = [key, ts, tie], seconds * 1_000_000
 
     def keep(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches))[names].sort_values([ts, tie], kind="stable")
+        known = dict(zip(*state.get, strict=True)) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values([ts, tie], kind="stable")
         taken = []
-        for at in rows[ts]:
-            now = at.value // 1000
-            ok = last is None or now - last >= seconds * 1_000_000
-            last = now if ok else last
+        for name, at in zip(rows["__name"].tolist(), rows[ts].to_numpy().astype("datetime64[us]").astype("int64").tolist(), strict=True):
+            last = known.get(name)
+            ok = last is None or at - last >= span
+            if ok:
+                known[name] = at
             taken.append(ok)
-        state.update((last,))
-        yield rows[taken]
+        state.update((list(known), list(known.values())))
+        yield rows[taken][names]
 
-    return scans.select(*names).groupBy(key).applyInPandasWithState(keep, schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    # Null keys are a bucket of their own, for pandas has no integers beside them.
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))
+    dealt = scans.select(*names, F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__name"), bucket.alias("__bucket"))
+    return dealt.groupBy("__bucket").applyInPandasWithState(keep, schema, "names array<string>, lasts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def unique_boxes_stream(scans: DataFrame, keys: list[str], ts: str, lateness: str) -> DataFrame:
