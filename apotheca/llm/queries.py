@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from apotheca.llm import bpe, collocations, embedding_dedup, hard_negatives, line_crf, main_text, minhash, nearest, oracles, packing, personal_data, quality_rules, sharding, url_filter
-from apotheca.llm.scratch import shared_folder
+from apotheca.llm.scratch import Table, shared_folder, small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,9 +61,13 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame) -> DataFrame:
-    """Pieces of the documents in sequences of 2048 tokens, with a checksum of each piece's ids."""
+    """Pieces of the documents in sequences of 2048 tokens, with a checksum of each piece's ids.
+
+    Written once, so that few texts at a time go to Python: a batch is held by the JVM and by the worker, in buffers of twice its size.
+    """
     pieces = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    with small_batches(docs.sparkSession, 1000):
+        return Table(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "packed").df
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
