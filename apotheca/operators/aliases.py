@@ -49,7 +49,7 @@ def allowed(aliases: DataFrame, clusters: DataFrame) -> DataFrame:
     cluster is a name only, and fits.
     """
     sides = [clusters.select(F.col("cluster_id").alias(key), *(F.col(c).alias(f"__{key}_{c}") for c in ("routes", "atc", "bridges"))) for key in ("alias", "target")]
-    both = aliases.join(sides[0], "alias", "left").join(sides[1], "target", "left")
+    both = aliases.join(sides[0].hint("merge"), "alias", "left").join(sides[1].hint("merge"), "target", "left")
     fits = routes_fit(F.col("__alias_routes"), F.col("__target_routes")) & atc_fits(F.col("__alias_atc"), F.col("__target_atc"), F.col("__target_bridges"))
     return both.filter(fits).select("alias", "target")
 
@@ -60,27 +60,28 @@ def resolve(aliases: DataFrame) -> DataFrame:
     Of several targets of an alias the smallest counts; an alias of itself, a null alias and a null target are no rename. A
     chain that runs into a cycle ends at the cycle's smallest id. Each step halves the way that is left: a pointer jumps over
     its target's pointer and notes the smallest id that it has passed. Steps end when all pointers are at ends, or have passed
-    more ids than there are, which only those into cycles do. Targets that many aliases share are many tasks.
+    more ids than there are, which only those into cycles do. Targets that many aliases share are many tasks. Joins are merges here and
+    in ``allowed`` and ``canonical``: the files of these tables are small for their rows, so the planner would send all rows through the driver.
     """
     single = aliases.filter("alias is not null and target is not null and alias <> target").groupBy("alias").agg(F.min("target").alias("to"))
     links = materialised(single.withColumn("low", F.col("to")), "links")
     total, length = links.count(), 1
     while True:
         open_ends = links.groupBy("to").agg(F.count("*").alias("__n"))
-        onward = materialised(open_ends.join(links.select(F.col("alias").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low")), "to"), "onward")
+        onward = materialised(open_ends.join(links.select(F.col("alias").alias("to"), F.col("to").alias("__to"), F.col("low").alias("__low")).hint("merge"), "to"), "onward")
         if onward.isEmpty():
             return links.select("alias", F.col("to").alias("root"))
         if length >= total:
             # What still goes on is on a cycle or leads into one; a pointer's own lows are those of the whole cycle.
             ends = onward.select("to", F.col("__low").alias("root"), "__n")
             into = with_group(links, ends, ["to"], "__n").select("alias", "root")
-            return into.unionByName(links.join(ends.select("to"), "to", "left_anti").select("alias", F.col("to").alias("root")))
+            return into.unionByName(links.join(ends.select("to").hint("merge"), "to", "left_anti").select("alias", F.col("to").alias("root")))
         jumped = with_group(links, onward, ["to"], "__n").select("alias", F.col("__to").alias("to"), F.least("low", "__low").alias("low"))
-        stay = links.join(onward.select("to"), "to", "left_anti").select("alias", "to", "low")
+        stay = links.join(onward.select("to").hint("merge"), "to", "left_anti").select("alias", "to", "low")
         links = materialised(jumped.unionByName(stay), "links")
         length *= 2
 
 
 def canonical(rows: DataFrame, roots: DataFrame, column: str) -> DataFrame:
     """Rows with the column's alias replaced by its root."""
-    return rows.join(roots.withColumnRenamed("alias", column).withColumnRenamed("root", "__root"), column, "left").withColumn(column, F.coalesce("__root", column)).select(*rows.columns)
+    return rows.join(roots.withColumnRenamed("alias", column).withColumnRenamed("root", "__root").hint("merge"), column, "left").withColumn(column, F.coalesce("__root", column)).select(*rows.columns)
