@@ -34,13 +34,14 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(links: DataFrame, left: str, right: str) -> Table:
+def components(links: DataFrame, left: str, right: str, most: int | None = None) -> Table:
     """Table (node, root) of every linked node and the smallest node it can reach; a root is not listed.
 
     Loops, repeated links and nulls are ignored; an empty table of links gives an empty table.
+    most: of links, if that is known.
     """
     a, b = F.col(left).cast("long"), F.col(right).cast("long")
-    table = Table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
+    table = Table(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges", most)
     digest = _digest(table.df)
     while digest[0]:
         # There are never more edges than before, so few are not spread over very many files.

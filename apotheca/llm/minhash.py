@@ -252,8 +252,8 @@ def _close_pairs(group: pa.Table, options: Options) -> Iterator[tuple[np.ndarray
             yield (start + left).astype(np.int32), right.astype(np.int32), like[left, right]
 
 
-def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Options) -> Table:
-    """A spanning forest (a, b) of the links between components that share a bucket. members: key, band, id, component."""
+def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, most: int, options: Options) -> Table:
+    """A spanning forest (a, b) of the links between components that share a bucket. members, ``most`` rows: key, band, id, component."""
     id_type = members.schema["id"]
     flagged_schema = T.StructType([members.schema["key"], members.schema["band"], id_type, members.schema["component"]])
     link_schema = T.StructType([T.StructField("a", id_type.dataType), T.StructField("b", id_type.dataType)])
@@ -292,11 +292,11 @@ def _rest(members: DataFrame, sketches: DataFrame, sets: DataFrame, options: Opt
 
     signed = members.join(sketches, "id").select("key", "band", "id", "component", "n_shingles", "signature")
     sizes, dealt = _blocked(signed, F.lit(1), options.block, options)
-    flagged = Table(dealt.groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close")
+    flagged = Table(dealt.groupBy("key", "i", "j").applyInArrow(flag, flagged_schema).distinct(), "close", most)
     sizes.unpersist()
     whole = flagged.df.join(sketches, "id").join(sets, "id").select("key", "band", "id", "component", "n_shingles", "signature", "shingles")
     sizes, dealt = _blocked(whole, 8 * F.col("n_shingles"), options.block_bytes, options)
-    links = Table(dealt.groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links")
+    links = Table(dealt.groupBy("key", "i", "j").applyInArrow(link, link_schema).distinct(), "links", most)
     sizes.unpersist()
     flagged.drop()
     return links
@@ -310,30 +310,31 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     options = options or Options()
     with small_batches(docs.sparkSession, options.batch):
         all_rows = Table(_sketches(docs, id_col, text_col, options), "sketches").df
+    total = all_rows.count()
+    members = options.bands * total
     rows = all_rows.filter("id is not null and n_shingles > 0")
     classes = rows.groupBy("n_shingles", "high", "low").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     firsts = rows.join(classes.select("id").distinct(), "id", "left_semi")
     keyed = firsts.select("id", F.posexplode("keys").alias("band", "key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    buckets = Table(keyed.join(shared.select("key", "least"), "key").distinct(), "buckets")
+    buckets = Table(keyed.join(shared.select("key", "least"), "key").distinct(), "buckets", members)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sketches = rows.select("id", "n_shingles", "signature")
     with small_batches(docs.sparkSession, options.batch):
-        sets = Table(_sets(texts.join(buckets.df.select("id").distinct(), "id", "left_semi"), options.words), "sets")
+        sets = Table(_sets(texts.join(buckets.df.select("id").distinct(), "id", "left_semi"), options.words), "sets", total, 1 << 12)
         centre = buckets.df.filter("id > least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        links = Table(_confirmed(centre, sketches, sets.df, options), "links")
-        found = components(links.df, "a", "b")
+        links = Table(_confirmed(centre, sketches, sets.df, options), "links", members)
+        found = components(links.df, "a", "b", links.df.count())
         component = buckets.df.select("key", "band", "id").join(found.df, buckets.df["id"] == found.df["node"], "left").select("key", "band", "id", F.coalesce("root", "id").alias("component"))
         mixed = component.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-        more = _rest(component.join(mixed, "key"), sketches, sets.df, options)
-    roots = components(more.df.unionByName(found.df.select(F.col("root").alias("a"), F.col("node").alias("b"))), "a", "b")
+        more = _rest(component.join(mixed, "key"), sketches, sets.df, members, options)
+    roots = components(more.df.unionByName(found.df.select(F.col("root").alias("a"), F.col("node").alias("b"))), "a", "b", more.df.count() + found.df.count())
     for table in (found, more, links, sets, buckets):
         table.drop()
 
     digest = ["n_shingles", "high", "low"]
-    total = all_rows.count()
     named = classes.join(roots.df, classes["id"] == roots.df["node"], "left").filter("copies > 1 or root is not null")
-    named = Table(named.select(*digest, "copies", F.coalesce("root", "id").alias("component")), "named").df
+    named = Table(named.select(*digest, "copies", F.coalesce("root", "id").alias("component")), "named", total).df
     placed = with_class(all_rows.select("id", *digest), named, digest, total)
     component_id = F.when(F.col("id").isNotNull() & (F.col("n_shingles") > 0), F.coalesce("component", "id")).otherwise(F.col("id"))
     return placed.select(F.col("id").alias(id_col), "n_shingles", component_id.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

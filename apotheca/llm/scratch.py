@@ -41,10 +41,16 @@ def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 class Table:
-    """A DataFrame written as Parquet and read back, so that its lineage is cut and a lost executor costs nothing."""
+    """A DataFrame written as Parquet and read back, so that its lineage is cut and a lost executor costs nothing.
 
-    def __init__(self, df: DataFrame, name: str):
+    rows: most rows that it can have, where that is known; then few rows are not spread over as many files as a shuffle has
+    partitions. Three tasks a core stay, and one for each ``a_file`` rows.
+    """
+
+    def __init__(self, df: DataFrame, name: str, rows: int | None = None, a_file: int = 1 << 16):
         self.spark = df.sparkSession
+        if rows is not None:
+            df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, -(-rows // a_file)))
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
