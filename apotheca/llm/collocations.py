@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into words at spaces and tabs.
 
 1. Each word leads one window: the columns w1 ... w5 hold it and the words after it in its piece, padded with null.
-   Equal windows are counted, and no shorter n-gram is ever made: the windows that begin with a phrase are all
+   Equal windows are counted, first among the blocks of a task, and no shorter n-gram is ever made: the windows that begin with a phrase are all
    its occurrences, so ROLLUP over w1 ... w4 sums the counts of shorter phrases as prefixes of longer ones.
 2. A window ends early where no frequent phrase can go on. Words and pairs of neighbours are first counted by hash, in
    ``buckets`` buckets; a bucket's count bounds each of its pairs from above, so where it is below ``least`` the pair,
@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,13 +54,15 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class Options:
     """least: occurrences of a candidate. top: phrases a language. redundant: percent of a phrase's count, at which a longer
-    candidate makes it go. buckets: a power of two of at least 2 ** 15. keys: hashes that a task holds before it counts them. texts: rows that a worker gets at once."""
+    candidate makes it go. buckets: a power of two of at least 2 ** 15. keys: hashes that a task holds before it counts them. windows: those
+    that it holds before it counts equal ones, and sends them where most differ. texts: rows that a worker gets at once."""
 
     least: int = 100
     top: int = 2000
     redundant: int = 100
     buckets: int = 1 << 27
     keys: int = 1 << 23
+    windows: int = 1 << 20
     texts: int = 2500
     salts: int = 32
 
@@ -211,19 +214,76 @@ def _windows(block: Block, often: np.ndarray, triples: np.ndarray) -> tuple[np.n
     return block.lang[first], words, count
 
 
+def _numbers(known: pa.Array, more: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``known`` with those of ``more``, which are distinct, that it lacks, and where each of these is in it."""
+    at = pc.index_in(more, value_set=known).fill_null(-1).to_numpy()
+    lacks = at < 0
+    return pa.concat_arrays([known, more.filter(pa.array(lacks))]), np.where(lacks, len(known) + np.cumsum(lacks) - 1, at).astype(np.int32)
+
+
+class Held:
+    """Windows of several blocks: rows of numbers, of the language and of ORDER words (-1: padding), with their counts."""
+
+    def __init__(self) -> None:
+        self.langs, self.words = pa.array([], pa.string()), pa.array([], pa.large_string())
+        self.rows, self.counts = [np.empty((0, ORDER + 1), dtype=np.int32)], [np.empty(0, dtype=np.int64)]
+
+    def __len__(self) -> int:
+        return sum(map(len, self.counts))
+
+    def add(self, langs: pa.Array, words: pa.Array, lang: np.ndarray, at: np.ndarray, count: np.ndarray) -> None:
+        """Windows of a block, as ``_windows`` gives them, with its languages and words."""
+        self.langs, lang_number = _numbers(self.langs, langs.cast(pa.string()))
+        used = np.unique(at)
+        used = used[used >= 0]
+        # The last is what -1 picks.
+        number = np.full(len(words) + 1, -1, dtype=np.int32)
+        self.words, number[used] = _numbers(self.words, words.take(pa.array(used)))
+        self.rows.append(np.column_stack([lang_number[lang], number[at]]))
+        self.counts.append(count.astype(np.int64))
+
+    def count(self) -> None:
+        """Equal windows become one."""
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        number, first = np.zeros(len(rows), dtype=np.int64), np.arange(len(rows))
+        for k in range(ORDER + 1):
+            _, first, number = np.unique(number * (len(self.words) + len(self.langs) + 1) + rows[:, k] + 1, return_index=True, return_inverse=True)
+        order = np.argsort(number, kind="stable")
+        starts = np.searchsorted(number[order], np.arange(len(first)))
+        self.rows, self.counts = [rows[first]], [np.add.reduceat(counts[order], starts) if len(first) else counts]
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        """lang, w1 ... w5, n; some windows at a time become texts."""
+        rows, counts = np.concatenate(self.rows), np.concatenate(self.counts)
+        for k in range(0, len(rows), _SLICE):
+            some = rows[k : k + _SLICE]
+            columns = [self.words.take(pa.array(w, mask=w < 0)).cast(pa.string()) for w in some[:, 1:].T]
+            yield pa.RecordBatch.from_arrays([self.langs.take(pa.array(some[:, 0])), *columns, pa.array(counts[k : k + _SLICE])], names=["lang", *WORDS, "n"])
+
+
+def task_windows(batches: Iterator[pa.RecordBatch], often: bytes, triples: bytes, options: Options) -> Iterator[pa.RecordBatch]:
+    """The windows of a task's texts; equal ones are one row, unless more than ``options.windows`` differ."""
+    bits = [np.frombuffer(b, dtype=np.uint8) for b in (often, triples)]
+    held = Held()
+    for batch in batches:
+        for langs, block in _blocks(batch, options.buckets):
+            held.add(langs, block.words, *_windows(block, *bits))
+            if len(held) > options.windows:
+                held.count()
+                if len(held) > options.windows * 3 // 4:
+                    yield from held.batches()
+                    held = Held()
+    held.count()
+    yield from held.batches()
+
+
 def count_windows(texts: DataFrame, often: bytes, triples: bytes, options: Options) -> DataFrame:
     """lang, w1 ... w5, n: the distinct windows, padded with null, and how often they occur."""
     context = texts.sparkSession.sparkContext
     sent = context.broadcast(often), context.broadcast(triples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = [np.frombuffer(s.value, dtype=np.uint8) for s in sent]
-        for batch in batches:
-            for langs, block in _blocks(batch, options.buckets):
-                lang, words, count = _windows(block, *bits)
-                columns = [block.words.take(pa.array(words[:, k], mask=words[:, k] < 0)).cast(pa.string()) for k in range(ORDER)]
-                rows = pa.RecordBatch.from_arrays([langs.take(pa.array(lang)).cast(pa.string()), *columns, pa.array(count.astype(np.int64))], names=["lang", *WORDS, "n"])
-                yield from (rows.slice(k, _SLICE) for k in range(0, len(rows), _SLICE))
+        return task_windows(batches, *(s.value for s in sent), options)
 
     schema = ", ".join(f"{c} string" for c in ("lang", *WORDS)) + ", n long"
     return texts.mapInArrow(run, schema).groupBy("lang", *WORDS).agg(F.sum("n").alias("n"))
