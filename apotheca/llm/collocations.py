@@ -4,7 +4,8 @@ Texts are lower-cased (A-Z), cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and into
 
 1. Each word leads one window: the columns w1 ... w5 hold it and the words after it in its piece, padded with null.
    Equal windows are counted, first among the blocks of a task, and no shorter n-gram is ever made: the windows that begin with a phrase are all
-   its occurrences, so ROLLUP over w1 ... w4 sums the counts of shorter phrases as prefixes of longer ones.
+   its occurrences, so ROLLUP over w1 ... w4 sums the counts of shorter phrases as prefixes of longer ones. A task soon
+   meets most frequent windows of the corpus, and sends each once; so there are as many tasks as cores need, not as blocks of the input.
 2. A window ends early where no frequent phrase can go on. Words and pairs of neighbours are first counted by hash, in
    ``buckets`` buckets; a bucket's count bounds each of its pairs from above, so where it is below ``least`` the pair,
    and every phrase with it, is rare. Triples of frequent pairs are counted alike in a second pass. Windows are padded
@@ -40,6 +41,8 @@ WORDS = [f"w{i + 1}" for i in range(ORDER)]
 #: Bytes of texts in a block: of windows, which are told apart within it, and of counts, which aren't.
 _BLOCK, _COUNT_BLOCK = 1 << 22, 1 << 20
 _SEGMENT = 1 << 15
+#: Tasks a core that make windows, at most.
+_TASKS = 2
 #: Hashes that are counted, and rows that are sent, at once.
 _SLICE = 1 << 16
 _NEXT = np.uint64(0x9FB21C651E98DF25)
@@ -331,7 +334,8 @@ def mine_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     texts = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"))
     with small_batches(docs.sparkSession, options.texts):
         often = frequent_buckets(texts, options)
-        windows = Table(count_windows(texts, often, frequent_buckets(texts, options, often), options), "windows")
+        triples = frequent_buckets(texts, options, often)
+        windows = Table(count_windows(texts.coalesce(_TASKS * docs.sparkSession.sparkContext.defaultParallelism), often, triples, options), "windows")
     phrases = Table(frequent_phrases(windows.df, options.least), "phrases")
     windows.drop()
     scored = _scored(phrases.df, options)
